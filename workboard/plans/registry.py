@@ -30,8 +30,16 @@ def query(name: str):
     return deco
 
 
+_WS_CACHE: dict = {}
+
+
 def ws_of(spark, sf_dir):
-    return derive_workspace(spark, sf_dir)
+    """The derived workspace plans, built once per session and folder (plans are
+    immutable and lazy; building them is client-side work worth sharing)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _WS_CACHE:
+        _WS_CACHE[key] = derive_workspace(spark, sf_dir)
+    return _WS_CACHE[key]
 
 
 @query("task_stats")
