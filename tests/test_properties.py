@@ -187,3 +187,12 @@ def test_list_tables(spark):
     ws = derive_workspace(spark, SF001)
     register_views(ws)
     assert {r.table_name for r in list_tables(spark).collect()} == {"users", "projects", "project_members", "tasks"}
+
+
+def test_deep_offset_page_uses_numbering(spark, monkeypatch):
+    ws = derive_workspace(spark, SF001)
+    lst = listing.overview_tasks(ws, sort=False)
+    shallow = [r.id for r in paging.offset_page(lst, 40, 8).collect()]
+    monkeypatch.setattr(paging, "MAX_TOP_K_ROWS", 10)
+    deep = [r.id for r in paging.offset_page(lst, 40, 8).collect()]
+    assert shallow == deep and len(deep) == 8

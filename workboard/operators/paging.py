@@ -85,6 +85,11 @@ def clamp_page(n_rows: int, page: int, size: int = CLIENT_PAGE_SIZE) -> int:
     return min(max(1, page), pages)
 
 
+# Largest offset + size served by a top-k (each task keeps that many rows and
+# the driver merges them); deeper pages are cut from a distributed numbering.
+MAX_TOP_K_ROWS = 100_000
+
+
 def offset_page(df: DataFrame, page: int, size: int = CLIENT_PAGE_SIZE,
                 order_by: list[Column] | None = None) -> DataFrame:
     """page ``page`` (clamped into [1, page_count]) of ``size`` rows.
@@ -95,7 +100,12 @@ def offset_page(df: DataFrame, page: int, size: int = CLIENT_PAGE_SIZE,
     n = df.select(F.count(F.lit(1))).first()[0]
     p = clamp_page(n, page, size)
     order_by = order_by or newest_first()
-    return df.orderBy(*order_by).offset((p - 1) * size).limit(size)
+    start = (p - 1) * size
+    if start + size <= MAX_TOP_K_ROWS:
+        return df.orderBy(*order_by).offset(start).limit(size)
+    numbered = number_within_groups(df, [], order_by, pos_col="_row", strategy="range")
+    return (numbered.where((F.col("_row") > start) & (F.col("_row") <= start + size))
+                    .orderBy("_row").drop("_row"))
 
 
 def assign_pages(df: DataFrame, size: int = CLIENT_PAGE_SIZE, order_by: list[Column] | None = None,
