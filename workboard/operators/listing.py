@@ -141,3 +141,32 @@ def available_member_counts(users: DataFrame, projects: DataFrame, pm: DataFrame
                     .join(linked, "project_id", "left")
                     .select("project_id",
                             (n_members - F.coalesce(F.col("linked"), F.lit(0))).cast("long").alias("available_count")))
+
+
+def task_detail(ws, task_id) -> DataFrame:
+    """The joined row returned after a create / status update (C1 + project_id)."""
+    return task_listing(ws.tasks.where(F.col("id") == F.lit(task_id)), ws.projects, ws.users)
+
+
+def valid_member_ids(users: DataFrame, ids: DataFrame, id_col: str = "user_id") -> DataFrame:
+    """Rows of ``ids`` whose id belongs to an existing user with role 'member'
+    (``role = 'member' AND id = ANY(ids)`` as a semi join, no ``isin`` list)."""
+    mem = users.where(F.col("role") == "member").select(F.col("id").alias(id_col))
+    return ids.join(mem, id_col, "left_semi")
+
+
+def any_row(df: DataFrame) -> DataFrame:
+    """any one row (``LIMIT 1``)."""
+    return df.limit(1)
+
+
+def member_struct(prefix: str = "") -> Column:
+    """The member object of the project rollup as a struct."""
+    return F.struct(F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}name").alias("name"),
+                    F.col(f"{prefix}email").alias("email"), F.col(f"{prefix}role").alias("role"),
+                    display_job_role(f"{prefix}job_role").alias("job_role"))
+
+
+def remove_from_members(members: Column, member_id) -> Column:
+    """G5, array side: drop one member object from an array of member structs."""
+    return F.filter(members, lambda m: m["id"] != F.lit(member_id))

@@ -16,3 +16,4 @@ OFFSET_PAGE = 3
 TASK_LIMIT = 50
 PROJECT_LIMIT = 20
 EMAIL = "customer#000000052@example.com"
+TASK_ID = 7001

@@ -144,6 +144,17 @@ def q_available_member_counts(spark, d):
     return listing.available_member_counts(ws.users, ws.projects, ws.project_members)
 
 
+@query("valid_member_ids")
+def q_valid_member_ids(spark, d):
+    ids = R.project_req_members(spark, d).where(F.col("user_id").isNotNull()).dropDuplicates(["seq", "user_id"])
+    return listing.valid_member_ids(ws_of(spark, d).users, ids)
+
+
+@query("task_detail")
+def q_task_detail(spark, d):
+    return listing.task_detail(ws_of(spark, d), P.TASK_ID)
+
+
 @query("member_rollup")
 def q_member_rollup(spark, d):
     ws = ws_of(spark, d)

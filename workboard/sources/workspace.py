@@ -183,3 +183,39 @@ def register_views(ws: Workspace, prefix: str = "") -> None:
     """Expose the tables to ``spark.sql`` as temp views."""
     for name, df in ws.items():
         df.createOrReplaceTempView(prefix + name)
+
+
+KEY_COLUMNS = {"users": ["id"], "projects": ["id", "created_by"], "project_members": ["project_id", "user_id"],
+               "tasks": ["id", "project_id", "assigned_to"]}
+
+
+def cast_keys(ws: Workspace, dtype: str) -> Workspace:
+    """C11: give every key column one type at load time (the reference compares
+    ``a::text = b::text`` in joins because id types drifted; casting once keeps
+    joins on typed keys)."""
+    out = {}
+    for name, df in ws.items():
+        for k in KEY_COLUMNS[name]:
+            df = df.withColumn(k, F.col(k).cast(dtype))
+        out[name] = df
+    return Workspace(**out)
+
+
+def read_jdbc_workspace(spark: SparkSession, url: str, properties: dict, *, num_partitions: int = 64,
+                        lower: str = "2000-01-01", upper: str = "2100-01-01") -> Workspace:
+    """A1 for a live PostgreSQL store: parallel reads split on ``created_at``
+    ranges (ids are UUIDs, so they cannot be range-split); ``project_members``
+    has no timestamp and is split on a hash of its key. Not exercised offline."""
+    def timed(table, cols):
+        return (spark.read.option("partitionColumn", "created_at").option("lowerBound", lower)
+                .option("upperBound", upper).option("numPartitions", num_partitions)
+                .jdbc(url, f"(SELECT {cols} FROM {table}) t", properties=properties))
+    preds = [f"abs(hashtext(project_id::text || user_id::text)) % {num_partitions} = {i}"
+             for i in range(num_partitions)]
+    pm = spark.read.jdbc(url, "project_members", predicates=preds, properties=properties)
+    return Workspace(
+        users=timed("users", "id, name, email, role, job_role, is_first_login, created_at"),
+        projects=timed("projects", "id, name, description, created_by, created_at"),
+        project_members=pm.select("project_id", "user_id"),
+        tasks=timed("tasks", "id, project_id, title, description, status, assigned_to, due_date, created_at"),
+    )
