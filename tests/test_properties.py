@@ -86,6 +86,10 @@ def test_fixture_outcome_counts(spark, ws01):
         "not_project_member": 1859, "inserted": 9425}
     st = counts(mutations.apply_status_changes(ws01.tasks, ws01.users, R.status_reqs(spark, SF01, ws01.tasks)).outcomes)
     assert st == {"invalid_status": 2014, "not_found": 2017, "forbidden": 1510, "applied": 4459}
+    assert counts(mutations.add_project_members(ws01, R.link_reqs(spark, SF01)).outcomes) == {
+        "missing_user": 1667, "not_member": 1919, "project_not_found": 113, "already_member": 3996, "inserted": 7305}
+    assert counts(mutations.create_projects(ws01, R.project_reqs(spark, SF01), R.project_req_members(spark, SF01),
+                                            P.AS_OF).outcomes) == {"invalid_name": 12, "invalid_member": 15, "inserted": 73}
 
 
 def test_inserted_rows_follow_outcomes(spark, ws01):

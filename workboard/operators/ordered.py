@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.session import checkpoint_root
+from workboard.session import checkpoint_root, ship_package
 
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
 
@@ -183,6 +183,7 @@ def _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names):
 def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_partitions):
     spark = df.sparkSession
     checkpoint_root(spark)
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_exprs = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_by)
     keyed = df.withColumn("_gk", _group_key(group_cols))

@@ -67,3 +67,30 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
 
 def is_local_path(path: str) -> bool:
     return path.startswith("file:") or path.startswith("/") and os.path.isabs(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``workboard`` importable in Python workers (the ``--py-files`` route):
+    zip the package once per session and ``addPyFile`` it."""
+    import zipfile
+
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, zpath = tempfile.mkstemp(prefix="workboard-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            if "__pycache__" in dirpath:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -27,10 +27,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from workboard.functions.status import is_overdue, is_overdue_browser
-from workboard.operators.mutations import status_change_outcomes
 from workboard.operators.ordered import number_within_groups
 from workboard.operators.rollups import task_stats
-from workboard.session import scratch_path
+from workboard.session import scratch_path, ship_package
 
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
 
@@ -108,49 +107,122 @@ def run_latest_status(spark: SparkSession, changes: DataFrame, root: str | None
 
 
 # ---- J1 / J4 --------------------------------------------------------------
+#
+# Two chained streams. Stream A validates each micro-batch inside
+# ``foreachBatch``, where it is an ordinary (small) DataFrame: the task and
+# requester rows it needs are fetched with a semi join against the batch's own
+# distinct keys (broadcast only below a counted bound), so the static tables are
+# scanned but never shuffled per trigger. Valid and rejected requests land in
+# per-batch folders. Stream B reads the validated folders and keeps, per task,
+# the latest applied status in keyed state (``applyInPandasWithState``); it
+# emits one (old, new) transition per task and micro-batch, which its own
+# ``foreachBatch`` turns into counter deltas.
+
+MAX_BROADCAST_KEYS = 1_000_000
+
+VALIDATED_COLS = ["seq", "ts", "task_id", "status", "requester_id", "outcome", "http_status",
+                  "base_status", "due_date"]
+
+
+def _bounded_lookup(table: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """Rows of ``table`` whose ``key`` occurs in ``keys`` (a micro-batch's keys).
+
+    The key set is counted first; below ``MAX_BROADCAST_KEYS`` both the key set
+    and the fetched rows (at most one per key for a primary key) are broadcast,
+    above it Spark/AQE plan ordinary joins."""
+    small = n_keys <= MAX_BROADCAST_KEYS
+    found = table.join(F.broadcast(keys) if small else keys, key, "left_semi")
+    return F.broadcast(found) if small else found
+
+
+def validate_status_batch(batch: DataFrame, tasks: DataFrame, users: DataFrame,
+                          rule: str = "reference") -> DataFrame:
+    """I5 checks for one micro-batch of status requests, with bounded lookups."""
+    task_keys = batch.select("task_id").where(F.col("task_id").isNotNull()).distinct()
+    user_keys = batch.select("requester_id").where(F.col("requester_id").isNotNull()).distinct()
+    n_task, n_user = task_keys.count(), user_keys.count()
+    t = tasks.select(F.col("id").alias("task_id"), F.col("assigned_to").alias("_assignee"),
+                     F.col("status").alias("base_status"), "due_date", F.lit(True).alias("_exists"))
+    u = users.select(F.col("id").alias("requester_id"), F.col("role").alias("_requester_role"))
+    j = (batch.join(_bounded_lookup(t, task_keys, "task_id", n_task), "task_id", "left")
+              .join(_bounded_lookup(u, user_keys, "requester_id", n_user), "requester_id", "left"))
+    role = F.col("_requester_role")
+    restricted = (role == "member") if rule == "reference" else ~role.eqNullSafe("admin")
+    outcome = (F.when(~F.coalesce(F.col("status").isin("todo", "in_progress", "completed"), F.lit(False)), "invalid_status")
+                .when(F.col("_exists").isNull(), "not_found")
+                .when(F.coalesce(restricted, F.lit(False)) & ~F.col("_assignee").eqNullSafe(F.col("requester_id")), "forbidden")
+                .otherwise("applied"))
+    codes = {"invalid_status": 400, "not_found": 404, "forbidden": 403, "applied": 200}
+    http = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return (j.withColumn("outcome", outcome)
+             .withColumn("http_status", F.try_element_at(http, F.col("outcome")).cast("int"))
+             .select(*VALIDATED_COLS))
+
+
+def _validating_sink(path: str, tasks: DataFrame, users: DataFrame, rule: str):
+    def sink(batch_df: DataFrame, batch_id: int):
+        out = validate_status_batch(batch_df, tasks, users, rule)
+        out.write.mode("overwrite").parquet(f"{path}/b{batch_id:012d}")
+    return sink
+
+
+def run_status_validation(spark: SparkSession, reqs_landing: str, schema: T.StructType, tasks: DataFrame,
+                          users: DataFrame, root: str, rule: str = "reference") -> str:
+    """Stream A: raw status requests -> validated rows in ``root/validated/b<batch>``."""
+    stream = file_stream(spark, reqs_landing, schema, files_per_trigger=4)
+    writer = stream.writeStream.foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule))
+    run_available(writer, f"{root}/checkpoint_validate")
+    return f"{root}/validated"
+
 
 TRANSITION_SCHEMA = T.StructType([
     T.StructField("task_id", T.LongType()), T.StructField("old_status", T.StringType()),
-    T.StructField("new_status", T.StringType())])
+    T.StructField("new_status", T.StringType()), T.StructField("due_us", T.LongType())])
 STATE_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("last_us", T.LongType()),
     T.StructField("last_seq", T.LongType())])
 
 
-def _track_status(key, pdfs, state):
-    """Per task: apply the micro-batch's changes newer than the state, emit (old, new)."""
-    import pandas as pd
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "seq"])
-    if state.exists:
-        status, last_us, last_seq = state.get
-    else:
-        status, last_us, last_seq = pdf["base_status"].iloc[0], None, None
-    old = status
-    newer = pdf
-    if last_us is not None:
-        newer = pdf[(pdf["ts_us"] > last_us) | ((pdf["ts_us"] == last_us) & (pdf["seq"] > last_seq))]
-    if len(newer):
-        last = newer.iloc[-1]
-        status, last_us, last_seq = last["status"], int(last["ts_us"]), int(last["seq"])
-    state.update((status, last_us, last_seq))
-    yield pd.DataFrame({"task_id": [int(key[0])], "old_status": [old], "new_status": [status]})
-
-
-def applied_transitions(checked_stream: DataFrame, tasks: DataFrame) -> DataFrame:
+def _status_tracker():
+    """The per-task state function (a closure, so it ships to workers by value)."""
+    def track_status(key, pdfs, state):
+        """Apply the micro-batch's changes newer than the state; emit (old, new).
+
+        A replayed request (same ts and seq) is not newer, so duplicates are harmless."""
+        import pandas as pd
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "seq"])
+        if state.exists:
+            status, last_us, last_seq = state.get
+        else:
+            status, last_us, last_seq = pdf["base_status"].iloc[0], None, None
+        old = status
+        newer = pdf
+        if last_us is not None:
+            newer = pdf[(pdf["ts_us"] > last_us) | ((pdf["ts_us"] == last_us) & (pdf["seq"] > last_seq))]
+        if len(newer):
+            last = newer.iloc[-1]
+            status, last_us, last_seq = last["status"], int(last["ts_us"]), int(last["seq"])
+        state.update((status, last_us, last_seq))
+        due = pdf["due_us"].iloc[0]
+        yield pd.DataFrame({"task_id": [int(key[0])], "old_status": [old], "new_status": [status],
+                            "due_us": [None if pd.isna(due) else int(due)]})
+    return track_status
+
+
+def applied_transitions(validated_stream: DataFrame) -> DataFrame:
     """Applied status changes -> one (old, new) row per task per micro-batch."""
-    base = tasks.select(F.col("id").alias("task_id"), F.col("status").alias("base_status"))
-    applied = (checked_stream.where(F.col("outcome") == "applied")
-               .join(base, "task_id", "left")
+    applied = (validated_stream.where(F.col("outcome") == "applied")
                .select(F.col("task_id").cast("long").alias("task_id"), "seq", "status", "base_status",
-                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us")))
+                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+                       F.unix_micros(F.col("due_date").cast("timestamp")).alias("due_us")))
+    ship_package(validated_stream.sparkSession)
     return applied.groupBy("task_id").applyInPandasWithState(
-        _track_status, TRANSITION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _status_tracker(), TRANSITION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def transition_deltas(transitions: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
-    """Counter deltas of a set of (task_id, old_status, new_status) rows (one row)."""
-    due = tasks.select(F.col("id").alias("task_id"), "due_date")
-    t = transitions.join(due, "task_id", "left")
+def transition_deltas(transitions: DataFrame, as_of) -> DataFrame:
+    """Counter deltas of a set of (task_id, old_status, new_status, due_us) rows (one row)."""
+    t = transitions.withColumn("due_date", F.timestamp_micros("due_us").cast("timestamp_ntz"))
 
     def flag(cond):
         return F.coalesce(cond, F.lit(False)).cast("long")
@@ -174,17 +246,25 @@ def live_counters_from_log(base_stats: DataFrame, deltas: DataFrame) -> DataFram
         (F.col("overdue_tasks") + sums["d_overdue"]).cast("int").alias("overdue_tasks"))
 
 
+def _validated_schema(reqs_schema: T.StructType) -> T.StructType:
+    f = {x.name: x for x in reqs_schema.fields}
+    return T.StructType([f["seq"], f["ts"], f["task_id"], f["status"], f["requester_id"],
+                         T.StructField("outcome", T.StringType()), T.StructField("http_status", T.IntegerType()),
+                         T.StructField("base_status", T.StringType()),
+                         T.StructField("due_date", T.TimestampNTZType())])
+
+
 def run_live_counters(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame,
                       as_of, rule: str = "reference", root: str | None = None) -> DataFrame:
     """Replay status requests (seq, ts, task_id, status, requester_id) through
-    the validated, stateful stream; return the live counters."""
+    validation (stream A) and the per-task state (stream B); return the counters."""
     root = root or scratch_path(spark, "live_counters")
     landing = replay_to_files(reqs, f"{root}/landing")
-    stream = file_stream(spark, landing, reqs.schema)
-    checked = status_change_outcomes(tasks, users, stream, rule)
-    transitions = applied_transitions(checked, tasks)
-    sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, tasks, as_of))
-    run_available(transitions.writeStream.outputMode("append").foreachBatch(sink), f"{root}/checkpoint")
+    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule)
+    vstream = file_stream(spark, f"{validated}/*", _validated_schema(reqs.schema), files_per_trigger=64)
+    sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
+    run_available(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
+                  f"{root}/checkpoint_state")
     return live_counters_from_log(task_stats(tasks, as_of), read_sink(spark, f"{root}/deltas", DELTA_SCHEMA))
 
 
@@ -193,18 +273,13 @@ REJECTED_COLS = ["seq", "task_id", "status", "requester_id", "outcome", "http_st
 
 def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame,
                         rule: str = "reference", root: str | None = None) -> DataFrame:
-    """Route requests failing the I5 checks to their own sink."""
+    """Requests failing the I5 checks, from stream A's output (a replayed
+    micro-batch rewrites its own folder, so rows are never duplicated)."""
     root = root or scratch_path(spark, "rejected")
     landing = replay_to_files(reqs, f"{root}/landing")
-    stream = file_stream(spark, landing, reqs.schema)
-    checked = status_change_outcomes(tasks, users, stream, rule)
-    rejected = checked.where(F.col("outcome") != "applied").select(*REJECTED_COLS)
-    run_available(rejected.writeStream.outputMode("append").foreachBatch(_per_batch_sink(f"{root}/rejected")),
-                  f"{root}/checkpoint")
-    schema = T.StructType([reqs.schema["seq"], reqs.schema["task_id"], reqs.schema["status"],
-                           reqs.schema["requester_id"], T.StructField("outcome", T.StringType()),
-                           T.StructField("http_status", T.IntegerType())])
-    return read_sink(spark, f"{root}/rejected", schema).select(*REJECTED_COLS)
+    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule)
+    v = read_sink(spark, f"{validated}/*", _validated_schema(reqs.schema))
+    return v.where(F.col("outcome") != "applied").select(*REJECTED_COLS)
 
 
 # ---- J3 -------------------------------------------------------------------
