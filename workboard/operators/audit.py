@@ -57,6 +57,25 @@ def orphan_audit(ws) -> DataFrame:
             .withColumnRenamed("rule", "check_name"))
 
 
+def _keyed_checks(df: DataFrame, keys: list[str], checks: dict) -> DataFrame:
+    """One pass: group by the primary key (the shuffle the duplicate check needs
+    anyway), carry the per-row rule counts along, then fold to one row.
+
+    ``checks`` maps rule name -> boolean Column evaluated per row. Returns one
+    row with ``primary_key`` (keys occurring more than once, NULL parts
+    excluded), ``not_null_key`` (rows with a NULL key part) and every rule."""
+    key_null = F.lit(False)
+    for k in keys:
+        key_null = key_null | F.col(k).isNull()
+    per_key = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()])
+    return per_key.agg(
+        F.count_if(~key_null & (F.col("_n") > 1)).alias("primary_key"),
+        F.coalesce(F.sum(F.when(key_null, F.col("_n"))), F.lit(0)).alias("not_null_key"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks])
+
+
 def _dup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys (all parts non-NULL) that occur more than once."""
     nn = F.lit(True)
@@ -67,47 +86,45 @@ def _dup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _too_long(c: str, n: int) -> Column:
-    return F.count_if(F.length(c) > n)
+    return F.length(c) > n
 
 
 def constraint_audit(ws) -> DataFrame:
-    """Violations of the strict DDL, one row per (table, rule)."""
-    u = ws.users.agg(
-        F.count_if(F.col("id").isNull()).alias("not_null_id"),
-        F.count_if(F.col("name").isNull()).alias("not_null_name"),
-        F.count_if(F.col("email").isNull()).alias("not_null_email"),
-        F.count_if(F.col("role").isNotNull() & ~F.col("role").isin("admin", "member")).alias("check_role"),
-        _too_long("name", 255).alias("length_name"), _too_long("email", 255).alias("length_email"),
-        _too_long("role", 50).alias("length_role"), _too_long("job_role", 100).alias("length_job_role"))
-    u_pk = _dup_keys(ws.users, ["id"]).select(F.col("v").alias("primary_key"))
+    """Violations of the strict DDL, one row per (table, rule).
+
+    Each table is read once for its row rules, key duplicates and foreign keys;
+    the only extra pass is the UNIQUE check on users.email."""
+    u = _keyed_checks(ws.users, ["id"], {
+        "not_null_name": F.col("name").isNull(), "not_null_email": F.col("email").isNull(),
+        "check_role": F.col("role").isNotNull() & ~F.col("role").isin("admin", "member"),
+        "length_name": _too_long("name", 255), "length_email": _too_long("email", 255),
+        "length_role": _too_long("role", 50), "length_job_role": _too_long("job_role", 100),
+    }).withColumnRenamed("not_null_key", "not_null_id")
     u_email = _dup_keys(ws.users, ["email"]).select(F.col("v").alias("unique_email"))
 
     p = left_lookup(ws.projects.select("id", "name", "created_by"), _flag(ws.users, "id", "_u"), "created_by", "_u")
-    p = p.agg(F.count_if(F.col("id").isNull()).alias("not_null_id"),
-              F.count_if(F.col("name").isNull()).alias("not_null_name"),
-              _too_long("name", 255).alias("length_name"),
-              _dangling("created_by", "_u_ok").alias("fk_created_by"))
-    p_pk = _dup_keys(ws.projects, ["id"]).select(F.col("v").alias("primary_key"))
+    p = _keyed_checks(p, ["id"], {
+        "not_null_name": F.col("name").isNull(), "length_name": _too_long("name", 255),
+        "fk_created_by": F.col("created_by").isNotNull() & F.col("_u_ok").isNull(),
+    }).withColumnRenamed("not_null_key", "not_null_id")
 
     pm = ws.project_members.select("project_id", "user_id")
-    pm_f = pm.join(_flag(ws.projects, "id", "_p"), pm.project_id == F.col("_p"), "left") \
-             .join(_flag(ws.users, "id", "_u"), pm.user_id == F.col("_u"), "left")
-    pm_a = pm_f.agg(F.count_if(F.col("project_id").isNull() | F.col("user_id").isNull()).alias("not_null_key"),
-                    _dangling("project_id", "_p_ok").alias("fk_project"),
-                    _dangling("user_id", "_u_ok").alias("fk_user"))
-    pm_pk = _dup_keys(ws.project_members, ["project_id", "user_id"]).select(F.col("v").alias("primary_key"))
-
-    t = _task_fk_counts(ws).agg(
-        F.count_if(F.col("id").isNull()).alias("not_null_id"),
-        F.count_if(F.col("title").isNull()).alias("not_null_title"),
-        F.count_if(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES)).alias("check_status"),
-        _too_long("title", 255).alias("length_title"), _too_long("status", 50).alias("length_status"),
-        _dangling("project_id", "_p_ok").alias("fk_project"),
-        _dangling("assigned_to", "_u_ok").alias("fk_assigned_to"))
-    t_pk = _dup_keys(ws.tasks, ["id"]).select(F.col("v").alias("primary_key"))
-
-    parts = [(u, "users"), (u_pk, "users"), (u_email, "users"), (p, "projects"), (p_pk, "projects"),
-             (pm_a, "project_members"), (pm_pk, "project_members"), (t, "tasks"), (t_pk, "tasks")]
+    pm = pm.join(_flag(ws.projects, "id", "_p"), pm.project_id == F.col("_p"), "left") \
+           .join(_flag(ws.users, "id", "_u"), pm.user_id == F.col("_u"), "left")
+    pm = _keyed_checks(pm, ["project_id", "user_id"], {
+        "fk_project": F.col("project_id").isNotNull() & F.col("_p_ok").isNull(),
+        "fk_user": F.col("user_id").isNotNull() & F.col("_u_ok").isNull(),
+    })
+
+    t = _keyed_checks(_task_fk_counts(ws), ["id"], {
+        "not_null_title": F.col("title").isNull(),
+        "check_status": F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES),
+        "length_title": _too_long("title", 255), "length_status": _too_long("status", 50),
+        "fk_project": F.col("project_id").isNotNull() & F.col("_p_ok").isNull(),
+        "fk_assigned_to": F.col("assigned_to").isNotNull() & F.col("_u_ok").isNull(),
+    }).withColumnRenamed("not_null_key", "not_null_id")
+
+    parts = [(u, "users"), (u_email, "users"), (p, "projects"), (pm, "project_members"), (t, "tasks")]
     out = None
     for df, name in parts:
         lf = _long_form(df, name)
