@@ -149,3 +149,21 @@ def test_empty_workspace(spark):
     assert rollups.member_rollup(ws.users, ws.project_members, ws.tasks).count() == 0
     assert rollups.page_count(ws.tasks, 8).first().page_count == 1
     assert paging.offset_page(ws.tasks, 5).count() == 0
+
+
+def test_batch_order_links_and_status(spark, roles_ws):
+    links = spark.createDataFrame([(1, 10, 99), (2, 10, 5), (3, 10, 2), (4, 11, 5), (5, 10, 5)],
+                                  "seq long, project_id long, user_id long")
+    # user 99 unknown; 5 is a member not yet linked; 2 already linked; project 11 missing; seq 5 repeats seq 2
+    res = mutations.add_project_members(roles_ws.replace(project_members=roles_ws.project_members.where("user_id = 2")), links)
+    out = {r.seq: r.outcome for r in res.outcomes.collect()}
+    assert out == {1: "not_member", 2: "inserted", 3: "already_member", 4: "project_not_found", 5: "already_member"}
+    changes = spark.createDataFrame([(1, dt.datetime(2024, 5, 2), 100, "done", 2),
+                                     (2, dt.datetime(2024, 5, 1), 100, "completed", 2),
+                                     (3, dt.datetime(2024, 5, 3), 100, "in_progress", 5),
+                                     (4, dt.datetime(2024, 5, 3), 100, "todo", 1)],
+                                    "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
+    res = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, changes)
+    out = {r.seq: r.outcome for r in res.outcomes.collect()}
+    assert out == {1: "invalid_status", 2: "applied", 3: "forbidden", 4: "applied"}
+    assert res.tables["tasks"].where("id = 100").first().status == "todo"  # latest applied by (ts, seq)
