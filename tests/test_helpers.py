@@ -50,3 +50,19 @@ def test_overview_bundle(spark):
     assert set(o) == {"stats", "members", "projects", "tasks"}
     assert o["stats"].count() == 1
     assert o["tasks"].count() == listing.task_listing(ws.tasks, ws.projects, ws.users).count()
+
+
+def test_null_key_salt_is_a_join_key(spark):
+    import contextlib
+    import io
+    ws = derive_workspace(spark, SF001)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            listing.task_listing(ws.tasks, ws.projects, ws.users).explain()
+        plan = buf.getvalue()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    smj = [ln for ln in plan.splitlines() if "SortMergeJoin" in ln and "LeftOuter" in ln]
+    assert smj and "_null_salt" in smj[0] and "_null_salt_r" in smj[0].split("LeftOuter")[0]

@@ -24,12 +24,15 @@ def left_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
     Rows whose key is NULL never match; they get a salt so they are spread over
     ``salts`` shuffle partitions instead of one. The salt is 0 for every
-    non-NULL key on both sides, so matching is unchanged.
+    non-NULL key on both sides, so matching is unchanged; both key columns
+    appear in the sort-merge join keys (checked in the tests).
     """
     salt_l = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))) \
               .otherwise(F.lit(0)).cast("int")
     l = left.withColumn("_null_salt", salt_l)
-    r = right.withColumn("_null_salt_r", F.lit(0))
+    # Derived from the key rather than a literal: a literal 0 would be folded
+    # into a residual condition and drop out of the join keys.
+    r = right.withColumn("_null_salt_r", F.when(F.col(right_key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
     cond = (l[left_key] == r[right_key]) & (l["_null_salt"] == r["_null_salt_r"])
     return l.join(r, cond, "left").drop("_null_salt", "_null_salt_r")
 
