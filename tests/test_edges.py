@@ -167,3 +167,25 @@ def test_batch_order_links_and_status(spark, roles_ws):
     out = {r.seq: r.outcome for r in res.outcomes.collect()}
     assert out == {1: "invalid_status", 2: "applied", 3: "forbidden", 4: "applied"}
     assert res.tables["tasks"].where("id = 100").first().status == "todo"  # latest applied by (ts, seq)
+
+
+def test_live_counters_empty_stream(spark, roles_ws):
+    empty = spark.createDataFrame([], "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
+    got = live.run_live_counters(spark, empty, roles_ws.tasks, roles_ws.users, AS_OF).first()
+    base = rollups.task_stats(roles_ws.tasks, AS_OF).first()
+    assert tuple(got) == tuple(base)
+    assert live.run_rejected_events(spark, empty, roles_ws.tasks, roles_ws.users).count() == 0
+
+
+def test_live_counters_equal_batch(spark, roles_ws):
+    reqs = spark.createDataFrame([(1, dt.datetime(2024, 5, 1), 100, "completed", 2),
+                                  (2, dt.datetime(2024, 5, 2), 101, "in_progress", 1),
+                                  (3, dt.datetime(2024, 5, 3), 102, "todo", 4),
+                                  (4, dt.datetime(2024, 5, 4), 999, "todo", 1),
+                                  (5, dt.datetime(2024, 5, 5), 100, "todo", 5)],
+                                 "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
+    got = live.run_live_counters(spark, reqs, roles_ws.tasks, roles_ws.users, AS_OF).first()
+    after = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, reqs).tables["tasks"]
+    assert tuple(got) == tuple(rollups.task_stats(after, AS_OF).first())
+    rej = {r.seq: r.outcome for r in live.run_rejected_events(spark, reqs, roles_ws.tasks, roles_ws.users).collect()}
+    assert rej == {4: "not_found", 5: "forbidden"}
