@@ -18,23 +18,37 @@ from pyspark.sql import functions as F
 NULL_KEY_SALTS = 64
 
 
-def left_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+def left_lookup(left: DataFrame, right: DataFrame, left_key, right_key=None,
                 salts: int = NULL_KEY_SALTS) -> DataFrame:
-    """``left LEFT JOIN right ON left_key = right_key``.
+    """``left LEFT JOIN right ON left_key = right_key`` (one column or a list).
 
-    Rows whose key is NULL never match; they get a salt so they are spread over
-    ``salts`` shuffle partitions instead of one. The salt is 0 for every
+    Rows with a NULL key part never match; they get a salt so they are spread
+    over ``salts`` shuffle partitions instead of one. The salt is 0 for every
     non-NULL key on both sides, so matching is unchanged; both key columns
-    appear in the sort-merge join keys (checked in the tests).
+    appear in the sort-merge join keys (checked in the tests). Key columns named
+    the same on both sides are kept once, from the left (like ``on=[names]``).
     """
-    salt_l = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))) \
+    lk = [left_key] if isinstance(left_key, str) else list(left_key)
+    rk = lk if right_key is None else ([right_key] if isinstance(right_key, str) else list(right_key))
+    renamed = {c: f"_rk_{i}" for i, c in enumerate(rk) if c in left.columns}
+    r = right.select(*[F.col(c).alias(renamed.get(c, c)) for c in right.columns])
+    rk2 = [renamed.get(c, c) for c in rk]
+    l_null = F.lit(False)
+    for c in lk:
+        l_null = l_null | F.col(c).isNull()
+    r_null = F.lit(False)
+    for c in rk2:
+        r_null = r_null | F.col(c).isNull()
+    salt_l = F.when(l_null, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))) \
               .otherwise(F.lit(0)).cast("int")
     l = left.withColumn("_null_salt", salt_l)
     # Derived from the key rather than a literal: a literal 0 would be folded
     # into a residual condition and drop out of the join keys.
-    r = right.withColumn("_null_salt_r", F.when(F.col(right_key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
-    cond = (l[left_key] == r[right_key]) & (l["_null_salt"] == r["_null_salt_r"])
-    return l.join(r, cond, "left").drop("_null_salt", "_null_salt_r")
+    r = r.withColumn("_null_salt_r", F.when(r_null, F.lit(-1)).otherwise(F.lit(0)))
+    cond = l["_null_salt"] == r["_null_salt_r"]
+    for a, b2 in zip(lk, rk2):
+        cond = cond & (l[a] == r[b2])
+    return l.join(r, cond, "left").drop("_null_salt", "_null_salt_r", *renamed.values())
 
 
 def semi(left: DataFrame, right: DataFrame, on: Column | list | str) -> DataFrame:

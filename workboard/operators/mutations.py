@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workboard.functions.status import STATUSES, as_of_lit, is_known_status
+from workboard.operators.joins import left_lookup
 from workboard.functions.text import (is_blank, looks_like_email, normalize_email,
                                       normalize_job_role, trim_to_null, ws_trim)
 
@@ -89,7 +90,7 @@ def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "b
     valid = r.where(F.col("_fail").isNull())
     known = users.select(F.col("email").alias("_email")).distinct().withColumn("_exists", F.lit(True))
     per_email = _first_per_key(valid, ["_email"]).join(known, "_email", "left")
-    r = r.join(per_email, "_email", "left")
+    r = left_lookup(r, per_email, "_email")
     outcome = F.coalesce(
         F.col("_fail"),
         F.when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), "duplicate").otherwise("inserted"))
@@ -113,9 +114,9 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
     ids = (req_members.select("seq", "user_id")
            .where(F.col("user_id").isNotNull() & (F.col("user_id").cast("string") != ""))
            .dropDuplicates(["seq", "user_id"]))
-    checked = ids.join(_member_ids(ws.users), "user_id", "left")
+    checked = left_lookup(ids, _member_ids(ws.users), "user_id")
     bad = checked.groupBy("seq").agg(F.count_if(F.col("_is_member").isNull()).alias("_bad"))
-    r = reqs.select("seq", "name", "description", "creator_id").join(bad, "seq", "left")
+    r = left_lookup(reqs.select("seq", "name", "description", "creator_id"), bad, "seq")
     outcome = (F.when(is_blank("name"), "invalid_name")
                 .when(F.coalesce(F.col("_bad"), F.lit(0)) > 0, "invalid_member")
                 .otherwise("inserted"))
@@ -137,9 +138,9 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
 def add_project_members(ws, reqs: DataFrame) -> BatchResult:
     """User id -> existing 'member' -> project exists (R8) -> not yet linked
     (store or earlier in batch) -> insert."""
-    r = reqs.select("seq", "project_id", "user_id").join(_member_ids(ws.users), "user_id", "left")
+    r = left_lookup(reqs.select("seq", "project_id", "user_id"), _member_ids(ws.users), "user_id")
     projects = ws.projects.select(F.col("id").alias("project_id")).withColumn("_project", F.lit(True))
-    r = r.join(projects, "project_id", "left")
+    r = left_lookup(r, projects, "project_id")
     fail = (F.when(F.col("user_id").isNull(), "missing_user")
              .when(F.col("_is_member").isNull(), "not_member")
              .when(F.col("_project").isNull(), "project_not_found"))
@@ -147,7 +148,7 @@ def add_project_members(ws, reqs: DataFrame) -> BatchResult:
     linked = ws.project_members.select("project_id", "user_id").distinct().withColumn("_linked", F.lit(True))
     per_pair = _first_per_key(r.where(F.col("_fail").isNull()), ["project_id", "user_id"]) \
         .join(linked, ["project_id", "user_id"], "left")
-    r = r.join(per_pair, ["project_id", "user_id"], "left")
+    r = left_lookup(r, per_pair, ["project_id", "user_id"])
     outcome = F.coalesce(F.col("_fail"), F.when(
         F.col("_linked") | (F.col("seq") != F.col("_first_seq")), "already_member").otherwise("inserted"))
     r = r.withColumn("_outcome", outcome)
@@ -166,7 +167,7 @@ def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch") -> BatchRe
     links = (ws.project_members.select("project_id", F.col("user_id").alias("assigned_to"))
              .join(_member_ids(ws.users).select(F.col("user_id").alias("assigned_to")), "assigned_to", "left_semi")
              .distinct().withColumn("_linked", F.lit(True)))
-    r = r.join(projects, "project_id", "left").join(links, ["project_id", "assigned_to"], "left")
+    r = left_lookup(left_lookup(r, projects, "project_id"), links, ["project_id", "assigned_to"])
     outcome = (F.when(is_blank("title"), "invalid_title")
                 .when(F.col("assigned_to").isNull() | (F.col("assigned_to").cast("string") == ""), "missing_assignee")
                 .when(F.col("_project").isNull(), "project_not_found")
@@ -191,8 +192,8 @@ def status_change_outcomes(tasks: DataFrame, users: DataFrame, reqs: DataFrame,
     the assignee. Returns the requests with ``outcome``/``http_status``."""
     t = tasks.select(F.col("id").alias("task_id"), F.col("assigned_to").alias("_assignee")).withColumn("_task", F.lit(True))
     u = users.select(F.col("id").alias("requester_id"), F.col("role").alias("_requester_role"))
-    r = reqs.select("seq", "ts", "task_id", "status", "requester_id") \
-            .join(t, "task_id", "left").join(u, "requester_id", "left")
+    r = left_lookup(left_lookup(reqs.select("seq", "ts", "task_id", "status", "requester_id"), t, "task_id"),
+                    u, "requester_id")
     role = F.col("_requester_role")
     restricted = (role == "member") if rule == "reference" else ~role.eqNullSafe("admin")
     outcome = (F.when(~is_known_status("status"), "invalid_status")
@@ -226,9 +227,9 @@ def delete_members(ws, reqs: DataFrame) -> BatchResult:
     links, and set ``projects.created_by`` to NULL. A second request for the
     same user finds it gone (not_found)."""
     u = ws.users.select(F.col("id").alias("user_id"), F.col("role").alias("_role")).withColumn("_exists", F.lit(True))
-    r = reqs.select("seq", "user_id").join(u, "user_id", "left")
+    r = left_lookup(reqs.select("seq", "user_id"), u, "user_id")
     first = _first_per_key(r.where(F.col("_exists") & (F.col("_role") == "member")), ["user_id"])
-    r = r.join(first, "user_id", "left")
+    r = left_lookup(r, first, "user_id")
     outcome = (F.when(F.col("_exists").isNull(), "not_found")
                 .when(~F.col("_role").eqNullSafe("member"), "not_member")
                 .when(F.col("seq") == F.col("_first_seq"), "deleted")
@@ -239,7 +240,7 @@ def delete_members(ws, reqs: DataFrame) -> BatchResult:
     tasks = ws.tasks.join(gone.withColumnRenamed("user_id", "assigned_to"), "assigned_to", "left_anti")
     pm = ws.project_members.join(gone, "user_id", "left_anti")
     flagged = gone.select(F.col("user_id").alias("created_by"), F.lit(True).alias("_gone"))
-    projects = (ws.projects.join(flagged, "created_by", "left")
+    projects = (left_lookup(ws.projects, flagged, "created_by")
                 .withColumn("created_by", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("created_by")).cast(ws.projects.schema["created_by"].dataType))
                 .select(*ws.projects.columns))
     return BatchResult({"users": users.select(*ws.users.columns), "tasks": tasks.select(*ws.tasks.columns),
@@ -250,9 +251,9 @@ def delete_members(ws, reqs: DataFrame) -> BatchResult:
 def delete_projects(ws, reqs: DataFrame) -> BatchResult:
     """Project exists -> delete it and cascade to links and tasks."""
     p = ws.projects.select(F.col("id").alias("project_id")).withColumn("_exists", F.lit(True))
-    r = reqs.select("seq", "project_id").join(p, "project_id", "left")
+    r = left_lookup(reqs.select("seq", "project_id"), p, "project_id")
     first = _first_per_key(r.where(F.col("_exists")), ["project_id"])
-    r = r.join(first, "project_id", "left")
+    r = left_lookup(r, first, "project_id")
     outcome = F.when(F.col("_exists") & (F.col("seq") == F.col("_first_seq")), "deleted").otherwise("not_found")
     r = r.withColumn("_outcome", outcome)
     gone = r.where(F.col("_outcome") == "deleted").select("project_id")
