@@ -189,3 +189,23 @@ def test_live_counters_equal_batch(spark, roles_ws):
     assert tuple(got) == tuple(rollups.task_stats(after, AS_OF).first())
     rej = {r.seq: r.outcome for r in live.run_rejected_events(spark, reqs, roles_ws.tasks, roles_ws.users).collect()}
     assert rej == {4: "not_found", 5: "forbidden"}
+
+
+def test_start_live_counters_processes_arrivals(spark, roles_ws):
+    from workboard.session import scratch_path
+    reqs = spark.createDataFrame([(1, dt.datetime(2024, 5, 1), 100, "completed", 2)],
+                                 "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
+    root = scratch_path(spark, "live-test")
+    landing = f"{root}/landing"
+    reqs.write.parquet(f"{landing}/f1")
+    a, b, counters = live.start_live_counters(spark, f"{landing}/*", reqs.schema, roles_ws.tasks, roles_ws.users,
+                                              AS_OF, root=f"{root}/run", interval="1 second")
+    try:
+        a.processAllAvailable()
+        b.processAllAvailable()
+        got = counters().first()
+    finally:
+        a.stop()
+        b.stop()
+    after = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, reqs).tables["tasks"]
+    assert tuple(got) == tuple(rollups.task_stats(after, AS_OF).first())

@@ -268,6 +268,27 @@ def run_live_counters(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, us
     return live_counters_from_log(task_stats(tasks, as_of), read_sink(spark, f"{root}/deltas", DELTA_SCHEMA))
 
 
+def start_live_counters(spark: SparkSession, landing: str, schema: T.StructType, tasks: DataFrame,
+                        users: DataFrame, as_of, root: str | None = None, rule: str = "reference",
+                        interval: str = "2 seconds"):
+    """J1 running continuously (the reference's 2 s refresh): status-request files
+    arriving in ``landing`` flow through validation (stream A) and per-task state
+    (stream B). Returns the two running queries and a function that reads the
+    current counters."""
+    root = root or scratch_path(spark, "live_counters")
+    a = start_live(file_stream(spark, landing, schema, files_per_trigger=4).writeStream
+                   .foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule)),
+                   f"{root}/checkpoint_validate", interval)
+    vstream = file_stream(spark, f"{root}/validated/*", _validated_schema(schema), files_per_trigger=64)
+    sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
+    b = start_live(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
+                   f"{root}/checkpoint_state", interval)
+
+    def counters() -> DataFrame:
+        return live_counters_from_log(task_stats(tasks, as_of), read_sink(spark, f"{root}/deltas", DELTA_SCHEMA))
+    return a, b, counters
+
+
 REJECTED_COLS = ["seq", "task_id", "status", "requester_id", "outcome", "http_status"]
 
 
