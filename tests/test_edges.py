@@ -209,3 +209,10 @@ def test_start_live_counters_processes_arrivals(spark, roles_ws):
         b.stop()
     after = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, reqs).tables["tasks"]
     assert tuple(got) == tuple(rollups.task_stats(after, AS_OF).first())
+
+
+def test_counter_clamps(spark):
+    df = spark.createDataFrame([(0,), (1,), (9,)], "v int")
+    rows = df.select(S.decrement_floor0("v").alias("d"), S.clamp("v", 1, 5).alias("c")).collect()
+    assert [(r.d, r.c) for r in rows] == [(0, 1), (0, 1), (8, 5)]
+    assert S.as_count is not None and listing.by_id(df.withColumnRenamed("v", "id"), 9).count() == 1
