@@ -29,33 +29,56 @@ from pyspark.sql import types as T
 from workboard.session import checkpoint_root, ship_package
 
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
+# Rows per range partition in the range plan: each task holds one partition in
+# Arrow memory while numbering it.
+ROWS_PER_PARTITION = 2_000_000
 
 
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the largest group (one aggregation, one number back)."""
+def group_sizes(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
+    """(rows in the largest group, total rows): one aggregation, two numbers back."""
     if not group_cols:
-        return df.select(F.count(F.lit(1))).first()[0]
-    top = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(top or 0)
+        n = df.select(F.count(F.lit(1))).first()[0]
+        return int(n), int(n)
+    r = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Row count of the largest group."""
+    return group_sizes(df, group_cols)[0]
+
+
+def range_partitions(spark, total_rows: int | None) -> int:
+    """Partition count for the range plan: at least the shuffle setting, and
+    enough that no partition exceeds ``ROWS_PER_PARTITION`` rows."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if total_rows:
+        n = max(n, -(-total_rows // ROWS_PER_PARTITION))
+    return n
 
 
 def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Column], *,
                          pos_col: str = "pos", size_col: str | None = None,
                          lag_cols: tuple[str, ...] = (), strategy: str = "auto",
                          max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
-                         num_partitions: int | None = None) -> DataFrame:
+                         num_partitions: int | None = None, total_rows: int | None = None) -> DataFrame:
     """Add ``pos_col`` (1-based row number in ``order_by`` order within the group),
     optionally ``size_col`` (rows in the group) and ``prev_<c>`` for ``lag_cols``.
 
     ``order_by`` should be a total order inside a group (end with a unique key)
     so the numbering is deterministic.
     """
+    total = total_rows
     if strategy == "auto":
-        strategy = "window" if largest_group(df, group_cols) <= max_group_rows else "range"
+        biggest, total = group_sizes(df, group_cols)
+        strategy = "window" if biggest <= max_group_rows else "range"
     if strategy == "window":
         return _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols)
     if strategy == "range":
-        return _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_partitions)
+        if num_partitions is None and total is None:
+            total = df.select(F.count(F.lit(1))).first()[0]
+        n = num_partitions or range_partitions(df.sparkSession, total)
+        return _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, n)
     raise ValueError("strategy must be auto, window or range")
 
 
@@ -184,7 +207,7 @@ def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_parti
     spark = df.sparkSession
     checkpoint_root(spark)
     ship_package(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions
     sort_exprs = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_by)
     keyed = df.withColumn("_gk", _group_key(group_cols))
     ordered = keyed.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)

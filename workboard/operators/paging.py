@@ -103,7 +103,7 @@ def offset_page(df: DataFrame, page: int, size: int = CLIENT_PAGE_SIZE,
     start = (p - 1) * size
     if start + size <= MAX_TOP_K_ROWS:
         return df.orderBy(*order_by).offset(start).limit(size)
-    numbered = number_within_groups(df, [], order_by, pos_col="_row", strategy="range")
+    numbered = number_within_groups(df, [], order_by, pos_col="_row", strategy="range", total_rows=n)
     return (numbered.where((F.col("_row") > start) & (F.col("_row") <= start + size))
                     .orderBy("_row").drop("_row"))
 
