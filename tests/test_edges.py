@@ -216,3 +216,13 @@ def test_counter_clamps(spark):
     rows = df.select(S.decrement_floor0("v").alias("d"), S.clamp("v", 1, 5).alias("c")).collect()
     assert [(r.d, r.c) for r in rows] == [(0, 1), (0, 1), (8, 5)]
     assert S.as_count is not None and listing.by_id(df.withColumnRenamed("v", "id"), 9).count() == 1
+
+
+def test_as_of_independent_of_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        v = spark.range(1).select(S.as_of_lit(dt.datetime(1998, 8, 2)).alias("t")).first().t
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert v == dt.datetime(1998, 8, 2)

@@ -25,7 +25,9 @@ def as_of_lit(as_of) -> Column:
         return as_of
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    # via text: a datetime literal would pass through the Python and the
+    # session time zones; a wall-clock string cast to NTZ does not
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def is_overdue(as_of, status="status", due_date="due_date") -> Column:

@@ -34,6 +34,16 @@ from workboard.session import scratch_path, ship_package
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
 
 
+def ntz_micros(c: str):
+    """Wall-clock microseconds since 1970-01-01 of a ``timestamp_ntz`` (no time zone involved)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+
+
+def micros_ntz(c: str):
+    """Inverse of ``ntz_micros``."""
+    return F.expr(f"timestampadd(MICROSECOND, {c}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
 def replay_to_files(df: DataFrame, landing: str, slices: int = 8, order_col: str = "seq") -> str:
     """Write a batch table as ``slices`` files ordered by ``order_col``: the replay source."""
     (df.repartitionByRange(slices, order_col).sortWithinPartitions(order_col)
@@ -213,8 +223,7 @@ def applied_transitions(validated_stream: DataFrame) -> DataFrame:
     """Applied status changes -> one (old, new) row per task per micro-batch."""
     applied = (validated_stream.where(F.col("outcome") == "applied")
                .select(F.col("task_id").cast("long").alias("task_id"), "seq", "status", "base_status",
-                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-                       F.unix_micros(F.col("due_date").cast("timestamp")).alias("due_us")))
+                       ntz_micros("ts").alias("ts_us"), ntz_micros("due_date").alias("due_us")))
     ship_package(validated_stream.sparkSession)
     return applied.groupBy("task_id").applyInPandasWithState(
         _status_tracker(), TRANSITION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
@@ -222,7 +231,7 @@ def applied_transitions(validated_stream: DataFrame) -> DataFrame:
 
 def transition_deltas(transitions: DataFrame, as_of) -> DataFrame:
     """Counter deltas of a set of (task_id, old_status, new_status, due_us) rows (one row)."""
-    t = transitions.withColumn("due_date", F.timestamp_micros("due_us").cast("timestamp_ntz"))
+    t = transitions.withColumn("due_date", micros_ntz("due_us"))
 
     def flag(cond):
         return F.coalesce(cond, F.lit(False)).cast("long")
