@@ -30,16 +30,18 @@ def query(name: str):
     return deco
 
 
-_WS_CACHE: dict = {}
-
-
 def ws_of(spark, sf_dir):
     """The derived workspace plans, built once per session and folder (plans are
-    immutable and lazy; building them is client-side work worth sharing)."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _WS_CACHE:
-        _WS_CACHE[key] = derive_workspace(spark, sf_dir)
-    return _WS_CACHE[key]
+    immutable and lazy; building them is client-side work worth sharing). The
+    cache lives on the session object, so a new session never sees old plans."""
+    cache = getattr(spark, "_workboard_ws", None)
+    if cache is None:
+        cache = {}
+        spark._workboard_ws = cache
+    key = sf_dir.rstrip("/")
+    if key not in cache:
+        cache[key] = derive_workspace(spark, sf_dir)
+    return cache[key]
 
 
 @query("task_stats")

@@ -73,16 +73,13 @@ def is_local_path(path: str) -> bool:
     return path.startswith("file:") or path.startswith("/") and os.path.isabs(path)
 
 
-_SHIPPED: set = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``workboard`` importable in Python workers (the ``--py-files`` route):
     zip the package once per session and ``addPyFile`` it."""
     import zipfile
 
-    key = id(spark.sparkContext)
-    if key in _SHIPPED:
+    sc = spark.sparkContext
+    if getattr(sc, "_workboard_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
@@ -96,5 +93,5 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(zpath)
-    _SHIPPED.add(key)
+    sc.addPyFile(zpath)
+    sc._workboard_shipped = True
