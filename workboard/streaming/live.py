@@ -21,6 +21,7 @@ live under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import contextlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,13 +45,50 @@ def micros_ntz(c: str):
     return F.expr(f"timestampadd(MICROSECOND, {c}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
 
 
-def replay_to_files(df: DataFrame, landing: str, slices: int = 8, order_col: str = "seq") -> str:
-    """Write a batch table as ``slices`` files ordered by ``order_col``: the replay source."""
+def replay_to_files(df: DataFrame, landing: str, slices: int | None = None, order_col: str = "seq") -> str:
+    """Write a batch table as ``slices`` files ordered by ``order_col``: the replay
+    source. By default one slice per shuffle partition (at least 8), so the
+    write is as parallel as any other shuffle of the session."""
+    if slices is None:
+        slices = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (df.repartitionByRange(slices, order_col).sortWithinPartitions(order_col)
        .write.mode("overwrite").parquet(landing))
     return landing
 
 
+REPLAY_BATCHES = 4
+ROWS_PER_STATE_PARTITION = 1_000_000
+
+
+def replay(df: DataFrame, landing: str) -> tuple[str, int, int]:
+    """Replay files, the files-per-trigger that splits them into about
+    ``REPLAY_BATCHES`` micro-batches, and a state partition count sized from
+    the replayed row count (read from the written files' footers)."""
+    spark = df.sparkSession
+    slices = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    replay_to_files(df, landing, slices)
+    rows = spark.read.schema(df.schema).parquet(landing).count()
+    state_parts = max(8, -(-rows // ROWS_PER_STATE_PARTITION))
+    return landing, max(1, -(-slices // REPLAY_BATCHES)), state_parts
+
+
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Start a stateful query with ``n`` state (shuffle) partitions. A query
+    copies the session conf when it starts and records the partition count in
+    its checkpoint, so the session setting is restored right after start."""
+    if n is None or spark is None:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def file_stream(spark: SparkSession, landing: str, schema: T.StructType, files_per_trigger: int = 2) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
 
@@ -62,12 +100,13 @@ def _per_batch_sink(path: str, transform=None):
     return sink
 
 
-def run_available(writer, checkpoint: str, query_name: str | None = None):
+def run_available(writer, checkpoint: str, query_name: str | None = None, partitions: int | None = None):
     """Process everything available, then stop (tests / replays)."""
     w = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if query_name:
         w = w.queryName(query_name)
-    q = w.start()
+    with state_partitions(SparkSession.getActiveSession(), partitions):
+        q = w.start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -105,10 +144,10 @@ def reduce_changelog(log: DataFrame) -> DataFrame:
 def run_latest_status(spark: SparkSession, changes: DataFrame, root: str | None = None) -> DataFrame:
     """Replay ``changes`` (seq, ts, task_id, status) through the J2 stream."""
     root = root or scratch_path(spark, "latest_status")
-    landing = replay_to_files(changes, f"{root}/landing")
-    stream = file_stream(spark, landing, changes.schema)
+    landing, per_trigger, parts = replay(changes, f"{root}/landing")
+    stream = file_stream(spark, landing, changes.schema, per_trigger)
     writer = latest_status(stream).writeStream.outputMode("update").foreachBatch(_per_batch_sink(f"{root}/log"))
-    run_available(writer, f"{root}/checkpoint")
+    run_available(writer, f"{root}/checkpoint", partitions=parts)
     schema = T.StructType([T.StructField("task_id", changes.schema["task_id"].dataType),
                            T.StructField("status", T.StringType()),
                            T.StructField("_last", T.StructType([T.StructField("ts", T.TimestampNTZType()),
@@ -177,9 +216,9 @@ def _validating_sink(path: str, tasks: DataFrame, users: DataFrame, rule: str):
 
 
 def run_status_validation(spark: SparkSession, reqs_landing: str, schema: T.StructType, tasks: DataFrame,
-                          users: DataFrame, root: str, rule: str = "reference") -> str:
+                          users: DataFrame, root: str, rule: str = "reference", files_per_trigger: int = 4) -> str:
     """Stream A: raw status requests -> validated rows in ``root/validated/b<batch>``."""
-    stream = file_stream(spark, reqs_landing, schema, files_per_trigger=4)
+    stream = file_stream(spark, reqs_landing, schema, files_per_trigger=files_per_trigger)
     writer = stream.writeStream.foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule))
     run_available(writer, f"{root}/checkpoint_validate")
     return f"{root}/validated"
@@ -268,12 +307,12 @@ def run_live_counters(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, us
     """Replay status requests (seq, ts, task_id, status, requester_id) through
     validation (stream A) and the per-task state (stream B); return the counters."""
     root = root or scratch_path(spark, "live_counters")
-    landing = replay_to_files(reqs, f"{root}/landing")
-    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule)
-    vstream = file_stream(spark, f"{validated}/*", _validated_schema(reqs.schema), files_per_trigger=64)
+    landing, per_trigger, parts = replay(reqs, f"{root}/landing")
+    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule, per_trigger)
+    vstream = file_stream(spark, f"{validated}/*", _validated_schema(reqs.schema), files_per_trigger=1 << 20)
     sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
     run_available(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
-                  f"{root}/checkpoint_state")
+                  f"{root}/checkpoint_state", partitions=parts)
     return live_counters_from_log(task_stats(tasks, as_of), read_sink(spark, f"{root}/deltas", DELTA_SCHEMA))
 
 
@@ -306,8 +345,8 @@ def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame,
     """Requests failing the I5 checks, from stream A's output (a replayed
     micro-batch rewrites its own folder, so rows are never duplicated)."""
     root = root or scratch_path(spark, "rejected")
-    landing = replay_to_files(reqs, f"{root}/landing")
-    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule)
+    landing, per_trigger, _ = replay(reqs, f"{root}/landing")
+    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule, per_trigger)
     v = read_sink(spark, f"{validated}/*", _validated_schema(reqs.schema))
     return v.where(F.col("outcome") != "applied").select(*REJECTED_COLS)
 
