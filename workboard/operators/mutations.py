@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from workboard.functions.status import STATUSES, as_of_lit, is_known_status
 from workboard.operators.joins import left_lookup
+from workboard.session import checkpoint_root
 from workboard.functions.text import (is_blank, looks_like_email, normalize_email,
                                       normalize_job_role, trim_to_null, ws_trim)
 
@@ -74,12 +75,23 @@ def append_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return base.unionByName(fresh.select(*base.columns))
 
 
+def decided(r: DataFrame, materialize: bool) -> DataFrame:
+    """The per-request decision table, checkpointed to the shared checkpoint
+    folder when ``materialize``: the outcomes and every changed table are
+    derived from it, so it is computed once, and a lost executor does not
+    force the whole validation to rerun. One row per request."""
+    if not materialize:
+        return r
+    checkpoint_root(r.sparkSession)
+    return r.checkpoint(eager=True)
+
+
 def _first_per_key(valid: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest seq per conflict key among the given requests."""
     return valid.groupBy(*keys).agg(F.min("seq").alias("_first_seq"))
 
 
-def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "batch") -> BatchResult:
+def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "batch", materialize: bool = True) -> BatchResult:
     """Name -> email -> job role -> duplicate email (store or earlier in batch) -> insert."""
     r = reqs.select("seq", "name", "email", "job_role").withColumns({
         "_email": normalize_email("email"), "_role": normalize_job_role("job_role")})
@@ -94,7 +106,7 @@ def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "b
     outcome = F.coalesce(
         F.col("_fail"),
         F.when(F.col("_exists") | (F.col("seq") != F.col("_first_seq")), "duplicate").otherwise("inserted"))
-    r = r.withColumn("_outcome", outcome)
+    r = decided(r.withColumn("_outcome", outcome), materialize)
     ins = r.where(F.col("_outcome") == "inserted")
     new_users = ins.select(
         new_ids(users, F.col("seq"), batch_id).alias("id"), ws_trim("name").alias("name"),
@@ -108,7 +120,7 @@ def _member_ids(users: DataFrame) -> DataFrame:
     return users.where(F.col("role") == "member").select(F.col("id").alias("user_id")).withColumn("_is_member", F.lit(True))
 
 
-def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id: str = "batch") -> BatchResult:
+def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id: str = "batch", materialize: bool = True) -> BatchResult:
     """Name -> every de-duplicated member id must be an existing 'member' -> insert
     the project, a creator link and the member links (ON CONFLICT DO NOTHING)."""
     ids = (req_members.select("seq", "user_id")
@@ -120,7 +132,8 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
     outcome = (F.when(is_blank("name"), "invalid_name")
                 .when(F.coalesce(F.col("_bad"), F.lit(0)) > 0, "invalid_member")
                 .otherwise("inserted"))
-    r = r.withColumn("_outcome", outcome).withColumn("_new_id", new_ids(ws.projects, F.col("seq"), batch_id))
+    r = decided(r.withColumn("_outcome", outcome).withColumn("_new_id", new_ids(ws.projects, F.col("seq"), batch_id)),
+                materialize)
     ins = r.where(F.col("_outcome") == "inserted")
     new_projects = ins.select(
         F.col("_new_id").alias("id"), ws_trim("name").alias("name"),
@@ -135,7 +148,7 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
                         "project_members": pm}, _outcomes(r, F.col("_outcome")))
 
 
-def add_project_members(ws, reqs: DataFrame) -> BatchResult:
+def add_project_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult:
     """User id -> existing 'member' -> project exists (R8) -> not yet linked
     (store or earlier in batch) -> insert."""
     r = left_lookup(reqs.select("seq", "project_id", "user_id"), _member_ids(ws.users), "user_id")
@@ -151,13 +164,13 @@ def add_project_members(ws, reqs: DataFrame) -> BatchResult:
     r = left_lookup(r, per_pair, ["project_id", "user_id"])
     outcome = F.coalesce(F.col("_fail"), F.when(
         F.col("_linked") | (F.col("seq") != F.col("_first_seq")), "already_member").otherwise("inserted"))
-    r = r.withColumn("_outcome", outcome)
+    r = decided(r.withColumn("_outcome", outcome), materialize)
     new_links = r.where(F.col("_outcome") == "inserted").select("project_id", "user_id")
     return BatchResult({"project_members": ws.project_members.unionByName(new_links)},
                        _outcomes(r, F.col("_outcome")))
 
 
-def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch") -> BatchResult:
+def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch", materialize: bool = True) -> BatchResult:
     """I4: title -> assignee given -> project exists -> assignee is a 'member'
     linked to that project -> insert with status 'todo'."""
     cols = reqs.columns
@@ -173,7 +186,7 @@ def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch") -> BatchRe
                 .when(F.col("_project").isNull(), "project_not_found")
                 .when(F.col("_linked").isNull(), "not_project_member")
                 .otherwise("inserted"))
-    r = r.withColumn("_outcome", outcome)
+    r = decided(r.withColumn("_outcome", outcome), materialize)
     ins = r.where(F.col("_outcome") == "inserted")
     new_tasks = ins.select(
         new_ids(ws.tasks, F.col("seq"), batch_id).alias("id"),
@@ -212,9 +225,9 @@ def latest_applied(changes: DataFrame) -> DataFrame:
 
 
 def apply_status_changes(tasks: DataFrame, users: DataFrame, reqs: DataFrame,
-                         rule: str = "reference") -> BatchResult:
+                         rule: str = "reference", materialize: bool = True) -> BatchResult:
     """Any transition between the three statuses is allowed once checks pass."""
-    checked = status_change_outcomes(tasks, users, reqs, rule)
+    checked = decided(status_change_outcomes(tasks, users, reqs, rule), materialize)
     last = latest_applied(checked)
     new_tasks = (tasks.join(last.withColumnRenamed("task_id", "id"), "id", "left")
                       .withColumn("status", F.coalesce(F.col("new_status"), F.col("status")))
@@ -222,7 +235,7 @@ def apply_status_changes(tasks: DataFrame, users: DataFrame, reqs: DataFrame,
     return BatchResult({"tasks": new_tasks}, checked.select(*OUTCOME_COLS))
 
 
-def delete_members(ws, reqs: DataFrame) -> BatchResult:
+def delete_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult:
     """User exists -> role is 'member' -> delete the user, their tasks and
     links, and set ``projects.created_by`` to NULL. A second request for the
     same user finds it gone (not_found)."""
@@ -234,7 +247,7 @@ def delete_members(ws, reqs: DataFrame) -> BatchResult:
                 .when(~F.col("_role").eqNullSafe("member"), "not_member")
                 .when(F.col("seq") == F.col("_first_seq"), "deleted")
                 .otherwise("not_found"))
-    r = r.withColumn("_outcome", outcome)
+    r = decided(r.withColumn("_outcome", outcome), materialize)
     gone = r.where(F.col("_outcome") == "deleted").select("user_id")
     users = ws.users.join(gone.withColumnRenamed("user_id", "id"), "id", "left_anti")
     tasks = ws.tasks.join(gone.withColumnRenamed("user_id", "assigned_to"), "assigned_to", "left_anti")
@@ -248,14 +261,14 @@ def delete_members(ws, reqs: DataFrame) -> BatchResult:
                        _outcomes(r, F.col("_outcome")))
 
 
-def delete_projects(ws, reqs: DataFrame) -> BatchResult:
+def delete_projects(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult:
     """Project exists -> delete it and cascade to links and tasks."""
     p = ws.projects.select(F.col("id").alias("project_id")).withColumn("_exists", F.lit(True))
     r = left_lookup(reqs.select("seq", "project_id"), p, "project_id")
     first = _first_per_key(r.where(F.col("_exists")), ["project_id"])
     r = left_lookup(r, first, "project_id")
     outcome = F.when(F.col("_exists") & (F.col("seq") == F.col("_first_seq")), "deleted").otherwise("not_found")
-    r = r.withColumn("_outcome", outcome)
+    r = decided(r.withColumn("_outcome", outcome), materialize)
     gone = r.where(F.col("_outcome") == "deleted").select("project_id")
     return BatchResult({
         "projects": ws.projects.join(gone.withColumnRenamed("project_id", "id"), "id", "left_anti").select(*ws.projects.columns),
