@@ -1,7 +1,5 @@
 """Small helpers: id lists, member structs, key casts, overview bundle, JSON docs."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001

@@ -1,12 +1,10 @@
 """Properties over the driver data (FIXTURES.md facts, batch jobs, numbering, snapshots)."""
 
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001, SF01
-from workboard.operators import audit, board, listing, mutations, paging, rollups
+from workboard.operators import audit, listing, mutations, paging, rollups
 from workboard.operators.ordered import number_within_groups
 from workboard.plans import params as P
 from workboard.sources import requests as R

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from workboard.operators import listing, paging, rollups
 from workboard.sources.workspace import workspace_from_rows

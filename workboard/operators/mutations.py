@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.functions.status import STATUSES, as_of_lit, is_known_status
+from workboard.functions.status import as_of_lit, is_known_status
 from workboard.operators.joins import left_lookup
 from workboard.session import checkpoint_root
 from workboard.functions.text import (is_blank, looks_like_email, normalize_email,
@@ -91,7 +91,8 @@ def _first_per_key(valid: DataFrame, keys: list[str]) -> DataFrame:
     return valid.groupBy(*keys).agg(F.min("seq").alias("_first_seq"))
 
 
-def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "batch", materialize: bool = True) -> BatchResult:
+def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "batch",
+                    materialize: bool = True) -> BatchResult:
     """Name -> email -> job role -> duplicate email (store or earlier in batch) -> insert."""
     r = reqs.select("seq", "name", "email", "job_role").withColumns({
         "_email": normalize_email("email"), "_role": normalize_job_role("job_role")})
@@ -120,7 +121,8 @@ def _member_ids(users: DataFrame) -> DataFrame:
     return users.where(F.col("role") == "member").select(F.col("id").alias("user_id")).withColumn("_is_member", F.lit(True))
 
 
-def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id: str = "batch", materialize: bool = True) -> BatchResult:
+def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id: str = "batch",
+                    materialize: bool = True) -> BatchResult:
     """Name -> every de-duplicated member id must be an existing 'member' -> insert
     the project, a creator link and the member links (ON CONFLICT DO NOTHING)."""
     ids = (req_members.select("seq", "user_id")
@@ -170,7 +172,8 @@ def add_project_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchR
                        _outcomes(r, F.col("_outcome")))
 
 
-def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch", materialize: bool = True) -> BatchResult:
+def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch",
+                 materialize: bool = True) -> BatchResult:
     """I4: title -> assignee given -> project exists -> assignee is a 'member'
     linked to that project -> insert with status 'todo'."""
     cols = reqs.columns
@@ -254,7 +257,9 @@ def delete_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult
     pm = ws.project_members.join(gone, "user_id", "left_anti")
     flagged = gone.select(F.col("user_id").alias("created_by"), F.lit(True).alias("_gone"))
     projects = (left_lookup(ws.projects, flagged, "created_by")
-                .withColumn("created_by", F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("created_by")).cast(ws.projects.schema["created_by"].dataType))
+                .withColumn("created_by", F.when(F.col("_gone"), F.lit(None))
+                            .otherwise(F.col("created_by"))
+                            .cast(ws.projects.schema["created_by"].dataType))
                 .select(*ws.projects.columns))
     return BatchResult({"users": users.select(*ws.users.columns), "tasks": tasks.select(*ws.tasks.columns),
                         "project_members": pm.select(*ws.project_members.columns), "projects": projects},
@@ -288,5 +293,3 @@ def apply_result(ws, result: BatchResult):
     """The workspace after a batch job."""
     return ws.replace(**result.tables)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["STATUSES"]

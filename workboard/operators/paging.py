@@ -7,8 +7,6 @@ those reach the final merge, so a page costs one scan and no shuffle of data.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -41,7 +41,8 @@ def scoped_task_stats(tasks: DataFrame, as_of, viewer_id, viewer_role) -> DataFr
 
 def task_stats_by_member(tasks: DataFrame, users: DataFrame, as_of) -> DataFrame:
     """D2 set form: counters for every user as assignee, zeros kept."""
-    per = tasks.where(F.col("assigned_to").isNotNull()).groupBy(F.col("assigned_to").alias("user_id")).agg(*stats_columns(as_of))
+    per = (tasks.where(F.col("assigned_to").isNotNull())
+                .groupBy(F.col("assigned_to").alias("user_id")).agg(*stats_columns(as_of)))
     u = users.select(F.col("id").alias("user_id"))
     zero = F.lit(0)
     return (u.join(per, "user_id", "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from workboard.functions.text import JOB_ROLE_LOOKUP, JS_TRIM_PATTERN
 from workboard.plans.params import (AS_OF_SQL, CURSOR, CURSOR_SQL, EMAIL, OFFSET_PAGE, PAGE_SIZE,
                                     PROJECT, PROJECT_CURSOR, PROJECT_CURSOR_SQL, PROJECT_LIMIT,
-                                    TASK_ID, TASK_LIMIT, VIEWER_ADMIN, VIEWER_MEMBER)
+                                    TASK_ID, TASK_LIMIT, VIEWER_MEMBER)
 
 
 def js_trim(x: str) -> str:
