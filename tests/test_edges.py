@@ -226,3 +226,14 @@ def test_as_of_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert v == dt.datetime(1998, 8, 2)
+
+
+def test_two_spellings_of_one_id(spark, roles_ws):
+    from workboard.sources.workspace import cast_keys
+    ws = cast_keys(roles_ws, "string")
+    reqs = spark.createDataFrame([(1, "P2", None, "1")], "seq long, name string, description string, creator_id string")
+    members = spark.createDataFrame([(1, " 5"), (1, "5"), (1, ""), (1, None)], "seq long, user_id string")
+    res = mutations.create_projects(ws, reqs, members, AS_OF)
+    assert [r.outcome for r in res.outcomes.collect()] == ["inserted"]
+    new = res.tables["project_members"].join(ws.project_members, ["project_id", "user_id"], "left_anti")
+    assert sorted(r.user_id for r in new.collect()) == ["1", "5"]

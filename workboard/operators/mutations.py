@@ -125,7 +125,10 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
                     materialize: bool = True) -> BatchResult:
     """Name -> every de-duplicated member id must be an existing 'member' -> insert
     the project, a creator link and the member links (ON CONFLICT DO NOTHING)."""
-    ids = (req_members.select("seq", "user_id")
+    uid = F.col("user_id")
+    if isinstance(req_members.schema["user_id"].dataType, T.StringType):
+        uid = F.lower(ws_trim(uid))  # R12: two spellings of one id are one member
+    ids = (req_members.select("seq", uid.alias("user_id"))
            .where(F.col("user_id").isNotNull() & (F.col("user_id").cast("string") != ""))
            .dropDuplicates(["seq", "user_id"]))
     checked = left_lookup(ids, _member_ids(ws.users), "user_id")
