@@ -237,3 +237,11 @@ def test_two_spellings_of_one_id(spark, roles_ws):
     assert [r.outcome for r in res.outcomes.collect()] == ["inserted"]
     new = res.tables["project_members"].join(ws.project_members, ["project_id", "user_id"], "left_anti")
     assert sorted(r.user_id for r in new.collect()) == ["1", "5"]
+
+
+@pytest.mark.parametrize("limit", [0, -1, "20", 2.5, True])
+def test_limit_validation(roles_ws, limit):
+    with pytest.raises(ValueError):
+        paging.task_page(roles_ws, 10, 1, "admin", limit=limit)
+    with pytest.raises(ValueError):
+        paging.project_page(roles_ws, 1, "admin", limit=limit)
