@@ -220,3 +220,21 @@ def test_snapshot_layout_prunes(spark):
     ranges = [(pq.read_table(f, columns=["project_id"]).column(0).to_pylist()) for f in files]
     lows = [min(r) for r in ranges if r]
     assert lows == sorted(lows)
+
+
+def test_stream_lookup_pushes_keys_into_snapshot_scan(spark):
+    import contextlib
+    import io
+    from workboard.streaming import live
+    ws = derive_workspace(spark, SF001)
+    root = scratch_path(spark, "snapshot-lookup")
+    write_snapshot(ws, root, partitions=2)
+    snap = read_snapshot(spark, root)
+    batch = spark.createDataFrame([(1, None, 7, "todo", 52), (2, None, 8, "done", 50)],
+                                  "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
+    out = live.validate_status_batch(batch, snap.tasks, snap.users)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    assert "In(id, [7,8])" in buf.getvalue()
+    assert {r.seq: r.outcome for r in out.collect()}[2] == "invalid_status"

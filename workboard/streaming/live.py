@@ -168,6 +168,10 @@ def run_latest_status(spark: SparkSession, changes: DataFrame, root: str | None
 # ``foreachBatch`` turns into counter deltas.
 
 MAX_BROADCAST_KEYS = 1_000_000
+# Up to this many distinct keys per micro-batch are also pushed into the scan
+# as ``key IN (...)``: on a snapshot, parquet min/max statistics and the bloom
+# filters written by ``write_snapshot`` then skip row groups without those keys.
+MAX_PUSHED_KEYS = 1_000
 
 VALIDATED_COLS = ["seq", "ts", "task_id", "status", "requester_id", "outcome", "http_status",
                   "base_status", "due_date"]
@@ -178,8 +182,11 @@ def _bounded_lookup(table: DataFrame, keys: DataFrame, key: str, n_keys: int) ->
 
     The key set is counted first; below ``MAX_BROADCAST_KEYS`` both the key set
     and the fetched rows (at most one per key for a primary key) are broadcast,
-    above it Spark/AQE plan ordinary joins."""
+    above it Spark/AQE plan ordinary joins. Below ``MAX_PUSHED_KEYS`` the keys
+    are also pushed into the scan as a filter."""
     small = n_keys <= MAX_BROADCAST_KEYS
+    if 0 < n_keys <= MAX_PUSHED_KEYS:
+        table = table.where(F.col(key).isin([r[0] for r in keys.collect()]))
     found = table.join(F.broadcast(keys) if small else keys, key, "left_semi")
     return F.broadcast(found) if small else found
 
