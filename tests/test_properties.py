@@ -238,3 +238,12 @@ def test_stream_lookup_pushes_keys_into_snapshot_scan(spark):
         out.explain()
     assert "In(id, [7,8])" in buf.getvalue()
     assert {r.seq: r.outcome for r in out.collect()}[2] == "invalid_status"
+
+
+def test_latest_status_fixture_counts(spark):
+    from workboard.streaming import live
+    latest = live.run_latest_status(spark, R.status_events(spark, SF01))
+    counts = {r.status: r["count"] for r in latest.groupBy("status").count().collect()}
+    assert counts == {"completed": 51, "in_progress": 44, "todo": 55}
+    batch = live.reduce_changelog(live.latest_status(R.status_events(spark, SF01)))
+    assert latest.exceptAll(batch).count() == 0 and batch.count() == 150
