@@ -245,3 +245,17 @@ def test_limit_validation(roles_ws, limit):
         paging.task_page(roles_ws, 10, 1, "admin", limit=limit)
     with pytest.raises(ValueError):
         paging.project_page(roles_ws, 1, "admin", limit=limit)
+
+
+def test_member_counters_floor_at_zero(spark, roles_ws):
+    # user 3 owns task 101: status NULL, due in the past -> SQL overdue 0, browser overdue yes
+    changes = spark.createDataFrame([(1, dt.datetime(2024, 5, 1), 101, "completed", 3),
+                                     (2, dt.datetime(2024, 5, 2), 101, "todo", 3),
+                                     (3, dt.datetime(2024, 5, 3), 101, "completed", 3)],
+                                    "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
+    out = {r.user_id: r for r in live.member_counters_literal(changes, roles_ws.tasks, AS_OF).collect()}
+    r = out[3]
+    # completed: 0 -> 1 -> 0 -> 1; overdue: 0, -1 floored to 0, then 0 (not overdue after reopen? todo is overdue: -1 -> floor 0)
+    assert (r.total_tasks, r.completed_tasks, r.in_progress_tasks, r.overdue_tasks) == (1, 1, 0, 0)
+    raw = live.status_transitions(changes, roles_ws.tasks, AS_OF).agg(F.sum("d_overdue")).first()[0]
+    assert raw == -2  # without the floor the counter would read -2

@@ -17,15 +17,17 @@ rows_strategy = st.lists(
 @given(rows=rows_strategy, parts=st.integers(1, 9))
 def test_range_equals_window(spark, rows, parts):
     data = [(i, g, s, o) for i, (g, s, o) in enumerate(rows)]
-    df = spark.createDataFrame(data, "id long, g int, s string, o int")
+    df = spark.createDataFrame(data, "id long, g int, s string, o int") \
+        .withColumn("v", F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 7 - 3))
     order = [F.col("o").desc(), F.col("id").asc()]
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        a = number_within_groups(df, ["g", "s"], order, size_col="n", lag_cols=("o", "s"), strategy="window")
-        b = number_within_groups(df, ["g", "s"], order, size_col="n", lag_cols=("o", "s"), strategy="range",
-                                 num_partitions=parts)
-        cols = ["id", "pos", "n", "prev_o", "prev_s"]
+        a = number_within_groups(df, ["g", "s"], order, size_col="n", lag_cols=("o", "s"),
+                                  sum_cols=("o", "v"), strategy="window")
+        b = number_within_groups(df, ["g", "s"], order, size_col="n", lag_cols=("o", "s"),
+                                  sum_cols=("o", "v"), strategy="range", num_partitions=parts)
+        cols = ["id", "pos", "n", "prev_o", "prev_s", "cum_o", "cum_v"]
         got = sorted(tuple(r) for r in b.select(*cols).collect())
         want = sorted(tuple(r) for r in a.select(*cols).collect())
     finally:

@@ -247,3 +247,12 @@ def test_latest_status_fixture_counts(spark):
     assert counts == {"completed": 51, "in_progress": 44, "todo": 55}
     batch = live.reduce_changelog(live.latest_status(R.status_events(spark, SF01)))
     assert latest.exceptAll(batch).count() == 0 and batch.count() == 150
+
+
+def test_member_counters_range_equals_window(spark, ws01):
+    from workboard.streaming import live
+    checked = mutations.status_change_outcomes(ws01.tasks, ws01.users, R.status_reqs(spark, SF01, ws01.tasks))
+    applied = checked.where(F.col("outcome") == "applied")
+    a = live.member_counters_literal(applied, ws01.tasks, P.AS_OF, strategy="window")
+    b = live.member_counters_literal(applied, ws01.tasks, P.AS_OF, strategy="range")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 100

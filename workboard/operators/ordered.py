@@ -59,11 +59,14 @@ def range_partitions(spark, total_rows: int | None) -> int:
 
 def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Column], *,
                          pos_col: str = "pos", size_col: str | None = None,
-                         lag_cols: tuple[str, ...] = (), strategy: str = "auto",
+                         lag_cols: tuple[str, ...] = (), sum_cols: tuple[str, ...] = (),
+                         strategy: str = "auto",
                          max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
                          num_partitions: int | None = None, total_rows: int | None = None) -> DataFrame:
     """Add ``pos_col`` (1-based row number in ``order_by`` order within the group),
-    optionally ``size_col`` (rows in the group) and ``prev_<c>`` for ``lag_cols``.
+    optionally ``size_col`` (rows in the group), ``prev_<c>`` for ``lag_cols``
+    and ``cum_<c>`` (running sum up to and including the row, NULL as 0) for
+    the integral ``sum_cols``.
 
     ``order_by`` should be a total order inside a group (end with a unique key)
     so the numbering is deterministic.
@@ -73,20 +76,23 @@ def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Co
         biggest, total = group_sizes(df, group_cols)
         strategy = "window" if biggest <= max_group_rows else "range"
     if strategy == "window":
-        return _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols)
+        return _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols, sum_cols)
     if strategy == "range":
         if num_partitions is None and total is None:
             total = df.select(F.count(F.lit(1))).first()[0]
         n = num_partitions or range_partitions(df.sparkSession, total)
-        return _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, n)
+        return _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, n, sum_cols)
     raise ValueError("strategy must be auto, window or range")
 
 
-def _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols):
+def _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols, sum_cols=()):
     w = Window.partitionBy(*group_cols).orderBy(*order_by)
     out = df.withColumn(pos_col, F.row_number().over(w).cast("long"))
     for c in lag_cols:
         out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for c in sum_cols:
+        out = out.withColumn(f"cum_{c}", F.sum(F.coalesce(F.col(c), F.lit(0))).over(running).cast("long"))
     if size_col:
         out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("long"))
     return out
@@ -99,12 +105,17 @@ def _group_key(group_cols: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in group_cols]))
 
 
-def _partition_stats(lag_cols):
-    """Per partition: the leading run (first group, its row count), the trailing
-    run (last group, its row count) and the last row's ``lag_cols`` values."""
+def _partition_stats(lag_cols, sum_cols=()):
+    """Per partition: the leading run (first group, its row count and sums), the
+    trailing run (last group, its row count and sums) and the last row's
+    ``lag_cols`` values."""
+    k = len(sum_cols)
+
     def fn(batches):
         pid = first_gk = last_gk = None
         first_n = last_n = 0
+        first_s = np.zeros(k, dtype=np.int64)
+        last_s = np.zeros(k, dtype=np.int64)
         first_open = False
         last_vals = None
         for b in batches:
@@ -115,53 +126,67 @@ def _partition_stats(lag_cols):
             starts = np.flatnonzero(np.r_[True, gk[1:] != gk[:-1]])
             lead = int(starts[1]) if len(starts) > 1 else len(gk)
             single = len(starts) == 1
+            vals = [pc.fill_null(b.column(2 + len(lag_cols) + j), 0).to_numpy().astype(np.int64) for j in range(k)]
+            lead_s = np.array([v[:lead].sum() for v in vals], dtype=np.int64)
+            tail_s = np.array([v[int(starts[-1]):].sum() for v in vals], dtype=np.int64)
             if first_gk is None:
-                first_gk, first_n, first_open = gk[0], lead, single
+                first_gk, first_n, first_open, first_s = gk[0], lead, single, lead_s
             elif first_open:
                 if gk[0] == first_gk:
                     first_n += lead
+                    first_s = first_s + lead_s
                     first_open = single
                 else:
                     first_open = False
             if single and last_gk is not None and gk[0] == last_gk:
                 last_n += len(gk)
+                last_s = last_s + lead_s
             else:
-                last_gk, last_n = gk[starts[-1]], len(gk) - int(starts[-1])
+                last_gk, last_n, last_s = gk[starts[-1]], len(gk) - int(starts[-1]), tail_s
             last_vals = [b.column(2 + i).slice(b.num_rows - 1, 1) for i in range(len(lag_cols))]
         if pid is None:
             return
         arrays = [pa.array([pid], pa.int32()), pa.array([first_gk], pa.string()),
                   pa.array([first_n], pa.int64()), pa.array([last_gk], pa.string()),
                   pa.array([last_n], pa.int64())] + last_vals
-        names = ["pid", "first_gk", "first_n", "last_gk", "last_n"] + [f"last_{c}" for c in lag_cols]
+        arrays += [pa.array([int(first_s[j])], pa.int64()) for j in range(k)]
+        arrays += [pa.array([int(last_s[j])], pa.int64()) for j in range(k)]
+        names = (["pid", "first_gk", "first_n", "last_gk", "last_n"] + [f"last_{c}" for c in lag_cols]
+                 + [f"first_s_{c}" for c in sum_cols] + [f"last_s_{c}" for c in sum_cols])
         yield pa.RecordBatch.from_arrays(arrays, names=names)
     return fn
 
 
-def _boundary_plan(stats: list, lag_cols):
-    """From per-partition boundary rows: offsets, group totals, carried lag values."""
+def _boundary_plan(stats: list, lag_cols, sum_cols=()):
+    """From per-partition boundary rows: row offsets, group totals, carried lag
+    values and carried sums (for the first group of each partition)."""
     stats = sorted(stats, key=lambda r: r["pid"])
     per_part = []
     for r in stats:
-        d = {r["first_gk"]: r["first_n"]}
-        d[r["last_gk"]] = r["last_n"] if r["last_gk"] != r["first_gk"] else r["first_n"]
+        first = (r["first_n"], [r[f"first_s_{c}"] for c in sum_cols])
+        d = {r["first_gk"]: first}
+        d[r["last_gk"]] = (r["last_n"], [r[f"last_s_{c}"] for c in sum_cols]) if r["last_gk"] != r["first_gk"] else first
         per_part.append((r["pid"], d))
     totals: dict = defaultdict(int)
+    sums: dict = defaultdict(lambda: [0] * len(sum_cols))
     offsets = {}
+    sum_offsets = {}
     for pid, d in per_part:
-        for gk, n in d.items():
+        for gk, (n, s) in d.items():
             offsets[(pid, gk)] = totals[gk]
+            sum_offsets[(pid, gk)] = list(sums[gk])
             totals[gk] += n
+            sums[gk] = [a + b for a, b in zip(sums[gk], s)]
     carry = {}
     prev = None
     for r in stats:
         if prev is not None and prev["last_gk"] == r["first_gk"]:
             carry[r["pid"]] = [prev[f"last_{c}"] for c in lag_cols]
         prev = r
-    return offsets, dict(totals), carry
+    return offsets, dict(totals), carry, sum_offsets
 
 
-def _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names):
+def _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names, sum_cols=(), sum_offsets=None):
     def fn(batches):
         bs = [b for b in batches if b.num_rows]
         if not bs:
@@ -186,6 +211,12 @@ def _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names):
                 if key in totals:
                     sizes[gid == g] = totals[key]
             cols[size_col] = pa.array(sizes)
+        for j, c in enumerate(sum_cols):
+            v = pc.fill_null(tbl.column(c).combine_chunks(), 0).to_numpy().astype(np.int64)
+            cs = np.cumsum(v)
+            local = cs - (cs[start_idx] - v[start_idx])[gid]
+            local[first] += sum_offsets.get((pid, gk[0]), [0] * len(sum_cols))[j]
+            cols[f"cum_{c}"] = pa.array(local)
         carried = carry.get(pid)
         for i, c in enumerate(lag_cols):
             arr = tbl.column(c).combine_chunks()
@@ -203,7 +234,7 @@ def _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names):
     return fn
 
 
-def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_partitions):
+def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_partitions, sum_cols=()):
     spark = df.sparkSession
     checkpoint_root(spark)
     ship_package(spark)
@@ -218,10 +249,12 @@ def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_parti
         [T.StructField("pid", T.IntegerType()), T.StructField("first_gk", T.StringType()),
          T.StructField("first_n", T.LongType()), T.StructField("last_gk", T.StringType()),
          T.StructField("last_n", T.LongType())]
-        + [T.StructField(f"last_{c}", types[c]) for c in lag_cols])
-    stats = (ordered.select("_pid", "_gk", *lag_cols)
-                    .mapInArrow(_partition_stats(lag_cols), stat_schema).collect())
-    offsets, totals, carry = _boundary_plan([r.asDict() for r in stats], lag_cols)
+        + [T.StructField(f"last_{c}", types[c]) for c in lag_cols]
+        + [T.StructField(f"first_s_{c}", T.LongType()) for c in sum_cols]
+        + [T.StructField(f"last_s_{c}", T.LongType()) for c in sum_cols])
+    stats = (ordered.select("_pid", "_gk", *lag_cols, *sum_cols)
+                    .mapInArrow(_partition_stats(lag_cols, sum_cols), stat_schema).collect())
+    offsets, totals, carry, sum_offsets = _boundary_plan([r.asDict() for r in stats], lag_cols, sum_cols)
 
     out_fields = [f for f in df.schema.fields]
     out_names = [pos_col]
@@ -232,6 +265,9 @@ def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_parti
     for c in lag_cols:
         out_names.append(f"prev_{c}")
         out_fields.append(T.StructField(f"prev_{c}", types[c]))
-    fn = _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names)
+    for c in sum_cols:
+        out_names.append(f"cum_{c}")
+        out_fields.append(T.StructField(f"cum_{c}", T.LongType()))
+    fn = _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names, sum_cols, sum_offsets)
     inp = ordered.select(*df.columns, "_gk", "_pid")
     return inp.mapInArrow(fn, T.StructType(out_fields))

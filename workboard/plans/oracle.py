@@ -415,6 +415,40 @@ FROM (SELECT c.seq, c.task_id, c.status, t.due_date,
              CASE WHEN row_number() OVER (PARTITION BY c.task_id ORDER BY c.ts, c.seq) = 1 THEN t.status
                   ELSE lag(c.status) OVER (PARTITION BY c.task_id ORDER BY c.ts, c.seq) END AS prev_status
       FROM status_checked c JOIN tasks t ON t.id = c.task_id WHERE c.outcome = 'applied') x""", requests=True),
+    "member_counters_literal": _with(f"""
+SELECT a.user_id, CAST(b.total_tasks AS INT) AS total_tasks,
+       CAST(b.completed_tasks + a.s_c - LEAST(0, b.completed_tasks + a.m_c) AS INT) AS completed_tasks,
+       CAST(b.in_progress_tasks + a.s_p - LEAST(0, b.in_progress_tasks + a.m_p) AS INT) AS in_progress_tasks,
+       CAST(b.overdue_tasks + a.s_o - LEAST(0, b.overdue_tasks + a.m_o) AS INT) AS overdue_tasks
+FROM (SELECT user_id, sum(d_c) AS s_c, min(cum_c) AS m_c, sum(d_p) AS s_p, min(cum_p) AS m_p,
+             sum(d_o) AS s_o, min(cum_o) AS m_o
+      FROM (SELECT user_id, d_c, d_p, d_o,
+                   sum(d_c) OVER w AS cum_c, sum(d_p) OVER w AS cum_p, sum(d_o) OVER w AS cum_o
+            FROM (SELECT t.assigned_to AS user_id, x.ts, x.seq,
+                         CASE WHEN x.prev_status IS NOT DISTINCT FROM x.status THEN 0
+                              ELSE (CASE WHEN x.status = 'completed' THEN 1 ELSE 0 END)
+                                 - (CASE WHEN x.prev_status = 'completed' THEN 1 ELSE 0 END) END AS d_c,
+                         CASE WHEN x.prev_status IS NOT DISTINCT FROM x.status THEN 0
+                              ELSE (CASE WHEN x.status = 'in_progress' THEN 1 ELSE 0 END)
+                                 - (CASE WHEN x.prev_status = 'in_progress' THEN 1 ELSE 0 END) END AS d_p,
+                         CASE WHEN x.prev_status IS NOT DISTINCT FROM x.status THEN 0
+                              WHEN (x.prev_status IS DISTINCT FROM 'completed') AND t.due_date IS NOT NULL
+                                   AND t.due_date < {AS_OF_SQL} AND x.status = 'completed' THEN -1
+                              ELSE 0 END AS d_o
+                  FROM (SELECT c.seq, c.ts, c.task_id, c.status,
+                               CASE WHEN row_number() OVER (PARTITION BY c.task_id ORDER BY c.ts, c.seq) = 1
+                                    THEN (SELECT status FROM tasks WHERE id = c.task_id)
+                                    ELSE lag(c.status) OVER (PARTITION BY c.task_id ORDER BY c.ts, c.seq) END AS prev_status
+                        FROM status_checked c WHERE c.outcome = 'applied') x
+                  JOIN tasks t ON t.id = x.task_id
+                  WHERE t.assigned_to IS NOT NULL) y
+            WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) z
+      GROUP BY user_id) a
+JOIN (SELECT assigned_to AS user_id, count(*) AS total_tasks,
+             count(*) FILTER (WHERE status = 'completed') AS completed_tasks,
+             count(*) FILTER (WHERE status = 'in_progress') AS in_progress_tasks,
+             count(*) FILTER (WHERE status <> 'completed' AND due_date IS NOT NULL AND due_date < {AS_OF_SQL}) AS overdue_tasks
+      FROM tasks WHERE assigned_to IS NOT NULL GROUP BY assigned_to) b ON a.user_id = b.user_id""", requests=True),
     "latest_status": _with("""
 SELECT task_id, status FROM (
   SELECT user_id AS task_id,

@@ -332,6 +332,12 @@ def q_status_transitions(spark, d):
     return live.status_transitions(checked.where(F.col("outcome") == "applied"), ws.tasks, P.AS_OF)
 
 
+@query("member_counters_literal")
+def q_member_counters_literal(spark, d):
+    ws, checked = _checked_changes(spark, d)
+    return live.member_counters_literal(checked.where(F.col("outcome") == "applied"), ws.tasks, P.AS_OF)
+
+
 @query("latest_status")
 def q_latest_status(spark, d):
     return live.run_latest_status(spark, R.status_events(spark, d))

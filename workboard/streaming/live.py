@@ -29,7 +29,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from workboard.functions.status import is_overdue, is_overdue_browser
 from workboard.operators.ordered import number_within_groups
-from workboard.operators.rollups import task_stats
+from workboard.operators.rollups import stats_columns, task_stats
 from workboard.session import scratch_path, ship_package
 
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
@@ -366,14 +366,7 @@ def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame,
 
 # ---- J3 -------------------------------------------------------------------
 
-def status_transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
-    """The browser's counter arithmetic per applied change, in (ts, seq) order per task.
-
-    ``prev_status`` is the task's status before the change (the stored status
-    for its first change). Same status -> no change; leaving / entering
-    in_progress or completed -> -1 / +1; completing an overdue task (browser
-    rule) -> overdue -1; reopening never adds overdue back (R14).
-    """
+def _transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
     base = tasks.select(F.col("id").alias("task_id"), F.col("status").alias("_base"), "due_date")
     c = changes.select("seq", "ts", "task_id", "status")
     numbered = number_within_groups(c, ["task_id"], [F.col("ts").asc(), F.col("seq").asc()],
@@ -389,8 +382,51 @@ def status_transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: st
 
     overdue_before = is_overdue_browser(as_of, "prev_status", "due_date")
     return j.select(
-        "seq", "task_id", "prev_status", "status",
+        "seq", "ts", "task_id", "prev_status", "status",
         d(F.col("prev_status") == "in_progress", F.col("status") == "in_progress").alias("d_in_progress"),
         d(F.col("prev_status") == "completed", F.col("status") == "completed").alias("d_completed"),
         F.when(same, F.lit(0)).when(overdue_before & (F.col("status") == "completed"), F.lit(-1))
          .otherwise(F.lit(0)).alias("d_overdue"))
+
+
+def status_transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
+    """The browser's counter arithmetic per applied change, in (ts, seq) order per task.
+
+    ``prev_status`` is the task's status before the change (the stored status
+    for its first change). Same status -> no change; leaving / entering
+    in_progress or completed -> -1 / +1; completing an overdue task (browser
+    rule) -> overdue -1; reopening never adds overdue back (R14).
+    """
+    return _transitions(changes, tasks, as_of, strategy).drop("ts")
+
+
+COUNTER_DELTAS = {"completed_tasks": "d_completed", "in_progress_tasks": "d_in_progress",
+                  "overdue_tasks": "d_overdue"}
+
+
+def member_counters_literal(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
+    """J3 applied: the counters each assignee's dashboard ends with after replaying
+    the changes of their tasks one by one with the browser's arithmetic, where
+    every decrement floors at 0 (``Math.max(0, x - 1)``).
+
+    A counter that starts at ``b`` and takes deltas ``x1..xn`` with a floor at 0
+    ends at ``b + S - min(0, b + min_k S_k)`` (``S_k`` the prefix sums), so only
+    the running sums per assignee are needed: computed with the skew-safe
+    numbering (a hot assignee is split across partitions), then folded by a
+    partial aggregation. ``total_tasks`` is untouched by status changes.
+    """
+    owner = tasks.select(F.col("id").alias("task_id"), F.col("assigned_to").alias("user_id"))
+    t = _transitions(changes, tasks, as_of, strategy).join(owner, "task_id").where(F.col("user_id").isNotNull())
+    deltas = tuple(COUNTER_DELTAS.values())
+    run = number_within_groups(t, ["user_id"], [F.col("ts").asc(), F.col("seq").asc()],
+                               pos_col="_pos", sum_cols=deltas, strategy=strategy)
+    folded = run.groupBy("user_id").agg(
+        *[F.sum(c).alias(f"s_{c}") for c in deltas], *[F.min(f"cum_{c}").alias(f"m_{c}") for c in deltas])
+    base = (tasks.where(F.col("assigned_to").isNotNull())
+                 .groupBy(F.col("assigned_to").alias("user_id")).agg(*stats_columns(as_of)))
+    j = folded.join(base, "user_id")
+    out = [F.col("user_id"), F.col("total_tasks")]
+    for counter, dcol in COUNTER_DELTAS.items():
+        b = F.col(counter)
+        out.append((b + F.col(f"s_{dcol}") - F.least(F.lit(0), b + F.col(f"m_{dcol}"))).cast("int").alias(counter))
+    return j.select(*out)
