@@ -62,18 +62,21 @@ def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Co
                          lag_cols: tuple[str, ...] = (), sum_cols: tuple[str, ...] = (),
                          strategy: str = "auto",
                          max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
-                         num_partitions: int | None = None, total_rows: int | None = None) -> DataFrame:
+                         num_partitions: int | None = None, total_rows: int | None = None,
+                         size_probe: DataFrame | None = None) -> DataFrame:
     """Add ``pos_col`` (1-based row number in ``order_by`` order within the group),
     optionally ``size_col`` (rows in the group), ``prev_<c>`` for ``lag_cols``
     and ``cum_<c>`` (running sum up to and including the row, NULL as 0) for
     the integral ``sum_cols``.
 
     ``order_by`` should be a total order inside a group (end with a unique key)
-    so the numbering is deterministic.
+    so the numbering is deterministic. ``size_probe`` is an optional cheaper
+    DataFrame with the same group columns and rows per group, used for the
+    ``auto`` size check instead of evaluating ``df`` twice.
     """
     total = total_rows
     if strategy == "auto":
-        biggest, total = group_sizes(df, group_cols)
+        biggest, total = group_sizes(size_probe if size_probe is not None else df, group_cols)
         strategy = "window" if biggest <= max_group_rows else "range"
     if strategy == "window":
         return _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols, sum_cols)

@@ -418,8 +418,10 @@ def member_counters_literal(changes: DataFrame, tasks: DataFrame, as_of, strateg
     owner = tasks.select(F.col("id").alias("task_id"), F.col("assigned_to").alias("user_id"))
     t = _transitions(changes, tasks, as_of, strategy).join(owner, "task_id").where(F.col("user_id").isNotNull())
     deltas = tuple(COUNTER_DELTAS.values())
+    # same rows per assignee as ``t``, without the per-task numbering and lookups
+    probe = changes.select("task_id").join(owner, "task_id").where(F.col("user_id").isNotNull())
     run = number_within_groups(t, ["user_id"], [F.col("ts").asc(), F.col("seq").asc()],
-                               pos_col="_pos", sum_cols=deltas, strategy=strategy)
+                               pos_col="_pos", sum_cols=deltas, strategy=strategy, size_probe=probe)
     folded = run.groupBy("user_id").agg(
         *[F.sum(c).alias(f"s_{c}") for c in deltas], *[F.min(f"cum_{c}").alias(f"m_{c}") for c in deltas])
     base = (tasks.where(F.col("assigned_to").isNotNull())
