@@ -49,6 +49,11 @@ def q_task_stats(spark, d):
     return rollups.task_stats(ws_of(spark, d).tasks, P.AS_OF)
 
 
+@query("task_stats_member")
+def q_task_stats_member(spark, d):
+    return rollups.scoped_task_stats(ws_of(spark, d).tasks, P.AS_OF, P.VIEWER_MEMBER, "member")
+
+
 @query("task_stats_by_member")
 def q_task_stats_by_member(spark, d):
     ws = ws_of(spark, d)
