@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def to_json_docs(df: DataFrame, column: str = "doc") -> DataFrame:
 def latest_version(spark: SparkSession, root: str) -> int | None:
     try:
         commits = spark.read.schema("version long, committed_at timestamp_ntz").json(f"{root}/_commits")
-    except Exception:  # no commit log yet
+    except AnalysisException:  # no commit log yet
         return None
     v = commits.agg(F.max("version")).first()[0]
     return None if v is None else int(v)

@@ -22,6 +22,7 @@ live under the session's shared checkpoint folder.
 from __future__ import annotations
 
 import contextlib
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,10 +120,9 @@ def start_live(writer, checkpoint: str, interval: str = "2 seconds"):
 
 
 def read_sink(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read
     try:
-        return reader.parquet(path)
-    except Exception:  # nothing written yet (empty stream)
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing written yet (empty stream): no files to read
         if schema is None:
             raise
         return spark.createDataFrame([], schema)
