@@ -1,5 +1,7 @@
 """Small helpers: id lists, member structs, key casts, overview bundle, JSON docs."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
@@ -64,3 +66,41 @@ def test_null_key_salt_is_a_join_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     smj = [ln for ln in plan.splitlines() if "SortMergeJoin" in ln and "LeftOuter" in ln]
     assert smj and "_null_salt" in smj[0] and "_null_salt_r" in smj[0].split("LeftOuter")[0]
+
+
+def test_hot_keys_are_split(spark):
+    """A third of all tasks on one project and one assignee: the NULL-key salt
+    stays a join key even for NOT NULL keys, and AQE splits the hot partitions."""
+    import contextlib
+    import io
+
+    from workboard.sources.workspace import workspace_from_rows
+    t0 = dt.datetime(2024, 1, 1)
+    users = [(i, f"u{i}", f"u{i}@x", "member", None, False, t0) for i in range(300)]
+    projects = [(p, f"p{p}", None, None, t0) for p in range(7)]
+    tasks = [(i, 0 if i % 3 == 0 else i % 7, f"t{i}", None, "todo",
+              1 if i % 3 == 0 else (None if i % 11 == 0 else i % 300), None, t0) for i in range(30000)]
+    ws = workspace_from_rows(spark, users=users, projects=projects, tasks=tasks)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = listing.task_listing(ws.tasks, ws.projects, ws.users)
+        assert df.count() == 30000
+        df.collect()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        plan = buf.getvalue()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    final = plan.split("isFinalPlan=true")[1]
+    outer = [ln for ln in final.splitlines() if "SortMergeJoin" in ln and "LeftOuter" in ln][0]
+    assert "_null_salt_r" in outer and "skew=true" in outer
+    assert any("skew=true" in ln and "Inner" in ln for ln in final.splitlines())

@@ -42,9 +42,11 @@ def left_lookup(left: DataFrame, right: DataFrame, left_key, right_key=None,
     salt_l = F.when(l_null, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))) \
               .otherwise(F.lit(0)).cast("int")
     l = left.withColumn("_null_salt", salt_l)
-    # Derived from the key rather than a literal: a literal 0 would be folded
-    # into a residual condition and drop out of the join keys.
-    r = r.withColumn("_null_salt_r", F.when(r_null, F.lit(-1)).otherwise(F.lit(0)))
+    # Always 0, but derived from the key so the optimizer cannot prove it: a
+    # literal (or ``isNull`` on a key declared NOT NULL) is constant-folded,
+    # turning the salt into a residual filter and dropping it from the join keys.
+    r = r.withColumn("_null_salt_r", F.when(r_null, F.lit(-1)).otherwise(
+        F.pmod(F.xxhash64(*[F.col(c) for c in rk2]), F.lit(1)).cast("int")))
     cond = l["_null_salt"] == r["_null_salt_r"]
     for a, b2 in zip(lk, rk2):
         cond = cond & (l[a] == r[b2])
