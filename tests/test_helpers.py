@@ -104,3 +104,15 @@ def test_hot_keys_are_split(spark):
     outer = [ln for ln in final.splitlines() if "SortMergeJoin" in ln and "LeftOuter" in ln][0]
     assert "_null_salt_r" in outer and "skew=true" in outer
     assert any("skew=true" in ln and "Inner" in ln for ln in final.splitlines())
+
+
+def test_cli_writes_json_documents(spark):
+    from workboard.__main__ import main
+    from workboard.session import scratch_path
+    out = scratch_path(spark, "cli-test")
+    paths = main(["overview", "--data", SF001, "--out", out, "--as-of", "1998-08-02T00:00:00"], spark=spark)
+    assert set(paths) == {"stats", "members", "projects", "tasks"}
+    stats = spark.read.json(paths["stats"]).first()
+    assert stats.total_tasks == 1500
+    audits = main(["audit", "--data", SF001, "--out", out + "-audit"], spark=spark)
+    assert spark.read.json(audits["constraints"]).count() == 27

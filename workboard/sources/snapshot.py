@@ -76,3 +76,9 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
         if version is None:
             raise FileNotFoundError(f"no committed snapshot under {root}")
     return Workspace(**{n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/v={version}/{n}") for n in TABLES})
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """A4 as a sink: the rows as JSON lines under ``path`` (one file per partition)."""
+    df.write.mode(mode).json(path)
+    return path
