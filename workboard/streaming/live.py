@@ -216,13 +216,17 @@ def validate_status_batch(batch: DataFrame, tasks: DataFrame, users: DataFrame,
 
 
 def _validating_sink(path: str, tasks: DataFrame, users: DataFrame, rule: str):
+    """Two sinks per micro-batch: ``path/applied/b<n>`` and ``path/rejected/b<n>``."""
     def sink(batch_df: DataFrame, batch_id: int):
-        # the micro-batch is bounded by the trigger and read three times (key
-        # counts, lookups, write): keep it instead of re-reading its files
+        # the micro-batch is bounded by the trigger and read several times (key
+        # counts, lookups, writes): keep it instead of re-reading its files
         batch_df.persist()
         try:
-            out = validate_status_batch(batch_df, tasks, users, rule)
-            out.write.mode("overwrite").parquet(f"{path}/b{batch_id:012d}")
+            out = validate_status_batch(batch_df, tasks, users, rule).persist()
+            applied = F.col("outcome") == "applied"
+            out.where(applied).write.mode("overwrite").parquet(f"{path}/applied/b{batch_id:012d}")
+            out.where(~applied).write.mode("overwrite").parquet(f"{path}/rejected/b{batch_id:012d}")
+            out.unpersist()
         finally:
             batch_df.unpersist()
     return sink
@@ -230,7 +234,7 @@ def _validating_sink(path: str, tasks: DataFrame, users: DataFrame, rule: str):
 
 def run_status_validation(spark: SparkSession, reqs_landing: str, schema: T.StructType, tasks: DataFrame,
                           users: DataFrame, root: str, rule: str = "reference", files_per_trigger: int = 4) -> str:
-    """Stream A: raw status requests -> validated rows in ``root/validated/b<batch>``."""
+    """Stream A: raw status requests -> ``root/validated/{applied,rejected}/b<batch>``."""
     stream = file_stream(spark, reqs_landing, schema, files_per_trigger=files_per_trigger)
     writer = stream.writeStream.foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule))
     run_available(writer, f"{root}/checkpoint_validate")
@@ -322,7 +326,8 @@ def run_live_counters(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, us
     root = root or scratch_path(spark, "live_counters")
     landing, per_trigger, parts = replay(reqs, f"{root}/landing")
     validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule, per_trigger)
-    vstream = file_stream(spark, f"{validated}/*", _validated_schema(reqs.schema), files_per_trigger=1 << 20)
+    vstream = file_stream(spark, f"{validated}/applied/*", _validated_schema(reqs.schema),
+                          files_per_trigger=1 << 20)
     sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
     run_available(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
                   f"{root}/checkpoint_state", partitions=parts)
@@ -340,7 +345,7 @@ def start_live_counters(spark: SparkSession, landing: str, schema: T.StructType,
     a = start_live(file_stream(spark, landing, schema, files_per_trigger=4).writeStream
                    .foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule)),
                    f"{root}/checkpoint_validate", interval)
-    vstream = file_stream(spark, f"{root}/validated/*", _validated_schema(schema), files_per_trigger=64)
+    vstream = file_stream(spark, f"{root}/validated/applied/*", _validated_schema(schema), files_per_trigger=64)
     sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
     b = start_live(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
                    f"{root}/checkpoint_state", interval)
@@ -360,8 +365,7 @@ def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame,
     root = root or scratch_path(spark, "rejected")
     landing, per_trigger, _ = replay(reqs, f"{root}/landing")
     validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule, per_trigger)
-    v = read_sink(spark, f"{validated}/*", _validated_schema(reqs.schema))
-    return v.where(F.col("outcome") != "applied").select(*REJECTED_COLS)
+    return read_sink(spark, f"{validated}/rejected/*", _validated_schema(reqs.schema)).select(*REJECTED_COLS)
 
 
 # ---- J3 -------------------------------------------------------------------
