@@ -21,11 +21,17 @@ def lane_order(sort_by: str = "created_at") -> list[Column]:
     return ([F.col("due_date").asc_nulls_last()] + tail) if sort_by == "due_date" else tail
 
 
-def kanban_board(tasks: DataFrame, sort_by: str = "created_at", strategy: str = "auto") -> DataFrame:
-    """Lane position and lane size for each task of each project board."""
+def kanban_board(tasks: DataFrame, sort_by: str = "created_at", strategy: str = "auto",
+                 size_probe: DataFrame | None = None) -> DataFrame:
+    """Lane position and lane size for each task of each project board.
+
+    ``size_probe`` (for example the raw tasks table when ``tasks`` is a joined
+    listing) lets the lane-size check skip the joins."""
     lanes = tasks.where(F.col("status").isin(*LANES))
+    probe = None if size_probe is None else size_probe.where(F.col("status").isin(*LANES))
     return number_within_groups(lanes, ["project_id", "status"], lane_order(sort_by),
-                                pos_col="lane_position", size_col="lane_size", strategy=strategy)
+                                pos_col="lane_position", size_col="lane_size", strategy=strategy,
+                                size_probe=probe)
 
 
 def newest_per_project(tasks: DataFrame, n: int = 50) -> DataFrame:

@@ -71,8 +71,9 @@ def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Co
 
     ``order_by`` should be a total order inside a group (end with a unique key)
     so the numbering is deterministic. ``size_probe`` is an optional cheaper
-    DataFrame with the same group columns and rows per group, used for the
-    ``auto`` size check instead of evaluating ``df`` twice.
+    DataFrame with the same group columns and at least as many rows per group
+    (an upper bound is enough: it can only choose the range plan earlier), used
+    for the ``auto`` size check instead of evaluating ``df`` twice.
     """
     total = total_rows
     if strategy == "auto":

@@ -203,12 +203,14 @@ def _all_listing(ws):
 
 @query("kanban_board")
 def q_kanban_board(spark, d):
-    return board.kanban_board(_all_listing(ws_of(spark, d)))
+    ws = ws_of(spark, d)
+    return board.kanban_board(_all_listing(ws), size_probe=ws.tasks)
 
 
 @query("kanban_board_due")
 def q_kanban_board_due(spark, d):
-    return board.kanban_board(_all_listing(ws_of(spark, d)), sort_by="due_date")
+    ws = ws_of(spark, d)
+    return board.kanban_board(_all_listing(ws), sort_by="due_date", size_probe=ws.tasks)
 
 
 @query("kanban_newest50")
