@@ -1,27 +1,31 @@
 """Live dashboard over a stream of status changes.
 
-The reference polls its counters every 2 s; here a Structured Streaming query
-keeps them. Sources are file streams (``readStream.parquet``) over a landing
+The reference polls its counters every 2 s; here Structured Streaming queries
+keep them. Sources are file streams (``readStream.parquet``) over a landing
 folder; sinks are per-micro-batch folders written by ``foreachBatch`` with
-``mode("overwrite")`` on ``batch_id=<n>``, so a retried micro-batch replaces
-its own output instead of duplicating it. Checkpoints, state and sink folders
-live under the session's shared checkpoint folder.
+``mode("overwrite")``, so a retried micro-batch replaces its own output instead
+of duplicating it. Checkpoints, state and sink folders live under the
+session's shared checkpoint folder.
 
 * J2 ``latest_status``: ``groupBy(task).agg(max_by(status, (ts, seq)))`` in
   update mode; the sink keeps a change log that is reduced on read.
-* J1 ``live_counters``: a stateful operator (``applyInPandasWithState``)
-  keyed by task keeps each task's current status and emits one
-  (old, new) transition per task and micro-batch; ``foreachBatch`` turns those
-  into counter deltas. Counters = batch D1 on the base table + sum of deltas.
-  (Two stacked streaming aggregations are rejected by Spark, hence the state.)
-* J4 ``rejected_events``: the I5 checks as stream-static joins; rejected
-  requests go to their own sink.
-* J3 ``status_transitions``: the browser's counter arithmetic, in batch form.
+* J1 ``live_counters``: stream A validates each micro-batch in ``foreachBatch``
+  with bounded key lookups (no shuffle of the static tables) and writes applied
+  and rejected requests to two sinks; stream B keeps each task's current status
+  in keyed state (``applyInPandasWithState``) and emits one (old, new)
+  transition per task and micro-batch, turned into counter deltas. Counters =
+  batch D1 on the base table + sum of deltas. (Two stacked streaming
+  aggregations are rejected by Spark, hence the state.)
+* J4 ``rejected_events``: stream A's rejected sink.
+* J3 ``status_transitions``: the browser's counter arithmetic per change, and
+  ``member_counters_literal``: those deltas applied per assignee with the
+  browser's floor at 0.
 """
 
 from __future__ import annotations
 
 import contextlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
