@@ -2,9 +2,9 @@
 
 The loose DDL the reference runs at start-up declares no foreign keys or
 CHECKs, so any row is legal input; these jobs count what the strict DDL would
-have rejected. One scan per table computes every row-level rule at once
-(``count_if``), foreign keys are left lookups flagged in the same pass, and
-duplicate keys are one aggregation per key.
+have rejected. Each table is read once: foreign keys are left lookups flagged
+in the same pass, and the row-level rules are counted inside the primary-key
+aggregation that the duplicate check needs anyway (``_keyed_checks``).
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ row-local checks, the one with the smallest ``seq`` per conflict key wins
 
 New ids are ``max(existing id) + seq`` for integer keys (a lazy scalar
 subquery), so a retried job mints the same ids; string keys get
-``sha2(batch_id || seq)``.
+``sha2(batch_id || seq)``. The per-request decision table is checkpointed once
+(``decided``) and both the outcomes and the changed tables are read from it.
 """
 
 from __future__ import annotations

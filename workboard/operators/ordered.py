@@ -1,4 +1,4 @@
-"""Row numbers, group sizes and ``lag`` within groups, safe for hot groups.
+"""Row numbers, group sizes, ``lag`` and running sums within groups, safe for hot groups.
 
 ``Window.partitionBy(g)`` sends every row of a group to one task: a project
 holding a third of all tasks would be sorted by a single core. This module
