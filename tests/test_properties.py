@@ -256,3 +256,14 @@ def test_member_counters_range_equals_window(spark, ws01):
     a = live.member_counters_literal(applied, ws01.tasks, P.AS_OF, strategy="window")
     b = live.member_counters_literal(applied, ws01.tasks, P.AS_OF, strategy="range")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 100
+
+
+def test_stream_counters_equal_batch_applied(spark, ws01):
+    from workboard.streaming import live
+    reqs = R.status_reqs(spark, SF01, ws01.tasks)
+    stream = live.run_live_counters(spark, reqs, ws01.tasks, ws01.users, P.AS_OF).first()
+    batch = rollups.task_stats(mutations.apply_status_changes(ws01.tasks, ws01.users, reqs).tables["tasks"],
+                               P.AS_OF).first()
+    assert tuple(stream) == tuple(batch)
+    rejected = live.run_rejected_events(spark, reqs, ws01.tasks, ws01.users).count()
+    assert rejected == 10000 - 4459
