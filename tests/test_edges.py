@@ -259,3 +259,9 @@ def test_member_counters_floor_at_zero(spark, roles_ws):
     assert (r.total_tasks, r.completed_tasks, r.in_progress_tasks, r.overdue_tasks) == (1, 1, 0, 0)
     raw = live.status_transitions(changes, roles_ws.tasks, AS_OF).agg(F.sum("d_overdue")).first()[0]
     assert raw == -2  # without the floor the counter would read -2
+
+
+def test_trim_keeps_space_before_final_nel(spark):
+    # Java's ``$`` matches before a final U+0085; JavaScript trim() does not strip it
+    assert one(spark, X.ws_trim, "0 \x85") == "0 \x85"
+    assert one(spark, X.ws_trim, " a\n") == "a"

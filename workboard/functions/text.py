@@ -15,7 +15,9 @@ JS_WHITESPACE_CLASS = (
     r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
-JS_TRIM_PATTERN = f"^{JS_WHITESPACE_CLASS}+|{JS_WHITESPACE_CLASS}+$"
+# ``\z`` (absolute end), not ``$``: in Java ``$`` also matches before a final
+# line terminator such as U+0085, which JavaScript does not treat as whitespace.
+JS_TRIM_PATTERN = f"^{JS_WHITESPACE_CLASS}+|{JS_WHITESPACE_CLASS}+\\z"
 
 # The canonical job roles, in the reference's order.
 JOB_ROLES = [
