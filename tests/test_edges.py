@@ -265,3 +265,18 @@ def test_trim_keeps_space_before_final_nel(spark):
     # Java's ``$`` matches before a final U+0085; JavaScript trim() does not strip it
     assert one(spark, X.ws_trim, "0 \x85") == "0 \x85"
     assert one(spark, X.ws_trim, " a\n") == "a"
+
+
+def test_keyset_pages_with_null_timestamps(spark):
+    ts = [None, None, None, dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 1), dt.datetime(2024, 1, 5), None]
+    tasks = [(i, 1, f"t{i}", None, "todo", None, None, t) for i, t in enumerate(ts)]
+    ws = workspace_from_rows(spark, projects=[(1, "P", None, None, T0)], tasks=tasks)
+    seen, cursor = [], None
+    while True:
+        page = paging.task_page(ws, 1, 0, "admin", cursor=cursor, limit=2).collect()
+        if not page:
+            break
+        seen += [r.id for r in page]
+        cursor = paging.next_cursor(page)
+    # PostgreSQL order: NULL timestamps first (id desc), then newest first
+    assert seen == [6, 2, 1, 0, 4, 3, 5]

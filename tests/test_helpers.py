@@ -116,3 +116,12 @@ def test_cli_writes_json_documents(spark):
     assert stats.total_tasks == 1500
     audits = main(["audit", "--data", SF001, "--out", out + "-audit"], spark=spark)
     assert spark.read.json(audits["constraints"]).count() == 27
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as E; assert len(E.queries()) == len(E.oracle_sql())"
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd="/", check=True, timeout=120,
+                   env={**__import__("os").environ, "PYTHONPATH": root})

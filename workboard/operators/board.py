@@ -41,7 +41,8 @@ def newest_per_project(tasks: DataFrame, n: int = 50) -> DataFrame:
     the shuffle (WindowGroupLimit), so a hot project sends at most ``n`` rows
     per map task.
     """
-    w = Window.partitionBy("project_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    # the page comes from SQL ``ORDER BY created_at DESC`` (PostgreSQL: NULLs first)
+    w = Window.partitionBy("project_id").orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc())
     return tasks.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 

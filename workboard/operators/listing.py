@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from workboard.functions.text import display_job_role
 from workboard.operators.joins import left_lookup
 
+# Newest first as PostgreSQL orders ``created_at DESC``: NULLs first; id breaks ties.
+def newest_first() -> list:
+    return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
+
 # Role rules (R4). 'reference': tasks are restricted only for role 'member'.
 # 'strict': everything except role 'admin' is restricted (the stats/projects rule).
 ROLE_RULES = ("reference", "strict")
@@ -38,7 +42,7 @@ def member_directory(users: DataFrame, sort: bool = True) -> DataFrame:
     """Role 'member', display job role, newest first."""
     out = users.where(F.col("role") == "member").select(
         "id", "name", "email", display_job_role("job_role").alias("job_role"), "created_at")
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
+    return out.orderBy(*newest_first()) if sort else out
 
 
 def scope_tasks(tasks: DataFrame, viewer_id, viewer_role, rule: str = "reference",
@@ -96,14 +100,14 @@ def task_listing(tasks: DataFrame, projects: DataFrame, users: DataFrame, *,
 def overview_tasks(ws, sort: bool = True) -> DataFrame:
     """Admin overview task list with display job role, newest first."""
     out = task_listing(ws.tasks, ws.projects, ws.users, with_job_role=True, with_email=False)
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
+    return out.orderBy(*newest_first()) if sort else out
 
 
 def my_tasks(ws, viewer_id, viewer_role, rule: str = "reference", sort: bool = True) -> DataFrame:
     """all tasks visible to the viewer, newest first, no limit."""
     tasks = scope_tasks(ws.tasks, viewer_id, viewer_role, rule)
     out = task_listing(tasks, ws.projects, ws.users)
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
+    return out.orderBy(*newest_first()) if sort else out
 
 
 def project_members_list(users: DataFrame, pm: DataFrame, project_id, sort: bool = True) -> DataFrame:

@@ -28,7 +28,8 @@ def _check_limit(limit) -> int:
 
 
 def newest_first(ts: str = "created_at", key: str = "id") -> list[Column]:
-    return [F.col(ts).desc(), F.col(key).desc()]
+    """PostgreSQL's ``ts DESC`` (NULLs first), then the id tie-break."""
+    return [F.col(ts).desc_nulls_first(), F.col(key).desc()]
 
 
 def before_cursor(cursor, mode: str = "composite", ts: str = "created_at", key: str = "id") -> Column:
@@ -44,6 +45,8 @@ def before_cursor(cursor, mode: str = "composite", ts: str = "created_at", key:
         c_ts = cursor[0] if isinstance(cursor, (tuple, list)) else cursor
         return F.col(ts) < as_of_lit(c_ts)
     c_ts, c_id = cursor
+    if c_ts is None:  # the previous page ended among the NULL timestamps (sorted first)
+        return (F.col(ts).isNull() & (F.col(key) < F.lit(c_id))) | F.col(ts).isNotNull()
     t = as_of_lit(c_ts)
     return (F.col(ts) < t) | ((F.col(ts) == t) & (F.col(key) < F.lit(c_id)))
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from workboard.functions.status import as_count, is_overdue
 from workboard.functions.text import display_job_role
 
+# Newest first as PostgreSQL orders ``created_at DESC``: NULLs first; id breaks ties.
+def newest_first() -> list:
+    return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
+
 
 def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
@@ -93,7 +97,7 @@ def member_rollup(users: DataFrame, pm: DataFrame, tasks: DataFrame, sort: bool
                    as_count(F.coalesce("project_count", F.lit(0))).alias("project_count"),
                    as_count(F.coalesce("assigned", F.lit(0))).alias("assigned_task_count"),
                    as_count(F.coalesce("completed", F.lit(0))).alias("completed_task_count")))
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
+    return out.orderBy(*newest_first()) if sort else out
 
 
 def member_rollup_fanout(users: DataFrame, pm: DataFrame, tasks: DataFrame, sort: bool = True) -> DataFrame:
@@ -110,7 +114,7 @@ def member_rollup_fanout(users: DataFrame, pm: DataFrame, tasks: DataFrame, sort
                    as_count(F.coalesce("project_count", F.lit(0))).alias("project_count"),
                    as_count(mult * F.coalesce("assigned", F.lit(0))).alias("assigned_task_count"),
                    as_count(mult * F.coalesce("completed", F.lit(0))).alias("completed_task_count")))
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
+    return out.orderBy(*newest_first()) if sort else out
 
 
 def project_roster_long(projects: DataFrame, pm: DataFrame, users: DataFrame) -> DataFrame:
@@ -138,7 +142,7 @@ def project_rollup(projects: DataFrame, pm: DataFrame, users: DataFrame, sort: b
            .join(counts, projects.id == counts.project_id, "left")
            .select("id", "name", "description", "created_at",
                    as_count(F.coalesce("member_count", F.lit(0))).alias("member_count")))
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if sort else out
+    return out.orderBy(*newest_first()) if sort else out
 
 
 def board_counts(tasks: DataFrame, projects: DataFrame) -> DataFrame:

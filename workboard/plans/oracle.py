@@ -158,7 +158,7 @@ PAGE_COLS = ("id, title, description, status, due_date, created_at, project_name
              "assignee_id, assignee_name, assignee_email")
 OVERVIEW_COLS = ("id, title, description, status, due_date, created_at, project_id, project_name, "
                  "assignee_id, assignee_name, assignee_job_role")
-NEWEST = "ORDER BY created_at DESC, id DESC"
+NEWEST = "ORDER BY created_at DESC NULLS FIRST, id DESC"
 
 
 def _board(src: str, order: str) -> str:
@@ -205,7 +205,7 @@ SELECT {PAGE_COLS} FROM listing WHERE project_id = {PROJECT} AND assignee_id = {
 SELECT DISTINCT p.id, p.name, p.description, p.created_by, p.created_at
 FROM projects p LEFT JOIN project_members pm ON CAST(p.id AS VARCHAR) = CAST(pm.project_id AS VARCHAR)
 WHERE (pm.user_id = {VIEWER_MEMBER} OR p.created_by = {VIEWER_MEMBER})
-ORDER BY p.created_at DESC, p.id DESC LIMIT {PROJECT_LIMIT}"""),
+ORDER BY p.created_at DESC NULLS FIRST, p.id DESC LIMIT {PROJECT_LIMIT}"""),
     "project_page_admin": _with(f"SELECT id, name, description, created_by, created_at FROM projects {NEWEST} LIMIT {PROJECT_LIMIT}"),
     "project_page_next": _with(f"""
 SELECT id, name, description, created_by, created_at FROM projects
@@ -270,7 +270,7 @@ FROM tasks WHERE project_id IN (SELECT id FROM projects) GROUP BY project_id""")
     "kanban_board_due": _with(_board(f"SELECT {LISTING_COLS} FROM listing",
                                      "due_date ASC NULLS LAST, created_at DESC, id DESC")),
     "kanban_newest50": _with(_board(f"""
-SELECT {LISTING_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS rn
+SELECT {LISTING_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC NULLS FIRST, id DESC) AS rn
                             FROM listing) x WHERE rn <= {TASK_LIMIT}""", "created_at DESC, id DESC")),
     "offset_page": _with(f"SELECT {OVERVIEW_COLS} FROM listing {NEWEST} LIMIT {PAGE_SIZE} OFFSET {(OFFSET_PAGE - 1) * PAGE_SIZE}"),
     "assign_pages": _with(f"""
