@@ -5,8 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from workboard.llm import decontaminate, mixing, quality_rules, secret_scan, simhash
+from workboard.llm import decontaminate, license_scan, mixing, pii, quality_rules, secret_scan, simhash
+from workboard.llm import token_rollup as rollup
 from workboard.llm.common import table
+from workboard.session import scratch_path
+
+
+def op1_license_scans(spark, d):
+    return license_scan.license_labels(table(spark, d, "documents"))
 
 
 def op3_secret_scans(spark, d):
@@ -32,6 +38,38 @@ def op5_quality_rules(spark, d):
     return judged.select("doc_id", "quality.*")
 
 
+def op6_pii(spark, d):
+    found = pii.pii_by_document(table(spark, d, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def spans(kept):
+        return F.concat_ws(",", F.transform(kept, lambda x: F.concat_ws(
+            ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+    return found.select("doc_id", *[count(k.name) for k in pii.BASE_KINDS],
+                        F.sha2(spans(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"),
+                        spans(F.col("found")).alias("spans"))
+
+
+def op8_token_counts(spark, d):
+    """All documents go in; those labelled toxic are deleted; those of low quality are
+    revised to texts without their symbols; and each batch is sent twice."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    low = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
+    gone = docs.select("doc_id", "source", "lang", F.lit("").alias("text")).join(toxic, "doc_id", "left_semi")
+    cleaned = docs.join(low, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[#*$%&|<>!]", ""))
+    totals = rollup.TokenRollup(spark, scratch_path(spark, "llm/token-rollup"))
+    for batch, rows, op in (("load", docs, rollup.INSERT), ("toxic", gone, rollup.DELETE),
+                            ("cleaned", cleaned, rollup.REVISE)):
+        for _ in range(2):
+            totals.commit(batch, rollup.changes_of(rows, op))
+    return totals.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"),
+                                  F.col("tokens").alias("n_tokens"), F.col("chars").alias("n_chars"))
+
+
 def op9_benchmark_decontamination(spark, d):
     found = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -44,4 +82,5 @@ def op10_simhash_near_dedup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_secret_scans, op4_mixing_sources, op5_quality_rules, op9_benchmark_decontamination, op10_simhash_near_dedup)}
+    op1_license_scans, op3_secret_scans, op4_mixing_sources, op5_quality_rules, op6_pii, op8_token_counts,
+    op9_benchmark_decontamination, op10_simhash_near_dedup)}
