@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from workboard.llm import decontaminate, license_scan, mixing, pii, quality_rules, secret_scan, simhash
+from workboard.llm import classifier, decontaminate, html_text, license_scan, mixing, pii, quality_rules, secret_scan, simhash
 from workboard.llm import token_rollup as rollup
 from workboard.llm.common import table
 from workboard.session import scratch_path
@@ -15,6 +15,11 @@ def op1_license_scans(spark, d):
     return license_scan.license_labels(table(spark, d, "documents"))
 
 
+def op2_html_extraction(spark, d):
+    pages = html_text.extract_text(table(spark, d, "pages").select("page_id", "url", "html"), into="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_secret_scans(spark, d):
     rules = secret_scan.RuleSet()
     base = len(secret_scan.BASE_RULES)
@@ -53,6 +58,10 @@ def op6_pii(spark, d):
                         spans(F.col("found")).alias("spans"))
 
 
+def op7_quality_classifier(spark, d):
+    return classifier.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op8_token_counts(spark, d):
     """All documents go in; those labelled toxic are deleted; those of low quality are
     revised to texts without their symbols; and each batch is sent twice."""
@@ -82,5 +91,5 @@ def op10_simhash_near_dedup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scans, op3_secret_scans, op4_mixing_sources, op5_quality_rules, op6_pii, op8_token_counts,
-    op9_benchmark_decontamination, op10_simhash_near_dedup)}
+    op1_license_scans, op2_html_extraction, op3_secret_scans, op4_mixing_sources, op5_quality_rules, op6_pii,
+    op7_quality_classifier, op8_token_counts, op9_benchmark_decontamination, op10_simhash_near_dedup)}
