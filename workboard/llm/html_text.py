@@ -245,6 +245,7 @@ def train(pages: Iterable[str], rounds: int = 100, rate: float = 0.15, decay: fl
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= rate * (m / (1 - 0.9 ** i)) / (np.sqrt(v / (1 - 0.99 ** i)) + 1e-9)
+        params[2][:] = 0  # pages may begin with anything
     return Field({x: float(params[0][i]) for x, i in names.items()}, params[1], params[2])
 
 

@@ -17,7 +17,7 @@ _MAIN = (
     ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body entry-content">', "</div>"),
     ('<div class="article-body">', "</div>"), ('<section class="story">', "</section>"), ('<div id="article">', "</div>"),
     ('<div class="page"><div class="text">', "</div></div>"), ('<div class="wrapper"><div class="col-main">', "</div></div>"),
-    ("<div>", "</div>"), ('<div role="main">', "</div>"), ('<table><tr><td class="main">', "</td></tr></table>"), ("", ""),
+    ("<div>", "</div>"), ("<article>", "</article>"), ("<article class=\"entry\">", "</article>"), ('<div role="main">', "</div>"), ('<table><tr><td class="main">', "</td></tr></table>"), ("", ""),
 )
 _WRAPPERS = {
     "menu": (("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<ul class="navbar">', "</ul>"),
@@ -111,7 +111,7 @@ class _Writer:
         low, high = r.choice(_MAIN)
         title = self.words(2, 9).capitalize()
         body = [f"<{r.choice(('h1', 'h1', 'h2'))}>{title}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice((1, 1, 2, 3, 4, 5, 6, 8, 10))):
             kind = r.random()
             if kind < 0.72:
                 body.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<p>{}", "<div>{}</div>")).format(self.prose()))
@@ -130,10 +130,12 @@ class _Writer:
         if r.random() < 0.2:
             body.append(self.part("comments"))
         main = f'{low}<div data-main="1">{"".join(body)}</div>{high}'
-        before = [self.part(x) for x in r.sample(("menu", "header", "notice", "advert", "form", "aside"), r.randint(1, 4))]
-        after = [self.part(x) for x in r.sample(("comments", "aside", "advert", "footer", "menu", "form", "notice"), r.randint(1, 4))]
-        return (f"<html><head><title>{title}</title></head><body>{''.join(before)}{main}{''.join(after)}"
-                + r.choice(("</body></html>", "</body></html>", "")))
+        before = [self.part(x) for x in r.sample(("menu", "header", "notice", "advert", "form", "aside"), r.randint(0, 4))]
+        after = [self.part(x) for x in r.sample(("comments", "aside", "advert", "footer", "menu", "form", "notice"), r.randint(0, 4))]
+        body = "".join((*before, main, *after))
+        if r.random() < 0.1:
+            return body
+        return (f"<html><head><title>{title}</title></head><body>{body}" + r.choice(("</body></html>", "</body></html>", "")))
 
 
 def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:

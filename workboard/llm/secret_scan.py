@@ -188,7 +188,10 @@ def redact_secrets(docs: DataFrame, ledger_path: str | None = None, batch: str =
                      s["end"].alias("at"), F.lit(True).alias("any"))),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     changed = F.size(found) > 0
-    out = [F.when(changed, step).otherwise(text).alias(c) if c == text_col
-           else F.when(changed, F.length(step).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-           if c == chars_col else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*out)
+    new = free_name(rows, "redacted")
+    rows = rows.withColumn(new, F.when(changed, step))
+    out = {c: F.col(f"`{c}`") for c in docs.columns}
+    if chars_col in out:
+        out[chars_col] = F.when(changed, F.length(new).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    out[text_col] = F.when(changed, F.col(new)).otherwise(text)
+    return rows.select(*[x.alias(c) for c, x in out.items()])
