@@ -98,8 +98,8 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(rows, most=3):
-    """rows of (id, text) -> list of (id, hex fingerprint, component)."""
+def groups(rows, most=3):
+    """rows of (id, text) -> (fingerprints, a number for each row's group)."""
     prints = [fingerprint(t) for _, t in rows]
     distinct = sorted(set(prints))
     root = {f: f for f in distinct}
@@ -112,11 +112,17 @@ def components(rows, most=3):
         for g in distinct[:i]:
             if (f ^ g).bit_count() <= most:
                 root[find(f)] = find(g)
+    return prints, [find(f) for f in prints]
+
+
+def components(rows, most=3):
+    """rows of (id, text) -> list of (id, hex fingerprint, component)."""
+    prints, of = groups(rows, most)
     ids = defaultdict(list)
-    for (i, _), f in zip(rows, prints):
+    for (i, _), g in zip(rows, of):
         if i is not None:
-            ids[find(f)].append(i)
-    return [(i, f"{f:016x}", min(ids[find(f)], default=None)) for (i, _), f in zip(rows, prints)]
+            ids[g].append(i)
+    return [(i, f"{f:016x}", min(ids[g], default=None)) for (i, _), f, g in zip(rows, prints, of)]
 
 
 def contamination(rows, items, window=10):

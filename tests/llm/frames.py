@@ -32,7 +32,8 @@ def odd_rows():
         (18, f"{prose(11, 55)} Apache License, GNU General Public License, CC BY mit-license apache"),
     ]
     sources = ["b", "a", None, "ä", "B", ""]
-    return [(i, t, "en" if k % 3 else None, sources[k % 6], None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, "en" if k % 3 else None, sources[k % 6], None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
+    return [rows[k - 1] if rows[k][:2] == rows[k - 1][:2] else rows[k] for k in range(len(rows))]  # repeated as a whole
 
 
 def odd_docs(spark):

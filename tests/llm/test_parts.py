@@ -99,10 +99,10 @@ def test_base_secrets(text):
 
 def test_more_secrets():
     rules = secret_scan.RuleSet()
-    text = ("é -----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END RSA PRIVATE KEY----- ghp_" + "a" * 36
+    text = ("é -----BEGIN RSA PRIVATE KEY-----\nabc+/=\n-----END RSA PRIVATE KEY----- ghp_" + "z" * 36
             + " https://me:hunter22@host/x")
     assert [(rules.kinds[k], text[a:b][:12]) for a, k, b in secret_scan.find_secrets(text, rules.rules)] == [
-        ("pem", "-----BEGIN R"), ("github", "ghp_aaaaaaaa"), ("urlauth", "hunter22")]
+        ("pem", "-----BEGIN R"), ("github", "ghp_zzzzzzzz"), ("urlauth", "hunter22")]
 
 
 # ---------------------------------------------------------------- pages

@@ -18,8 +18,8 @@ def plain_pipeline(spark, docs, items):
     docs = [d for d, k in zip(docs, kept) if k]
     assert not any(brute.quality(d[1])[-1] for d in docs)
     groups = defaultdict(list)
-    for d, (_, fp, comp) in zip(docs, brute.components([d[:2] for d in docs])):
-        groups[(comp, fp if comp is None else None)].append((d[0] is None, d[0], fp, d))
+    for d, fp, group in zip(docs, *brute.groups([d[:2] for d in docs])):
+        groups[group].append((d[0] is None, d[0], fp - (1 << 64) if fp >> 63 else fp, d))
     docs = [min(g, key=lambda x: x[:3])[3] for g in groups.values()]
     hit = brute.contamination([d[:2] for d in docs], items)
     docs = [d for d, h in zip(docs, hit) if not h[-1]]
@@ -84,8 +84,9 @@ def test_each_stage_on_its_own(spark):
     docs = frames.odd_docs(spark)
     one = corpus_pipeline.near_duplicates(spark, docs, "")
     ids = sorted((i is None, i) for (i,) in one.select("doc_id").collect())
-    assert [i for none, i in ids if not none] == sorted(
-        {c for _, _, c in brute.components([r[:2] for r in frames.odd_rows()]) if c is not None})
+    rows = [r[:2] for r in frames.odd_rows()]
+    heads = {(g, c) for g, (_, _, c) in zip(brute.groups(rows)[1], brute.components(rows))}
+    assert [i for none, i in ids if not none] == sorted(c for _, c in heads if c is not None)
     clean = corpus_pipeline.without_secrets(spark, docs, "")
     assert clean.count() == docs.count()
     changed = clean.select("doc_id", F.col("text").alias("new")).join(docs, "doc_id").where("text != new")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm.common import content_key, free_name, text_bytes, with_package
+from workboard.llm.common import content_key, free_name, materialize, text_bytes, with_package
 from workboard.session import scratch_path
 
 # The base kinds in their order, pattern, smallest size, and the group that is measured.
@@ -107,10 +107,15 @@ class BlobLedger:
                 return None
             raise
 
-    def findings(self, version: str) -> DataFrame | None:
-        """(blob, findings) of a rule version, one row for each blob."""
+    def findings(self, version: str, found_only: bool = False) -> DataFrame | None:
+        """(blob, findings) of a rule version, one row for each blob (with ``found_only`` for
+        each that has findings), or None without a ledger. Written as a table of its own:
+        a join with it then reads plain shuffles, which Spark can split at hot blobs."""
         rows = self._read()
-        return rows if rows is None else rows.where(F.col("rule_version") == version).select("blob", "findings")
+        if rows is None:
+            return None
+        rows = rows.where((F.col("rule_version") == version) & ((F.size("findings") > 0) | F.lit(not found_only)))
+        return materialize(rows.groupBy("blob").agg(F.first("findings").alias("findings")), "findings")
 
     def commit(self, batch: str, docs: DataFrame, rules: RuleSet = RuleSet(), text_col: str = "text") -> DataFrame:
         """Scan the unseen pairs of ``docs`` and append them as ``batch``.
@@ -140,7 +145,7 @@ class BlobLedger:
         key, found = free_name(docs, "blob"), self.findings(rules.version)
         if found is None:
             return docs.withColumn(into, F.lit(None).cast(_FINDINGS))
-        found = found.groupBy("blob").agg(F.first("findings").alias(into)).withColumnRenamed("blob", key)
+        found = found.select(F.col("blob").alias(key), F.col("findings").alias(into))
         return docs.withColumn(key, content_key(text_col)).join(found, key, "left").select(*docs.columns, into)
 
 
@@ -163,9 +168,9 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None, batch: str =
     spark = docs.sparkSession
     ledger = BlobLedger(spark, ledger_path or scratch_path(spark, "llm/blob-ledger"))
     ledger.commit(batch, docs, rules, text_col)
-    key = ledger.findings(rules.version).groupBy("blob").agg(F.first("findings").alias("findings"))
-    return (docs.select(F.col(id_col).alias("id"), content_key(text_col).alias("blob")).join(key, "blob", "left")
-            .select(F.col("id").alias(id_col), "findings"))
+    found = ledger.findings(rules.version, found_only=True)
+    return (docs.select(F.col(id_col).alias("id"), content_key(text_col).alias("blob")).join(found, "blob", "left")
+            .select(F.col("id").alias(id_col), F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings")))
 
 
 def redact_secrets(docs: DataFrame, ledger_path: str | None = None, batch: str = "all", rules: RuleSet = RuleSet(),
@@ -176,8 +181,9 @@ def redact_secrets(docs: DataFrame, ledger_path: str | None = None, batch: str =
     spark = docs.sparkSession
     ledger = BlobLedger(spark, ledger_path or scratch_path(spark, "llm/blob-ledger"))
     ledger.commit(batch, docs, rules, text_col)
-    found = free_name(docs, "findings")
-    rows = ledger.at_paths(docs, rules, text_col, found)
+    found, key = free_name(docs, "findings"), free_name(docs, "blob")
+    spans = ledger.findings(rules.version, found_only=True).select(F.col("blob").alias(key), F.col("findings").alias(found))
+    rows = docs.withColumn(key, content_key(text_col)).join(spans, key, "left").drop(key)
     text = F.col(text_col)
     # from the left: what stands between the furthest end so far and the next span, then the mark
     step = F.aggregate(
