@@ -31,7 +31,7 @@ def test_add_members_sequential(spark, roles, n_projects, links, reqs):
                              project_members=sorted(links))
     batch = spark.createDataFrame([(i, p, u) for i, (p, u) in enumerate(reqs)],
                                   "seq long, project_id long, user_id long")
-    got = {r.seq: r.outcome for r in mutations.add_project_members(ws, batch, materialize=False).outcomes.collect()}
+    got = {r.seq: r.outcome for r in mutations.add_project_members(ws, batch).outcomes.collect()}
     members = {i for i, r in enumerate(roles) if r == "member"}
     linked = set(links)
     want = {}
@@ -62,7 +62,7 @@ def test_onboarding_sequential(spark, reqs):
     batch = spark.createDataFrame([(i, n, e, j) for i, (n, e, j) in enumerate(reqs)],
                                   "seq long, name string, email string, job_role string")
     got = {r.seq: r.outcome for r in mutations.onboard_members(
-        workspace_from_rows(spark, users=users).users, batch, T0, materialize=False).outcomes.collect()}
+        workspace_from_rows(spark, users=users).users, batch, T0, "b").outcomes.collect()}
     known = {u[2] for u in users}
     want = {}
     for i, (n, e, j) in enumerate(reqs):
@@ -88,7 +88,7 @@ def test_member_deletes_sequential(spark, roles, reqs):
                              projects=[(0, "p", None, 1, T0)],
                              tasks=[(10 + i, 0, "t", None, "todo", i, None, T0) for i in range(len(roles))])
     batch = spark.createDataFrame(list(enumerate(reqs)), "seq long, user_id long")
-    res = mutations.delete_members(ws, batch, materialize=False)
+    res = mutations.delete_members(ws, batch)
     got = {r.seq: r.outcome for r in res.outcomes.collect()}
     present = {i: r for i, r in enumerate(roles)}
     want = {}

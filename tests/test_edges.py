@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from workboard.functions import status as S
 from workboard.functions import text as X
@@ -98,7 +99,7 @@ def test_batch_order_onboarding(spark, roles_ws):
     reqs = spark.createDataFrame([(1, "  ", "new@x.com", "QA Engineer"), (2, "Eve", " NEW@x.com", "qa engineer"),
                                   (3, "Fay", "new@x.com", "QA Engineer"), (4, "Gus", "b@x", "QA Engineer")],
                                  "seq long, name string, email string, job_role string")
-    res = mutations.onboard_members(roles_ws.users, reqs, AS_OF)
+    res = mutations.onboard_members(roles_ws.users, reqs, AS_OF, "b")
     out = {r.seq: r.outcome for r in res.outcomes.collect()}
     assert out == {1: "invalid_name", 2: "inserted", 3: "duplicate", 4: "duplicate"}
     new = res.tables["users"].where(F.col("email") == "new@x.com").collect()
@@ -174,7 +175,7 @@ def test_live_counters_empty_stream(spark, roles_ws):
     got = live.run_live_counters(spark, empty, roles_ws.tasks, roles_ws.users, AS_OF).first()
     base = rollups.task_stats(roles_ws.tasks, AS_OF).first()
     assert tuple(got) == tuple(base)
-    assert live.run_rejected_events(spark, empty, roles_ws.tasks, roles_ws.users).count() == 0
+    assert live.run_rejected_events(spark, empty, roles_ws.tasks, roles_ws.users, AS_OF).count() == 0
 
 
 def test_live_counters_equal_batch(spark, roles_ws):
@@ -187,28 +188,68 @@ def test_live_counters_equal_batch(spark, roles_ws):
     got = live.run_live_counters(spark, reqs, roles_ws.tasks, roles_ws.users, AS_OF).first()
     after = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, reqs).tables["tasks"]
     assert tuple(got) == tuple(rollups.task_stats(after, AS_OF).first())
-    rej = {r.seq: r.outcome for r in live.run_rejected_events(spark, reqs, roles_ws.tasks, roles_ws.users).collect()}
+    rej = {r.seq: r.outcome for r in live.run_rejected_events(spark, reqs, roles_ws.tasks, roles_ws.users, AS_OF).collect()}
     assert rej == {4: "not_found", 5: "forbidden"}
 
 
-def test_start_live_counters_processes_arrivals(spark, roles_ws):
+REQS = "seq long, ts timestamp_ntz, task_id long, status string, requester_id long"
+
+
+def test_start_live_counters_sees_late_tasks(spark, roles_ws):
+    """Requests that arrive while the query runs, one for a task that is created later."""
     from workboard.session import scratch_path
-    reqs = spark.createDataFrame([(1, dt.datetime(2024, 5, 1), 100, "completed", 2)],
-                                 "seq long, ts timestamp_ntz, task_id long, status string, requester_id long")
     root = scratch_path(spark, "live-test")
     landing = f"{root}/landing"
-    reqs.write.parquet(f"{landing}/f1")
-    a, b, counters = live.start_live_counters(spark, f"{landing}/*", reqs.schema, roles_ws.tasks, roles_ws.users,
-                                              AS_OF, root=f"{root}/run", interval="1 second")
+    one = [(1, dt.datetime(2024, 5, 1), 100, "completed", 2)]
+    two = [(2, None, 100, "todo", 2), (3, dt.datetime(2024, 5, 3), 555, "completed", 1), (None, dt.datetime(2024, 5, 4), 101, "in_progress", 1)]
+    spark.createDataFrame(one, REQS).write.parquet(f"{landing}/f1")
+    late = roles_ws.tasks.where(F.col("id") == 100).withColumn("id", F.lit(555).cast("long"))
+    state = {"tasks": roles_ws.tasks}
+    query, store, counters = live.start_live_counters(
+        spark, f"{landing}/*", T.StructType.fromDDL(REQS), lambda: (state["tasks"], roles_ws.users), AS_OF, root=f"{root}/run",
+        interval="1 second")
     try:
-        a.processAllAvailable()
-        b.processAllAvailable()
-        got = counters().first()
+        query.processAllAvailable()
+        first = tuple(counters().first())
+        state["tasks"] = roles_ws.tasks.unionByName(late)
+        spark.createDataFrame(two, REQS).write.parquet(f"{landing}/f2")
+        query.processAllAvailable()
+        second = tuple(counters().first())
     finally:
-        a.stop()
-        b.stop()
+        query.stop()
+
+    def batch(tasks, rows):
+        after = mutations.apply_status_changes(tasks, roles_ws.users, spark.createDataFrame(rows, REQS)).tables["tasks"]
+        return tuple(rollups.task_stats(after, AS_OF).first())
+    assert first == batch(roles_ws.tasks, one)
+    assert second == batch(state["tasks"], one + two)
+    assert store.rejected().count() == 0
+
+
+def test_a_retried_micro_batch_changes_nothing(spark, roles_ws):
+    from workboard.session import scratch_path
+    batches = [[(1, dt.datetime(2024, 5, 1), 100, "completed", 2)], [(2, dt.datetime(2024, 5, 2), 100, "todo", 2)],
+               [(3, dt.datetime(2024, 4, 1), 100, "in_progress", 2), (4, dt.datetime(2024, 5, 5), 101, "completed", 1)]]
+    store = live.LiveStore(spark, scratch_path(spark, "live-retry"), T.StructType.fromDDL(REQS))
+    tables = (roles_ws.tasks, roles_ws.users)
+    for i, rows in enumerate(batches):
+        for _ in range(1 + (i > 0)):
+            store.process(spark.createDataFrame(rows, REQS), i, tables, AS_OF, "reference")
+    after = mutations.apply_status_changes(*tables, spark.createDataFrame(sum(batches, []), REQS)).tables["tasks"]
+    assert tuple(live.counters_of(store, roles_ws.tasks, AS_OF).first()) == tuple(rollups.task_stats(after, AS_OF).first())
+
+
+def test_compaction_keeps_the_state(spark, roles_ws, monkeypatch):
+    from workboard.session import scratch_path
+    monkeypatch.setattr(live, "COMPACT_EVERY", 2)
+    store = live.LiveStore(spark, scratch_path(spark, "live-compact"), T.StructType.fromDDL(REQS))
+    rows = [(i, dt.datetime(2024, 5, 1 + i), 100 + i % 2, ("completed", "todo", "in_progress")[i % 3], None) for i in range(7)]
+    for i, row in enumerate(rows):
+        store.process(spark.createDataFrame([row], REQS), i, (roles_ws.tasks, roles_ws.users), AS_OF, "reference")
+    reqs = spark.createDataFrame(rows, REQS)
     after = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, reqs).tables["tasks"]
-    assert tuple(got) == tuple(rollups.task_stats(after, AS_OF).first())
+    assert tuple(live.counters_of(store, roles_ws.tasks, AS_OF).first()) == tuple(rollups.task_stats(after, AS_OF).first())
+    assert {tuple(r) for r in store.latest().collect()} == {(100, "completed"), (101, "in_progress")}
 
 
 def test_counter_clamps(spark):
@@ -233,7 +274,7 @@ def test_two_spellings_of_one_id(spark, roles_ws):
     ws = cast_keys(roles_ws, "string")
     reqs = spark.createDataFrame([(1, "P2", None, "1")], "seq long, name string, description string, creator_id string")
     members = spark.createDataFrame([(1, " 5"), (1, "5"), (1, ""), (1, None)], "seq long, user_id string")
-    res = mutations.create_projects(ws, reqs, members, AS_OF)
+    res = mutations.create_projects(ws, reqs, members, AS_OF, "b")
     assert [r.outcome for r in res.outcomes.collect()] == ["inserted"]
     new = res.tables["project_members"].join(ws.project_members, ["project_id", "user_id"], "left_anti")
     assert sorted(r.user_id for r in new.collect()) == ["1", "5"]

@@ -83,8 +83,8 @@ def next_action(c="status") -> Column:
 
 
 def as_count(c) -> Column:
-    """``::int`` for counters."""
-    return _c(c).cast("int")
+    """The type of counters (H13): bigint, as a count may pass 2^31."""
+    return _c(c).cast("long")
 
 
 def decrement_floor0(c) -> Column:

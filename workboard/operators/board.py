@@ -21,17 +21,11 @@ def lane_order(sort_by: str = "created_at") -> list[Column]:
     return ([F.col("due_date").asc_nulls_last()] + tail) if sort_by == "due_date" else tail
 
 
-def kanban_board(tasks: DataFrame, sort_by: str = "created_at", strategy: str = "auto",
-                 size_probe: DataFrame | None = None) -> DataFrame:
-    """Lane position and lane size for each task of each project board.
-
-    ``size_probe`` (for example the raw tasks table when ``tasks`` is a joined
-    listing) lets the lane-size check skip the joins."""
+def kanban_board(tasks: DataFrame, sort_by: str = "created_at") -> DataFrame:
+    """Lane position and lane size for each task of each project board."""
     lanes = tasks.where(F.col("status").isin(*LANES))
-    probe = None if size_probe is None else size_probe.where(F.col("status").isin(*LANES))
     return number_within_groups(lanes, ["project_id", "status"], lane_order(sort_by),
-                                pos_col="lane_position", size_col="lane_size", strategy=strategy,
-                                size_probe=probe)
+                                pos_col="lane_position", size_col="lane_size")
 
 
 def newest_per_project(tasks: DataFrame, n: int = 50) -> DataFrame:
@@ -48,7 +42,10 @@ def newest_per_project(tasks: DataFrame, n: int = 50) -> DataFrame:
 
 def kanban_newest(tasks: DataFrame, n: int = 50, sort_by: str = "created_at") -> DataFrame:
     """The board as first shown: the newest ``n`` tasks of each project, in lanes."""
-    return kanban_board(newest_per_project(tasks, n), sort_by, strategy="window")
+    shown = newest_per_project(tasks, n).where(F.col("status").isin(*LANES))
+    lane = Window.partitionBy("project_id", "status")  # at most n rows
+    return (shown.withColumn("lane_position", F.row_number().over(lane.orderBy(*lane_order(sort_by))).cast("long"))
+                 .withColumn("lane_size", F.count(F.lit(1)).over(lane)))
 
 
 def split_today(tasks: DataFrame, as_of) -> DataFrame:

@@ -5,49 +5,49 @@ Catalyst/AQE choose broadcast when the looked-up side is small at runtime and
 split skewed partitions of a sort-merge join otherwise. Two cases need help:
 
 * NULL keys of an outer join all hash to one partition and can never match;
-  ``left_lookup`` spreads them with a salt column that is 0 on the right side.
+  ``left_lookup`` spreads them by a hash of the row's id.
 * Aggregations after a fan-out join are rewritten as pre-aggregation (see
   ``operators.rollups``), which also removes the skew of the join itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NULL_KEY_SALTS = 64
 
+def _spread(left: DataFrame, key: str, row: Column) -> Column:
+    """``key``, and where it is NULL a value made from ``row``, of the same type."""
+    kind = left.schema[key].dataType
+    if isinstance(kind, T.LongType):
+        return F.coalesce(F.col(key), row)
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.col(key), row.cast("string"))
+    return F.col(key)
 
-def left_lookup(left: DataFrame, right: DataFrame, left_key, right_key=None,
-                salts: int = NULL_KEY_SALTS) -> DataFrame:
+
+def left_lookup(left: DataFrame, right: DataFrame, left_key, right_key=None, row_id: str | None = None) -> DataFrame:
     """``left LEFT JOIN right ON left_key = right_key`` (one column or a list).
 
-    Rows with a NULL key part never match; they get a salt so they are spread
-    over ``salts`` shuffle partitions instead of one. The salt is 0 for every
-    non-NULL key on both sides, so matching is unchanged; both key columns
-    appear in the sort-merge join keys (checked in the tests). Key columns named
-    the same on both sides are kept once, from the left (like ``on=[names]``).
+    Rows with a NULL key part never match. For the join their key is a hash of ``row_id``
+    (default: the first of id, seq, task_id that ``left`` has), so they go to as many
+    partitions as other rows, and a condition on the left side keeps them from matching.
+    The right side is partitioned by its plain keys: its exchange can be shared, and a
+    bucketed table needs none. Key columns named the same on both sides are kept once,
+    from the left (like ``on=[names]``).
     """
     lk = [left_key] if isinstance(left_key, str) else list(left_key)
     rk = lk if right_key is None else ([right_key] if isinstance(right_key, str) else list(right_key))
+    row_id = row_id or next((c for c in ("id", "seq", "task_id") if c in left.columns), None)
+    row = F.xxhash64(row_id) if row_id else F.xxhash64(*[f.name for f in left.schema if not isinstance(f.dataType, T.StringType)])
     renamed = {c: f"_rk_{i}" for i, c in enumerate(rk) if c in left.columns}
     r = right.select(*[F.col(c).alias(renamed.get(c, c)) for c in right.columns])
-    rk2 = [renamed.get(c, c) for c in rk]
-    l_null = F.lit(False)
+    l = left.withColumns({f"_lk_{i}": _spread(left, c, row) for i, c in enumerate(lk)})
+    known = F.lit(True)
     for c in lk:
-        l_null = l_null | F.col(c).isNull()
-    r_null = F.lit(False)
-    for c in rk2:
-        r_null = r_null | F.col(c).isNull()
-    salt_l = F.when(l_null, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))) \
-              .otherwise(F.lit(0)).cast("int")
-    l = left.withColumn("_null_salt", salt_l)
-    # Always 0, but derived from the key so the optimizer cannot prove it: a
-    # literal (or ``isNull`` on a key declared NOT NULL) is constant-folded,
-    # turning the salt into a residual filter and dropping it from the join keys.
-    r = r.withColumn("_null_salt_r", F.when(r_null, F.lit(-1)).otherwise(
-        F.pmod(F.xxhash64(*[F.col(c) for c in rk2]), F.lit(1)).cast("int")))
-    cond = l["_null_salt"] == r["_null_salt_r"]
-    for a, b2 in zip(lk, rk2):
-        cond = cond & (l[a] == r[b2])
-    return l.join(r, cond, "left").drop("_null_salt", "_null_salt_r", *renamed.values())
+        known = known & l[c].isNotNull()
+    cond = known
+    for i, c in enumerate(rk):
+        cond = cond & (l[f"_lk_{i}"] == r[renamed.get(c, c)])
+    return l.join(r, cond, "left").drop(*[f"_lk_{i}" for i in range(len(lk))], *renamed.values())

@@ -8,10 +8,12 @@ M < N is obtained without a row loop: among the requests that pass the
 row-local checks, the one with the smallest ``seq`` per conflict key wins
 (a ``min`` aggregation, partial map-side, then a many-to-one join back).
 
-New ids are ``max(existing id) + seq`` for integer keys (a lazy scalar
-subquery), so a retried job mints the same ids; string keys get
-``sha2(batch_id || seq)``. The per-request decision table is checkpointed once
-(``decided``) and both the outcomes and the changed tables are read from it.
+New ids are ``max(existing id) + 1 + seq`` for integer keys (a lazy scalar subquery):
+a job that is retried on the same tables mints the same ids, but one that is run again
+after its tables were committed would not, so a committed batch must not be run again.
+String keys get ``sha2(table : batch_id : seq)``, the same in every run. Everything is
+lazy: outcomes alone cost no extra job. With ``materialize`` the decisions are
+checkpointed once, for callers that write several changed tables.
 """
 
 from __future__ import annotations
@@ -56,13 +58,15 @@ def _outcomes(df: DataFrame, outcome: Column) -> DataFrame:
              .withColumn("http_status", _http(F.col("outcome")))
 
 
-def new_ids(existing: DataFrame, seq: Column, batch_id: str = "batch", key: str = "id") -> Column:
-    """A3: deterministic ids for inserted rows."""
+def new_ids(existing: DataFrame, seq: Column, table: str, batch_id: str, key: str = "id") -> Column:
+    """A3: deterministic ids for inserted rows. ``batch_id`` names the batch in all time."""
+    if not batch_id:
+        raise ValueError("batch_id is required")
     dtype = existing.schema[key].dataType
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
         base = existing.select(F.coalesce(F.max(key), F.lit(-1)).cast("long") + 1).scalar()
         return (base + seq).cast(dtype)
-    return F.sha2(F.concat_ws(":", F.lit(batch_id), seq.cast("string")), 256)
+    return F.sha2(F.concat_ws(":", F.lit(table), F.lit(batch_id), seq.cast("string")), 256)
 
 
 def clean_id_list(ids: Column) -> Column:
@@ -92,8 +96,8 @@ def _first_per_key(valid: DataFrame, keys: list[str]) -> DataFrame:
     return valid.groupBy(*keys).agg(F.min("seq").alias("_first_seq"))
 
 
-def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "batch",
-                    materialize: bool = True) -> BatchResult:
+def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str,
+                    materialize: bool = False) -> BatchResult:
     """Name -> email -> job role -> duplicate email (store or earlier in batch) -> insert."""
     r = reqs.select("seq", "name", "email", "job_role").withColumns({
         "_email": normalize_email("email"), "_role": normalize_job_role("job_role")})
@@ -111,7 +115,7 @@ def onboard_members(users: DataFrame, reqs: DataFrame, as_of, batch_id: str = "b
     r = decided(r.withColumn("_outcome", outcome), materialize)
     ins = r.where(F.col("_outcome") == "inserted")
     new_users = ins.select(
-        new_ids(users, F.col("seq"), batch_id).alias("id"), ws_trim("name").alias("name"),
+        new_ids(users, F.col("seq"), "users", batch_id).alias("id"), ws_trim("name").alias("name"),
         F.col("_email").alias("email"), F.lit("member").alias("role"), F.col("_role").alias("job_role"),
         F.lit(True).alias("is_first_login"), as_of_lit(as_of).alias("created_at"))
     return BatchResult({"users": users.unionByName(new_users.select(*users.columns))},
@@ -122,8 +126,8 @@ def _member_ids(users: DataFrame) -> DataFrame:
     return users.where(F.col("role") == "member").select(F.col("id").alias("user_id")).withColumn("_is_member", F.lit(True))
 
 
-def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id: str = "batch",
-                    materialize: bool = True) -> BatchResult:
+def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id: str,
+                    materialize: bool = False) -> BatchResult:
     """Name -> every de-duplicated member id must be an existing 'member' -> insert
     the project, a creator link and the member links (ON CONFLICT DO NOTHING)."""
     uid = F.col("user_id")
@@ -138,7 +142,7 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
     outcome = (F.when(is_blank("name"), "invalid_name")
                 .when(F.coalesce(F.col("_bad"), F.lit(0)) > 0, "invalid_member")
                 .otherwise("inserted"))
-    r = decided(r.withColumn("_outcome", outcome).withColumn("_new_id", new_ids(ws.projects, F.col("seq"), batch_id)),
+    r = decided(r.withColumn("_outcome", outcome).withColumn("_new_id", new_ids(ws.projects, F.col("seq"), "projects", batch_id)),
                 materialize)
     ins = r.where(F.col("_outcome") == "inserted")
     new_projects = ins.select(
@@ -154,7 +158,7 @@ def create_projects(ws, reqs: DataFrame, req_members: DataFrame, as_of, batch_id
                         "project_members": pm}, _outcomes(r, F.col("_outcome")))
 
 
-def add_project_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult:
+def add_project_members(ws, reqs: DataFrame, materialize: bool = False) -> BatchResult:
     """User id -> existing 'member' -> project exists (R8) -> not yet linked
     (store or earlier in batch) -> insert."""
     r = left_lookup(reqs.select("seq", "project_id", "user_id"), _member_ids(ws.users), "user_id")
@@ -176,8 +180,8 @@ def add_project_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchR
                        _outcomes(r, F.col("_outcome")))
 
 
-def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch",
-                 materialize: bool = True) -> BatchResult:
+def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str,
+                 materialize: bool = False) -> BatchResult:
     """I4: title -> assignee given -> project exists -> assignee is a 'member'
     linked to that project -> insert with status 'todo'."""
     cols = reqs.columns
@@ -196,7 +200,7 @@ def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str = "batch",
     r = decided(r.withColumn("_outcome", outcome), materialize)
     ins = r.where(F.col("_outcome") == "inserted")
     new_tasks = ins.select(
-        new_ids(ws.tasks, F.col("seq"), batch_id).alias("id"),
+        new_ids(ws.tasks, F.col("seq"), "tasks", batch_id).alias("id"),
         F.col("project_id").cast(ws.tasks.schema["project_id"].dataType).alias("project_id"),
         ws_trim("title").alias("title"), trim_to_null("description").alias("description"),
         F.lit("todo").alias("status"),
@@ -232,7 +236,7 @@ def latest_applied(changes: DataFrame) -> DataFrame:
 
 
 def apply_status_changes(tasks: DataFrame, users: DataFrame, reqs: DataFrame,
-                         rule: str = "reference", materialize: bool = True) -> BatchResult:
+                         rule: str = "reference", materialize: bool = False) -> BatchResult:
     """Any transition between the three statuses is allowed once checks pass."""
     checked = decided(status_change_outcomes(tasks, users, reqs, rule), materialize)
     last = latest_applied(checked)
@@ -242,7 +246,7 @@ def apply_status_changes(tasks: DataFrame, users: DataFrame, reqs: DataFrame,
     return BatchResult({"tasks": new_tasks}, checked.select(*OUTCOME_COLS))
 
 
-def delete_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult:
+def delete_members(ws, reqs: DataFrame, materialize: bool = False) -> BatchResult:
     """User exists -> role is 'member' -> delete the user, their tasks and
     links, and set ``projects.created_by`` to NULL. A second request for the
     same user finds it gone (not_found)."""
@@ -270,7 +274,7 @@ def delete_members(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult
                        _outcomes(r, F.col("_outcome")))
 
 
-def delete_projects(ws, reqs: DataFrame, materialize: bool = True) -> BatchResult:
+def delete_projects(ws, reqs: DataFrame, materialize: bool = False) -> BatchResult:
     """Project exists -> delete it and cascade to links and tasks."""
     p = ws.projects.select(F.col("id").alias("project_id")).withColumn("_exists", F.lit(True))
     r = left_lookup(reqs.select("seq", "project_id"), p, "project_id")

@@ -1,277 +1,89 @@
 """Row numbers, group sizes, ``lag`` and running sums within groups, safe for hot groups.
 
-``Window.partitionBy(g)`` sends every row of a group to one task: a project
-holding a third of all tasks would be sorted by a single core. This module
-picks one of two plans:
-
-* ``window``: the plain window functions, used when the largest group is
-  small (checked with one aggregation that returns a single number).
-* ``range``: range-partition on (group, order) so a hot group is cut into
-  many partitions of bounded size, sort inside each partition, then number the
-  rows with Arrow in one pass. Rows of a group that started in an earlier
-  partition get an offset computed from per-partition boundary statistics:
-  at most two rows per partition, so the driver sees O(partitions) values,
-  never data. The sorted data is checkpointed to the shared checkpoint folder
-  so both passes see the same partitions even if an executor is lost.
+``Window.partitionBy(g)`` sends every row of a group to one task: a project holding a
+third of all tasks would be sorted by a single core, and a numbering without groups by
+one task altogether. Here the rows are range-partitioned on (group, order), so a hot
+group is cut into many partitions, and written to the shared checkpoint folder with the
+number of their partition. A *piece* is a group's part of one partition. Windows run
+within pieces; what earlier pieces of the group add (rows, sums, the last row's values)
+comes from one row per piece, joined back. It is one plan at every size.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.session import checkpoint_root, ship_package
-
-DEFAULT_MAX_GROUP_ROWS = 1_000_000
-# Rows per range partition in the range plan: each task holds one partition in
-# Arrow memory while numbering it.
-ROWS_PER_PARTITION = 2_000_000
-
-
-def group_sizes(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
-    """(rows in the largest group, total rows): one aggregation, two numbers back."""
-    if not group_cols:
-        n = df.select(F.count(F.lit(1))).first()[0]
-        return int(n), int(n)
-    r = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    return int(r[0] or 0), int(r[1] or 0)
-
-
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the largest group."""
-    return group_sizes(df, group_cols)[0]
-
-
-def range_partitions(spark, total_rows: int | None) -> int:
-    """Partition count for the range plan: at least the shuffle setting, and
-    enough that no partition exceeds ``ROWS_PER_PARTITION`` rows."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if total_rows:
-        n = max(n, -(-total_rows // ROWS_PER_PARTITION))
-    return n
+from workboard.session import scratch_path
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "ordered")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _before_pieces(pieces: DataFrame, grouped: bool, lag_cols, sum_cols) -> DataFrame:
+    """Rows, sums and last values of the earlier pieces of each piece's group, and the
+    group's size. Without groups there is one piece for each partition: the driver adds
+    those few rows up."""
+    if grouped:
+        upto = Window.partitionBy("_group").orderBy("_part")
+        earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
+        return pieces.select(
+            "_group", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(Window.partitionBy("_group")).alias("_size"),
+            *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sum_cols],
+            *[F.lag(f"_last.{c}").over(upto).alias(f"_prev_{c}") for c in lag_cols])
+    rows = sorted(pieces.collect(), key=lambda r: r["_part"])
+    total, sums, last, out = 0, [0] * len(sum_cols), [None] * len(lag_cols), []
+    size = sum(r["_rows"] for r in rows)
+    for r in rows:
+        out.append((r["_part"], total, size, *sums, *last))
+        total += r["_rows"]
+        sums = [s + r[f"_sum_{c}"] for s, c in zip(sums, sum_cols)]
+        last = [r["_last"][c] for c in lag_cols]
+    kinds = {f.name: f.dataType for f in pieces.schema["_last"].dataType.fields} if lag_cols else {}
+    schema = T.StructType(
+        [T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("_size", T.LongType())]
+        + [T.StructField(f"_before_{c}", T.LongType()) for c in sum_cols]
+        + [T.StructField(f"_prev_{c}", kinds[c]) for c in lag_cols])
+    return pieces.sparkSession.createDataFrame(out, schema)
 
 
 def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Column], *,
                          pos_col: str = "pos", size_col: str | None = None,
                          lag_cols: tuple[str, ...] = (), sum_cols: tuple[str, ...] = (),
-                         strategy: str = "auto",
-                         max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
-                         num_partitions: int | None = None, total_rows: int | None = None,
-                         size_probe: DataFrame | None = None) -> DataFrame:
+                         num_partitions: int | None = None) -> DataFrame:
     """Add ``pos_col`` (1-based row number in ``order_by`` order within the group),
     optionally ``size_col`` (rows in the group), ``prev_<c>`` for ``lag_cols``
     and ``cum_<c>`` (running sum up to and including the row, NULL as 0) for
     the integral ``sum_cols``.
 
     ``order_by`` should be a total order inside a group (end with a unique key)
-    so the numbering is deterministic. ``size_probe`` is an optional cheaper
-    DataFrame with the same group columns and at least as many rows per group
-    (an upper bound is enough: it can only choose the range plan earlier), used
-    for the ``auto`` size check instead of evaluating ``df`` twice.
+    so the numbering is deterministic. NULL group values form groups of their own.
     """
-    total = total_rows
-    if strategy == "auto":
-        biggest, total = group_sizes(size_probe if size_probe is not None else df, group_cols)
-        strategy = "window" if biggest <= max_group_rows else "range"
-    if strategy == "window":
-        return _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols, sum_cols)
-    if strategy == "range":
-        if num_partitions is None and total is None:
-            total = df.select(F.count(F.lit(1))).first()[0]
-        n = num_partitions or range_partitions(df.sparkSession, total)
-        return _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, n, sum_cols)
-    raise ValueError("strategy must be auto, window or range")
-
-
-def _with_window(df, group_cols, order_by, pos_col, size_col, lag_cols, sum_cols=()):
-    w = Window.partitionBy(*group_cols).orderBy(*order_by)
-    out = df.withColumn(pos_col, F.row_number().over(w).cast("long"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_group", F.struct(*group_cols)) if group_cols else df
+    piece = ["_group", "_part"] if group_cols else ["_part"]
+    sort = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_by)
+    rows = _written(keyed.repartitionByRange(n, *sort).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(*piece).orderBy(*order_by)
+    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in sum_cols}
+    placed = rows.withColumn("_at", F.row_number().over(local))
+    pieces = (placed if lag_cols else rows).groupBy(*piece).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(value[c]).alias(f"_sum_{c}") for c in sum_cols],
+        *([F.max_by(F.struct(*lag_cols), "_at").alias("_last")] if lag_cols else []))
+    before = _before_pieces(pieces, bool(group_cols), lag_cols, sum_cols)
     for c in lag_cols:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = placed.withColumn(f"_lag_{c}", F.lag(c).over(local))
     for c in sum_cols:
-        out = out.withColumn(f"cum_{c}", F.sum(F.coalesce(F.col(c), F.lit(0))).over(running).cast("long"))
+        placed = placed.withColumn(f"_run_{c}", F.sum(value[c]).over(running))
+    out = [(F.col("_at") + F.col("_before")).alias(pos_col)]
     if size_col:
-        out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("long"))
-    return out
-
-
-def _group_key(group_cols: list[str]) -> Column:
-    if not group_cols:
-        return F.lit("")
-    # to_json of a struct is exact and keeps NULL distinct from any value.
-    return F.to_json(F.struct(*[F.col(c) for c in group_cols]))
-
-
-def _partition_stats(lag_cols, sum_cols=()):
-    """Per partition: the leading run (first group, its row count and sums), the
-    trailing run (last group, its row count and sums) and the last row's
-    ``lag_cols`` values."""
-    k = len(sum_cols)
-
-    def fn(batches):
-        pid = first_gk = last_gk = None
-        first_n = last_n = 0
-        first_s = np.zeros(k, dtype=np.int64)
-        last_s = np.zeros(k, dtype=np.int64)
-        first_open = False
-        last_vals = None
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            pid = b.column(0)[0].as_py()
-            gk = b.column(1).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.r_[True, gk[1:] != gk[:-1]])
-            lead = int(starts[1]) if len(starts) > 1 else len(gk)
-            single = len(starts) == 1
-            vals = [pc.fill_null(b.column(2 + len(lag_cols) + j), 0).to_numpy().astype(np.int64) for j in range(k)]
-            lead_s = np.array([v[:lead].sum() for v in vals], dtype=np.int64)
-            tail_s = np.array([v[int(starts[-1]):].sum() for v in vals], dtype=np.int64)
-            if first_gk is None:
-                first_gk, first_n, first_open, first_s = gk[0], lead, single, lead_s
-            elif first_open:
-                if gk[0] == first_gk:
-                    first_n += lead
-                    first_s = first_s + lead_s
-                    first_open = single
-                else:
-                    first_open = False
-            if single and last_gk is not None and gk[0] == last_gk:
-                last_n += len(gk)
-                last_s = last_s + lead_s
-            else:
-                last_gk, last_n, last_s = gk[starts[-1]], len(gk) - int(starts[-1]), tail_s
-            last_vals = [b.column(2 + i).slice(b.num_rows - 1, 1) for i in range(len(lag_cols))]
-        if pid is None:
-            return
-        arrays = [pa.array([pid], pa.int32()), pa.array([first_gk], pa.string()),
-                  pa.array([first_n], pa.int64()), pa.array([last_gk], pa.string()),
-                  pa.array([last_n], pa.int64())] + last_vals
-        arrays += [pa.array([int(first_s[j])], pa.int64()) for j in range(k)]
-        arrays += [pa.array([int(last_s[j])], pa.int64()) for j in range(k)]
-        names = (["pid", "first_gk", "first_n", "last_gk", "last_n"] + [f"last_{c}" for c in lag_cols]
-                 + [f"first_s_{c}" for c in sum_cols] + [f"last_s_{c}" for c in sum_cols])
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-    return fn
-
-
-def _boundary_plan(stats: list, lag_cols, sum_cols=()):
-    """From per-partition boundary rows: row offsets, group totals, carried lag
-    values and carried sums (for the first group of each partition)."""
-    stats = sorted(stats, key=lambda r: r["pid"])
-    per_part = []
-    for r in stats:
-        first = (r["first_n"], [r[f"first_s_{c}"] for c in sum_cols])
-        d = {r["first_gk"]: first}
-        d[r["last_gk"]] = (r["last_n"], [r[f"last_s_{c}"] for c in sum_cols]) if r["last_gk"] != r["first_gk"] else first
-        per_part.append((r["pid"], d))
-    totals: dict = defaultdict(int)
-    sums: dict = defaultdict(lambda: [0] * len(sum_cols))
-    offsets = {}
-    sum_offsets = {}
-    for pid, d in per_part:
-        for gk, (n, s) in d.items():
-            offsets[(pid, gk)] = totals[gk]
-            sum_offsets[(pid, gk)] = list(sums[gk])
-            totals[gk] += n
-            sums[gk] = [a + b for a, b in zip(sums[gk], s)]
-    carry = {}
-    prev = None
-    for r in stats:
-        if prev is not None and prev["last_gk"] == r["first_gk"]:
-            carry[r["pid"]] = [prev[f"last_{c}"] for c in lag_cols]
-        prev = r
-    return offsets, dict(totals), carry, sum_offsets
-
-
-def _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names, sum_cols=(), sum_offsets=None):
-    def fn(batches):
-        bs = [b for b in batches if b.num_rows]
-        if not bs:
-            return
-        tbl = pa.Table.from_batches(bs).combine_chunks()
-        n = tbl.num_rows
-        pid = tbl.column("_pid")[0].as_py()
-        gk = tbl.column("_gk").to_numpy(zero_copy_only=False)
-        starts = np.r_[True, gk[1:] != gk[:-1]]
-        start_idx = np.flatnonzero(starts)
-        gid = np.cumsum(starts) - 1
-        pos = np.arange(n) - start_idx[gid] + 1
-        first = gid == 0
-        pos[first] += offsets.get((pid, gk[0]), 0)
-        cols = {}
-        cols[pos_col] = pa.array(pos.astype(np.int64))
-        if size_col:
-            local = np.diff(np.r_[start_idx, n])
-            sizes = local[gid].astype(np.int64)
-            for g in {0, len(start_idx) - 1}:
-                key = gk[start_idx[g]]
-                if key in totals:
-                    sizes[gid == g] = totals[key]
-            cols[size_col] = pa.array(sizes)
-        for j, c in enumerate(sum_cols):
-            v = pc.fill_null(tbl.column(c).combine_chunks(), 0).to_numpy().astype(np.int64)
-            cs = np.cumsum(v)
-            local = cs - (cs[start_idx] - v[start_idx])[gid]
-            local[first] += sum_offsets.get((pid, gk[0]), [0] * len(sum_cols))[j]
-            cols[f"cum_{c}"] = pa.array(local)
-        carried = carry.get(pid)
-        for i, c in enumerate(lag_cols):
-            arr = tbl.column(c).combine_chunks()
-            head = pa.array([carried[i] if carried else None], type=arr.type)
-            ext = pa.concat_arrays([head, arr])
-            mask = starts.copy()
-            if carried:
-                mask[0] = False
-            cols[f"prev_{c}"] = pc.take(ext, pa.array(np.arange(n), mask=mask))
-        out = tbl.drop_columns(["_gk", "_pid"])
-        for name in out_names:
-            out = out.append_column(name, cols[name])
-        for b in out.to_batches(max_chunksize=8192):
-            yield b
-    return fn
-
-
-def _with_range(df, group_cols, order_by, pos_col, size_col, lag_cols, num_partitions, sum_cols=()):
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    ship_package(spark)
-    n = num_partitions
-    sort_exprs = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_by)
-    keyed = df.withColumn("_gk", _group_key(group_cols))
-    ordered = keyed.repartitionByRange(n, *sort_exprs).sortWithinPartitions(*sort_exprs)
-    ordered = ordered.checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
-
-    types = {f.name: f.dataType for f in df.schema.fields}
-    stat_schema = T.StructType(
-        [T.StructField("pid", T.IntegerType()), T.StructField("first_gk", T.StringType()),
-         T.StructField("first_n", T.LongType()), T.StructField("last_gk", T.StringType()),
-         T.StructField("last_n", T.LongType())]
-        + [T.StructField(f"last_{c}", types[c]) for c in lag_cols]
-        + [T.StructField(f"first_s_{c}", T.LongType()) for c in sum_cols]
-        + [T.StructField(f"last_s_{c}", T.LongType()) for c in sum_cols])
-    stats = (ordered.select("_pid", "_gk", *lag_cols, *sum_cols)
-                    .mapInArrow(_partition_stats(lag_cols, sum_cols), stat_schema).collect())
-    offsets, totals, carry, sum_offsets = _boundary_plan([r.asDict() for r in stats], lag_cols, sum_cols)
-
-    out_fields = [f for f in df.schema.fields]
-    out_names = [pos_col]
-    out_fields.append(T.StructField(pos_col, T.LongType()))
-    if size_col:
-        out_names.append(size_col)
-        out_fields.append(T.StructField(size_col, T.LongType()))
-    for c in lag_cols:
-        out_names.append(f"prev_{c}")
-        out_fields.append(T.StructField(f"prev_{c}", types[c]))
-    for c in sum_cols:
-        out_names.append(f"cum_{c}")
-        out_fields.append(T.StructField(f"cum_{c}", T.LongType()))
-    fn = _numbering(offsets, totals, carry, pos_col, size_col, lag_cols, out_names, sum_cols, sum_offsets)
-    inp = ordered.select(*df.columns, "_gk", "_pid")
-    return inp.mapInArrow(fn, T.StructType(out_fields))
+        out.append(F.col("_size").alias(size_col))
+    out += [F.when(F.col("_at") == 1, F.col(f"_prev_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}") for c in lag_cols]
+    out += [(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sum_cols]
+    return placed.join(before, piece).select(*df.columns, *out)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from workboard.functions.status import as_of_lit
 from workboard.operators.listing import scope_tasks, task_listing, visible_projects
 from workboard.operators.ordered import number_within_groups
-from workboard.operators.rollups import page_count_col
 
 CURSOR_MODES = ("composite", "timestamp")
 TASK_PAGE_LIMIT = 50      # reference default page size for tasks
@@ -86,41 +85,32 @@ def clamp_page(n_rows: int, page: int, size: int = CLIENT_PAGE_SIZE) -> int:
     return min(max(1, page), pages)
 
 
-# Largest offset + size served by a top-k (each task keeps that many rows and
-# the driver merges them); deeper pages are cut from a distributed numbering.
-MAX_TOP_K_ROWS = 100_000
-
-
 def offset_page(df: DataFrame, page: int, size: int = CLIENT_PAGE_SIZE,
-                order_by: list[Column] | None = None) -> DataFrame:
+                order_by: list[Column] | None = None, keys: DataFrame | None = None, key: str = "id") -> DataFrame:
     """page ``page`` (clamped into [1, page_count]) of ``size`` rows.
 
-    The clamp needs the row count: one aggregation returning one number.
+    ``keys`` has a row for each row of ``df`` with its ``key`` and the ordering columns
+    (default: ``df`` itself); a narrow table spares counting and sorting a joined
+    listing. The page's keys are cut out of a distributed numbering, at any offset, and
+    only rows with these keys are fetched.
     """
     size = _check_limit(size)
-    n = df.select(F.count(F.lit(1))).first()[0]
-    p = clamp_page(n, page, size)
     order_by = order_by or newest_first()
-    start = (p - 1) * size
-    if start + size <= MAX_TOP_K_ROWS:
-        return df.orderBy(*order_by).offset(start).limit(size)
-    numbered = number_within_groups(df, [], order_by, pos_col="_row", strategy="range", total_rows=n)
-    return (numbered.where((F.col("_row") > start) & (F.col("_row") <= start + size))
-                    .orderBy("_row").drop("_row"))
+    keys = df if keys is None else keys
+    start = (clamp_page(keys.count(), page, size) - 1) * size
+    numbered = number_within_groups(keys, [], order_by, pos_col="_row")
+    wanted = numbered.where((F.col("_row") > start) & (F.col("_row") <= start + size)).select(key)
+    return df.join(wanted, key, "left_semi").select(*df.columns).orderBy(*order_by)
 
 
 def assign_pages(df: DataFrame, size: int = CLIENT_PAGE_SIZE, order_by: list[Column] | None = None,
-                 group_cols: list[str] | None = None, strategy: str = "auto") -> DataFrame:
+                 group_cols: list[str] | None = None) -> DataFrame:
     """page number and row number for every row (export form of F1/F4).
 
-    Without groups this is a global numbering; it never uses an un-partitioned
-    window on large inputs (see ``operators.ordered``).
+    Without groups this is a global numbering; no window runs over more than one
+    range partition (see ``operators.ordered``).
     """
     size = _check_limit(size)
     order_by = order_by or newest_first()
-    out = number_within_groups(df, group_cols or [], order_by, pos_col="row_number", strategy=strategy)
+    out = number_within_groups(df, group_cols or [], order_by, pos_col="row_number")
     return out.withColumn("page", ((F.col("row_number") - 1) / F.lit(size)).cast("long") + 1)
-
-
-def page_count_of(df: DataFrame, size: int = CLIENT_PAGE_SIZE) -> DataFrame:
-    return df.agg(page_count_col(F.count(F.lit(1)), size).alias("page_count"))

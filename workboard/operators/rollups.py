@@ -156,7 +156,7 @@ def board_counts(tasks: DataFrame, projects: DataFrame) -> DataFrame:
 
 def page_count_col(n: Column, size: int) -> Column:
     """``max(1, ceil(n / size))``."""
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("long")
 
 
 def page_count(df: DataFrame, size: int = 8) -> DataFrame:

@@ -7,14 +7,31 @@ generated from the Spark code.
 
 from __future__ import annotations
 
-from workboard.functions.text import JOB_ROLE_LOOKUP, JS_TRIM_PATTERN
-from workboard.plans.params import (AS_OF_SQL, CURSOR, CURSOR_SQL, EMAIL, OFFSET_PAGE, PAGE_SIZE,
+from workboard.plans.params import (AS_OF_SQL, CURSOR, CURSOR_SQL, EMAIL, OFFSET_PAGE, PAGE_SIZE, PAGE_VIEWER,
                                     PROJECT, PROJECT_CURSOR, PROJECT_CURSOR_SQL, PROJECT_LIMIT,
                                     TASK_ID, TASK_LIMIT, VIEWER_MEMBER)
 
 
+# Fixed values, spelled out here so that an error in the library's own does not agree with itself:
+# the white space of ECMAScript trim() and the job roles by their lookup key.
+SPACE = (r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+         r"\x{202F}\x{205F}\x{3000}\x{FEFF}]")
+ROLES = {
+    "full stack developer": "Full Stack Developer",
+    "frontend developer": "Frontend Developer",
+    "backend developer": "Backend Developer",
+    "qa engineer": "QA Engineer",
+    "ui ux designer": "UI/UX Designer",
+    "devops engineer": "DevOps Engineer",
+    "product manager": "Product Manager",
+    "business analyst": "Business Analyst",
+    "support engineer": "Support Engineer",
+    "team member": "Team Member",
+}
+
+
 def js_trim(x: str) -> str:
-    return f"regexp_replace({x}, '{JS_TRIM_PATTERN}', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+\\z', '', 'g')"
 
 
 def blank(x: str) -> str:
@@ -23,7 +40,7 @@ def blank(x: str) -> str:
 
 def role_norm(x: str) -> str:
     key = f"regexp_replace(lower({js_trim(x)}), '[^a-z0-9]+', ' ', 'g')"
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in JOB_ROLE_LOOKUP.items())
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROLES.items())
     return f"(CASE {key} {whens} END)"
 
 
@@ -40,13 +57,12 @@ users AS (
 projects AS (
   SELECT s_suppkey AS id, s_name AS name,
          CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE concat('nation ', CAST(s_nationkey AS VARCHAR)) END AS description,
-         CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE (s_suppkey % 3) * 50 END AS created_by,
+         CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 2 = 1 THEN s_suppkey ELSE (s_suppkey % 3) * 50 END AS created_by,
          CAST(DATE '1995-01-01' + CAST(s_suppkey % 90 AS INT) AS TIMESTAMP) AS created_at
   FROM supplier),
 project_members AS (
   SELECT DISTINCT l_suppkey AS project_id, o_custkey AS user_id
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_suppkey % 19 <> 0),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 tasks AS (
   SELECT o_orderkey AS id,
          CAST(o_orderkey % (SELECT CAST(floor(count(*) * 1.1) AS BIGINT) FROM supplier) AS BIGINT) AS project_id,
@@ -75,7 +91,7 @@ onboard_reqs AS (
          CASE WHEN p_partkey % 10 = 0 THEN '   ' ELSE concat(' ', p_name, ' ') END AS name,
          CASE WHEN p_partkey % 7 = 0 THEN 'no-at-sign'
               WHEN p_partkey % 5 = 0 THEN concat(' CUSTOMER#', lpad(CAST(p_partkey % 50 AS VARCHAR), 9, '0'), '@EXAMPLE.COM ')
-              ELSE concat('New', CAST(p_partkey % 60 AS VARCHAR), '@Example.com') END AS email,
+              ELSE concat('New', CAST(p_partkey // 3 AS VARCHAR), '@Example.com') END AS email,
          CASE p_partkey % 4 WHEN 0 THEN 'qa  engineer' WHEN 1 THEN 'UI/UX designer' WHEN 2 THEN 'Astronaut'
               ELSE ' DevOps-Engineer' END AS job_role
   FROM part),
@@ -145,10 +161,10 @@ def _with(body: str, requests: bool = False) -> str:
 
 
 def _stats(src: str) -> str:
-    return f"""SELECT CAST(count(*) AS INT) AS total_tasks,
-       CAST(count(*) FILTER (WHERE status = 'completed') AS INT) AS completed_tasks,
-       CAST(count(*) FILTER (WHERE status = 'in_progress') AS INT) AS in_progress_tasks,
-       CAST(count(*) FILTER (WHERE status <> 'completed' AND due_date IS NOT NULL AND due_date < {AS_OF_SQL}) AS INT) AS overdue_tasks
+    return f"""SELECT CAST(count(*) AS BIGINT) AS total_tasks,
+       CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed_tasks,
+       CAST(count(*) FILTER (WHERE status = 'in_progress') AS BIGINT) AS in_progress_tasks,
+       CAST(count(*) FILTER (WHERE status <> 'completed' AND due_date IS NOT NULL AND due_date < {AS_OF_SQL}) AS BIGINT) AS overdue_tasks
 FROM {src}"""
 
 
@@ -171,18 +187,72 @@ def _outcome_select(src: str) -> str:
     return f"SELECT CAST(seq AS BIGINT) AS seq, outcome, CAST({HTTP} AS INT) AS http_status FROM {src}"
 
 
+ONBOARD_CHECKED = f"""(
+  SELECT r.seq,
+         CASE WHEN {blank('r.name')} THEN 'invalid_name'
+              WHEN NOT coalesce(contains(r.email, '@'), false) THEN 'invalid_email'
+              WHEN {role_norm('r.job_role')} IS NULL THEN 'invalid_job_role'
+              WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = {js_trim('lower(r.email)')}) THEN 'duplicate'
+              WHEN EXISTS (SELECT 1 FROM onboard_reqs e
+                           WHERE e.seq < r.seq AND {js_trim('lower(e.email)')} = {js_trim('lower(r.email)')}
+                             AND NOT {blank('e.name')} AND coalesce(contains(e.email, '@'), false)
+                             AND {role_norm('e.job_role')} IS NOT NULL) THEN 'duplicate'
+              ELSE 'inserted' END AS outcome
+  FROM onboard_reqs r)"""
+
+PROJECTS_CHECKED = """(
+  SELECT r.seq,
+         CASE WHEN """ + blank("r.name") + """ THEN 'invalid_name'
+              WHEN EXISTS (SELECT 1 FROM project_req_members m
+                           WHERE m.seq = r.seq AND m.user_id IS NOT NULL
+                             AND m.user_id NOT IN (SELECT id FROM users WHERE role = 'member')) THEN 'invalid_member'
+              ELSE 'inserted' END AS outcome
+  FROM project_reqs r)"""
+
+LINKS_CHECKED = """(
+  SELECT r.seq,
+         CASE WHEN r.user_id IS NULL THEN 'missing_user'
+              WHEN r.user_id NOT IN (SELECT id FROM users WHERE role = 'member') THEN 'not_member'
+              WHEN r.project_id NOT IN (SELECT id FROM projects) THEN 'project_not_found'
+              WHEN EXISTS (SELECT 1 FROM project_members pm WHERE pm.project_id = r.project_id AND pm.user_id = r.user_id) THEN 'already_member'
+              WHEN EXISTS (SELECT 1 FROM link_reqs e WHERE e.seq < r.seq AND e.project_id = r.project_id AND e.user_id = r.user_id
+                           AND e.user_id IN (SELECT id FROM users WHERE role = 'member')
+                           AND e.project_id IN (SELECT id FROM projects)) THEN 'already_member'
+              ELSE 'inserted' END AS outcome
+  FROM link_reqs r)"""
+
+TASKS_CHECKED = """(
+  SELECT r.seq,
+         CASE WHEN """ + blank("r.title") + """ THEN 'invalid_title'
+              WHEN r.assigned_to IS NULL THEN 'missing_assignee'
+              WHEN r.project_id NOT IN (SELECT id FROM projects) THEN 'project_not_found'
+              WHEN NOT EXISTS (SELECT 1 FROM project_members pm JOIN users u ON u.id = pm.user_id
+                               WHERE pm.project_id = r.project_id AND pm.user_id = r.assigned_to AND u.role = 'member') THEN 'not_project_member'
+              ELSE 'inserted' END AS outcome
+  FROM task_reqs r)"""
+
+MEMBER_DELETES_CHECKED = """(
+  SELECT r.seq,
+         CASE WHEN u.id IS NULL THEN 'not_found'
+              WHEN u.role IS DISTINCT FROM 'member' THEN 'not_member'
+              WHEN r.seq = (SELECT min(e.seq) FROM member_delete_reqs e WHERE e.user_id = r.user_id) THEN 'deleted'
+              ELSE 'not_found' END AS outcome
+  FROM member_delete_reqs r LEFT JOIN users u ON u.id = r.user_id)"""
+
+
 ORACLE = {
     "task_stats": _with(_stats("tasks")),
     "task_stats_member": _with(_stats(f"tasks WHERE assigned_to = {VIEWER_MEMBER}")),
     "task_stats_by_member": _with(f"""
-SELECT u.id AS user_id, CAST(count(t.id) AS INT) AS total_tasks,
-       CAST(count(t.id) FILTER (WHERE t.status = 'completed') AS INT) AS completed_tasks,
-       CAST(count(t.id) FILTER (WHERE t.status = 'in_progress') AS INT) AS in_progress_tasks,
-       CAST(count(t.id) FILTER (WHERE t.status <> 'completed' AND t.due_date IS NOT NULL AND t.due_date < {AS_OF_SQL}) AS INT) AS overdue_tasks
+SELECT u.id AS user_id, CAST(count(t.id) AS BIGINT) AS total_tasks,
+       CAST(count(t.id) FILTER (WHERE t.status = 'completed') AS BIGINT) AS completed_tasks,
+       CAST(count(t.id) FILTER (WHERE t.status = 'in_progress') AS BIGINT) AS in_progress_tasks,
+       CAST(count(t.id) FILTER (WHERE t.status <> 'completed' AND t.due_date IS NOT NULL AND t.due_date < {AS_OF_SQL}) AS BIGINT) AS overdue_tasks
 FROM users u LEFT JOIN tasks t ON t.assigned_to = u.id GROUP BY u.id"""),
     "tasks_per_member_name": _with("""
-SELECT u.name AS member_name, count(t.id) AS total
-FROM tasks t JOIN users u ON CAST(t.assigned_to AS VARCHAR) = CAST(u.id AS VARCHAR) GROUP BY u.name"""),
+SELECT u.name AS member_name, CAST(sum(n.tasks) AS BIGINT) AS total
+FROM (SELECT assigned_to, count(*) AS tasks FROM tasks GROUP BY assigned_to) n JOIN users u ON u.id = n.assigned_to
+GROUP BY u.name"""),
     "status_distribution": _with("SELECT status, count(*) AS task_count FROM tasks GROUP BY status"),
     "member_directory": _with("""
 SELECT id, name, email, COALESCE(job_role, 'Team Member') AS job_role, created_at
@@ -199,13 +269,12 @@ SELECT {PAGE_COLS} FROM listing WHERE project_id = {PROJECT}
 SELECT {PAGE_COLS} FROM listing WHERE project_id = {PROJECT} AND created_at < {CURSOR_SQL}
 {NEWEST} LIMIT {TASK_LIMIT}"""),
     "task_page_member": _with(f"""
-SELECT {PAGE_COLS} FROM listing WHERE project_id = {PROJECT} AND assignee_id = {VIEWER_MEMBER}
+SELECT {PAGE_COLS} FROM listing WHERE project_id = {PROJECT} AND assignee_id = {PAGE_VIEWER}
 {NEWEST} LIMIT {TASK_LIMIT}"""),
     "project_page_member": _with(f"""
-SELECT DISTINCT p.id, p.name, p.description, p.created_by, p.created_at
-FROM projects p LEFT JOIN project_members pm ON CAST(p.id AS VARCHAR) = CAST(pm.project_id AS VARCHAR)
-WHERE (pm.user_id = {VIEWER_MEMBER} OR p.created_by = {VIEWER_MEMBER})
-ORDER BY p.created_at DESC NULLS FIRST, p.id DESC LIMIT {PROJECT_LIMIT}"""),
+SELECT id, name, description, created_by, created_at FROM projects
+WHERE created_by = {VIEWER_MEMBER} OR id IN (SELECT project_id FROM project_members WHERE user_id = {VIEWER_MEMBER})
+{NEWEST} LIMIT {PROJECT_LIMIT}"""),
     "project_page_admin": _with(f"SELECT id, name, description, created_by, created_at FROM projects {NEWEST} LIMIT {PROJECT_LIMIT}"),
     "project_page_next": _with(f"""
 SELECT id, name, description, created_by, created_at FROM projects
@@ -216,9 +285,8 @@ SELECT DISTINCT p.id, p.name, p.description, p.created_by, p.created_at
 FROM projects p LEFT JOIN project_members pm ON p.id = pm.project_id
 WHERE pm.user_id = {VIEWER_MEMBER} OR p.created_by = {VIEWER_MEMBER}"""),
     "project_members_list": _with(f"""
-SELECT u.id, u.name, u.email, u.role, COALESCE(u.job_role, 'Team Member') AS job_role
-FROM users u JOIN project_members pm ON CAST(u.id AS VARCHAR) = CAST(pm.user_id AS VARCHAR)
-WHERE pm.project_id = {PROJECT} AND u.role = 'member' ORDER BY u.name, u.id"""),
+SELECT id, name, email, role, COALESCE(job_role, 'Team Member') AS job_role FROM users
+WHERE role = 'member' AND id IN (SELECT user_id FROM project_members WHERE project_id = {PROJECT}) ORDER BY name, id"""),
     "available_members": _with(f"""
 SELECT id, name, email, COALESCE(job_role, 'Team Member') AS job_role FROM users
 WHERE role = 'member' AND id NOT IN (SELECT user_id FROM project_members WHERE project_id = {PROJECT})"""),
@@ -234,27 +302,26 @@ WHERE u.role = 'member' AND m.user_id IS NOT NULL""", requests=True),
     "task_detail": _with(f"SELECT {LISTING_COLS} FROM listing WHERE id = {TASK_ID}"),
     "member_rollup": _with("""
 SELECT u.id, u.name, u.email, COALESCE(u.job_role, 'Team Member') AS job_role, u.created_at,
-       CAST((SELECT count(DISTINCT pm.project_id) FROM project_members pm WHERE pm.user_id = u.id) AS INT) AS project_count,
-       CAST((SELECT count(t.id) FROM tasks t WHERE t.assigned_to = u.id) AS INT) AS assigned_task_count,
-       CAST((SELECT count(t.id) FROM tasks t WHERE t.assigned_to = u.id AND t.status = 'completed') AS INT) AS completed_task_count
+       CAST((SELECT count(DISTINCT pm.project_id) FROM project_members pm WHERE pm.user_id = u.id) AS BIGINT) AS project_count,
+       CAST((SELECT count(t.id) FROM tasks t WHERE t.assigned_to = u.id) AS BIGINT) AS assigned_task_count,
+       CAST((SELECT count(t.id) FROM tasks t WHERE t.assigned_to = u.id AND t.status = 'completed') AS BIGINT) AS completed_task_count
 FROM users u WHERE u.role = 'member' ORDER BY u.created_at DESC, u.id DESC"""),
     "member_rollup_fanout": _with("""
 SELECT u.id, u.name, u.email, COALESCE(u.job_role, 'Team Member') AS job_role, u.created_at,
-       CAST(COUNT(DISTINCT pm.project_id) AS INT) AS project_count,
-       CAST(COUNT(t.id) AS INT) AS assigned_task_count,
-       CAST(COUNT(t.id) FILTER (WHERE t.status = 'completed') AS INT) AS completed_task_count
+       CAST(COALESCE(l.projects, 0) AS BIGINT) AS project_count,
+       CAST(greatest(COALESCE(l.links, 0), 1) * COALESCE(n.tasks, 0) AS BIGINT) AS assigned_task_count,
+       CAST(greatest(COALESCE(l.links, 0), 1) * COALESCE(n.done, 0) AS BIGINT) AS completed_task_count
 FROM users u
-LEFT JOIN project_members pm ON CAST(pm.user_id AS VARCHAR) = CAST(u.id AS VARCHAR)
-LEFT JOIN tasks t ON CAST(t.assigned_to AS VARCHAR) = CAST(u.id AS VARCHAR)
-WHERE u.role = 'member'
-GROUP BY u.id, u.name, u.email, u.job_role, u.created_at"""),
+LEFT JOIN (SELECT user_id, count(*) AS links, count(DISTINCT project_id) AS projects FROM project_members GROUP BY user_id) l
+       ON l.user_id = u.id
+LEFT JOIN (SELECT assigned_to, count(*) AS tasks, count(*) FILTER (WHERE status = 'completed') AS done
+           FROM tasks GROUP BY assigned_to) n ON n.assigned_to = u.id
+WHERE u.role = 'member'"""),
     "project_rollup": _with("""
-SELECT p.id, p.name, p.description, p.created_at,
-       CAST(COUNT(DISTINCT CASE WHEN u.role = 'member' THEN pm.user_id END) AS INT) AS member_count
+SELECT p.id, p.name, p.description, p.created_at, CAST(COALESCE(m.members, 0) AS BIGINT) AS member_count
 FROM projects p
-LEFT JOIN project_members pm ON CAST(pm.project_id AS VARCHAR) = CAST(p.id AS VARCHAR)
-LEFT JOIN users u ON CAST(u.id AS VARCHAR) = CAST(pm.user_id AS VARCHAR)
-GROUP BY p.id, p.name, p.description, p.created_at"""),
+LEFT JOIN (SELECT project_id, count(DISTINCT user_id) AS members FROM project_members
+           WHERE user_id IN (SELECT id FROM users WHERE role = 'member') GROUP BY project_id) m ON m.project_id = p.id"""),
     "project_roster_long": _with("""
 SELECT DISTINCT pm.project_id, u.id AS member_id, u.name AS member_name, u.email AS member_email,
        u.role AS member_role, COALESCE(u.job_role, 'Team Member') AS member_job_role
@@ -334,55 +401,13 @@ UNION ALL SELECT 'tasks', 'length_status', count(*) FILTER (WHERE length(status)
 UNION ALL SELECT 'tasks', 'fk_project', count(*) FILTER (WHERE project_id IS NOT NULL AND project_id NOT IN (SELECT id FROM projects)) FROM tasks
 UNION ALL SELECT 'tasks', 'fk_assigned_to', count(*) FILTER (WHERE assigned_to IS NOT NULL AND assigned_to NOT IN (SELECT id FROM users)) FROM tasks
 UNION ALL SELECT 'tasks', 'primary_key', (SELECT count(*) FROM (SELECT id FROM tasks WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1))"""),
-    "onboard_members": _with(_outcome_select(f"""(
-  SELECT r.seq,
-         CASE WHEN {blank('r.name')} THEN 'invalid_name'
-              WHEN NOT coalesce(contains(r.email, '@'), false) THEN 'invalid_email'
-              WHEN {role_norm('r.job_role')} IS NULL THEN 'invalid_job_role'
-              WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = {js_trim('lower(r.email)')}) THEN 'duplicate'
-              WHEN EXISTS (SELECT 1 FROM onboard_reqs e
-                           WHERE e.seq < r.seq AND {js_trim('lower(e.email)')} = {js_trim('lower(r.email)')}
-                             AND NOT {blank('e.name')} AND coalesce(contains(e.email, '@'), false)
-                             AND {role_norm('e.job_role')} IS NOT NULL) THEN 'duplicate'
-              ELSE 'inserted' END AS outcome
-  FROM onboard_reqs r)"""), requests=True),
-    "create_projects": _with(_outcome_select("""(
-  SELECT r.seq,
-         CASE WHEN """ + blank("r.name") + """ THEN 'invalid_name'
-              WHEN EXISTS (SELECT 1 FROM project_req_members m
-                           WHERE m.seq = r.seq AND m.user_id IS NOT NULL
-                             AND m.user_id NOT IN (SELECT id FROM users WHERE role = 'member')) THEN 'invalid_member'
-              ELSE 'inserted' END AS outcome
-  FROM project_reqs r)"""), requests=True),
-    "add_project_members": _with(_outcome_select("""(
-  SELECT r.seq,
-         CASE WHEN r.user_id IS NULL THEN 'missing_user'
-              WHEN r.user_id NOT IN (SELECT id FROM users WHERE role = 'member') THEN 'not_member'
-              WHEN r.project_id NOT IN (SELECT id FROM projects) THEN 'project_not_found'
-              WHEN EXISTS (SELECT 1 FROM project_members pm WHERE pm.project_id = r.project_id AND pm.user_id = r.user_id) THEN 'already_member'
-              WHEN EXISTS (SELECT 1 FROM link_reqs e WHERE e.seq < r.seq AND e.project_id = r.project_id AND e.user_id = r.user_id
-                           AND e.user_id IN (SELECT id FROM users WHERE role = 'member')
-                           AND e.project_id IN (SELECT id FROM projects)) THEN 'already_member'
-              ELSE 'inserted' END AS outcome
-  FROM link_reqs r)"""), requests=True),
-    "create_tasks": _with(_outcome_select("""(
-  SELECT r.seq,
-         CASE WHEN """ + blank("r.title") + """ THEN 'invalid_title'
-              WHEN r.assigned_to IS NULL THEN 'missing_assignee'
-              WHEN r.project_id NOT IN (SELECT id FROM projects) THEN 'project_not_found'
-              WHEN NOT EXISTS (SELECT 1 FROM project_members pm JOIN users u ON u.id = pm.user_id
-                               WHERE pm.project_id = r.project_id AND pm.user_id = r.assigned_to AND u.role = 'member') THEN 'not_project_member'
-              ELSE 'inserted' END AS outcome
-  FROM task_reqs r)"""), requests=True),
+    "onboard_members": _with(_outcome_select(ONBOARD_CHECKED), requests=True),
+    "create_projects": _with(_outcome_select(PROJECTS_CHECKED), requests=True),
+    "add_project_members": _with(_outcome_select(LINKS_CHECKED), requests=True),
+    "create_tasks": _with(_outcome_select(TASKS_CHECKED), requests=True),
     "apply_status_changes": _with(_outcome_select("status_checked"), requests=True),
     "status_after_changes": _with(_stats("applied_tasks"), requests=True),
-    "delete_members": _with(_outcome_select("""(
-  SELECT r.seq,
-         CASE WHEN u.id IS NULL THEN 'not_found'
-              WHEN u.role IS DISTINCT FROM 'member' THEN 'not_member'
-              WHEN r.seq = (SELECT min(e.seq) FROM member_delete_reqs e WHERE e.user_id = r.user_id) THEN 'deleted'
-              ELSE 'not_found' END AS outcome
-  FROM member_delete_reqs r LEFT JOIN users u ON u.id = r.user_id)"""), requests=True),
+    "delete_members": _with(_outcome_select(MEMBER_DELETES_CHECKED), requests=True),
     "workspace_after_member_deletes": _with("""
 SELECT 'users' AS table_name, count(*) AS row_count FROM users
   WHERE id NOT IN (SELECT user_id FROM member_delete_reqs d JOIN users u ON u.id = d.user_id WHERE u.role = 'member')
@@ -417,10 +442,10 @@ FROM (SELECT c.seq, c.task_id, c.status, t.due_date,
                   ELSE lag(c.status) OVER (PARTITION BY c.task_id ORDER BY c.ts, c.seq) END AS prev_status
       FROM status_checked c JOIN tasks t ON t.id = c.task_id WHERE c.outcome = 'applied') x""", requests=True),
     "member_counters_literal": _with(f"""
-SELECT a.user_id, CAST(b.total_tasks AS INT) AS total_tasks,
-       CAST(b.completed_tasks + a.s_c - LEAST(0, b.completed_tasks + a.m_c) AS INT) AS completed_tasks,
-       CAST(b.in_progress_tasks + a.s_p - LEAST(0, b.in_progress_tasks + a.m_p) AS INT) AS in_progress_tasks,
-       CAST(b.overdue_tasks + a.s_o - LEAST(0, b.overdue_tasks + a.m_o) AS INT) AS overdue_tasks
+SELECT a.user_id, CAST(b.total_tasks AS BIGINT) AS total_tasks,
+       CAST(b.completed_tasks + a.s_c - LEAST(0, b.completed_tasks + a.m_c) AS BIGINT) AS completed_tasks,
+       CAST(b.in_progress_tasks + a.s_p - LEAST(0, b.in_progress_tasks + a.m_p) AS BIGINT) AS in_progress_tasks,
+       CAST(b.overdue_tasks + a.s_o - LEAST(0, b.overdue_tasks + a.m_o) AS BIGINT) AS overdue_tasks
 FROM (SELECT user_id, sum(d_c) AS s_c, min(cum_c) AS m_c, sum(d_p) AS s_p, min(cum_p) AS m_p,
              sum(d_o) AS s_o, min(cum_o) AS m_o
       FROM (SELECT user_id, d_c, d_p, d_o,
@@ -452,12 +477,47 @@ JOIN (SELECT assigned_to AS user_id, count(*) AS total_tasks,
       FROM tasks WHERE assigned_to IS NOT NULL GROUP BY assigned_to) b ON a.user_id = b.user_id""", requests=True),
     "latest_status": _with("""
 SELECT task_id, status FROM (
-  SELECT user_id AS task_id,
-         CASE event_type WHEN 'view' THEN 'todo' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'completed' END AS status,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
-  FROM events WHERE event_type IN ('view', 'click', 'purchase')) x WHERE rn = 1"""),
+  SELECT task_id, status, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, seq DESC) AS rn
+  FROM status_checked WHERE outcome = 'applied') x WHERE rn = 1""", requests=True),
     "live_counters": _with(_stats("applied_tasks"), requests=True),
     "rejected_events": _with(f"""
 SELECT seq, task_id, status, requester_id, outcome, CAST({HTTP} AS INT) AS http_status
 FROM status_checked WHERE outcome <> 'applied'""", requests=True),
+    "offset_page_last": _with(f"""
+SELECT {OVERVIEW_COLS} FROM listing {NEWEST} LIMIT {PAGE_SIZE}
+OFFSET (SELECT (greatest(1, CAST(ceil(count(*) / {PAGE_SIZE}.0) AS BIGINT)) - 1) * {PAGE_SIZE} FROM listing)"""),
+    "task_page_snapshot": _with(f"SELECT {PAGE_COLS} FROM listing WHERE project_id = {PROJECT} {NEWEST} LIMIT {TASK_LIMIT}"),
+    "task_listing_text_keys": _with("""
+SELECT CAST(id AS VARCHAR) AS id, title, description, status, due_date, created_at, CAST(project_id AS VARCHAR) AS project_id,
+       project_name, CAST(assignee_id AS VARCHAR) AS assignee_id, assignee_name, assignee_email FROM listing"""),
+    "overview_counts": _with("""
+SELECT 'stats' AS part, CAST(1 AS BIGINT) AS row_count
+UNION ALL SELECT 'members', count(*) FROM users WHERE role = 'member'
+UNION ALL SELECT 'projects', count(*) FROM projects
+UNION ALL SELECT 'tasks', count(*) FROM listing"""),
+    "onboarded_users": _with(f"""
+SELECT (SELECT max(id) + 1 FROM users) + r.seq AS id, {js_trim('r.name')} AS name, {js_trim('lower(r.email)')} AS email,
+       'member' AS role, {role_norm('r.job_role')} AS job_role, true AS is_first_login, {AS_OF_SQL} AS created_at
+FROM onboard_reqs r JOIN {ONBOARD_CHECKED} c ON c.seq = r.seq WHERE c.outcome = 'inserted'""", requests=True),
+    "created_projects": _with(f"""
+SELECT (SELECT max(id) + 1 FROM projects) + r.seq AS id, {js_trim('r.name')} AS name,
+       NULLIF({js_trim('r.description')}, '') AS description, CAST(r.creator_id AS BIGINT) AS created_by, {AS_OF_SQL} AS created_at
+FROM project_reqs r JOIN {PROJECTS_CHECKED} c ON c.seq = r.seq WHERE c.outcome = 'inserted'""", requests=True),
+    "created_project_links": _with(f"""
+SELECT DISTINCT (SELECT max(id) + 1 FROM projects) + l.seq AS project_id, l.user_id
+FROM (SELECT seq, CAST(creator_id AS BIGINT) AS user_id FROM project_reqs
+      UNION ALL SELECT seq, user_id FROM project_req_members WHERE user_id IS NOT NULL) l
+JOIN {PROJECTS_CHECKED} c ON c.seq = l.seq WHERE c.outcome = 'inserted'""", requests=True),
+    "added_links": _with(f"""
+SELECT r.project_id, r.user_id FROM link_reqs r JOIN {LINKS_CHECKED} c ON c.seq = r.seq WHERE c.outcome = 'inserted'""", requests=True),
+    "created_tasks": _with(f"""
+SELECT (SELECT max(id) + 1 FROM tasks) + r.seq AS id, r.project_id, {js_trim('r.title')} AS title,
+       NULLIF({js_trim('r.description')}, '') AS description, 'todo' AS status, r.assigned_to,
+       CAST(NULL AS TIMESTAMP) AS due_date, {AS_OF_SQL} AS created_at
+FROM task_reqs r JOIN {TASKS_CHECKED} c ON c.seq = r.seq WHERE c.outcome = 'inserted'""", requests=True),
+    "tasks_after_changes": _with("SELECT * FROM applied_tasks", requests=True),
+    "projects_after_member_deletes": _with(f"""
+SELECT p.id, CASE WHEN p.created_by IN (SELECT r.user_id FROM member_delete_reqs r JOIN {MEMBER_DELETES_CHECKED} c
+                                        ON c.seq = r.seq WHERE c.outcome = 'deleted') THEN NULL ELSE p.created_by END AS created_by
+FROM projects p""", requests=True),
 }

@@ -6,6 +6,7 @@ AS_OF = dt.datetime(1998, 8, 2)
 AS_OF_SQL = "TIMESTAMP '1998-08-02 00:00:00'"
 VIEWER_MEMBER = 52
 VIEWER_ADMIN = 50
+PAGE_VIEWER = 489  # a member with tasks in PROJECT (at sf0.01)
 PROJECT = 5
 CURSOR = (dt.datetime(1997, 8, 23), 7000)
 CURSOR_SQL = "TIMESTAMP '1997-08-23 00:00:00'"

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from workboard.functions.text import is_blank, looks_like_email, normalize_email, normalize_job_role, role_key
 from workboard.operators import audit, board, cards, listing, mutations, paging, rollups
 from workboard.plans import params as P
+from workboard.plans.overview import overview
+from workboard.session import scratch_path
 from workboard.sources import requests as R
-from workboard.sources.workspace import derive_workspace
+from workboard.sources.snapshot import read_snapshot, write_snapshot
+from workboard.sources.workspace import cast_keys, derive_workspace
 from workboard.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,7 +112,7 @@ def q_task_page_ts_cursor(spark, d):
 
 @query("task_page_member")
 def q_task_page_member(spark, d):
-    return paging.task_page(ws_of(spark, d), P.PROJECT, P.VIEWER_MEMBER, "member")
+    return paging.task_page(ws_of(spark, d), P.PROJECT, P.PAGE_VIEWER, "member")
 
 
 @query("project_page_member")
@@ -204,13 +207,13 @@ def _all_listing(ws):
 @query("kanban_board")
 def q_kanban_board(spark, d):
     ws = ws_of(spark, d)
-    return board.kanban_board(_all_listing(ws), size_probe=ws.tasks)
+    return board.kanban_board(_all_listing(ws))
 
 
 @query("kanban_board_due")
 def q_kanban_board_due(spark, d):
     ws = ws_of(spark, d)
-    return board.kanban_board(_all_listing(ws), sort_by="due_date", size_probe=ws.tasks)
+    return board.kanban_board(_all_listing(ws), sort_by="due_date")
 
 
 @query("kanban_newest50")
@@ -220,7 +223,18 @@ def q_kanban_newest50(spark, d):
 
 @query("offset_page")
 def q_offset_page(spark, d):
-    return paging.offset_page(listing.overview_tasks(ws_of(spark, d), sort=False), P.OFFSET_PAGE, P.PAGE_SIZE)
+    return _offset_page(ws_of(spark, d), P.OFFSET_PAGE)
+
+
+def _offset_page(ws, page):
+    known = ws.projects.select(F.col("id").alias("project_id"))
+    keys = ws.tasks.join(known, "project_id", "left_semi").select("id", "created_at")
+    return paging.offset_page(listing.overview_tasks(ws, sort=False), page, P.PAGE_SIZE, keys=keys)
+
+
+@query("offset_page_last")
+def q_offset_page_last(spark, d):
+    return _offset_page(ws_of(spark, d), 10 ** 9)
 
 
 @query("assign_pages")
@@ -259,13 +273,13 @@ def q_constraint_audit(spark, d):
 
 @query("onboard_members")
 def q_onboard_members(spark, d):
-    return mutations.onboard_members(ws_of(spark, d).users, R.onboard_reqs(spark, d), P.AS_OF).outcomes
+    return mutations.onboard_members(ws_of(spark, d).users, R.onboard_reqs(spark, d), P.AS_OF, "b").outcomes
 
 
 @query("create_projects")
 def q_create_projects(spark, d):
     return mutations.create_projects(ws_of(spark, d), R.project_reqs(spark, d),
-                                     R.project_req_members(spark, d), P.AS_OF).outcomes
+                                     R.project_req_members(spark, d), P.AS_OF, "b").outcomes
 
 
 @query("add_project_members")
@@ -275,7 +289,7 @@ def q_add_project_members(spark, d):
 
 @query("create_tasks")
 def q_create_tasks(spark, d):
-    return mutations.create_tasks(ws_of(spark, d), R.task_reqs(spark, d), P.AS_OF).outcomes
+    return mutations.create_tasks(ws_of(spark, d), R.task_reqs(spark, d), P.AS_OF, "b").outcomes
 
 
 @query("apply_status_changes")
@@ -347,7 +361,8 @@ def q_member_counters_literal(spark, d):
 
 @query("latest_status")
 def q_latest_status(spark, d):
-    return live.run_latest_status(spark, R.status_events(spark, d))
+    ws = ws_of(spark, d)
+    return live.run_latest_status(spark, R.status_reqs(spark, d, ws.tasks), ws.tasks, ws.users, P.AS_OF)
 
 
 @query("live_counters")
@@ -359,7 +374,84 @@ def q_live_counters(spark, d):
 @query("rejected_events")
 def q_rejected_events(spark, d):
     ws = ws_of(spark, d)
-    return live.run_rejected_events(spark, R.status_reqs(spark, d, ws.tasks), ws.tasks, ws.users)
+    return live.run_rejected_events(spark, R.status_reqs(spark, d, ws.tasks), ws.tasks, ws.users, P.AS_OF)
+
+
+# ---- the rows that the jobs write -----------------------------------------
+
+def _new_rows(after: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    return after.join(before.select(*keys), keys, "left_anti").select(*before.columns)
+
+
+@query("onboarded_users")
+def q_onboarded_users(spark, d):
+    users = ws_of(spark, d).users
+    return _new_rows(mutations.onboard_members(users, R.onboard_reqs(spark, d), P.AS_OF, "b").tables["users"], users, ["id"])
+
+
+def _created(spark, d):
+    ws = ws_of(spark, d)
+    return ws, mutations.create_projects(ws, R.project_reqs(spark, d), R.project_req_members(spark, d), P.AS_OF, "b").tables
+
+
+@query("created_projects")
+def q_created_projects(spark, d):
+    ws, tables = _created(spark, d)
+    return _new_rows(tables["projects"], ws.projects, ["id"])
+
+
+@query("created_project_links")
+def q_created_project_links(spark, d):
+    ws, tables = _created(spark, d)
+    return _new_rows(tables["project_members"], ws.project_members, ["project_id", "user_id"])
+
+
+@query("added_links")
+def q_added_links(spark, d):
+    ws = ws_of(spark, d)
+    links = mutations.add_project_members(ws, R.link_reqs(spark, d)).tables["project_members"]
+    return _new_rows(links, ws.project_members, ["project_id", "user_id"])
+
+
+@query("created_tasks")
+def q_created_tasks(spark, d):
+    ws = ws_of(spark, d)
+    return _new_rows(mutations.create_tasks(ws, R.task_reqs(spark, d), P.AS_OF, "b").tables["tasks"], ws.tasks, ["id"])
+
+
+@query("tasks_after_changes")
+def q_tasks_after_changes(spark, d):
+    ws = ws_of(spark, d)
+    return mutations.apply_status_changes(ws.tasks, ws.users, R.status_reqs(spark, d, ws.tasks)).tables["tasks"]
+
+
+@query("projects_after_member_deletes")
+def q_projects_after_member_deletes(spark, d):
+    return mutations.delete_members(ws_of(spark, d), R.member_delete_reqs(spark, d)).tables["projects"].select("id", "created_by")
+
+
+# ---- read from a written snapshot -----------------------------------------
+
+def _snapshot(spark, d, keys: str = "bigint"):
+    root = scratch_path(spark, "snapshot")
+    write_snapshot(cast_keys(ws_of(spark, d), keys), root)
+    return read_snapshot(spark, root)
+
+
+@query("overview_counts")
+def q_overview_counts(spark, d):
+    return _row_counts(list(overview(_snapshot(spark, d), P.AS_OF).items())).withColumnRenamed("table_name", "part")
+
+
+@query("task_page_snapshot")
+def q_task_page_snapshot(spark, d):
+    return paging.task_page(_snapshot(spark, d), P.PROJECT, P.VIEWER_ADMIN, "admin")
+
+
+@query("task_listing_text_keys")
+def q_task_listing_text_keys(spark, d):
+    ws = _snapshot(spark, d, "string")
+    return listing.task_listing(ws.tasks, ws.projects, ws.users)
 
 
 def queries() -> dict[str, Query]:

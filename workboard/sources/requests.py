@@ -25,7 +25,7 @@ def onboard_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(" "))).alias("name"),
         F.when(k % 7 == 0, F.lit("no-at-sign"))
          .when(k % 5 == 0, F.concat(F.lit(" CUSTOMER#"), F.lpad((k % 50).cast("string"), 9, "0"), F.lit("@EXAMPLE.COM ")))
-         .otherwise(F.concat(F.lit("New"), (k % 60).cast("string"), F.lit("@Example.com"))).alias("email"),
+         .otherwise(F.concat(F.lit("New"), F.floor(k / 3).cast("string"), F.lit("@Example.com"))).alias("email"),
         F.when(k % 4 == 0, "qa  engineer").when(k % 4 == 1, "UI/UX designer")
          .when(k % 4 == 2, "Astronaut").otherwise(" DevOps-Engineer").alias("job_role"),
     )
@@ -82,18 +82,6 @@ def status_reqs_from(e: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain status changes for latest-status tracking: view -> todo,
-    click -> in_progress, purchase -> completed; other event types carry no status."""
-    et = F.col("event_type")
-    return _t(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.col("user_id").alias("task_id"),
-        F.when(et == "view", "todo").when(et == "click", "in_progress")
-         .when(et == "purchase", "completed").alias("status"),
-    ).where(F.col("status").isNotNull())
-
-
 def project_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One create-project request per supplier, all by admin 50."""
     k = F.col("s_suppkey")

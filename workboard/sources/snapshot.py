@@ -1,20 +1,33 @@
 """Snapshots of the four tables (A5) and JSON documents (A4).
 
-Spark has no multi-table transaction. A snapshot is written as immutable
-version folders ``<root>/v=<n>/<table>``; only after every table is written is
-a commit record appended to ``<root>/_commits``. Readers take the highest
-committed version, so a failed or half-written job is never visible.
+Spark has no multi-table transaction. A snapshot's tables are written to folders of
+their own, ``<root>/data/<random name>/<table>``; only then is its commit record created
+as ``<root>/_commits/<version>.json``, which names the folder of every table. The record
+is created only if there is none: of two writers of one version one fails, and nothing
+that was committed is ever written again. Tables that a writer leaves out are carried
+forward from the version before. Readers take the highest version, so a failed or
+half-written job is never visible.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from workboard.sources.workspace import SCHEMAS, TABLES, Workspace
+from workboard.sources.workspace import TABLES, Workspace, key_type_of, schemas_for
+
+_COMMIT = "version long, committed_at string, key_type string, tables map<string,string>"
+
+
+class SnapshotConflict(RuntimeError):
+    """Another writer has committed the version."""
 
 
 def to_json_docs(df: DataFrame, column: str = "doc") -> DataFrame:
@@ -22,13 +35,36 @@ def to_json_docs(df: DataFrame, column: str = "doc") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(column))
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        commits = spark.read.schema("version long, committed_at timestamp_ntz").json(f"{root}/_commits")
-    except AnalysisException:  # no commit log yet
+        return spark.read.schema(_COMMIT).json(f"{root}/_commits")
+    except AnalysisException as e:  # no commit yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    v = commits.agg(F.max("version")).first()[0]
-    return None if v is None else int(v)
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    commits = _commits(spark, root)
+    return None if commits is None else commits.agg(F.max("version")).first()[0]
+
+
+def _commit_of(spark: SparkSession, root: str, version: int):
+    commits = _commits(spark, root)
+    return None if commits is None else commits.where(F.col("version") == version).first()
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """Create a file with ``text``; SnapshotConflict if there is one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            raise SnapshotConflict(f"{path} exists") from e
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 # Physical layout per table, standing in for the reference's B-tree indexes:
@@ -56,26 +92,37 @@ def _laid_out(df: DataFrame, name: str, partitions: int | None):
 
 def write_snapshot(ws: Workspace, root: str, version: int | None = None,
                    mode_tables=TABLES, partitions: int | None = None) -> int:
-    """Write all tables under a new version folder, then commit it."""
+    """Write ``mode_tables`` and commit them as ``version`` (default: the next one), with
+    the other tables as they are in the version before."""
     spark = ws.users.sparkSession
-    if version is None:
-        last = latest_version(spark, root)
-        version = 0 if last is None else last + 1
+    last = latest_version(spark, root)
+    version = (0 if last is None else last + 1) if version is None else version
+    kind = key_type_of(ws).simpleString()
+    where = {}
+    if set(mode_tables) != set(TABLES):
+        before = _commit_of(spark, root, version - 1)
+        if before is None or before["key_type"] != kind:
+            raise ValueError(f"no version {version - 1} with {kind} keys to carry tables forward from")
+        where = dict(before["tables"])
+    if _commit_of(spark, root, version) is not None:
+        raise SnapshotConflict(f"version {version} is committed")
+    data = f"{root}/data/{uuid.uuid4().hex}"
     for name in mode_tables:
-        _laid_out(ws[name], name, partitions).mode("overwrite").parquet(f"{root}/v={version}/{name}")
-    commit = spark.createDataFrame([(version, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))],
-                                   "version long, committed_at timestamp_ntz")
-    commit.coalesce(1).write.mode("append").json(f"{root}/_commits")
+        where[name] = f"{data}/{name}"
+        _laid_out(ws[name], name, partitions).parquet(where[name])
+    _create(spark, f"{root}/_commits/{version:012d}.json", json.dumps({
+        "version": version, "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "key_type": kind, "tables": where}))
     return version
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Workspace:
     """The workspace at ``version`` (default: the latest committed one)."""
-    if version is None:
-        version = latest_version(spark, root)
-        if version is None:
-            raise FileNotFoundError(f"no committed snapshot under {root}")
-    return Workspace(**{n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/v={version}/{n}") for n in TABLES})
+    version = latest_version(spark, root) if version is None else version
+    commit = None if version is None else _commit_of(spark, root, version)
+    if commit is None:
+        raise FileNotFoundError(f"no committed snapshot {'' if version is None else version} under {root}")
+    schemas = schemas_for(T.StringType() if commit["key_type"] == "string" else T.LongType())
+    return Workspace(**{n: spark.read.schema(schemas[n]).parquet(commit["tables"][n]) for n in TABLES})
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:

@@ -1,384 +1,237 @@
 """Live dashboard over a stream of status changes.
 
-The reference polls its counters every 2 s; here Structured Streaming queries
-keep them. Sources are file streams (``readStream.parquet``) over a landing
-folder; sinks are per-micro-batch folders written by ``foreachBatch`` with
-``mode("overwrite")``, so a retried micro-batch replaces its own output instead
-of duplicating it. Checkpoints, state and sink folders live under the
-session's shared checkpoint folder.
-
-* J2 ``latest_status``: ``groupBy(task).agg(max_by(status, (ts, seq)))`` in
-  update mode; the sink keeps a change log that is reduced on read.
-* J1 ``live_counters``: stream A validates each micro-batch in ``foreachBatch``
-  with bounded key lookups (no shuffle of the static tables) and writes applied
-  and rejected requests to two sinks; stream B keeps each task's current status
-  in keyed state (``applyInPandasWithState``) and emits one (old, new)
-  transition per task and micro-batch, turned into counter deltas. Counters =
-  batch D1 on the base table + sum of deltas. (Two stacked streaming
-  aggregations are rejected by Spark, hence the state.)
-* J4 ``rejected_events``: stream A's rejected sink.
+The reference polls its counters every 2 s; here one Structured Streaming query keeps
+them. Its source is a file stream (``readStream.parquet``) over a landing folder with a
+bounded number of files per trigger. Each micro-batch is written, checked against the
+current tables with the I5 rule of the batch job, and reduced to the latest applied
+change per task (``max`` over (ts, seq, status), built-in). The old status of the
+batch's tasks comes from a compacted table of latest changes, the running totals from
+the row of the batch before.
+
+* J1 ``live_counters``: batch D1 on the current tasks plus the last running totals.
+* J2 ``latest_status``: the table of latest changes.
+* J4 ``rejected_events``: the checked requests that were not applied.
 * J3 ``status_transitions``: the browser's counter arithmetic per change, and
   ``member_counters_literal``: those deltas applied per assignee with the
   browser's floor at 0.
+
+All folders of a stream lie under one root in the shared checkpoint folder. A micro-batch
+writes only folders that bear its number, and reads only those of earlier batches, so a
+batch that is retried after a failure leaves the same rows.
 """
 
 from __future__ import annotations
 
-import contextlib
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from workboard.functions.status import is_overdue, is_overdue_browser
+from workboard.operators.mutations import status_change_outcomes
 from workboard.operators.ordered import number_within_groups
 from workboard.operators.rollups import stats_columns, task_stats
-from workboard.session import scratch_path, ship_package
+from workboard.session import delete_folder, scratch_path
 
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
-
-
-def ntz_micros(c: str):
-    """Wall-clock microseconds since 1970-01-01 of a ``timestamp_ntz`` (no time zone involved)."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
-
-
-def micros_ntz(c: str):
-    """Inverse of ``ntz_micros``."""
-    return F.expr(f"timestampadd(MICROSECOND, {c}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
-
-
-def replay_to_files(df: DataFrame, landing: str, slices: int | None = None, order_col: str = "seq") -> str:
-    """Write a batch table as ``slices`` files ordered by ``order_col``: the replay
-    source. By default one slice per shuffle partition (at least 8), so the
-    write is as parallel as any other shuffle of the session."""
-    if slices is None:
-        slices = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    (df.repartitionByRange(slices, order_col).sortWithinPartitions(order_col)
+DELTAS = ("d_completed", "d_in_progress", "d_overdue")
+TOTALS = T.StructType([T.StructField(c, T.LongType()) for c in DELTAS] + [T.StructField("batch", T.LongType())])
+#: Rows of a replay file; the replays take one file per trigger.
+REPLAY_FILE_ROWS = 5_000
+#: The latest changes are compacted after so many micro-batches; older folders go.
+COMPACT_EVERY = 16
+
+
+def replay_to_files(df: DataFrame, landing: str, order_col: str = "seq", file_rows: int = REPLAY_FILE_ROWS) -> str:
+    """Write a batch table as files of about ``file_rows`` rows in the order of
+    ``order_col``: the replay source. The number of files grows with the table."""
+    files = max(1, -(-df.count() // file_rows))
+    (df.repartitionByRange(files, F.col(order_col).asc_nulls_first()).sortWithinPartitions(order_col)
        .write.mode("overwrite").parquet(landing))
     return landing
 
 
-REPLAY_BATCHES = 4
-ROWS_PER_STATE_PARTITION = 1_000_000
-
-
-def replay(df: DataFrame, landing: str) -> tuple[str, int, int]:
-    """Replay files, the files-per-trigger that splits them into about
-    ``REPLAY_BATCHES`` micro-batches, and a state partition count sized from
-    the replayed row count (read from the written files' footers)."""
-    spark = df.sparkSession
-    slices = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    replay_to_files(df, landing, slices)
-    rows = spark.read.schema(df.schema).parquet(landing).count()
-    state_parts = max(8, -(-rows // ROWS_PER_STATE_PARTITION))
-    return landing, max(1, -(-slices // REPLAY_BATCHES)), state_parts
-
-
-@contextlib.contextmanager
-def state_partitions(spark: SparkSession, n: int | None):
-    """Start a stateful query with ``n`` state (shuffle) partitions. A query
-    copies the session conf when it starts and records the partition count in
-    its checkpoint, so the session setting is restored right after start."""
-    if n is None or spark is None:
-        yield
-        return
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
-def file_stream(spark: SparkSession, landing: str, schema: T.StructType, files_per_trigger: int = 2) -> DataFrame:
+def file_stream(spark: SparkSession, landing: str, schema: T.StructType, files_per_trigger: int = 4) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
 
 
-def _per_batch_sink(path: str, transform=None):
-    def sink(batch_df: DataFrame, batch_id: int):
-        out = transform(batch_df) if transform else batch_df
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    return sink
+# ---- J1 / J2 / J4 ---------------------------------------------------------
 
+Tables = tuple[DataFrame, DataFrame]
 
-def run_available(writer, checkpoint: str, query_name: str | None = None, partitions: int | None = None):
-    """Process everything available, then stop (tests / replays)."""
-    w = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if query_name:
-        w = w.queryName(query_name)
-    with state_partitions(SparkSession.getActiveSession(), partitions):
-        q = w.start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return q
-
-
-def start_live(writer, checkpoint: str, interval: str = "2 seconds"):
-    """Run continuously at the reference's refresh interval."""
-    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
-
-
-def read_sink(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet (empty stream): no files to read
-        if schema is None:
-            raise
-        return spark.createDataFrame([], schema)
-
-
-# ---- J2 -------------------------------------------------------------------
-
-def latest_status(changes: DataFrame) -> DataFrame:
-    """Latest status per task by (ts, seq); works on batch and streaming input."""
-    return changes.groupBy("task_id").agg(
-        F.max_by("status", F.struct("ts", "seq")).alias("status"),
-        F.max(F.struct("ts", "seq")).alias("_last"))
-
-
-def reduce_changelog(log: DataFrame) -> DataFrame:
-    return log.groupBy("task_id").agg(F.max_by("status", F.col("_last")).alias("status"))
-
-
-def run_latest_status(spark: SparkSession, changes: DataFrame, root: str | None = None) -> DataFrame:
-    """Replay ``changes`` (seq, ts, task_id, status) through the J2 stream."""
-    root = root or scratch_path(spark, "latest_status")
-    landing, per_trigger, parts = replay(changes, f"{root}/landing")
-    stream = file_stream(spark, landing, changes.schema, per_trigger)
-    writer = latest_status(stream).writeStream.outputMode("update").foreachBatch(_per_batch_sink(f"{root}/log"))
-    run_available(writer, f"{root}/checkpoint", partitions=parts)
-    schema = T.StructType([T.StructField("task_id", changes.schema["task_id"].dataType),
-                           T.StructField("status", T.StringType()),
-                           T.StructField("_last", T.StructType([T.StructField("ts", T.TimestampNTZType()),
-                                                                 T.StructField("seq", T.LongType())]))])
-    return reduce_changelog(read_sink(spark, f"{root}/log", schema))
-
-
-# ---- J1 / J4 --------------------------------------------------------------
-#
-# Two chained streams. Stream A validates each micro-batch inside
-# ``foreachBatch``, where it is an ordinary (small) DataFrame: the task and
-# requester rows it needs are fetched with a semi join against the batch's own
-# distinct keys (broadcast only below a counted bound), so the static tables are
-# scanned but never shuffled per trigger. Valid and rejected requests land in
-# per-batch folders. Stream B reads the validated folders and keeps, per task,
-# the latest applied status in keyed state (``applyInPandasWithState``); it
-# emits one (old, new) transition per task and micro-batch, which its own
-# ``foreachBatch`` turns into counter deltas.
-
-MAX_BROADCAST_KEYS = 1_000_000
-# Up to this many distinct keys per micro-batch are also pushed into the scan
-# as ``key IN (...)``: on a snapshot, parquet min/max statistics and the bloom
-# filters written by ``write_snapshot`` then skip row groups without those keys.
-MAX_PUSHED_KEYS = 1_000
-
-VALIDATED_COLS = ["seq", "ts", "task_id", "status", "requester_id", "outcome", "http_status",
-                  "base_status", "due_date"]
-
-
-def _bounded_lookup(table: DataFrame, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
-    """Rows of ``table`` whose ``key`` occurs in ``keys`` (a micro-batch's keys).
-
-    The key set is counted first; below ``MAX_BROADCAST_KEYS`` both the key set
-    and the fetched rows (at most one per key for a primary key) are broadcast,
-    above it Spark/AQE plan ordinary joins. Below ``MAX_PUSHED_KEYS`` the keys
-    are also pushed into the scan as a filter."""
-    small = n_keys <= MAX_BROADCAST_KEYS
-    if 0 < n_keys <= MAX_PUSHED_KEYS:
-        table = table.where(F.col(key).isin([r[0] for r in keys.collect()]))
-    found = table.join(F.broadcast(keys) if small else keys, key, "left_semi")
-    return F.broadcast(found) if small else found
-
-
-def validate_status_batch(batch: DataFrame, tasks: DataFrame, users: DataFrame,
-                          rule: str = "reference") -> DataFrame:
-    """I5 checks for one micro-batch of status requests, with bounded lookups."""
-    task_keys = batch.select("task_id").where(F.col("task_id").isNotNull()).distinct()
-    user_keys = batch.select("requester_id").where(F.col("requester_id").isNotNull()).distinct()
-    n_task, n_user = batch.agg(F.count_distinct("task_id"), F.count_distinct("requester_id")).first()
-    t = tasks.select(F.col("id").alias("task_id"), F.col("assigned_to").alias("_assignee"),
-                     F.col("status").alias("base_status"), "due_date", F.lit(True).alias("_exists"))
-    u = users.select(F.col("id").alias("requester_id"), F.col("role").alias("_requester_role"))
-    j = (batch.join(_bounded_lookup(t, task_keys, "task_id", n_task), "task_id", "left")
-              .join(_bounded_lookup(u, user_keys, "requester_id", n_user), "requester_id", "left"))
-    role = F.col("_requester_role")
-    restricted = (role == "member") if rule == "reference" else ~role.eqNullSafe("admin")
-    outcome = (F.when(~F.coalesce(F.col("status").isin("todo", "in_progress", "completed"), F.lit(False)), "invalid_status")
-                .when(F.col("_exists").isNull(), "not_found")
-                .when(F.coalesce(restricted, F.lit(False)) & ~F.col("_assignee").eqNullSafe(F.col("requester_id")), "forbidden")
-                .otherwise("applied"))
-    codes = {"invalid_status": 400, "not_found": 404, "forbidden": 403, "applied": 200}
-    http = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-    return (j.withColumn("outcome", outcome)
-             .withColumn("http_status", F.try_element_at(http, F.col("outcome")).cast("int"))
-             .select(*VALIDATED_COLS))
-
-
-def _validating_sink(path: str, tasks: DataFrame, users: DataFrame, rule: str):
-    """Two sinks per micro-batch: ``path/applied/b<n>`` and ``path/rejected/b<n>``."""
-    def sink(batch_df: DataFrame, batch_id: int):
-        # the micro-batch is bounded by the trigger and read several times (key
-        # counts, lookups, writes): keep it instead of re-reading its files
-        batch_df.persist()
-        try:
-            out = validate_status_batch(batch_df, tasks, users, rule).persist()
-            applied = F.col("outcome") == "applied"
-            out.where(applied).write.mode("overwrite").parquet(f"{path}/applied/b{batch_id:012d}")
-            out.where(~applied).write.mode("overwrite").parquet(f"{path}/rejected/b{batch_id:012d}")
-            out.unpersist()
-        finally:
-            batch_df.unpersist()
-    return sink
 
+class LiveStore:
+    """What a stream keeps under ``root``: incoming/, checked/, changes/ and totals/ with
+    a folder for each micro-batch, and base/, the latest change per task up to a batch."""
+
+    def __init__(self, spark: SparkSession, root: str, reqs: T.StructType):
+        self.spark, self.root, self.reqs = spark, root.rstrip("/"), reqs
+        task, seq = reqs["task_id"].dataType, reqs["seq"].dataType
+        self.changes = T.StructType([T.StructField("task_id", task), T.StructField("last", T.StructType([
+            T.StructField("ts", reqs["ts"].dataType), T.StructField("seq", seq), T.StructField("status", T.StringType())]))])
+        self.checked = T.StructType([reqs[c] for c in ("seq", "ts", "task_id", "status", "requester_id")]
+                                    + [T.StructField("outcome", T.StringType()), T.StructField("http_status", T.IntegerType())])
 
-def run_status_validation(spark: SparkSession, reqs_landing: str, schema: T.StructType, tasks: DataFrame,
-                          users: DataFrame, root: str, rule: str = "reference", files_per_trigger: int = 4) -> str:
-    """Stream A: raw status requests -> ``root/validated/{applied,rejected}/b<batch>``."""
-    stream = file_stream(spark, reqs_landing, schema, files_per_trigger=files_per_trigger)
-    writer = stream.writeStream.foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule))
-    run_available(writer, f"{root}/checkpoint_validate")
-    return f"{root}/validated"
-
-
-TRANSITION_SCHEMA = T.StructType([
-    T.StructField("task_id", T.LongType()), T.StructField("old_status", T.StringType()),
-    T.StructField("new_status", T.StringType()), T.StructField("due_us", T.LongType())])
-STATE_SCHEMA = T.StructType([
-    T.StructField("status", T.StringType()), T.StructField("last_us", T.LongType()),
-    T.StructField("last_seq", T.LongType())])
-
-
-def _status_tracker():
-    """The per-task state function (a closure, so it ships to workers by value)."""
-    def track_status(key, pdfs, state):
-        """Apply the micro-batch's changes newer than the state; emit (old, new).
-
-        A replayed request (same ts and seq) is not newer, so duplicates are harmless."""
-        import pandas as pd
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "seq"])
-        if state.exists:
-            status, last_us, last_seq = state.get
-        else:
-            status, last_us, last_seq = pdf["base_status"].iloc[0], None, None
-        old = status
-        newer = pdf
-        if last_us is not None:
-            newer = pdf[(pdf["ts_us"] > last_us) | ((pdf["ts_us"] == last_us) & (pdf["seq"] > last_seq))]
-        if len(newer):
-            last = newer.iloc[-1]
-            status, last_us, last_seq = last["status"], int(last["ts_us"]), int(last["seq"])
-        state.update((status, last_us, last_seq))
-        due = pdf["due_us"].iloc[0]
-        yield pd.DataFrame({"task_id": [int(key[0])], "old_status": [old], "new_status": [status],
-                            "due_us": [None if pd.isna(due) else int(due)]})
-    return track_status
-
-
-def applied_transitions(validated_stream: DataFrame) -> DataFrame:
-    """Applied status changes -> one (old, new) row per task per micro-batch."""
-    applied = (validated_stream.where(F.col("outcome") == "applied")
-               .select(F.col("task_id").cast("long").alias("task_id"), "seq", "status", "base_status",
-                       ntz_micros("ts").alias("ts_us"), ntz_micros("due_date").alias("due_us")))
-    ship_package(validated_stream.sparkSession)
-    return applied.groupBy("task_id").applyInPandasWithState(
-        _status_tracker(), TRANSITION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def transition_deltas(transitions: DataFrame, as_of) -> DataFrame:
-    """Counter deltas of a set of (task_id, old_status, new_status, due_us) rows (one row)."""
-    t = transitions.withColumn("due_date", micros_ntz("due_us"))
+    def _path(self, kind: str, batch: int) -> str:
+        return f"{self.root}/{kind}/batch={batch}"
 
+    def _write(self, df: DataFrame, kind: str, batch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(kind, batch))
+        return self.spark.read.schema(df.schema).parquet(self._path(kind, batch))
+
+    def _all(self, kind: str, schema: T.StructType) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}")
+        except AnalysisException as e:  # no micro-batch yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def latest_before(self, batch: int) -> DataFrame:
+        """(task_id, last) of the micro-batches before ``batch``: one compacted folder and
+        fewer than COMPACT_EVERY others; a task may have several rows."""
+        base = batch // COMPACT_EVERY * COMPACT_EVERY - 1
+        paths = [self._path("base", base)] * (base >= 0) + [self._path("changes", i) for i in range(base + 1, batch)]
+        return self.spark.read.schema(self.changes).parquet(*paths) if paths else self.spark.createDataFrame([], self.changes)
+
+    def totals(self) -> DataFrame:
+        """The last running totals: one row, or none before the first micro-batch."""
+        return self._all("totals", TOTALS).orderBy(F.col("batch").desc()).limit(1)
+
+    def latest(self) -> DataFrame:
+        """task_id and status of the latest applied change by (ts, seq)."""
+        last = self.totals().first()
+        rows = self.latest_before(0 if last is None else last["batch"] + 1)
+        return _reduced(rows).select("task_id", F.col("last.status").alias("status"))
+
+    def rejected(self) -> DataFrame:
+        """The requests that failed a check."""
+        return self._all("checked", self.checked).where(F.col("outcome") != "applied").select(
+            "seq", "task_id", "status", "requester_id", "outcome", "http_status")
+
+    def process(self, rows: DataFrame, batch: int, tables: Tables, as_of, rule: str) -> None:
+        """One micro-batch. It is written first: its size is then known to Spark, which
+        broadcasts its keys to the scans of the tables if they are small and joins them
+        by shuffle if not."""
+        rows = self._write(rows.select(*self.reqs.names), "incoming", batch)
+        tasks, users = tables
+        task_keys = rows.select(F.col("task_id").alias("id")).distinct()
+        user_keys = rows.select(F.col("requester_id").alias("id")).distinct()
+        tasks = tasks.join(task_keys, "id", "left_semi")
+        checked = self._write(status_change_outcomes(tasks, users.join(user_keys, "id", "left_semi"), rows, rule)
+                              .select(*self.checked.names), "checked", batch)
+        new = self._write(latest_changes(checked), "changes", batch)
+        old = _reduced(self.latest_before(batch).join(new.select("task_id"), "task_id", "left_semi"))
+        steps = (new.withColumnRenamed("last", "new").join(old.withColumnRenamed("last", "old"), "task_id", "left")
+                 .join(tasks.select(F.col("id").alias("task_id"), F.col("status").alias("base"), "due_date"), "task_id")
+                 .select(F.coalesce("old.status", "base").alias("old_status"),
+                         F.greatest("old", "new")["status"].alias("new_status"), "due_date"))
+        before = self._all("totals", TOTALS).where(F.col("batch") == batch - 1).drop("batch")
+        (transition_deltas(steps, as_of).unionByName(before).agg(*[F.sum(c).alias(c) for c in DELTAS])
+         .write.mode("overwrite").parquet(self._path("totals", batch)))
+        if (batch + 1) % COMPACT_EVERY == 0:
+            self._write(_reduced(self.latest_before(batch).unionByName(new)), "base", batch)
+            for i in range(batch - 2 * COMPACT_EVERY + 1, batch - COMPACT_EVERY + 1):
+                for kind in ("incoming", "changes", "totals", "base"):
+                    delete_folder(self.spark, self._path(kind, i))
+
+
+def latest_changes(checked: DataFrame) -> DataFrame:
+    """The latest applied change per task by (ts, seq); a NULL ts is before any other."""
+    return checked.where(F.col("outcome") == "applied").groupBy("task_id").agg(F.max(F.struct("ts", "seq", "status")).alias("last"))
+
+
+def _reduced(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("task_id").agg(F.max("last").alias("last"))
+
+
+def transition_deltas(steps: DataFrame, as_of) -> DataFrame:
+    """Counter deltas of a set of (old_status, new_status, due_date) rows (one row)."""
     def flag(cond):
         return F.coalesce(cond, F.lit(False)).cast("long")
 
-    return t.agg(
-        F.coalesce(F.sum(flag(F.col("new_status") == "completed") - flag(F.col("old_status") == "completed")), F.lit(0)).alias("d_completed"),
-        F.coalesce(F.sum(flag(F.col("new_status") == "in_progress") - flag(F.col("old_status") == "in_progress")), F.lit(0)).alias("d_in_progress"),
-        F.coalesce(F.sum(flag(is_overdue(as_of, "new_status")) - flag(is_overdue(as_of, "old_status"))), F.lit(0)).alias("d_overdue"))
+    def gain(cond):
+        return F.coalesce(F.sum(flag(cond("new_status")) - flag(cond("old_status"))), F.lit(0))
 
+    return steps.agg(gain(lambda c: F.col(c) == "completed").alias("d_completed"),
+                     gain(lambda c: F.col(c) == "in_progress").alias("d_in_progress"),
+                     gain(lambda c: is_overdue(as_of, c)).alias("d_overdue"))
 
-DELTA_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("d_completed", "d_in_progress", "d_overdue")])
 
+def _sink(store: LiveStore, tables: Callable[[], Tables], as_of, rule: str):
+    def sink(rows: DataFrame, batch: int):
+        store.process(rows, batch, tables(), as_of, rule)
+    return sink
 
-def live_counters_from_log(base_stats: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Counters = base D1 + the sum of all logged deltas (scalar subqueries, no join)."""
-    sums = {c: deltas.select(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in DELTA_SCHEMA.fieldNames()}
-    return base_stats.select(
-        F.col("total_tasks"),
-        (F.col("completed_tasks") + sums["d_completed"]).cast("int").alias("completed_tasks"),
-        (F.col("in_progress_tasks") + sums["d_in_progress"]).cast("int").alias("in_progress_tasks"),
-        (F.col("overdue_tasks") + sums["d_overdue"]).cast("int").alias("overdue_tasks"))
 
+def counters_of(store: LiveStore, tasks: DataFrame, as_of) -> DataFrame:
+    """D1 on ``tasks`` plus the stream's running totals."""
+    gained = {c: F.coalesce(store.totals().select(c).scalar(), F.lit(0)) for c in DELTAS}
+    return task_stats(tasks, as_of).select(
+        "total_tasks", (F.col("completed_tasks") + gained["d_completed"]).alias("completed_tasks"),
+        (F.col("in_progress_tasks") + gained["d_in_progress"]).alias("in_progress_tasks"),
+        (F.col("overdue_tasks") + gained["d_overdue"]).alias("overdue_tasks"))
 
-def _validated_schema(reqs_schema: T.StructType) -> T.StructType:
-    f = {x.name: x for x in reqs_schema.fields}
-    return T.StructType([f["seq"], f["ts"], f["task_id"], f["status"], f["requester_id"],
-                         T.StructField("outcome", T.StringType()), T.StructField("http_status", T.IntegerType()),
-                         T.StructField("base_status", T.StringType()),
-                         T.StructField("due_date", T.TimestampNTZType())])
+
+def replay(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of, rule: str = "reference",
+           root: str | None = None, file_rows: int = REPLAY_FILE_ROWS) -> LiveStore:
+    """Run status requests (seq, ts, task_id, status, requester_id) through the stream,
+    one replay file per trigger, until all are processed."""
+    root = root or scratch_path(spark, "live")
+    landing = replay_to_files(reqs, f"{root}/landing", file_rows=file_rows)
+    store = LiveStore(spark, f"{root}/store", reqs.schema)
+    query = (file_stream(spark, landing, reqs.schema, files_per_trigger=1).writeStream
+             .foreachBatch(_sink(store, lambda: (tasks, users), as_of, rule))
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return store
 
 
 def run_live_counters(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame,
                       as_of, rule: str = "reference", root: str | None = None) -> DataFrame:
-    """Replay status requests (seq, ts, task_id, status, requester_id) through
-    validation (stream A) and the per-task state (stream B); return the counters."""
-    root = root or scratch_path(spark, "live_counters")
-    landing, per_trigger, parts = replay(reqs, f"{root}/landing")
-    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule, per_trigger)
-    vstream = file_stream(spark, f"{validated}/applied/*", _validated_schema(reqs.schema),
-                          files_per_trigger=1 << 20)
-    sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
-    run_available(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
-                  f"{root}/checkpoint_state", partitions=parts)
-    return live_counters_from_log(task_stats(tasks, as_of), read_sink(spark, f"{root}/deltas", DELTA_SCHEMA))
-
-
-def start_live_counters(spark: SparkSession, landing: str, schema: T.StructType, tasks: DataFrame,
-                        users: DataFrame, as_of, root: str | None = None, rule: str = "reference",
-                        interval: str = "2 seconds"):
-    """J1 running continuously (the reference's 2 s refresh): status-request files
-    arriving in ``landing`` flow through validation (stream A) and per-task state
-    (stream B). Returns the two running queries and a function that reads the
-    current counters."""
-    root = root or scratch_path(spark, "live_counters")
-    a = start_live(file_stream(spark, landing, schema, files_per_trigger=4).writeStream
-                   .foreachBatch(_validating_sink(f"{root}/validated", tasks, users, rule)),
-                   f"{root}/checkpoint_validate", interval)
-    vstream = file_stream(spark, f"{root}/validated/applied/*", _validated_schema(schema), files_per_trigger=64)
-    sink = _per_batch_sink(f"{root}/deltas", lambda b: transition_deltas(b, as_of))
-    b = start_live(applied_transitions(vstream).writeStream.outputMode("append").foreachBatch(sink),
-                   f"{root}/checkpoint_state", interval)
-
-    def counters() -> DataFrame:
-        return live_counters_from_log(task_stats(tasks, as_of), read_sink(spark, f"{root}/deltas", DELTA_SCHEMA))
-    return a, b, counters
-
-
-REJECTED_COLS = ["seq", "task_id", "status", "requester_id", "outcome", "http_status"]
-
-
-def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame,
-                        rule: str = "reference", root: str | None = None) -> DataFrame:
-    """Requests failing the I5 checks, from stream A's output (a replayed
-    micro-batch rewrites its own folder, so rows are never duplicated)."""
-    root = root or scratch_path(spark, "rejected")
-    landing, per_trigger, _ = replay(reqs, f"{root}/landing")
-    validated = run_status_validation(spark, landing, reqs.schema, tasks, users, root, rule, per_trigger)
-    return read_sink(spark, f"{validated}/rejected/*", _validated_schema(reqs.schema)).select(*REJECTED_COLS)
+    """J1 over a replay."""
+    return counters_of(replay(spark, reqs, tasks, users, as_of, rule, root), tasks, as_of)
+
+
+def run_latest_status(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of,
+                      rule: str = "reference") -> DataFrame:
+    """J2 over a replay."""
+    return replay(spark, reqs, tasks, users, as_of, rule).latest()
+
+
+def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of,
+                        rule: str = "reference") -> DataFrame:
+    """J4 over a replay."""
+    return replay(spark, reqs, tasks, users, as_of, rule).rejected()
+
+
+def start_live_counters(spark: SparkSession, landing: str, schema: T.StructType, tables: Callable[[], Tables], as_of,
+                        root: str | None = None, rule: str = "reference", interval: str = "2 seconds",
+                        files_per_trigger: int = 4):
+    """J1 running continuously (the reference's 2 s refresh). ``tables`` is called for
+    every micro-batch and every read and returns the current (tasks, users), for
+    instance from the latest snapshot; a task's stored status must stay as it was when
+    its first change arrived, as changes are counted against it. Returns the running
+    query, the store and a function that reads the current counters."""
+    root = root or scratch_path(spark, "live")
+    store = LiveStore(spark, f"{root}/store", schema)
+    query = (file_stream(spark, landing, schema, files_per_trigger).writeStream
+             .foreachBatch(_sink(store, tables, as_of, rule))
+             .option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime=interval).start())
+    return query, store, lambda: counters_of(store, tables()[0], as_of)
 
 
 # ---- J3 -------------------------------------------------------------------
 
-def _transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
+def _transitions(changes: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
     base = tasks.select(F.col("id").alias("task_id"), F.col("status").alias("_base"), "due_date")
     c = changes.select("seq", "ts", "task_id", "status")
     numbered = number_within_groups(c, ["task_id"], [F.col("ts").asc(), F.col("seq").asc()],
-                                    pos_col="_pos", lag_cols=("status",), strategy=strategy)
+                                    pos_col="_pos", lag_cols=("status",))
     j = numbered.join(base, "task_id", "left")
     prev = F.when(F.col("_pos") == 1, F.col("_base")).otherwise(F.col("prev_status"))
     j = j.withColumn("prev_status", prev)
@@ -397,7 +250,7 @@ def _transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "a
          .otherwise(F.lit(0)).alias("d_overdue"))
 
 
-def status_transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
+def status_transitions(changes: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
     """The browser's counter arithmetic per applied change, in (ts, seq) order per task.
 
     ``prev_status`` is the task's status before the change (the stored status
@@ -405,14 +258,14 @@ def status_transitions(changes: DataFrame, tasks: DataFrame, as_of, strategy: st
     in_progress or completed -> -1 / +1; completing an overdue task (browser
     rule) -> overdue -1; reopening never adds overdue back (R14).
     """
-    return _transitions(changes, tasks, as_of, strategy).drop("ts")
+    return _transitions(changes, tasks, as_of).drop("ts")
 
 
 COUNTER_DELTAS = {"completed_tasks": "d_completed", "in_progress_tasks": "d_in_progress",
                   "overdue_tasks": "d_overdue"}
 
 
-def member_counters_literal(changes: DataFrame, tasks: DataFrame, as_of, strategy: str = "auto") -> DataFrame:
+def member_counters_literal(changes: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
     """J3 applied: the counters each assignee's dashboard ends with after replaying
     the changes of their tasks one by one with the browser's arithmetic, where
     every decrement floors at 0 (``Math.max(0, x - 1)``).
@@ -424,12 +277,10 @@ def member_counters_literal(changes: DataFrame, tasks: DataFrame, as_of, strateg
     partial aggregation. ``total_tasks`` is untouched by status changes.
     """
     owner = tasks.select(F.col("id").alias("task_id"), F.col("assigned_to").alias("user_id"))
-    t = _transitions(changes, tasks, as_of, strategy).join(owner, "task_id").where(F.col("user_id").isNotNull())
+    t = _transitions(changes, tasks, as_of).join(owner, "task_id").where(F.col("user_id").isNotNull())
     deltas = tuple(COUNTER_DELTAS.values())
-    # same rows per assignee as ``t``, without the per-task numbering and lookups
-    probe = changes.select("task_id").join(owner, "task_id").where(F.col("user_id").isNotNull())
     run = number_within_groups(t, ["user_id"], [F.col("ts").asc(), F.col("seq").asc()],
-                               pos_col="_pos", sum_cols=deltas, strategy=strategy, size_probe=probe)
+                               pos_col="_pos", sum_cols=deltas)
     folded = run.groupBy("user_id").agg(
         *[F.sum(c).alias(f"s_{c}") for c in deltas], *[F.min(f"cum_{c}").alias(f"m_{c}") for c in deltas])
     base = (tasks.where(F.col("assigned_to").isNotNull())
@@ -438,5 +289,5 @@ def member_counters_literal(changes: DataFrame, tasks: DataFrame, as_of, strateg
     out = [F.col("user_id"), F.col("total_tasks")]
     for counter, dcol in COUNTER_DELTAS.items():
         b = F.col(counter)
-        out.append((b + F.col(f"s_{dcol}") - F.least(F.lit(0), b + F.col(f"m_{dcol}"))).cast("int").alias(counter))
+        out.append((b + F.col(f"s_{dcol}") - F.least(F.lit(0), b + F.col(f"m_{dcol}"))).alias(counter))
     return j.select(*out)
