@@ -40,7 +40,8 @@ def op4_mixing_sources(spark, d):
 
 def op5_quality_rules(spark, d):
     judged = quality_rules.quality_rules(table(spark, d, "documents").select("doc_id", "text"), into="quality")
-    return judged.select("doc_id", "quality.*")
+    return judged.select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                                             "n_repeat_words", "base_failed", "kept", "n_covered")])
 
 
 def op6_pii(spark, d):
