@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from workboard.llm.common import materialize, text_bytes, with_package
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
-#: Labelled rows that the network is fitted on: at most so many, those of the smallest hashes.
+#: Labelled rows that the network is fitted on: all, or of more about so many, by a hash of the id.
 MAX_TRAIN = 20_000
 CHUNK_TOKENS = 1 << 17
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
@@ -55,8 +55,9 @@ class _Buckets(dict):
         return out
 
 
-def _chunks(texts, buckets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets of all tokens, tokens of each text) of texts with about CHUNK_TOKENS tokens."""
+def _chunks(texts: list[bytes], buckets: _Buckets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of all tokens, tokens of each text) of neighbouring texts with about
+    CHUNK_TOKENS tokens together."""
     found, sizes = [], []
     for text in texts:
         tokens = [buckets[x] for x in _TOKEN.findall(text)]
@@ -90,11 +91,15 @@ def word_table(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.
         index, buckets = index_vectors(), _Buckets()
         total, count = np.zeros((BUCKETS, DIM), dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for tokens, sizes in _chunks((x.as_py() for x in batch.column(0)), buckets):
-                context = context_sums(tokens, sizes, index).astype(np.float64)
+            for tokens, sizes in _chunks(batch.column(0).to_pylist(), buckets):
+                if not len(tokens):
+                    continue
+                context = context_sums(tokens, sizes, index)
+                order = np.sort((tokens << 32) | np.arange(len(tokens)))
+                tokens = order >> 32
+                first = np.flatnonzero(np.diff(tokens, prepend=-1))
+                total[tokens[first]] += np.add.reduceat(context[order & 0xFFFFFFFF], first, axis=0, dtype=np.int64)
                 count += np.bincount(tokens, minlength=BUCKETS)
-                for d in range(DIM):
-                    total[:, d] += np.bincount(tokens, weights=context[:, d], minlength=BUCKETS).astype(np.int64)
         used = np.flatnonzero(count)
         values = np.c_[count[used], total[used]]
         lists = pa.ListArray.from_arrays(np.arange(len(used) + 1, dtype=np.int32) * (DIM + 1), pa.array(values.ravel()))
@@ -116,18 +121,21 @@ def pool(tokens: np.ndarray, sizes: np.ndarray, vectors: np.ndarray, weights: np
     out[:, -2] = np.log1p(sizes)
     if not len(full):
         return out
-    starts = (np.cumsum(sizes) - sizes)[full]
-    w = weights[tokens][:, None]
-    own = vectors[tokens]
+    # one row for each token that a text has, with its weight times its count
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    pairs, times = np.unique(doc * BUCKETS + tokens, return_counts=True)
+    of, distinct = pairs // BUCKETS, pairs % BUCKETS
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    own = vectors[distinct]
+    w = (weights[distinct] * times).astype(np.float32)[:, None]
+    weighted = own * w
     total = np.add.reduceat(w, starts, axis=0)
-    mean = np.add.reduceat(own * w, starts, axis=0) / total
-    spread = np.add.reduceat(own * own * w, starts, axis=0) / total - mean * mean
+    mean = np.add.reduceat(weighted, starts, axis=0) / total
+    weighted *= own
     out[full, :DIM] = mean
-    out[full, DIM:2 * DIM] = np.sqrt(np.maximum(spread, 0))
+    out[full, DIM:2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(weighted, starts, axis=0) / total - mean * mean, 0))
     out[full, 2 * DIM:3 * DIM] = np.maximum.reduceat(own, starts, axis=0)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    distinct = np.bincount(np.unique(doc * BUCKETS + tokens) // BUCKETS, minlength=len(sizes))
-    out[full, -1] = (distinct[full] / sizes[full])
+    out[full, -1] = np.diff(np.r_[starts, len(of)]) / sizes[full]
     return out
 
 
@@ -143,7 +151,7 @@ def document_features(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], id_
         weights = (1e-3 / (1e-3 + count / max(1.0, count.sum()))).astype(np.float32)
         buckets = _Buckets()
         for batch in batches:
-            parts = [pool(t, s, vectors, weights) for t, s in _chunks((x.as_py() for x in batch.column("text")), buckets)]
+            parts = [pool(t, s, vectors, weights) for t, s in _chunks(batch.column("text").to_pylist(), buckets)]
             values = np.concatenate(parts) if parts else np.zeros((0, _N_FEATURES), dtype=np.float32)
             lists = pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * _N_FEATURES,
                                              pa.array(values.ravel()))
@@ -226,8 +234,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds))
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
              .where(F.col("label").isin(0.0, 1.0) & (fold != held_out)))
-    rows = (features.join(known, "id").select("id", "features", "label", fold.alias("fold"))
-            .orderBy(F.xxhash64(F.col("id").cast("string")), "id", "label").limit(max_train).collect())
+    share = min(1.0, max_train / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = features.join(chosen, "id").select("id", "features", "label", fold.alias("fold")).collect()
+    rows.sort(key=lambda r: (str(r["id"]), r["label"], r["features"]))
     x = np.array([r["features"] for r in rows], dtype=np.float64).reshape(len(rows), _N_FEATURES)
     net = fit(x, np.array([r["label"] for r in rows], dtype=np.float64), np.array([r["fold"] == aside for r in rows], dtype=bool))
     model = docs.sparkSession.sparkContext.broadcast(net)
