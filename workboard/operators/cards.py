@@ -13,7 +13,6 @@ from workboard.functions.text import display_date, or_text
 NO_TASK_DESCRIPTION = "No description provided for this task."
 NO_ASSIGNEE = "Unassigned"
 NO_DUE_DATE = "Flexible"
-NO_PROJECT_DESCRIPTION = "No project description added yet."
 
 
 def task_cards(listing: DataFrame, as_of) -> DataFrame:
@@ -28,9 +27,3 @@ def task_cards(listing: DataFrame, as_of) -> DataFrame:
                     display_date("due_date", NO_DUE_DATE).alias("due_text"),
                     or_text("description", NO_TASK_DESCRIPTION).alias("description_text"),
                     or_text("assignee_name", NO_ASSIGNEE).alias("assignee_text")))
-
-
-def project_cards(rollup: DataFrame) -> DataFrame:
-    """Project card fields from ``project_rollup`` output."""
-    return rollup.select("id", "name", or_text("description", NO_PROJECT_DESCRIPTION).alias("description_text"),
-                         F.coalesce("member_count", F.lit(0)).alias("member_count"))

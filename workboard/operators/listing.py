@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workboard.functions.order import newest_first
 from workboard.functions.text import display_job_role
 from workboard.operators.joins import left_lookup
 
-# Newest first as PostgreSQL orders ``created_at DESC``: NULLs first; id breaks ties.
-def newest_first() -> list:
-    return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
-
 # Role rules (R4). 'reference': tasks are restricted only for role 'member'.
 # 'strict': everything except role 'admin' is restricted (the stats/projects rule).
 ROLE_RULES = ("reference", "strict")
@@ -149,7 +146,7 @@ def available_member_counts(users: DataFrame, projects: DataFrame, pm: DataFrame
 
 def task_detail(ws, task_id) -> DataFrame:
     """The joined row returned after a create / status update (C1 + project_id)."""
-    return task_listing(ws.tasks.where(F.col("id") == F.lit(task_id)), ws.projects, ws.users)
+    return task_listing(by_id(ws.tasks, task_id), ws.projects, ws.users)
 
 
 def valid_member_ids(users: DataFrame, ids: DataFrame, id_col: str = "user_id") -> DataFrame:

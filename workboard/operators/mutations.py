@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from workboard.functions.status import as_of_lit, is_known_status
 from workboard.operators.joins import left_lookup
+from workboard.operators.listing import member_link_exists
 from workboard.session import checkpoint_root
 from workboard.functions.text import (is_blank, looks_like_email, normalize_email,
                                       normalize_job_role, trim_to_null, ws_trim)
@@ -188,9 +189,8 @@ def create_tasks(ws, reqs: DataFrame, as_of, batch_id: str,
     r = reqs.select("seq", "project_id", "title", "description", "assigned_to",
                     (F.col("due_date") if "due_date" in cols else F.lit(None).cast("timestamp_ntz")).alias("due_date"))
     projects = ws.projects.select(F.col("id").alias("project_id")).withColumn("_project", F.lit(True))
-    links = (ws.project_members.select("project_id", F.col("user_id").alias("assigned_to"))
-             .join(_member_ids(ws.users).select(F.col("user_id").alias("assigned_to")), "assigned_to", "left_semi")
-             .distinct().withColumn("_linked", F.lit(True)))
+    links = (member_link_exists(ws.project_members, ws.users).withColumnRenamed("user_id", "assigned_to")
+             .withColumn("_linked", F.lit(True)))
     r = left_lookup(left_lookup(r, projects, "project_id"), links, ["project_id", "assigned_to"])
     outcome = (F.when(is_blank("title"), "invalid_title")
                 .when(F.col("assigned_to").isNull() | (F.col("assigned_to").cast("string") == ""), "missing_assignee")

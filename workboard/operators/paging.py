@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workboard.functions.order import newest_first
 from workboard.functions.status import as_of_lit
-from workboard.operators.listing import scope_tasks, task_listing, visible_projects
+from workboard.operators.listing import scope_tasks, task_listing, tasks_of_project, visible_projects
 from workboard.operators.ordered import number_within_groups
 
 CURSOR_MODES = ("composite", "timestamp")
@@ -26,11 +27,6 @@ def _check_limit(limit) -> int:
     return limit
 
 
-def newest_first(ts: str = "created_at", key: str = "id") -> list[Column]:
-    """PostgreSQL's ``ts DESC`` (NULLs first), then the id tie-break."""
-    return [F.col(ts).desc_nulls_first(), F.col(key).desc()]
-
-
 def before_cursor(cursor, mode: str = "composite", ts: str = "created_at", key: str = "id") -> Column:
     """Rows strictly after ``cursor`` in newest-first order.
 
@@ -62,7 +58,7 @@ def task_page(ws, project_id, viewer_id, viewer_role, cursor=None, limit: int =
               cursor_mode: str = "composite", rule: str = "reference") -> DataFrame:
     """a keyset page of one project's tasks, newest first."""
     limit = _check_limit(limit)
-    t = ws.tasks.where(F.col("project_id") == F.lit(project_id))
+    t = tasks_of_project(ws.tasks, project_id)
     t = scope_tasks(t, viewer_id, viewer_role, rule)
     if cursor is not None:
         t = t.where(before_cursor(cursor, cursor_mode))

@@ -10,13 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workboard.functions.order import newest_first
 from workboard.functions.status import as_count, is_overdue
 from workboard.functions.text import display_job_role
 
-# Newest first as PostgreSQL orders ``created_at DESC``: NULLs first; id breaks ties.
-def newest_first() -> list:
-    return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
-
 
 def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
@@ -43,6 +40,21 @@ def scoped_task_stats(tasks: DataFrame, as_of, viewer_id, viewer_role) -> DataFr
     return task_stats(tasks, as_of, None if viewer_role == "admin" else viewer_id)
 
 
+def task_stats_by_viewer(tasks: DataFrame, viewers: DataFrame, as_of) -> DataFrame:
+    """B5 for many viewers at once: ``viewers`` (viewer_id, role) with the counters each
+    sees, all tasks for role 'admin' and their own for any other role.
+
+    Tasks are counted once per assignee and once as a whole; the whole is one row, so
+    giving it to every admin multiplies nothing.
+    """
+    own = tasks.groupBy(F.col("assigned_to").alias("viewer_id")).agg(*stats_columns(as_of))
+    names = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
+    whole = task_stats(tasks, as_of).select(F.struct(*names).alias("all"))
+    admin = F.col("role").eqNullSafe("admin")
+    return viewers.join(own, "viewer_id", "left").withColumn("all", whole.scalar()).select(
+        "viewer_id", "role", *[F.when(admin, F.col("all")[c]).otherwise(F.coalesce(c, F.lit(0))).alias(c) for c in names])
+
+
 def task_stats_by_member(tasks: DataFrame, users: DataFrame, as_of) -> DataFrame:
     """D2 set form: counters for every user as assignee, zeros kept."""
     per = (tasks.where(F.col("assigned_to").isNotNull())

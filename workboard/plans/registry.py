@@ -63,6 +63,12 @@ def q_task_stats_by_member(spark, d):
     return rollups.task_stats_by_member(ws.tasks, ws.users, P.AS_OF)
 
 
+@query("task_stats_by_viewer")
+def q_task_stats_by_viewer(spark, d):
+    ws = ws_of(spark, d)
+    return rollups.task_stats_by_viewer(ws.tasks, ws.users.select(F.col("id").alias("viewer_id"), "role"), P.AS_OF)
+
+
 @query("tasks_per_member_name")
 def q_tasks_per_member_name(spark, d):
     ws = ws_of(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -62,6 +63,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...)")
         root = tempfile.mkdtemp(prefix="workboard-ckpt-")
+    if not sc.master.startswith("local") and root.startswith(("file:", "/")):
+        warnings.warn(f"spark.checkpoint.dir is {root}: on a cluster it has to be a folder that all machines share",
+                      stacklevel=2)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
