@@ -212,7 +212,7 @@ def _normalised(scores: np.ndarray, sizes: np.ndarray, step: np.ndarray, start:
     return both[:, :, 1], steps, both[:, 0].sum(axis=0)
 
 
-def train(pages: Iterable[str], rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
+def train(pages: Iterable[str], rounds: int = 120, rate: float = 0.2, decay: float = 2e-5) -> Field:
     """Fit a field to pages whose elements carry ``data-main`` (0 or 1; blocks without a
     mark count as 0). Runs on the driver: labelled pages are few."""
     parsed = [b for b in map(blocks_of, pages) if b]

@@ -16,6 +16,8 @@ _MAIN = (
     ("<article>", "</article>"), ("<main>", "</main>"), ('<main id="content"><article class="post">', "</article></main>"),
     ('<div class="content">', "</div>"), ('<div id="main-content">', "</div>"), ('<div class="post-body entry-content">', "</div>"),
     ('<div class="article-body">', "</div>"), ('<section class="story">', "</section>"), ('<div id="article">', "</div>"),
+    ('<div id="main">', "</div>"), ('<div class="article">', "</div>"), ('<div class="post">', "</div>"),
+    ('<div class="entry">', "</div>"), ('<section id="article-text">', "</section>"),
     ('<div class="page"><div class="text">', "</div></div>"), ('<div class="wrapper"><div class="col-main">', "</div></div>"),
     ("<div>", "</div>"), ("<article>", "</article>"), ("<article class=\"entry\">", "</article>"), ('<div role="main">', "</div>"), ('<table><tr><td class="main">', "</td></tr></table>"), ("", ""),
 )
@@ -23,7 +25,7 @@ _WRAPPERS = {
     "menu": (("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<ul class="navbar">', "</ul>"),
              ('<div id="nav">', "</div>"), ('<div class="breadcrumbs">', "</div>"), ('<div role="navigation">', "</div>"),
              ('<header><nav class="top-menu">', "</nav></header>"), ('<div class="topbar">', "</div>"),
-             ('<div class="pagination">', "</div>")),
+             ('<div class="pagination">', "</div>"), ('<div class="toc menu">', "</div>")),
     "header": (("<header>", "</header>"), ('<div id="header">', "</div>"), ('<div class="masthead">', "</div>"),
                ('<div class="site-header banner">', "</div>"), ('<header class="site-title">', "</header>")),
     "footer": (("<footer>", "</footer>"), ('<div id="footer">', "</div>"), ('<div class="site-footer">', "</div>"),
@@ -113,20 +115,20 @@ class _Writer:
         body = [f"<{r.choice(('h1', 'h1', 'h2'))}>{title}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 1, 2, 3, 4, 5, 6, 8, 10))):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.64:
                 body.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<p>{}", "<div>{}</div>")).format(self.prose()))
-            elif kind < 0.8:
+            elif kind < 0.7:
                 body.append(f"<h{r.randint(2, 4)}>{self.words(1, 6)}</h{r.randint(2, 4)}>")
-            elif kind < 0.86:
+            elif kind < 0.76:
                 body.append("<ul>" + "".join(f"<li>{self.prose()}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.8:
                 body.append(f"<blockquote>{self.prose()}</blockquote>")
-            elif kind < 0.93:
+            elif kind < 0.84:
                 body.append(f"<table><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr></table>")
-            elif kind < 0.95:
+            elif kind < 0.86:
                 body.append(f"<pre>{self.prose()}</pre>")
             else:
-                body.append(self.part(r.choice(("aside", "advert", "notice", "form"))))
+                body.append(self.part(r.choice(("aside", "advert", "advert", "notice", "form", "menu"))))
         if r.random() < 0.2:
             body.append(self.part("comments"))
         main = f'{low}<div data-main="1">{"".join(body)}</div>{high}'
