@@ -321,3 +321,22 @@ def test_keyset_pages_with_null_timestamps(spark):
         cursor = paging.next_cursor(page)
     # PostgreSQL order: NULL timestamps first (id desc), then newest first
     assert seen == [6, 2, 1, 0, 4, 3, 5]
+
+
+def test_every_audit_rule_finds_a_violation(spark):
+    from workboard.operators import audit
+    from workboard.sources.workspace import SCHEMAS, Workspace
+    t0 = dt.datetime(2024, 1, 1)
+    rows = {
+        "users": [(None, None, None, "boss", None, None, t0), (1, "n" * 256, "e" * 256, "r" * 51, "j" * 101, False, t0),
+                  (1, "a", "dup@x", "member", None, False, t0), (2, "b", "dup@x", "admin", None, False, t0)],
+        "projects": [(None, None, None, None, t0), (1, "p" * 256, None, 99, t0), (1, "p", None, 1, t0)],
+        "project_members": [(None, 1), (1, None), (77, 1), (1, 88), (1, 1), (1, 1)],
+        "tasks": [(None, 1, None, None, "odd", 1, None, t0), (1, 77, "t" * 256, None, "s" * 51, 88, None, t0),
+                  (1, 1, "t", None, "todo", None, None, t0)],
+    }
+    ws = Workspace(**{n: spark.createDataFrame(r, T.StructType([T.StructField(f.name, f.dataType) for f in SCHEMAS[n]]))
+                      for n, r in rows.items()})
+    found = {(r.table_name, r.rule): r.violations for r in audit.constraint_audit(ws).collect()}
+    assert len(found) == 27 and all(n > 0 for n in found.values()), found
+    assert all(r.violations > 0 for r in audit.orphan_audit(ws).collect())
