@@ -67,15 +67,14 @@ def op8_token_counts(spark, d):
     """All documents go in; those labelled toxic are deleted; those of low quality are
     revised to texts without their symbols; and each batch is sent twice."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    low = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
-    gone = docs.select("doc_id", "source", "lang", F.lit("").alias("text")).join(toxic, "doc_id", "left_semi")
-    cleaned = docs.join(low, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[#*$%&|<>!]", ""))
+    labels = labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
+    cleaned = docs.withColumn("text", F.regexp_replace("text", "[#*$%&|<>!]", ""))
     totals = rollup.TokenRollup(spark, scratch_path(spark, "llm/token-rollup"))
-    for batch, rows, op in (("load", docs, rollup.INSERT), ("toxic", gone, rollup.DELETE),
-                            ("cleaned", cleaned, rollup.REVISE)):
+    for batch, rows, op, only in (("load", docs, rollup.INSERT, None),
+                                  ("toxic", docs, rollup.DELETE, labels.where("toxic = 1")),
+                                  ("cleaned", cleaned, rollup.REVISE, labels.where("quality = 0 and toxic = 0"))):
         for _ in range(2):
-            totals.commit(batch, rollup.changes_of(rows, op))
+            totals.commit(batch, rollup.changes_of(rows, op), only)
     return totals.totals().select("source", "lang", "tokenizer", F.col("docs").alias("n_docs"),
                                   F.col("tokens").alias("n_tokens"), F.col("chars").alias("n_chars"))
 

@@ -75,21 +75,26 @@ class TokenRollup:
                 return None
             raise
 
-    def _counted(self, docs: DataFrame, sign: int) -> DataFrame:
-        """Rows by tokenizer; a text is split once for each of them and not shuffled."""
+    def _counted(self, docs: DataFrame, only: DataFrame | None) -> DataFrame:
+        """Rows by tokenizer, of the ids in ``only``. Texts are counted where they are read
+        and never shuffled: the ids are joined with the counts. (An inner join: Spark would
+        push a semi join below the counting.)"""
         with_package(self.spark)
         text = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
         counted = text.select("id", "source", "lang", F.length("text").cast("long").alias("chars"),
                               *[count(F.col("text")).alias(f"t{i}") for i, count in enumerate(self.tokenizers.values())])
+        if only is not None:
+            counted = counted.join(only, "id")
         each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(f"t{i}").alias("tokens"))
                          for i, name in enumerate(self.tokenizers)])
         return counted.select("id", "source", "lang", "chars", F.explode(each).alias("c")).select(
-            "id", "source", "lang", "c.tokenizer", F.lit(sign).cast("long").alias("docs"),
-            (sign * F.col("c.tokens")).alias("tokens"), (sign * F.col("chars")).alias("chars"))
+            "id", "source", "lang", "c.tokenizer", F.lit(1).cast("long").alias("docs"),
+            F.col("c.tokens").alias("tokens"), "chars")
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (op: insert, delete or revise; id, source, lang, text); False
-        if ``batch`` was committed before.
+    def commit(self, batch: str, changes: DataFrame, only: DataFrame | None = None) -> bool:
+        """Apply ``changes`` (op: insert, delete or revise; id, source, lang, text), of the
+        ids in the column id of ``only`` if it is given; False if ``batch`` was committed
+        before.
 
         Inserts add, whether the id is known or not. Deletes and revisions take out all
         that the log has for the id, under every tokenizer; unknown ids take out nothing.
@@ -107,10 +112,12 @@ class TokenRollup:
         known = F.col("op").isin(INSERT, DELETE, REVISE)
         op = F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce("op", F.lit("null")))))
         changes = changes.select(op.alias("op"), "id", "source", "lang", "text")
-        rows = self._counted(changes.where(F.col("op") != DELETE).drop("op"), 1)
+        only = only if only is None else only.select("id").where("id is not null").distinct()
+        rows = self._counted(changes.where(F.col("op") != DELETE).drop("op"), only)
         log = self._read("log")
         if log is not None and done:
             gone = changes.where(F.col("op") != INSERT).select("id").distinct()
+            gone = gone if only is None else gone.join(only, "id")
             net = (log.where(F.col("batch").isin(done)).join(gone, "id", "left_semi")
                    .groupBy("id", "source", "lang", "tokenizer")
                    .agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]).where("docs != 0 or tokens != 0"))
