@@ -11,9 +11,17 @@ from tests.conftest import SF001
 from tests.llm import brute, frames
 from workboard.llm import (classifier, components, decontaminate, html_text, license_scan, mixing, pii, quality_rules,
                            secret_scan, simhash, token_rollup)
+from workboard.llm.oracle import ORACLE
 from workboard.llm.queries import QUERIES
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    from tools.oracle_compare import compare
+    res = compare(spark, SF001, [name], verbose=False)[name]
+    assert res.get("match") is True, res
+
+
 def key(row):
     return tuple((x is None, str(x)) for x in row)
 

@@ -81,7 +81,10 @@ def test_fingerprint(text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aAzZ09/:@`{ é\x80\x7f\n", max_size=60))
 def test_plain_words(text):
-    assert [w.decode() for w in decontaminate.words_of(text.encode())] == brute.PLAIN_WORD.findall(brute.low(text))
+    want = brute.PLAIN_WORD.findall(brute.low(text))
+    assert [w.decode() for w in decontaminate.words_of(text.encode())] == want
+    sizes, words = decontaminate._tokenised([b"", text.encode(), b" ", text.encode()])
+    assert sizes.tolist() == [0, len(want), 0, len(want)] and words.to_pylist() == want * 2
 
 
 PIECES = ["token", "TOKEN", "secret", "api_key", "apikey", "Passwd", "=", ":", " ", "  ", '"', "'", "abcdef", "ab.c-d", "x",

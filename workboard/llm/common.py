@@ -12,14 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame, kind: str) -> DataFrame:
+def materialize(df: DataFrame, kind: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation of what is written,
     and every later reader sees the same rows.
     """
     path = scratch_path(df.sparkSession, f"llm/{kind}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is a table of segments. A segment covers whole documents of about
+The index is a table of segments. A segment covers whole neighbouring documents of about
 ``segment_words`` words and holds, for each of its terms, the ascending word
 positions where it stands (terms, starts, postings; positions run through the
 segment, and n_words says where each document ends). Segments are built where the
@@ -30,6 +30,7 @@ from workboard.llm.common import content_key, free_name, materialize, text_bytes
 
 #: Words of a segment (a longer document is a segment of its own) and of a block of test items.
 SEGMENT_WORDS = 1 << 18
+SLICE_BYTES = 1 << 23  # of text that a task cuts at a time
 BLOCK_WORDS = 1 << 20
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -43,24 +44,35 @@ def words_of(text: bytes) -> list[bytes]:
 
 # ---------------------------------------------------------------- index
 
-def _segment(number: int, ids: list, words: list[list[bytes]]) -> dict:
-    vocabulary: defaultdict = defaultdict()
-    vocabulary.default_factory = vocabulary.__len__
-    numbers = np.array([vocabulary[w] for doc in words for w in doc], dtype=np.int64)
-    order = np.sort((numbers << 32) | np.arange(len(numbers)))
-    starts = np.zeros(len(vocabulary) + 1, dtype=np.int32)
-    np.cumsum(np.bincount(numbers, minlength=len(vocabulary)), out=starts[1:])
-    return {"segment": number, "ids": ids, "n_words": np.array([len(x) for x in words], dtype=np.int32),
-            "terms": list(vocabulary), "starts": starts, "postings": (order & 0xFFFFFFFF).astype(np.int32)}
+def _tokenised(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(words of each text, all words one after the other), as words_of() cuts them. Arrow
+    splits and counts; its strings are views of the bytes."""
+    plain = pa.array([t.lower().translate(_TO_WORDS).strip() for t in texts], pa.binary()).view(pa.string())
+    lists = pc.ascii_split_whitespace(plain)
+    sizes = np.where(pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False), 0,
+                     pc.list_value_length(lists).to_numpy())
+    words = lists.flatten()  # a text without words gives one empty word
+    return sizes, words.filter(pc.greater(pc.binary_length(words), 0))
 
 
-def _row(segment: dict, schema: pa.Schema) -> pa.RecordBatch:
-    def one(name):
-        kind = schema.field(name).type
-        values = pa.array(segment[name], kind.value_type)
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values).cast(kind)
+def _segment(number: int, ids: pa.Array, sizes: np.ndarray, words: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+    coded = words.dictionary_encode()
+    numbers = coded.indices.to_numpy().astype(np.int64)
+    order = np.sort((numbers << 32) | np.arange(len(numbers)))
+    starts = np.zeros(len(coded.dictionary) + 1, dtype=np.int32)
+    np.cumsum(np.bincount(numbers, minlength=len(coded.dictionary)), out=starts[1:])
+    lists = {"ids": ids, "n_words": pa.array(sizes.astype(np.int32)), "terms": coded.dictionary.view(pa.binary()),
+             "starts": pa.array(starts), "postings": pa.array((order & 0xFFFFFFFF).astype(np.int32))}
     return pa.RecordBatch.from_arrays(
-        [pa.array([segment["segment"]], pa.int64())] + [one(x.name) for x in schema if x.name != "segment"], schema=schema)
+        [pa.array([number], pa.int64())] + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                                            for x in lists.values()], schema=schema)
+
+
+def _stretches(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Cuts rows into runs: those that begin in the same stretch of ``most`` units."""
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    cuts = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(part)].tolist()
+    return list(zip(cuts, cuts[1:]))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -80,24 +92,26 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         T.StructField("postings", T.ArrayType(T.IntegerType()))])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, number, ids, words, size = None, TaskContext.get().partitionId() << 32, [], [], 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            kind = batch.schema.field("id").type
-            schema = pa.schema([("segment", pa.int64()), ("ids", pa.list_(kind)), ("n_words", pa.list_(pa.int32())),
+            keys = batch.column("id")
+            schema = pa.schema([("segment", pa.int64()), ("ids", pa.list_(keys.type)), ("n_words", pa.list_(pa.int32())),
                                 ("terms", pa.list_(pa.binary())), ("starts", pa.list_(pa.int32())),
                                 ("postings", pa.list_(pa.int32()))])
-            for ident, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                found = words_of(text.as_py())
-                if ids and size + len(found) > segment_words:
-                    yield _row(_segment(number, ids, words), schema)
-                    number, ids, words, size = number + 1, [], [], 0
-                ids.append(ident)
-                words.append(found)
-                size += len(found)
-        if ids:
-            yield _row(_segment(number, ids, words), schema)
-
-    return materialize(rows.mapInArrow(segments, out), "index")
+            texts = batch.column("text")
+            for first, last in _stretches(pc.binary_length(texts).to_numpy(), SLICE_BYTES):
+                sizes, words = _tokenised(texts.slice(first, last - first).to_pylist())
+                ends = np.cumsum(sizes)
+                for low, high in _stretches(sizes, segment_words):
+                    begin = int(ends[low] - sizes[low])
+                    yield _segment(number, keys.slice(first + low, high - low), sizes[low:high],
+                                   words.slice(begin, int(ends[high - 1]) - begin), schema)
+                    number += 1
+
+    # most terms and positions are written once: a Parquet dictionary would cost time only.
+    # A row is megabytes, and readers hold a row group: those are kept small.
+    return materialize(rows.mapInArrow(segments, out), "index", {
+        "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 24)})
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
