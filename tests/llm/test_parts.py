@@ -121,6 +121,28 @@ def test_blocks():
     assert [b.text for b in html_text.blocks_of(html)] == ["a b", "c&d < © e", "x", "y", "1", "2", "q r", "s", "t"]
 
 
+def test_pages_without_the_end_of_the_head(field):
+    article = "<article><h1>T</h1><p>One two three four five six.</p><p>Seven <math><mi>x</mi></math> eight nine ten.</p></article>"
+    for rest in (f"<body>{article}</body></html>", article, f"{article}</html>"):
+        page = "<html><head><title>No</title><script>no</script><noscript>no</noscript>{}" + rest
+        want = [b.text for b in html_text.blocks_of(page.format("</head>"))]
+        assert want == ["T", "One two three four five six.", "Seven x eight nine ten."]
+        for head in ("", "<link rel=x>", "<title>No", "<p></p></head>"):
+            assert [b.text for b in html_text.blocks_of(page.format(head))] == want
+            assert html_text.main_text(page.format(head), field, {}) == "\n".join(want)
+    assert [b.text for b in html_text.blocks_of("<head><title>no</title>Bare <a>text</a><p>x")] == ["Bare text", "x"]
+
+
+@pytest.mark.parametrize("tag", "svg object noscript template select iframe textarea".split())
+def test_hidden_elements_without_an_end(tag):
+    def texts(html):
+        return [b.text for b in html_text.blocks_of(html)]
+    assert texts(f"<div><{tag}><p>a</p><div>b</div></div><p>c") == ["a", "b", "c"]
+    assert texts(f"<div><{tag}><p>a</p><{tag}>no</{tag}><p>b</p></div>") == ["a", "b"]
+    assert texts(f"<div>x <a>y</a><{tag}><i>no <a>no</a></{tag}></div><p>c") == ["x y", "c"]
+    assert texts(f"<div><{tag}><p>a") == ["a"]
+
+
 @pytest.mark.parametrize("html", ["", " ", "<", "<p", "<p>", "</p></div>", "<!--", "<script>x", "&#0;&#x110000;", "<a" + " b" * 5000])
 def test_broken_pages(field, html):
     html_text.main_text(html, field, {})

@@ -27,13 +27,17 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p
     pre section select summary table tbody td tfoot th thead title tr ul label""".split())
-_HIDDEN = frozenset("script style title head noscript template svg math iframe object textarea select option datalist".split())
+_NO_TEXT = frozenset("script style title".split())
+#: Shown no text when their own end tag is there; what follows an unclosed one is no part of it, and stays.
+_HIDDEN = _NO_TEXT | frozenset("head noscript template svg iframe object textarea select datalist".split())
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opening tag ends these open ones, up to the given limits.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
            "tr": ({"tr"}, {"table"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = _BLOCK - {"body", "html", "head", "title", "button", "label", "legend", "option", "select", "td", "th", "tr",
                     "tbody", "thead", "tfoot", "caption"}
+_P_LIMITS = _HIDDEN | {"td", "th", "table", "button", "body"}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -49,26 +53,28 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, tuple, str | None]] = []
+        self.open: list[tuple[str, tuple, str | None, tuple | None]] = []  # the last: what to go back to if it is hidden
         self.path: tuple = ()
         self.parts: list[str] = []
-        self.linked = self.links = self.hidden = 0
+        self.linked = self.links = 0
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                mark = next((m for _, _, m in reversed(self.open) if m is not None), None)
+                mark = next((m for _, _, m, _ in reversed(self.open) if m is not None), None)
                 self.blocks.append(Block(text, self.path, self.linked, mark))
             self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
             self.flush()
+        self.leave_head(tag)
+        if tag in _BLOCK:
             if tag in _CLOSES:
                 self.close_until(*_CLOSES[tag])
             elif tag in _ENDS_P:
-                self.close_until({"p"}, {"td", "th", "table", "button", "body"})
+                self.close_until({"p"}, _P_LIMITS)
         elif tag == "br":
             self.parts.append(" ")
         if tag in _VOID:
@@ -81,17 +87,28 @@ class _Blocks(HTMLParser):
                 found.update(f"stem={x[:5]}" for x in words if len(x) > 5)
             elif name == "data-main":
                 mark = value
-        self.open.append((tag, self.path, mark))
+        hidden = (len(self.blocks), self.parts, len(self.parts), self.linked) if tag in _HIDDEN else None
+        self.open.append((tag, self.path, mark, hidden))
         self.path = self.path + (tuple(sorted(found)),)
         self.links += tag == "a"
-        self.hidden += tag in _HIDDEN
+
+    def leave_head(self, tag):
+        """``</head>`` may be left out: the body, or what can't stand in a head, ends it; so does
+        a block element with an unclosed title."""
+        if tag == "body":
+            self.close_until({"head"}, {"template"})
+        if self.open and self.open[-1][0] == "title" and tag in _BLOCK:
+            self.close_at(len(self.open) - 1)
+        if self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
+            self.flush()
+            self.close_at(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag in _BLOCK:
             self.flush()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag or tag in _HEADINGS and self.open[at][0] in _HEADINGS:
-                self.close_at(at)
+                self.close_at(at, True)
                 return
             if self.open[at][0] in ("table", "body") and tag not in ("table", "body", "html"):
                 return
@@ -104,18 +121,25 @@ class _Blocks(HTMLParser):
             if self.open[at][0] in limits or self.open[at][0] in _BLOCK and "p" in tags:
                 return
 
-    def close_at(self, at):
-        for tag, _, _ in self.open[at:]:
-            self.links -= tag == "a"
-            self.hidden -= tag in _HIDDEN
+    def close_at(self, at, ended=False):
+        """``ended``: by the end tag of the element there, not by that of another one."""
+        self.links -= sum(tag == "a" for tag, _, _, _ in self.open[at:])
+        for tag, _, _, hidden in self.open[at:]:
+            if hidden and (ended or tag in _NO_TEXT):
+                blocks, self.parts, size, self.linked = hidden
+                del self.blocks[blocks:], self.parts[size:]
+                break
+            ended = False
         self.path = self.open[at][1]
         del self.open[at:]
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.flush()
+            self.close_at(len(self.open) - 1)
+        self.parts.append(data)
+        if self.links:
+            self.linked += len(data)
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -124,6 +148,8 @@ def blocks_of(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.flush()
+    if parser.open:
+        parser.close_at(0)
     return parser.blocks
 
 
