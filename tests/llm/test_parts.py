@@ -133,6 +133,15 @@ def test_pages_without_the_end_of_the_head(field):
     assert [b.text for b in html_text.blocks_of("<head><title>no</title>Bare <a>text</a><p>x")] == ["Bare text", "x"]
 
 
+def test_words_late_in_long_class_lists(field):
+    utilities = " ".join(f"px-{i} md:mt-{i}" for i in range(60))
+    for word in ("sidebar", "advertisement", "comments"):
+        block, = html_text.blocks_of(f'<div class="{utilities} {word}">One two three.</div>')
+        assert {f"word={word}", f"stem={word[:5]}"} <= html_text.path_features(block.path)
+    page = '<article><h1>Title</h1><p>One two three four.</p><div class="{}advertisement"><p>Buy now.</p></div></article>'
+    assert html_text.main_text(page.format(utilities + " "), field, {}) == html_text.main_text(page.format(""), field, {})
+
+
 @pytest.mark.parametrize("tag", "svg object noscript template select iframe textarea".split())
 def test_hidden_elements_without_an_end(tag):
     def texts(html):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,6 +42,13 @@ _P_LIMITS = _HIDDEN | {"td", "th", "table", "button", "body"}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+@lru_cache(maxsize=4096)
+def value_features(value: str) -> frozenset:
+    """The words of a whole class, id or role, and the beginnings of long ones."""
+    words = {x.lower() for x in _PARTS.findall(value)}
+    return frozenset(f"word={x}" for x in words) | {f"stem={x[:5]}" for x in words if len(x) > 5}
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -82,9 +90,7 @@ class _Blocks(HTMLParser):
         found, mark = {f"tag={tag}"}, None
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words = [x.lower() for x in _PARTS.findall(value[:200])]
-                found.update(f"word={x}" for x in words)
-                found.update(f"stem={x[:5]}" for x in words if len(x) > 5)
+                found |= value_features(value)
             elif name == "data-main":
                 mark = value
         hidden = (len(self.blocks), self.parts, len(self.parts), self.linked) if tag in _HIDDEN else None
