@@ -370,3 +370,22 @@ def test_extraction_keeps_other_columns(spark):
 def test_rules_keep_other_columns(spark):
     docs = frames.clashing(frames.odd_docs(spark))
     assert quality_rules.drop_low_quality(docs).columns == docs.columns
+
+
+def test_keys_and_passwords_of_any_form_and_length(spark):
+    rules = secret_scan.RuleSet()
+
+    def found(text):
+        return [(rules.kinds[k], text[a:b]) for a, k, b in secret_scan.find_secrets(text, rules.rules) if k >= 3]
+    for n in (128, 129, 200, 100_000):
+        assert found(f"https://{'u' * n}:{'P-' * n}@host/x") == [("urlauth", "P-" * n)]
+    encrypted = ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nabc+/=\n"
+                 "-----END RSA PRIVATE KEY-----")
+    in_json = r"-----BEGIN PRIVATE KEY-----\nabc+/=\nxyz\n-----END PRIVATE KEY-----"
+    text = f'the mark -----BEGIN PRIVATE KEY----- and {encrypted} and {{"key": "{in_json}"}} -----END PRIVATE KEY-----'
+    assert found(text) == [("pem", encrypted), ("pem", in_json)]
+    assert found("-----BEGIN PRIVATE KEY-----" * 50_000 + "-" * 200_000 + "://a:b" * 50_000) == []
+    docs = spark.createDataFrame([(1, f"{in_json} https://deploy:{'t' * 200}@host"), (2, encrypted)],
+                                 "doc_id long, text string")
+    got = {r[0]: r[1] for r in secret_scan.redact_secrets(docs).collect()}
+    assert got == {1: "[SECRET] https://deploy:[SECRET]@host", 2: "[SECRET]"}

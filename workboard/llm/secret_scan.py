@@ -28,20 +28,22 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 20, 0),
     ("hex", r"[0-9a-f]+", 24, 0),
 )
-# Kinds of this library, after the base ones.
+# Kinds of this library, after the base ones. A pem key goes from the last mark before its END mark to that one, whatever
+# stands between. Repeats have no upper bounds; possessive ones end at marks, so no run is read twice.
+_PEM = r"[A-Z ]*PRIVATE KEY-----"
 MORE_RULES = (
-    ("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,32}PRIVATE KEY-----", 0, 0),
+    ("pem", rf"-----BEGIN {_PEM}(?:[^-]++|-(?!----(?:BEGIN|END) {_PEM}))*+-----END {_PEM}", 0, 0),
     ("github", r"(?<![A-Za-z0-9])gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0),
     ("slack", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("urlauth", r"://[^\s:/@]{1,64}:([^\s:/@]{3,128})@", 0, 1),
+    ("urlauth", r"://[^\s:/@]++:([^\s:/@]{3,}+)@", 0, 1),
 )
 
 
 @dataclass(frozen=True)
 class RuleSet:
     """Rules in the order of their kinds; ``version`` names the set in the ledger."""
-    version: str = "2"
+    version: str = "3"
     rules: tuple = field(default=BASE_RULES + MORE_RULES)
 
     @property
