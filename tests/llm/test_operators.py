@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -389,3 +390,26 @@ def test_keys_and_passwords_of_any_form_and_length(spark):
                                  "doc_id long, text string")
     got = {r[0]: r[1] for r in secret_scan.redact_secrets(docs).collect()}
     assert got == {1: "[SECRET] https://deploy:[SECRET]@host", 2: "[SECRET]"}
+
+
+def test_context_reaches_over_neighbouring_matches(spark):
+    docs = spark.createDataFrame([
+        (1, "SSN: 123-45-6789, 234-56-7890, 345-67-8901"), (2, "SSN: 000-45-6789, 234-56-7890"),
+        (3, "123-45-6789, 234-56-7890 ssn"), (4, "SSN 123-45-6789" + " " * 40 + "234-56-7890"),
+        (5, "part 123-45-6789, 234-56-7890"), (6, "call +1 389 555 5010, x +1 389 555 5011")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], round(x["score"], 2)) for x in r["found"]] for r in pii.pii_by_document(docs).collect()}
+    assert got == {1: [(5, 0.5), (18, 0.5), (31, 0.5)], 2: [(18, 0.5)], 3: [(0, 0.5), (13, 0.5)], 4: [(4, 0.5)], 5: [],
+                   6: [(5, 0.9), (24, 0.9)]}
+
+
+def test_contexts_are_the_characters_around_a_span(spark):
+    rng = random.Random(12)
+    pieces = ["123-45-6789", "000-11-2222", ", ", "; ", "ssn ", " social security ", "é😀 ", "x" * 17, "\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 16))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kind, want = next(k for k in pii.MORE_KINDS if k.name == "ssn"), {}
+    for i, text in enumerate(texts):
+        want[i] = [m.start() for m in re.finditer(kind.pattern, text) if not m[0].startswith("000") and re.search(
+            kind.context, text[max(0, m.start() - 40):m.start()] + "\n" + text[m.end():m.end() + 40])]
+    got = {r["doc_id"]: [x["start"] for x in r["found"] if x["kind"] == "ssn"] for r in pii.pii_by_document(docs).collect()}
+    assert got == want and any(want.values())

@@ -2,7 +2,7 @@
 
 Regular expressions propose spans. Checks confirm them: octets of addresses, Luhn for
 card numbers, mod-97 for account numbers, digit counts for phones. Words of the context,
-up to ``CONTEXT`` characters before and after a span, adjust its score.
+the ``CONTEXT`` characters of the text before and after a span, adjust its score.
 
 Offsets without a function that returns them: the matches of a text and the gaps between
 them (split at the same pattern) come from the same search, so a match starts where the
@@ -103,17 +103,23 @@ def pii_spans(docs: DataFrame, more: tuple = MORE_KINDS, least: float = 0.5, id_
         def one(hit, at):
             before, after = F.get(F.col(f"g{i}"), at), F.get(F.col(f"g{i}"), at + 1)
             return F.struct(F.lit(i).alias("number"), at.alias("at"), F.length(before).alias("gap"), hit.alias("hit"),
-                            F.concat_ws("\n", F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT))).alias("near"))
+                            F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
         return F.when(F.size(f"h{i}") > 0, F.transform(F.col(f"h{i}"), one)).otherwise(F.array())
 
     nothing = F.struct(F.lit(-1).alias("number"), F.lit(0).alias("at"), F.lit(0).alias("gap"),
-                       F.lit(None).cast("string").alias("hit"), F.lit(None).cast("string").alias("near"))
+                       *[F.lit(None).cast("string").alias(c) for c in ("hit", "before", "after")])
     each = (gaps.select("row", "id", F.explode(F.concat(F.array(nothing), *[found(i) for i in range(len(kinds))])).alias("x"))
             .select("row", "id", "x.*").repartition("row"))
-    upto = Window.partitionBy("row", "number").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    place = Window.partitionBy("row", "number").orderBy("at")
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
+    # the context goes on over neighbouring matches and their gaps; a match has a character, so CONTEXT of them are enough
+    earlier = F.collect_list(F.concat("before", F.right("hit", F.lit(CONTEXT)))).over(place.rowsBetween(-CONTEXT, -1))
+    later = F.collect_list(F.concat(F.left("hit", F.lit(CONTEXT)), "after")).over(place.rowsBetween(1, CONTEXT))
+    context = F.concat(F.right(F.concat(F.array_join(earlier, ""), "before"), F.lit(CONTEXT)), F.lit("\n"),
+                       F.left(F.concat("after", F.array_join(later, "")), F.lit(CONTEXT)))
     names, words = F.array(*[F.lit(k.name) for k in kinds]), F.array(*[F.lit(k.context) for k in kinds])
     scores, is_base = F.array(*[F.lit(k.score) for k in kinds]), F.array(*[F.lit(k.base) for k in kinds])
-    placed = (each.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(upto))
+    placed = (each.withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("hit"), F.lit(0))).over(upto)).withColumn("near", context)
               .withColumn("start", F.col("end") - F.length("hit"))
               .withColumn("kind", F.get(names, F.col("number"))).withColumn("base", F.get(is_base, F.col("number"))))
     sure = placed.where(F.col("kind").isNull() | _confirmed(F.col("kind"), F.col("hit")))
