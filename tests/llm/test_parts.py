@@ -219,3 +219,19 @@ def test_network_learns_and_is_calibrated():
 def test_network_without_two_classes(y):
     net = classifier.fit(np.zeros((len(y), 4)), np.array(y), np.zeros(len(y), dtype=bool))
     assert ((0 < net.score(np.ones((2, 4)))) & (net.score(np.ones((2, 4))) < 1)).all()
+
+
+def test_a_passage_copied_whole_fails_by_its_length_alone():
+    rules, unlimited = quality_rules.Rules(), quality_rules.Rules(max_longest=1.0)
+    assert 2 * rules.max_longest < rules.max_covered
+
+    def fresh(name, n):
+        return [f"{name}{i}" for i in range(n)]
+    passage = fresh("p", 2000)
+    copied = " ".join(fresh("a", 2100) + passage + fresh("b", 2100) + passage).encode()
+    clean = [" ".join(x).encode() for x in (
+        fresh("a", 8200), fresh("a", 4000) + passage[:800] + fresh("b", 4000) + passage[:800],
+        fresh("a", 120) + passage[:95] + fresh("b", 120) + passage[:95])]
+    texts = pd.Series([copied, *clean])
+    assert quality_rules.measure(texts, rules)["kept"].tolist() == [False, True, True, True]
+    assert quality_rules.measure(texts, unlimited)["kept"].tolist() == [True] * 4

@@ -34,7 +34,7 @@ class Rules:
     max_window_percent: int = 50
     min_repeat: int = 8
     max_covered: float = 0.5
-    max_longest: float = 0.4
+    max_longest: float = 0.2  # below half of max_covered, as a repeat that stands twice covers twice its words
     longest_floor: int = 100
 
 
