@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,3 +414,33 @@ def test_contexts_are_the_characters_around_a_span(spark):
             kind.context, text[max(0, m.start() - 40):m.start()] + "\n" + text[m.end():m.end() + 40])]
     got = {r["doc_id"]: [x["start"] for x in r["found"] if x["kind"] == "ssn"] for r in pii.pii_by_document(docs).collect()}
     assert got == want and any(want.values())
+
+
+def test_op7_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    """A third of the rows are copies of one row; its label stands three times."""
+    docs = spark.createDataFrame([(i, frames.prose(i, 20)) for i in range(200)] + [(7, frames.prose(7, 20))] * 100
+                                 + [(8, frames.prose(300 + k, 20)) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(7, 1, 0)] * 2, frames.LABELS)
+    fit, fitted = classifier.fit, []
+
+    def recorded(x, y, aside, **more):
+        fitted.append((x, y, more["times"]))
+        return fit(x, y, aside, **more)
+    monkeypatch.setattr(classifier, "fit", recorded)
+    for most in (20, 1000):
+        assert classifier.quality_scores(docs, labels, held_out=-1, max_train=most).count() == 400
+    (x, _, _), (x2, y2, times) = fitted
+    assert len(x) == 20
+    assert len(x2) == 300 and times.sum() == 199 + 100 + 3 * 101 and times.max() == 303 and (times == 1).sum() == 299
+    assert y2[times.argmax()] == 1
+
+
+def test_counted_rows_teach_like_copies():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    y, times = (x[:, 0] + rng.normal(size=400) > 0).astype(float), rng.integers(1, 6, 400)
+    aside = np.arange(400) % 4 == 0
+    counted = classifier.fit(x, y, aside, times=times)
+    copied = classifier.fit(*(np.repeat(v, times, axis=0) for v in (x, y, aside)))
+    assert np.allclose(counted.mean, copied.mean) and np.allclose(counted.scale, copied.scale)
+    assert abs(counted.score(x) - copied.score(x)).mean() < 0.1

@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from workboard.llm.common import materialize, text_bytes, with_package
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
-#: Labelled rows that the network is fitted on: all, or of more about so many, by a hash of the id.
+#: The network is fitted on at most so many different labelled rows, those with the smallest hashes; equal ones are one
+#: row with a count.
 MAX_TRAIN = 20_000
 CHUNK_TOKENS = 1 << 17
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
@@ -181,24 +182,31 @@ class Network:
 
 
 def fit(x: np.ndarray, y: np.ndarray, aside: np.ndarray, hidden: int = 32, epochs: int = 60, batch: int = 256,
-        rate: float = 3e-3, decay: float = 1e-4) -> Network:
+        rate: float = 3e-3, decay: float = 1e-4, times: np.ndarray | None = None) -> Network:
     """Fit on the rows that aren't ``aside`` (all, if that leaves none), then choose the
-    temperature with the smallest log loss on those that are. Without rows, or with one
-    class, the score is the same for all: the share of label 1 with a half row of each."""
+    temperature with the smallest log loss on those that are. A row counts ``times`` (1 by
+    default): an epoch draws as many rows as there are, evenly over the running sum of
+    the counts. Without rows, or with one class, the score is the same for all: the share
+    of label 1 with a half row of each."""
     rng = np.random.default_rng(7)
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    times = np.ones(len(y)) if times is None else times.astype(np.float64)
+    share = ((times * y).sum() + 0.5) / (times.sum() + 1)
     net = Network(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros((x.shape[1], hidden)), np.zeros(hidden),
                   np.zeros(hidden), float(np.log(share / (1 - share))))
     if len(np.unique(y)) < 2:
         return net
     use = ~aside if len(np.unique(y[~aside])) > 1 else np.ones(len(y), dtype=bool)
-    net.mean, net.scale = x[use].mean(axis=0), x[use].std(axis=0) + 1e-6
+    net.mean = np.average(x[use], axis=0, weights=times[use])
+    net.scale = np.sqrt(np.average((x[use] - net.mean) ** 2, axis=0, weights=times[use])) + 1e-6
     net.w1, net.w2 = rng.normal(0, x.shape[1] ** -0.5, net.w1.shape), rng.normal(0, hidden ** -0.5, hidden)
     xs, ys = (x[use] - net.mean) / net.scale, y[use]
     params = [net.w1, net.b1, net.w2, np.array([net.b2])]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(xs)), max(1, len(xs) // batch)):
+    upto = np.cumsum(times[use])
+    for epoch in range(epochs):
+        places = (np.arange(len(xs)) + epoch * 0.618034 % 1) * (upto[-1] / len(xs))
+        drawn = np.minimum(np.searchsorted(upto, places, side="right"), len(xs) - 1)
+        for rows in np.array_split(drawn[rng.permutation(len(xs))], max(1, len(xs) // batch)):
             xb, h = xs[rows], np.tanh(xs[rows] @ params[0] + params[1])
             error = (1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -40, 40))) - ys[rows]) / len(rows)
             back = np.outer(error, params[2]) * (1 - h * h)
@@ -213,7 +221,7 @@ def fit(x: np.ndarray, y: np.ndarray, aside: np.ndarray, hidden: int = 32, epoch
     kept = aside if aside.any() else use
     logit, truth = net.logits(x[kept]), y[kept]
     tried = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-    loss = [np.mean(np.logaddexp(0, logit / t) - truth * logit / t) for t in tried]
+    loss = [np.average(np.logaddexp(0, logit / t) - truth * logit / t, weights=times[kept]) for t in tried]
     net.temperature = float(tried[int(np.argmin(loss))])
     return net
 
@@ -225,7 +233,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Labels are read only from rows whose crc32 of the id as text is not ``held_out``
     modulo ``folds``; those at ``aside`` set the temperature. Rows without an id or a
-    label teach nothing; an id with several labels or rows teaches with each. The score
+    label teach nothing; an id with several labels or rows teaches with each. Equal rows
+    (id, label, features) are one with a count, of which the ``max_train`` with the
+    smallest hashes are collected and no more. The score
     sees the text only. Null and empty texts get the score of a text without tokens.
     Repeated rows get equal scores; an empty table gives an empty table.
     """
@@ -234,12 +244,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds))
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
              .where(F.col("label").isin(0.0, 1.0) & (fold != held_out)))
-    share = min(1.0, max_train / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = features.join(chosen, "id").select("id", "features", "label", fold.alias("fold")).collect()
+    known = known.groupBy("id", "label").agg(F.count(F.lit(1)).alias("labels"))
+    # thinned by hash before the join; the hard limit is taken of what is left, in tasks, and written
+    share = min(1.0, 1.1 * max_train / max(1, known.count()))
+    drawn = features.withColumn("hash", F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("features")), F.lit(1 << 30)))
+    drawn = (drawn.where(F.col("hash") < int(share * (1 << 30))).join(known, "id")
+             .groupBy("hash", "id", "label", "features").agg(F.sum("labels").alias("times"))
+             .orderBy("hash", "id", "label", "features").limit(max_train))
+    rows = materialize(drawn, "training-sample").select("id", "features", "label", "times", fold.alias("fold")).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["label"], r["features"]))
     x = np.array([r["features"] for r in rows], dtype=np.float64).reshape(len(rows), _N_FEATURES)
-    net = fit(x, np.array([r["label"] for r in rows], dtype=np.float64), np.array([r["fold"] == aside for r in rows], dtype=bool))
+    net = fit(x, np.array([r["label"] for r in rows], dtype=np.float64), np.array([r["fold"] == aside for r in rows], dtype=bool),
+              times=np.array([r["times"] for r in rows], dtype=np.float64))
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
