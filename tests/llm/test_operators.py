@@ -444,3 +444,19 @@ def test_counted_rows_teach_like_copies():
     copied = classifier.fit(*(np.repeat(v, times, axis=0) for v in (x, y, aside)))
     assert np.allclose(counted.mean, copied.mean) and np.allclose(counted.scale, copied.scale)
     assert abs(counted.score(x) - copied.score(x)).mean() < 0.1
+
+
+def test_repeated_and_broken_short_notices(spark):
+    texts = {1: "All rights reserved. All rights reserved.", 2: "all rights reserved " * 5, 3: "rights reserved all rights reserved",
+             4: "all rights reserved rights reserved rights reserved rights reserved", 5: "rights reserved, rights reserved",
+             6: "gnu lesser really general public license", 7: "gnu lesser general public really license",
+             8: "gnu really lesser general public license", 9: "general public license: gnu lesser general public license",
+             10: "gnu lesser license"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = defaultdict(list)
+    for r in license_scan.license_spans(docs).where("label is not null and not base").collect():
+        spans[r["id"], r["label"]].append((r["start"], r["end"]))
+    got = {k: sorted(v) for k, v in spans.items()}
+    assert got == {(1, "proprietary"): [(0, 3), (3, 6)], (2, "proprietary"): [(3 * i, 3 * i + 3) for i in range(5)],
+                   (3, "proprietary"): [(2, 5)], (4, "proprietary"): [(0, 3)],
+                   (6, "lgpl"): [(0, 6)], (7, "lgpl"): [(0, 4)], (8, "lgpl"): [(2, 6)], (9, "lgpl"): [(3, 8)]}

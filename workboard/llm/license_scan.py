@@ -4,9 +4,9 @@ Texts and templates are cut into rolling grams of two words. Every gram of every
 is joined with the template positions of the same gram (hash first, then the words
 themselves). A hit at word i of a text and word j of a template votes for the diagonal
 i - j, the place where the template would begin. Votes are summed by text, template and
-diagonal; diagonals that lie next to each other (words put in or left out) are merged;
-a merged span is a match if enough of the template's grams voted for it and its length
-fits. A base phrase has to have all votes on one diagonal: then it stands there word by
+diagonal; diagonals that lie next to each other (words put in or left out) are merged,
+but no two that are a match alone; a merged span is a match if enough of the template's
+grams (each counted once) voted for it and its length fits. A base phrase has to have all votes on one diagonal: then it stands there word by
 word.
 """
 
@@ -96,18 +96,41 @@ def license_spans(docs: DataFrame, base: tuple = BASE, notices: tuple = NOTICES,
             .where("at < 0 or (a = t_a and b = t_b)").repartition("row"))
     votes = (hits.groupBy("row", "id", "template", "label", "base", "grams",
                           F.when(F.col("at") < 0, F.col("at")).otherwise(F.col("at") - F.col("place")).alias("diagonal"))
-             .agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")))
+             .agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"),
+                  F.collect_list("place").alias("places")))
+    # a run has the neighbours of at most one diagonal that verifies alone ("sure"): a second one starts its own
     place = Window.partitionBy("row", "id", "template").orderBy("diagonal")
+    upto = place.rowsBetween(Window.unboundedPreceding, 0)
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(place) > drift, F.lit(True)) | F.col("base")
-    runs = (votes.where(F.col("template").isNull() | (F.col("votes") >= F.when(F.col("base"), F.col("grams"))
-                                                      .otherwise(F.greatest(F.lit(2), F.col("grams") / 5))))
-            .withColumn("new", apart.cast("int"))
-            .withColumn("run", F.sum("new").over(place.rowsBetween(Window.unboundedPreceding, 0))))
-    spans = (runs.groupBy("row", "id", "template", "label", "base", "grams", "run")
-             .agg(F.sum("votes").alias("votes"), F.min("low").alias("start"), F.max("high").alias("last")))
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    size = F.col("last") + GRAM - F.col("start")
-    fits = F.col("base") | ((coverage >= least) & (size <= 1.5 * (F.col("grams") + 1)))
+    chain = Window.partitionBy("row", "id", "template", "chain").orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0)
+    sure = ~F.col("base") & (F.col("votes") >= least * F.col("grams"))
+    runs = (votes.where(F.col("template").isNull() | ~F.col("base") | (F.col("votes") >= F.col("grams")))
+            .withColumn("sure", F.coalesce(sure, F.lit(False)))
+            .withColumn("strong", F.col("sure") | (F.col("votes") >= F.greatest(F.lit(2), F.col("grams") / 5)))
+            .withColumn("chain", F.sum(apart.cast("int")).over(upto))
+            .withColumn("run", F.greatest(F.lit(1), F.sum(F.col("sure").cast("int")).over(chain))))
+    # few votes far off can make a whole run too long: then its strong diagonals are merged, or the sure one is taken alone
+    run = Window.partitionBy("row", "id", "template", "chain", "run")
+    last_strong = F.last(F.when(F.col("strong"), F.col("diagonal")), True).over(
+        run.orderBy("diagonal").rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col("strong") & F.coalesce(F.col("diagonal") - last_strong > drift, F.lit(True))
+    part = Window.partitionBy("row", "id", "template", "chain", "run", "part", "strong")
+
+    def whole(window):
+        return ((F.sum("votes").over(window) >= least * F.col("grams"))
+                & (F.max("high").over(window) + GRAM - F.min("low").over(window) <= 1.5 * (F.col("grams") + 1)))
+
+    runs = (runs.withColumn("part", F.sum(gap.cast("int")).over(
+                run.orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("level", F.when(F.col("template").isNull() | F.col("base") | whole(run), 0)
+                        .when(F.col("strong") & whole(part), 1).when(F.col("sure"), 2))
+            .where("level is not null")
+            .withColumn("part", F.when(F.col("level") > 0, F.col("part"))))
+    spans = (runs.groupBy("row", "id", "template", "label", "base", "grams", "chain", "run", "level", "part")
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"),
+                  F.min("low").alias("start"), F.max("high").alias("last")))
+    coverage = F.col("votes") / F.col("grams")
+    fits = F.col("base") | (coverage >= least)
     return spans.where(F.col("template").isNull() | fits).select(
         "row", "id", F.when(F.col("template").isNull(), -1 - F.col("start")).alias("n_words"), "label", "base",
         F.when(F.col("template").isNotNull(), F.col("start")).alias("start"),
