@@ -460,3 +460,15 @@ def test_repeated_and_broken_short_notices(spark):
     assert got == {(1, "proprietary"): [(0, 3), (3, 6)], (2, "proprietary"): [(3 * i, 3 * i + 3) for i in range(5)],
                    (3, "proprietary"): [(2, 5)], (4, "proprietary"): [(0, 3)],
                    (6, "lgpl"): [(0, 6)], (7, "lgpl"): [(0, 4)], (8, "lgpl"): [(2, 6)], (9, "lgpl"): [(3, 8)]}
+
+
+def test_items_without_an_id_drop_documents(spark):
+    docs = spark.createDataFrame([(1, f"x {frames.PASSAGE} y"), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, frames.PASSAGE), (3, "not there")], frames.ITEMS)
+    assert [r[0] for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_repeated_items_are_collected_once(spark):
+    items = spark.createDataFrame([(1, "a b c")] * 500 + [(2, "a b c"), (None, "d"), (None, "d")], frames.ITEMS)
+    blocks = list(decontaminate._blocks(items, "item_id", "text", 10 ** 6))
+    assert sorted((r["item"] or "", bytes(r["text"])) for b in blocks for r in b) == [("", b"d"), ("1", b"a b c"), ("2", b"a b c")]

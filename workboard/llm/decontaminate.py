@@ -238,9 +238,9 @@ def _search(index: DataFrame, phrases: dict[str, list[tuple[bytes, ...]]], withi
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list]:
-    """The items in blocks of about ``block_words`` words, so that what a search sends
-    to the tasks is bounded however many items there are."""
-    texts = items.select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("text"))
+    """The different items in blocks of about ``block_words`` words, so that what a search
+    sends to the tasks is bounded however many items there are, or rows of one item."""
+    texts = items.select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("text")).distinct()
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-size // (6 * block_words)))
     for k in range(count):
@@ -308,7 +308,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has no hit. Rows are matched by content address,
-    so null and repeated ids and extra columns are no matter."""
+    so null and repeated ids and extra columns are no matter. Items without an id are
+    searched too: no id is asked for here."""
+    items = items.withColumn(item_col, F.coalesce(F.col(item_col).cast("string"), F.lit("")))
     key = free_name(docs, "key")
     keyed = docs.withColumn(key, content_key(text_col))
     hit = (contamination(keyed, items, window, key, text_col, item_col, item_text_col)
