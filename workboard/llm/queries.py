@@ -6,10 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workboard.llm import classifier, decontaminate, html_text, license_scan, mixing, pii, quality_rules, secret_scan, simhash
+from workboard.llm import token_alignment as alignment
 from workboard.llm import token_rollup as rollup
 from workboard.llm.common import table
 from workboard.session import scratch_path
 
+#: The tokenizer files of the registered queries and the number of pieces of the second.
+TOKENIZER_DIR = "/opt/tokenizers"
+TOKENIZERS = alignment.TokenizerPair(f"{TOKENIZER_DIR}/byte_bpe_50k.json", f"{TOKENIZER_DIR}/piece_bpe_32k.model")
+PIECES = 32_000
+
 
 def op1_license_scans(spark, d):
     return license_scan.license_labels(table(spark, d, "documents"))
@@ -90,6 +96,12 @@ def op10_simhash_near_dedup(spark, d):
     return simhash.simhash_near_duplicates(table(spark, d, "documents"))
 
 
+def op12_token_alignment(spark, d):
+    found = alignment.link_statistics(table(spark, d, "documents"), TOKENIZERS, PIECES)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_html_extraction, op3_secret_scans, op4_mixing_sources, op5_quality_rules, op6_pii,
-    op7_quality_classifier, op8_token_counts, op9_benchmark_decontamination, op10_simhash_near_dedup)}
+    op7_quality_classifier, op8_token_counts, op9_benchmark_decontamination, op10_simhash_near_dedup,
+    op12_token_alignment)}
