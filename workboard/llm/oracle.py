@@ -77,8 +77,27 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) A
        coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN found ON found.r = d.r"""
 
+def _escaped(text: str) -> str:
+    text = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in ("<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[TEXT]", "[/ROLE]", "<|endoftext|>"):
+        text = f"replace({text}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return text
+
+
+CHAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_escaped('text')}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                ELSE 19 + length({_escaped('role')}) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
 ORACLE: dict[str, str] = {
     "op5_quality_rules": QUALITY,
     "op8_token_counts": TOKENS,
     "op9_benchmark_decontamination": CONTAMINATION,
+    "op11_chat_formatting": CHAT,
 }

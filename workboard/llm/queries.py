@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from workboard.llm import classifier, decontaminate, html_text, license_scan, mixing, pii, quality_rules, secret_scan, simhash
+from workboard.llm import chat_format as chat
 from workboard.llm import token_alignment as alignment
 from workboard.llm import token_rollup as rollup
 from workboard.llm.common import table
@@ -96,6 +97,16 @@ def op10_simhash_near_dedup(spark, d):
     return simhash.simhash_near_duplicates(table(spark, d, "documents"))
 
 
+#: A conversation whose texts are made of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_formatting(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.unionByName(added), TOKENIZERS.bytes_json), arranged=True)
+
+
 def op12_token_alignment(spark, d):
     found = alignment.link_statistics(table(spark, d, "documents"), TOKENIZERS, PIECES)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
@@ -104,4 +115,4 @@ def op12_token_alignment(spark, d):
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_html_extraction, op3_secret_scans, op4_mixing_sources, op5_quality_rules, op6_pii,
     op7_quality_classifier, op8_token_counts, op9_benchmark_decontamination, op10_simhash_near_dedup,
-    op12_token_alignment)}
+    op11_chat_formatting, op12_token_alignment)}
