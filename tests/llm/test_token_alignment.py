@@ -39,12 +39,11 @@ def test_query_equals_plain_version(spark, plain):
     assert _sorted(found.select(*COLUMNS).collect()) == _sorted(alignment(docs, plain))
 
 
-def test_odd_texts_in_small_batches(spark, plain, monkeypatch):
-    monkeypatch.setattr(token_alignment, "BATCH_BYTES", 400)  # local workers are forked: only the driver's copy is cut
+def test_odd_texts_in_small_batches(spark, plain):
     texts = odd_texts()
     rows = [(None if k % 50 == 7 else k // 2, x, None, None, None) for k, x in enumerate(texts)]
     docs = clashing(spark.createDataFrame(rows, DOCS).repartition(7))
-    found = token_alignment.link_statistics(docs, TOKENIZERS, queries.PIECES)
+    found = token_alignment.link_statistics(docs, TOKENIZERS, queries.PIECES, batch_bytes=400, aligned_bytes=90)
     assert _sorted(found.select(*COLUMNS).collect()) == _sorted(alignment([r[:2] for r in rows], plain))
 
 

@@ -17,8 +17,8 @@ pair that stands in every document has only as many rows as there are batches.
 
 Null and empty texts have no tokens, nor have texts that a side doesn't give back byte
 by byte (such as U+2581 or bytes that are not UTF-8). Repeated rows and ids, null ids
-too, stay rows of their own; an empty table gives an empty table. A batch holds up to
-``BATCH_BYTES`` bytes or one longer text.
+too, stay rows of their own; an empty table gives an empty table. A batch has about
+``BATCH_BYTES`` bytes of text, of which ``ALIGNED_BYTES`` or one longer text are in work.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,9 +39,11 @@ from pyspark.sql import types as T
 
 from workboard.llm.common import materialize, text_bytes, with_package
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+#: So many bytes of a batch are aligned at a time.
+ALIGNED_BYTES = 3 << 19
 #: A worker keeps the tokens of so many words, then starts anew; no result depends on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Words beyond this many bytes go to the library whose merges take n log n steps.
 LONG_WORD = 2000
 #: How GPT-2's byte-level vocabularies split a text before merging (fixed value).
@@ -63,9 +66,7 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -86,6 +87,14 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("own", pat_str=SPLIT, special_tokens={},
                                           mergeable_ranks={b: i for i, b in self.entry.items()})
 
+    @cached_property
+    def exact(self):
+        """The library's own tokenizer, read when it is needed."""
+        from tokenizers import Tokenizer
+        exact = Tokenizer.from_file(self.path)
+        exact.encode_special_tokens = True
+        return exact
+
     def together(self, word: str) -> bool:
         """Whether the word may be encoded in a row with others of its kind: merges then stop at its ends."""
         return self.by_rank and len(word) <= LONG_WORD and word[:1] == " " and not (word[1:2].isspace() or word[-1].isspace())
@@ -99,9 +108,8 @@ class ByteBpe:
             ids = np.array(self.fast.encode_ordinary("".join(row)), dtype=np.int32)
             ends = np.cumsum([len(w.encode()) for w in row])
             counts = np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1, prepend=0)
-        whole = self.exact.encode
         rest = [self.fast.encode_ordinary(x) if self.by_rank and len(x) <= LONG_WORD
-                else whole(x, add_special_tokens=False).ids for x in words[n_together:]]
+                else self.exact.encode(x, add_special_tokens=False).ids for x in words[n_together:]]
         return (np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(rest), dtype=np.int32)]),
                 np.concatenate([counts, np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))]))
 
@@ -294,7 +302,7 @@ def align_tokens(docs: DataFrame, pair: TokenizerPair, id_col: str = "doc_id", t
     with_package(docs.sparkSession)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(stream, BATCH_BYTES // 4):
+        for batch in _batches(stream, ALIGNED_BYTES // 4):
             x = align(batch.column(1).to_pylist(), pair)
             first = [np.searchsorted(x.of[side], np.arange(len(x.doc))) for side in (0, 1)]
             base = x.start[0][first[0]] if len(x.doc) else first[0]
@@ -314,7 +322,8 @@ def align_tokens(docs: DataFrame, pair: TokenizerPair, id_col: str = "doc_id", t
     return rows.mapInArrow(run, schema)
 
 
-def linked_batches(docs: DataFrame, pair: TokenizerPair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_batches(docs: DataFrame, pair: TokenizerPair, id_col: str = "doc_id", text_col: str = "text",
+                   batch_bytes: int = BATCH_BYTES, aligned_bytes: int = ALIGNED_BYTES) -> DataFrame:
     """Per row of ``docs``: its batch, id, counts, digest of the groups and, as 32-bit numbers, for each
     link the place of its id pair in the batch's list. One more row per batch has that list, ``pairs``
     (A id times the size of B's vocabulary, plus B id), and how often each is linked, ``times``."""
@@ -330,25 +339,38 @@ def linked_batches(docs: DataFrame, pair: TokenizerPair, id_col: str = "doc_id",
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         enc = _encoders(pair)
-        for k, batch in enumerate(_batches(stream, BATCH_BYTES)):
-            x = align(batch.column(1).to_pylist(), pair)
-            n = batch.num_rows
-            link_doc = x.of[0][x.link[0]]
-            place, pairs = pd.factorize(x.ids[0][x.link[0]].astype(np.int64) * enc.n_b + x.ids[1][x.link[1]])
-            place = place.astype(np.int32)
-            numbers = [np.zeros(n + 1, dtype=np.int64) for _ in counts]
+        number, size, done = TaskContext.get().partitionId() << 32, 0, []
+        for batch in _batches(stream, aligned_bytes):
+            texts = batch.column(1).to_pylist()
+            x = align(texts, pair)
+            n, link_doc = batch.num_rows, x.of[0][x.link[0]]
+            numbers = [np.zeros(n, dtype=np.int64) for _ in counts]
             for out, of in zip(numbers, (x.of[0], x.of[1], link_doc, link_doc, x.of[0][x.over[0]])):
                 out[x.doc] = np.bincount(of, minlength=len(x.doc))
-            digest, places = [""] * n + [None], [b""] * n + [None]
-            edges = np.searchsorted(link_doc, np.arange(len(x.doc) + 1)).tolist()
-            for d, text, lo, hi in zip(x.doc.tolist(), _digests(x, enc), edges, edges[1:]):
-                digest[d], places[d] = text, place[lo:hi].tobytes()
-            ids = pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)])
-            number = (TaskContext.get().partitionId() << 32) + k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n + 1, number)), ids, *[pa.array(x) for x in numbers], pa.array(digest, pa.string()),
-                 pa.array(places, pa.binary()), pa.array([None] * n + [pairs], pa.list_(pa.int64())),
-                 pa.array([None] * n + [np.bincount(place, minlength=len(pairs))], pa.list_(pa.int64()))], names=names)
+            digest = [""] * n
+            for d, text in zip(x.doc.tolist(), _digests(x, enc)):
+                digest[d] = text
+            done.append((batch.column(0), numbers, digest, x.ids[0][x.link[0]].astype(np.int64) * enc.n_b + x.ids[1][x.link[1]]))
+            size += sum(map(len, texts))
+            if size >= batch_bytes:
+                yield listed(number, done)
+                number, size, done = number + 1, 0, []
+        if done:
+            yield listed(number, done)
+
+    def listed(number: int, done: list[tuple]) -> pa.RecordBatch:
+        """The documents of a batch, and a last row with its list of pairs."""
+        ids = pa.concat_arrays([d[0] for d in done] + [pa.nulls(1, done[0][0].type)])
+        numbers = [np.append(np.concatenate(x), 0) for x in zip(*(d[1] for d in done))]
+        place, pairs = pd.factorize(np.concatenate([d[3] for d in done]))
+        times, place, n = np.bincount(place, minlength=len(pairs)), place.astype(np.int32), len(ids) - 1
+        edges = np.concatenate([[0], np.cumsum(numbers[3][:-1])]).tolist()
+        places = [place[lo:hi].tobytes() for lo, hi in itertools.pairwise(edges)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n + 1, number)), ids, *[pa.array(x) for x in numbers],
+             pa.array([*itertools.chain.from_iterable(d[2] for d in done), None], pa.string()),
+             pa.array([*places, None], pa.binary()), pa.array([None] * n + [pairs], pa.list_(pa.int64())),
+             pa.array([None] * n + [times], pa.list_(pa.int64()))], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -364,13 +386,14 @@ def _pair_counts(batches: DataFrame, n_b: int) -> DataFrame:
     return each.join(total, "pair").select("batch", "place", "links", "best")
 
 
-def link_statistics(docs: DataFrame, pair: TokenizerPair, n_b: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_statistics(docs: DataFrame, pair: TokenizerPair, n_b: int, id_col: str = "doc_id", text_col: str = "text",
+                    batch_bytes: int = BATCH_BYTES, aligned_bytes: int = ALIGNED_BYTES) -> DataFrame:
     """Per row of ``docs`` its id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and n_overlaps.
     ``n_b`` is the size of the piece vocabulary.
 
     The batches are written once. Each batch's list of pairs, with the corpus' sums, is dealt to the task
     that has its documents, sorted in front of them, and read as a stream: a task holds one list at a time."""
-    batches = materialize(linked_batches(docs, pair, id_col, text_col), "token-links")
+    batches = materialize(linked_batches(docs, pair, id_col, text_col, batch_bytes, aligned_bytes), "token-links")
     counts = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
     rows = batches.where("pairs is null").drop("pairs", "times").withColumns(
         {"place": F.lit(None).cast("int"), "links": F.lit(None).cast("long"), "best": F.lit(None).cast("boolean")})
