@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from workboard.llm import classifier, decontaminate, html_text, license_scan, mixing, pii, quality_rules, secret_scan, simhash
 from workboard.llm import chat_format as chat
+from workboard.llm import conversation_repair as repair
 from workboard.llm import token_alignment as alignment
 from workboard.llm import token_rollup as rollup
 from workboard.llm.common import table
@@ -112,7 +113,11 @@ def op12_token_alignment(spark, d):
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
 
 
+def op13_conversation_repair(spark, d):
+    return repair.repair_conversations(repair.damaged(table(spark, d, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_html_extraction, op3_secret_scans, op4_mixing_sources, op5_quality_rules, op6_pii,
     op7_quality_classifier, op8_token_counts, op9_benchmark_decontamination, op10_simhash_near_dedup,
-    op11_chat_formatting, op12_token_alignment)}
+    op11_chat_formatting, op12_token_alignment, op13_conversation_repair)}
