@@ -195,61 +195,137 @@ def test_live_counters_equal_batch(spark, roles_ws):
 REQS = "seq long, ts timestamp_ntz, task_id long, status string, requester_id long"
 
 
-def test_start_live_counters_sees_late_tasks(spark, roles_ws):
-    """Requests that arrive while the query runs, one for a task that is created later."""
+CHANGES = REQS + ", requester_role string, kind string, assigned_to long, due_date timestamp_ntz"
+ROLES = {1: "admin", 2: "member", 3: "member", 4: "viewer", 5: "member"}
+
+
+def _landed(spark, rows, folder):
+    """Rows of (seq, ts, task_id, status, requester_id) and whole change rows, as the stream reads them."""
+    whole = [r if len(r) > 5 else (*r, ROLES.get(r[4]), None, None, None) for r in rows]
+    spark.createDataFrame(whole, CHANGES).coalesce(1).write.parquet(folder)
+
+
+def _board(spark, root, tasks, **kw):
+    changes = live.file_stream(spark, f"{root}/landing/*", T.StructType.fromDDL(CHANGES), files_per_trigger=1)
+    return live.start_live_board(spark, changes, tasks, AS_OF, f"{root}/board", **{"trigger": {"processingTime": "1 second"}, **kw})
+
+
+def _applied(spark, ws, rows):
+    return mutations.apply_status_changes(ws.tasks, ws.users, spark.createDataFrame(rows, REQS)).tables["tasks"]
+
+
+def _stats(tasks):
+    return tuple(rollups.task_stats(tasks, AS_OF).first())
+
+
+def test_live_board_through_commit_restart_and_new_tasks(spark, roles_ws):
+    """Counters before, during and after a commit, after a restart, and with tasks that other jobs create and delete."""
     from workboard.session import scratch_path
+    from workboard.sources.snapshot import read_snapshot, snapshot_mark
     root = scratch_path(spark, "live-test")
-    landing = f"{root}/landing"
-    one = [(1, dt.datetime(2024, 5, 1), 100, "completed", 2)]
-    two = [(2, None, 100, "todo", 2), (3, dt.datetime(2024, 5, 3), 555, "completed", 1), (None, dt.datetime(2024, 5, 4), 101, "in_progress", 1)]
-    spark.createDataFrame(one, REQS).write.parquet(f"{landing}/f1")
-    late = roles_ws.tasks.where(F.col("id") == 100).withColumn("id", F.lit(555).cast("long"))
-    state = {"tasks": roles_ws.tasks}
-    query, store, counters = live.start_live_counters(
-        spark, f"{landing}/*", T.StructType.fromDDL(REQS), lambda: (state["tasks"], roles_ws.users), AS_OF, root=f"{root}/run",
-        interval="1 second")
+    one = [(1, dt.datetime(2024, 5, 1), 100, "completed", 2), (2, dt.datetime(2024, 5, 1), 101, "done", 1)]
+    two = [(3, None, 100, "todo", 2), (4, dt.datetime(2024, 5, 3), 101, "completed", 1)]
+    three = [(5, dt.datetime(2024, 5, 4), 101, "in_progress", 1), (6, dt.datetime(2024, 5, 5), 102, "completed", 2)]
+    _landed(spark, one, f"{root}/landing/f1")
+    query, board = _board(spark, root, roles_ws.tasks)
     try:
         query.processAllAvailable()
-        first = tuple(counters().first())
-        state["tasks"] = roles_ws.tasks.unionByName(late)
-        spark.createDataFrame(two, REQS).write.parquet(f"{landing}/f2")
+        assert tuple(board.counters().first()) == _stats(_applied(spark, roles_ws, one))
+        assert live.commit_changes(board, roles_ws, f"{root}/snapshots") == 0
+        committed = read_snapshot(spark, f"{root}/snapshots")
+        assert _stats(committed.tasks) == tuple(board.counters().first())
+        _landed(spark, two, f"{root}/landing/f2")
         query.processAllAvailable()
-        second = tuple(counters().first())
+        assert tuple(board.counters().first()) == _stats(_applied(spark, roles_ws, one + two))
     finally:
         query.stop()
-
-    def batch(tasks, rows):
-        after = mutations.apply_status_changes(tasks, roles_ws.users, spark.createDataFrame(rows, REQS)).tables["tasks"]
-        return tuple(rollups.task_stats(after, AS_OF).first())
-    assert first == batch(roles_ws.tasks, one)
-    assert second == batch(state["tasks"], one + two)
-    assert store.rejected().count() == 0
+    mark = snapshot_mark(spark, f"{root}/snapshots")
+    assert (mark["seq"], mark["stream"]) == (2, f"{root}/board")
+    _landed(spark, three, f"{root}/landing/f3")
+    query, board = _board(spark, root, committed.tasks)  # goes on from its checkpoint; the tables given now don't matter
+    due = dt.datetime(2024, 1, 1)
+    try:
+        query.processAllAvailable()
+        after = _applied(spark, roles_ws, one + two + three)
+        assert tuple(board.counters().first()) == _stats(after)
+        made = (7, dt.datetime(2024, 5, 6), 555, "todo", 1, "admin", "put", 2, due)
+        gone = (8, dt.datetime(2024, 5, 6), 102, None, 1, "admin", "delete", None, None)
+        _landed(spark, [made, gone, (9, dt.datetime(2024, 5, 7), 555, "completed", 2), (10, dt.datetime(2024, 5, 8), 102, "todo", 1)],
+                f"{root}/landing/f4")
+        query.processAllAvailable()
+        total = _stats(after.where("id <> 102"))
+        assert tuple(board.counters().first()) == (total[0] + 1, total[1] + 1, *total[2:])
+        assert {r.seq: r.outcome for r in board.rejected().collect()} == {
+            2: "invalid_status", 6: "forbidden", 10: "not_found"}
+    finally:
+        query.stop()
+    # a new stream from the committed tables: requests that they have are left out, the others count as
+    # in a batch job on those tables (which don't say when a task was last changed)
+    changes = live.file_stream(spark, f"{root}/landing/f[123]", T.StructType.fromDDL(CHANGES))
+    query, fresh = live.start_live_board(spark, changes, committed.tasks, AS_OF, f"{root}/second", after_seq=mark["seq"],
+                                         trigger={"availableNow": True})
+    query.awaitTermination()
+    assert tuple(fresh.counters().first()) == _stats(_applied(spark, committed, two + three))
+    assert sorted(r.seq for r in fresh.log().collect()) == [3, 4, 5, 6]
 
 
 def test_a_retried_micro_batch_changes_nothing(spark, roles_ws):
     from workboard.session import scratch_path
+    root = scratch_path(spark, "live-retry")
     batches = [[(1, dt.datetime(2024, 5, 1), 100, "completed", 2)], [(2, dt.datetime(2024, 5, 2), 100, "todo", 2)],
                [(3, dt.datetime(2024, 4, 1), 100, "in_progress", 2), (4, dt.datetime(2024, 5, 5), 101, "completed", 1)]]
-    store = live.LiveStore(spark, scratch_path(spark, "live-retry"), T.StructType.fromDDL(REQS))
-    tables = (roles_ws.tasks, roles_ws.users)
-    for i, rows in enumerate(batches):
-        for _ in range(1 + (i > 0)):
-            store.process(spark.createDataFrame(rows, REQS), i, tables, AS_OF, "reference")
-    after = mutations.apply_status_changes(*tables, spark.createDataFrame(sum(batches, []), REQS)).tables["tasks"]
-    assert tuple(live.counters_of(store, roles_ws.tasks, AS_OF).first()) == tuple(rollups.task_stats(after, AS_OF).first())
-
-
-def test_compaction_keeps_the_state(spark, roles_ws, monkeypatch):
+    board = live.replay(spark, spark.createDataFrame(sum(batches, []), REQS), roles_ws.tasks, roles_ws.users, AS_OF, root=root, files=3)
+    want, n, last = tuple(board.counters().first()), board.log().count(), board.last()["batch"]
+    for batch in (last, last):
+        rows = spark.createDataFrame(spark.read.schema(board.schema).parquet(f"{board.root}/log/batch={batch}").collect(), board.schema)
+        board.process(rows, batch)
+    assert tuple(board.counters().first()) == want == _stats(_applied(spark, roles_ws, sum(batches, [])))
+    assert board.log().count() == n == 4
+    late = {r.seq: r for r in board.transitions().collect()}
+    assert late[1].prev_status in ("todo", "in_progress", "completed", None) and late[2].d_completed == -1
+
+
+def test_merged_log_keeps_rows_and_readers(spark, roles_ws, monkeypatch):
+    import os
     from workboard.session import scratch_path
-    monkeypatch.setattr(live, "COMPACT_EVERY", 2)
-    store = live.LiveStore(spark, scratch_path(spark, "live-compact"), T.StructType.fromDDL(REQS))
-    rows = [(i, dt.datetime(2024, 5, 1 + i), 100 + i % 2, ("completed", "todo", "in_progress")[i % 3], None) for i in range(7)]
-    for i, row in enumerate(rows):
-        store.process(spark.createDataFrame([row], REQS), i, (roles_ws.tasks, roles_ws.users), AS_OF, "reference")
+    monkeypatch.setattr(live, "MERGE", 2)
+    rows = [(i, dt.datetime(2024, 5, 1 + i), 100 + i % 2, ("completed", "todo", "in_progress", "done")[i % 4], None) for i in range(9)]
     reqs = spark.createDataFrame(rows, REQS)
-    after = mutations.apply_status_changes(roles_ws.tasks, roles_ws.users, reqs).tables["tasks"]
-    assert tuple(live.counters_of(store, roles_ws.tasks, AS_OF).first()) == tuple(rollups.task_stats(after, AS_OF).first())
-    assert {tuple(r) for r in store.latest().collect()} == {(100, "completed"), (101, "in_progress")}
+    board = live.LiveBoard(spark, scratch_path(spark, "live-merge"), T.StructType.fromDDL(CHANGES))
+    board.begin(roles_ws.tasks, AS_OF, "reference", 64)
+    done = live.replay(spark, reqs, roles_ws.tasks, roles_ws.users, AS_OF).log().collect()
+    reader = None
+    for i, row in enumerate(sorted(done, key=lambda r: r.seq)):
+        board.process(spark.createDataFrame([row], board.schema), i)
+        if i == 5:
+            reader = board.log()  # sees the folders of before the next merges
+        assert sorted(r.seq for r in board.log().collect()) == list(range(i + 1))
+    assert reader.count() == 6
+    folders = [p for p in os.listdir(f"{board.root}/log".replace("file:", ""))]
+    assert sum(p.startswith("merged") for p in folders) > 1
+    board.retain = 0.0
+    board.merge(board.last()["batch"])
+    board.merge(board.last()["batch"])
+    left = os.listdir(f"{board.root}/log".replace("file:", ""))
+    assert len(left) <= 4 < len(folders) and board.log().count() == 9
+    assert tuple(board.counters().first()) == _stats(_applied(spark, roles_ws, rows))
+
+
+def test_a_micro_batch_touches_its_own_buckets(spark):
+    """The state that a micro-batch updates depends on its rows, not on the size of the table."""
+    from workboard.session import scratch_path
+    touched = []
+    for n in (2_000, 20_000):
+        root = scratch_path(spark, "live-size")
+        tasks = spark.range(n).selectExpr("id", "'todo' AS status", "id AS assigned_to", "CAST(NULL AS timestamp_ntz) AS due_date")
+        for f in range(2):
+            rows = [(10 * f + k, dt.datetime(2024, 5, 1), 97 * k, "completed", 1) for k in range(5)]
+            _landed(spark, rows, f"{root}/landing/f{f}")
+        query, board = _board(spark, root, tasks, trigger={"availableNow": True}, tasks_per_bucket=64)
+        query.awaitTermination()
+        touched.append([p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.numInputRows][-1])
+        assert tuple(board.counters().first()) == (n, 5, 0, 0)
+    assert touched[0] <= 5 and touched[1] <= 5
 
 
 def test_counter_clamps(spark):

@@ -306,10 +306,13 @@ def test_snapshot_layout_prunes(spark):
 def test_latest_status_of_a_stream_equals_the_batch(spark, ws01):
     from workboard.streaming import live
     reqs = R.status_reqs(spark, SF01, ws01.tasks)
-    store = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF, file_rows=1500)
-    assert store.totals().first().batch >= 5  # several micro-batches, so old statuses were looked up
-    latest = store.latest()
-    batch = mutations.latest_applied(mutations.status_change_outcomes(ws01.tasks, ws01.users, reqs)).toDF("task_id", "status")
+    board = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF, files=5)
+    assert board.last()["batch"] >= 4  # several micro-batches, so old statuses come from the state
+    latest = board.latest()
+    checked = mutations.status_change_outcomes(ws01.tasks, ws01.users, reqs)
+    batch = mutations.latest_applied(checked).toDF("task_id", "status")
+    streamed = live.status_transitions(checked.where("outcome = 'applied'"), ws01.tasks, P.AS_OF)
+    assert board.transitions().exceptAll(streamed).count() == 0 and streamed.count() == board.transitions().count() == 4459
     assert latest.exceptAll(batch).count() == 0 and batch.count() == latest.count() == 150
 
 

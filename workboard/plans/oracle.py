@@ -527,3 +527,4 @@ SELECT p.id, CASE WHEN p.created_by IN (SELECT r.user_id FROM member_delete_reqs
                                         ON c.seq = r.seq WHERE c.outcome = 'deleted') THEN NULL ELSE p.created_by END AS created_by
 FROM projects p""", requests=True),
 }
+ORACLE["status_transitions_stream"] = ORACLE["status_transitions"]

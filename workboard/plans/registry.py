@@ -377,6 +377,12 @@ def q_live_counters(spark, d):
     return live.run_live_counters(spark, R.status_reqs(spark, d, ws.tasks), ws.tasks, ws.users, P.AS_OF)
 
 
+@query("status_transitions_stream")
+def q_status_transitions_stream(spark, d):
+    ws = ws_of(spark, d)
+    return live.run_transitions(spark, R.status_reqs(spark, d, ws.tasks), ws.tasks, ws.users, P.AS_OF)
+
+
 @query("rejected_events")
 def q_rejected_events(spark, d):
     ws = ws_of(spark, d)

@@ -76,12 +76,6 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/workboard/{kind}/{uuid.uuid4().hex}"
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this library's own; a missing one is no matter."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``workboard`` importable in Python workers (the ``--py-files`` route):
     zip the package once per session and ``addPyFile`` it."""

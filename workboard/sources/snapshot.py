@@ -1,29 +1,32 @@
 """Snapshots of the four tables (A5) and JSON documents (A4).
 
 Spark has no multi-table transaction. A snapshot's tables are written to folders of
-their own, ``<root>/data/<random name>/<table>``; only then is its commit record created
-as ``<root>/_commits/<version>.json``, which names the folder of every table. The record
-is created only if there is none: of two writers of one version one fails, and nothing
-that was committed is ever written again. Tables that a writer leaves out are carried
-forward from the version before. Readers take the highest version, so a failed or
-half-written job is never visible.
+their own, ``<root>/data/<random name>/<table>``; only then is its commit record put at
+``<root>/_commits/<version>.json``, which names the folder of every table. The record is
+written in full under another name and renamed if there is none yet: of two writers of one
+version one fails, and nothing that was committed is ever written again. A record that
+can't be read was left by a writer that died and gives way to the next one. Tables that a
+writer leaves out are carried forward from the version before. Readers take the highest
+version, so a failed or half-written job is never visible; ``vacuum`` removes what such
+jobs, and versions no longer kept, leave behind.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from workboard.sources.files import FileExists, delete, names_in, read_record, write_record
 from workboard.sources.workspace import TABLES, Workspace, key_type_of, schemas_for
 
-_COMMIT = "version long, committed_at string, key_type string, tables map<string,string>"
+_COMMIT = "version long, committed_at string, key_type string, tables map<string,string>, mark string"
 
 
 class SnapshotConflict(RuntimeError):
@@ -54,17 +57,22 @@ def _commit_of(spark: SparkSession, root: str, version: int):
     return None if commits is None else commits.where(F.col("version") == version).first()
 
 
-def _create(spark: SparkSession, path: str, text: str) -> None:
-    """Create a file with ``text``; SnapshotConflict if there is one."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+def _put(spark: SparkSession, root: str, version: int, record: dict) -> None:
+    """Put a commit record; SnapshotConflict if the version has one."""
+    path = f"{root}/_commits/{version:012d}.json"
     try:
-        out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, False)
-    except Py4JJavaError as e:
-        if "AlreadyExists" in str(e.java_exception):
-            raise SnapshotConflict(f"{path} exists") from e
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
+        write_record(spark, path, json.dumps(record))
+    except FileExists as e:
+        if _readable(read_record(spark, path)):
+            raise SnapshotConflict(f"version {version} is committed") from e
+        write_record(spark, path, json.dumps(record), replace=True)
+
+
+def _readable(text: str | None) -> bool:
+    try:
+        return "tables" in json.loads(text or "")
+    except ValueError:
+        return False
 
 
 # Physical layout per table, standing in for the reference's B-tree indexes:
@@ -91,9 +99,10 @@ def _laid_out(df: DataFrame, name: str, partitions: int | None):
 
 
 def write_snapshot(ws: Workspace, root: str, version: int | None = None,
-                   mode_tables=TABLES, partitions: int | None = None) -> int:
+                   mode_tables=TABLES, partitions: int | None = None, mark: dict | None = None) -> int:
     """Write ``mode_tables`` and commit them as ``version`` (default: the next one), with
-    the other tables as they are in the version before."""
+    the other tables as they are in the version before. ``mark`` says up to where a stream's
+    changes are in these tables (``snapshot_mark`` returns it)."""
     spark = ws.users.sparkSession
     last = latest_version(spark, root)
     version = (0 if last is None else last + 1) if version is None else version
@@ -110,11 +119,45 @@ def write_snapshot(ws: Workspace, root: str, version: int | None = None,
     for name in mode_tables:
         where[name] = f"{data}/{name}"
         _laid_out(ws[name], name, partitions).parquet(where[name])
-    _create(spark, f"{root}/_commits/{version:012d}.json", json.dumps({
-        "version": version, "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "key_type": kind, "tables": where}))
+    _put(spark, root, version, {
+        "version": version, "committed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "key_type": kind, "tables": where,
+        "mark": None if mark is None else json.dumps(mark)})
     return version
 
 
+def snapshot_mark(spark: SparkSession, root: str, version: int | None = None) -> dict | None:
+    """The mark of a committed version (default: the latest); None if it has none."""
+    version = latest_version(spark, root) if version is None else version
+    commit = None if version is None else _commit_of(spark, root, version)
+    return None if commit is None or commit["mark"] is None else json.loads(commit["mark"])
+
+
+def vacuum(spark: SparkSession, root: str, keep: int | None = None, older_than: float = 86_400.0) -> list[str]:
+    """Remove the commit records before the last ``keep`` versions (default: none), then every table
+    folder that no record names. What was changed in the last ``older_than`` seconds stays: a
+    writer may be at work on it, a reader may still list it. Returns what was removed."""
+    commits = _commits(spark, root)
+    versions = [] if commits is None else sorted(r["version"] for r in commits.select("version").collect() if r["version"] is not None)
+    limit, gone = (time.time() - older_than) * 1000, []
+    old = set() if keep is None else set(versions[:max(0, len(versions) - max(1, keep))])
+    for name, changed in names_in(spark, f"{root}/_commits").items():
+        if changed <= limit and name.removesuffix(".json").isdigit() and int(name.removesuffix(".json")) in old:
+            delete(spark, f"{root}/_commits/{name}")
+            gone.append(f"_commits/{name}")
+    left = _commits(spark, root)
+    named = set() if left is None else {p.rstrip("/").split("/data/")[-1] for r in left.select("tables").collect()
+                                        if r["tables"] for p in r["tables"].values()}
+    for folder in names_in(spark, f"{root}/data"):
+        tables = names_in(spark, f"{root}/data/{folder}")
+        dead = [t for t, changed in tables.items() if f"{folder}/{t}" not in named and changed <= limit]
+        for t in dead:
+            delete(spark, f"{root}/data/{folder}/{t}")
+        if len(dead) == len(tables) and (tables or names_in(spark, f"{root}/data")[folder] <= limit):
+            delete(spark, f"{root}/data/{folder}")
+        gone += [f"data/{folder}/{t}" for t in dead]
+    return gone
+
+
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Workspace:
     """The workspace at ``version`` (default: the latest committed one)."""
     version = latest_version(spark, root) if version is None else version

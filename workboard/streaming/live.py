@@ -1,55 +1,79 @@
 """Live dashboard over a stream of status changes.
 
 The reference polls its counters every 2 s; here one Structured Streaming query keeps
-them. Its source is a file stream (``readStream.parquet``) over a landing folder with a
-bounded number of files per trigger. Each micro-batch is written, checked against the
-current tables with the I5 rule of the batch job, and reduced to the latest applied
-change per task (``max`` over (ts, seq, status), built-in). The old status of the
-batch's tasks comes from a compacted table of latest changes, the running totals from
-the row of the batch before.
-
-* J1 ``live_counters``: batch D1 on the current tasks plus the last running totals.
-* J2 ``latest_status``: the table of latest changes.
-* J4 ``rejected_events``: the checked requests that were not applied.
-* J3 ``status_transitions``: the browser's counter arithmetic per change, and
-  ``member_counters_literal``: those deltas applied per assignee with the
-  browser's floor at 0.
-
-All folders of a stream lie under one root in the shared checkpoint folder. A micro-batch
-writes only folders that bear its number, and reads only those of earlier batches, so a
-batch that is retried after a failure leaves the same rows.
+them, with its state in Spark's own state store. The state is filled from ``tasks`` once,
+when the stream starts, and lies in buckets of about ``TASKS_PER_BUCKET`` tasks by a hash
+of the task id: a micro-batch reads and writes the buckets of its own tasks and nothing
+else, whatever the size of the tables. A request carries its requester's role, as the
+reference's token does (``with_roles``), so that no table is looked up.
+
+Each change gives one row of the log: the checks of the batch job I5, the status before,
+the browser's counter arithmetic (J3) and the exact change of the counters. A micro-batch
+writes its rows once, adds their sums to the counters of the batch before, and puts the
+result into a small record. Readers go by records:
+
+* J1 ``counters``: the last record. No table is read, and what has been committed to the
+  tables meanwhile makes no difference. ``commit_changes`` writes the state's statuses to a
+  snapshot with a mark of the last batch it has; a stream that starts from that snapshot
+  leaves out the requests up to the mark (and, as the batch job I5, takes the others as
+  newer than what is in the tables).
+* J2 ``latest``: the state, as of the last record.
+* J3 ``transitions`` and J4 ``rejected``: the log. Its folders are merged in tiers of
+  ``MERGE`` and named by a manifest; replaced folders go after ``retain`` seconds.
+* ``status_transitions`` and ``member_counters_literal`` are J3 over a batch table.
+
+Tasks that other jobs create, edit or delete come as rows of kind ``put`` (status,
+assigned_to, due_date) and ``delete``. Within a micro-batch changes are taken by (ts, seq),
+null first; one that is older than the task's last change leaves the task as it is.
+A batch that is retried writes the same folder and the same record again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+import json
+import pickle
+import time
+import uuid
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.functions.status import is_overdue, is_overdue_browser
-from workboard.operators.mutations import status_change_outcomes
+from workboard.functions.status import is_overdue_browser
+from workboard.operators.joins import left_lookup
 from workboard.operators.ordered import number_within_groups
 from workboard.operators.rollups import stats_columns, task_stats
-from workboard.session import delete_folder, scratch_path
+from workboard.session import scratch_path
+from workboard.sources.files import delete, names_in, read_record, set_times, write_record
+from workboard.sources.snapshot import write_snapshot
+from workboard.streaming import task_state
+from workboard.streaming.task_state import GAINS, TaskChanges
 
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
-DELTAS = ("d_completed", "d_in_progress", "d_overdue")
-TOTALS = T.StructType([T.StructField(c, T.LongType()) for c in DELTAS] + [T.StructField("batch", T.LongType())])
-#: Rows of a replay file; the replays take one file per trigger.
-REPLAY_FILE_ROWS = 5_000
-#: The latest changes are compacted after so many micro-batches; older folders go.
-COMPACT_EVERY = 16
-
-
-def replay_to_files(df: DataFrame, landing: str, order_col: str = "seq", file_rows: int = REPLAY_FILE_ROWS) -> str:
-    """Write a batch table as files of about ``file_rows`` rows in the order of
-    ``order_col``: the replay source. The number of files grows with the table."""
-    files = max(1, -(-df.count() // file_rows))
-    (df.repartitionByRange(files, F.col(order_col).asc_nulls_first()).sortWithinPartitions(order_col)
-       .write.mode("overwrite").parquet(landing))
+#: Tasks of a state bucket when the stream starts.
+TASKS_PER_BUCKET = 256
+#: So many log folders of a tier become one of the next.
+MERGE = 16
+#: Records of the last so many micro-batches are kept.
+RECORDS = 256
+
+
+def with_roles(reqs: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests with the requester's role at the time they were sent (the token's)."""
+    roles = users.select(F.col("id").alias("requester_id"), F.col("role").alias("requester_role"))
+    return left_lookup(reqs, roles, "requester_id").select(*reqs.columns, "requester_role")
+
+
+def replay_to_files(df: DataFrame, landing: str, files: int, order: tuple[str, ...] = ("ts", "seq")) -> str:
+    """Write a batch table as ``files`` files in the order of ``order``: the replay source. A file
+    stream takes files by their time, so they get times in that order."""
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(landing)
+    set_times(df.sparkSession, landing, sorted(n for n in names_in(df.sparkSession, landing) if n.endswith(".parquet")))
     return landing
 
 
@@ -57,144 +81,218 @@ def file_stream(spark: SparkSession, landing: str, schema: T.StructType, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
 
 
-# ---- J1 / J2 / J4 ---------------------------------------------------------
+# ---- the stateful operator --------------------------------------------------
 
-Tables = tuple[DataFrame, DataFrame]
+def _instant(as_of) -> dt.datetime:
+    return dt.datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
 
 
-class LiveStore:
-    """What a stream keeps under ``root``: incoming/, checked/, changes/ and totals/ with
-    a folder for each micro-batch, and base/, the latest change per task up to a batch."""
+def _log_schema(changes: T.StructType) -> T.StructType:
+    def field(name, kind):
+        return T.StructField(name, kind)
 
-    def __init__(self, spark: SparkSession, root: str, reqs: T.StructType):
-        self.spark, self.root, self.reqs = spark, root.rstrip("/"), reqs
-        task, seq = reqs["task_id"].dataType, reqs["seq"].dataType
-        self.changes = T.StructType([T.StructField("task_id", task), T.StructField("last", T.StructType([
-            T.StructField("ts", reqs["ts"].dataType), T.StructField("seq", seq), T.StructField("status", T.StringType())]))])
-        self.checked = T.StructType([reqs[c] for c in ("seq", "ts", "task_id", "status", "requester_id")]
-                                    + [T.StructField("outcome", T.StringType()), T.StructField("http_status", T.IntegerType())])
+    return T.StructType([field("seq", changes["seq"].dataType), field("ts", changes["ts"].dataType),
+                         field("task_id", changes["task_id"].dataType), field("kind", T.StringType()),
+                         field("status", T.StringType()), field("requester_id", changes["requester_id"].dataType),
+                         field("outcome", T.StringType()), field("http_status", T.IntegerType()),
+                         field("prev_status", T.StringType()),
+                         *[field(c, T.IntegerType()) for c in ("d_in_progress", "d_completed", "d_overdue", *GAINS)]])
 
-    def _path(self, kind: str, batch: int) -> str:
-        return f"{self.root}/{kind}/batch={batch}"
 
-    def _write(self, df: DataFrame, kind: str, batch: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(kind, batch))
-        return self.spark.read.schema(df.schema).parquet(self._path(kind, batch))
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
 
-    def _all(self, kind: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}")
-        except AnalysisException as e:  # no micro-batch yet
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
 
-    def latest_before(self, batch: int) -> DataFrame:
-        """(task_id, last) of the micro-batches before ``batch``: one compacted folder and
-        fewer than COMPACT_EVERY others; a task may have several rows."""
-        base = batch // COMPACT_EVERY * COMPACT_EVERY - 1
-        paths = [self._path("base", base)] * (base >= 0) + [self._path("changes", i) for i in range(base + 1, batch)]
-        return self.spark.read.schema(self.changes).parquet(*paths) if paths else self.spark.createDataFrame([], self.changes)
+def task_changes(changes: DataFrame, tasks: DataFrame, buckets: int, as_of, rule: str = "reference") -> DataFrame:
+    """The stream ``changes`` (seq, ts, task_id, status, requester_id, requester_role; optionally kind,
+    assigned_to, due_date) as log rows, one per change."""
+    spark, given = changes.sparkSession, changes.columns
+    absent = {"kind": F.lit("status"), "requester_role": F.lit(None).cast("string"),
+              "assigned_to": F.lit(None).cast(tasks.schema["assigned_to"].dataType),
+              "due_date": F.lit(None).cast(tasks.schema["due_date"].dataType)}
+    rows = changes.withColumns({c: x for c, x in absent.items() if c not in given})
+    rows = rows.withColumn("kind", F.coalesce("kind", F.lit("status"))).select(
+        _bucket(F.col("task_id"), buckets), "seq", "ts", "task_id", "status", "requester_id", *absent)
+    known = (tasks.select(_bucket(F.col("id"), buckets), F.struct("id", "status", "assigned_to", "due_date").alias("task"))
+             .groupBy("bucket").agg(F.collect_list("task").alias("tasks")))  # a bucket is small by construction
+    cloudpickle.register_pickle_by_value(task_state)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("bucket").transformWithState(
+        TaskChanges(_instant(as_of), rule), _log_schema(rows.schema), "Append", "None", known.groupBy("bucket"))
 
-    def totals(self) -> DataFrame:
-        """The last running totals: one row, or none before the first micro-batch."""
-        return self._all("totals", TOTALS).orderBy(F.col("batch").desc()).limit(1)
+
+# ---- what a stream leaves in its folder --------------------------------------
+
+class LiveBoard:
+    """The folder of one stream: checkpoint/, log/ with a folder per micro-batch or merged ones,
+    records/ and manifests/."""
+
+    def __init__(self, spark: SparkSession, root: str, changes: T.StructType, retain: float = 3600.0):
+        self.spark, self.root, self.retain = spark, root.rstrip("/"), retain
+        self.changes, self.schema = changes, _log_schema(changes)
+
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in names_in(self.spark, f"{self.root}/{kind}") if n.endswith(".json"))
+
+    def _record(self, kind: str, number: int) -> dict | None:
+        text = read_record(self.spark, f"{self.root}/{kind}/{number:012d}.json")
+        return None if text is None else json.loads(text)
+
+    def _put(self, kind: str, number: int, record: dict) -> None:
+        write_record(self.spark, f"{self.root}/{kind}/{number:012d}.json", json.dumps(record), replace=True)
+
+    def begin(self, tasks: DataFrame, as_of, rule: str, tasks_per_bucket: int) -> dict:
+        """The stream's settings; at its first start also the counters it starts from (record 0)."""
+        text = read_record(self.spark, f"{self.root}/stream.json")
+        if text is not None:
+            return json.loads(text)
+        counts = task_stats(tasks, as_of).first().asDict()
+        self._put("records", 0, {"batch": -1, "seq": None, **{c: counts[c] for c in COUNTERS}})
+        settings = {"buckets": counts["total_tasks"] // tasks_per_bucket + 1, "as_of": _instant(as_of).isoformat(), "rule": rule}
+        write_record(self.spark, f"{self.root}/stream.json", json.dumps(settings))
+        return settings
+
+    def last(self) -> dict:
+        """The record of the last finished micro-batch: batch, seq (the greatest so far), the counters."""
+        return self._record("records", self._numbers("records")[-1])
+
+    def counters(self) -> DataFrame:
+        """The counters after the last micro-batch."""
+        last = self.last()
+        return self.spark.createDataFrame([tuple(last[c] for c in COUNTERS)], T.StructType(
+            [T.StructField(c, T.LongType()) for c in COUNTERS]))
 
     def latest(self) -> DataFrame:
-        """task_id and status of the latest applied change by (ts, seq)."""
-        last = self.totals().first()
-        rows = self.latest_before(0 if last is None else last["batch"] + 1)
-        return _reduced(rows).select("task_id", F.col("last.status").alias("status"))
+        """task_id and status of the latest applied change by (ts, seq), from the state."""
+        kinds = T.StructType([self.changes["task_id"], T.StructField("status", T.StringType())])
+        batch = self.last()["batch"]
+        if batch < 0:
+            return self.spark.createDataFrame([], kinds)
+        state = (self.spark.read.format("statestore").option("stateVarName", "tasks").option("batchId", batch)
+                 .load(f"{self.root}/checkpoint").select(F.col("value.tasks").alias("tasks")))
+
+        def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in stream:
+                rows = [(k, t[0]) for blob in frame["tasks"] for k, t in pickle.loads(blob).items() if t[3] is not None]
+                yield pd.DataFrame(rows, columns=["task_id", "status"], dtype=object)
+
+        return state.mapInPandas(run, kinds)
+
+    def log(self) -> DataFrame:
+        """All log rows of finished micro-batches."""
+        batch = self.last()["batch"]
+        manifest = self._manifest(batch)
+        paths = [p["path"] for p in manifest["parts"]] + [f"batch={i}" for i in range(manifest["through"] + 1, batch + 1)]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/log/{p}" for p in paths])
 
     def rejected(self) -> DataFrame:
         """The requests that failed a check."""
-        return self._all("checked", self.checked).where(F.col("outcome") != "applied").select(
+        return self.log().where(F.col("outcome") != "applied").select(
             "seq", "task_id", "status", "requester_id", "outcome", "http_status")
 
-    def process(self, rows: DataFrame, batch: int, tables: Tables, as_of, rule: str) -> None:
-        """One micro-batch. It is written first: its size is then known to Spark, which
-        broadcasts its keys to the scans of the tables if they are small and joins them
-        by shuffle if not."""
-        rows = self._write(rows.select(*self.reqs.names), "incoming", batch)
-        tasks, users = tables
-        task_keys = rows.select(F.col("task_id").alias("id")).distinct()
-        user_keys = rows.select(F.col("requester_id").alias("id")).distinct()
-        tasks = tasks.join(task_keys, "id", "left_semi")
-        checked = self._write(status_change_outcomes(tasks, users.join(user_keys, "id", "left_semi"), rows, rule)
-                              .select(*self.checked.names), "checked", batch)
-        new = self._write(latest_changes(checked), "changes", batch)
-        old = _reduced(self.latest_before(batch).join(new.select("task_id"), "task_id", "left_semi"))
-        steps = (new.withColumnRenamed("last", "new").join(old.withColumnRenamed("last", "old"), "task_id", "left")
-                 .join(tasks.select(F.col("id").alias("task_id"), F.col("status").alias("base"), "due_date"), "task_id")
-                 .select(F.coalesce("old.status", "base").alias("old_status"),
-                         F.greatest("old", "new")["status"].alias("new_status"), "due_date"))
-        before = self._all("totals", TOTALS).where(F.col("batch") == batch - 1).drop("batch")
-        (transition_deltas(steps, as_of).unionByName(before).agg(*[F.sum(c).alias(c) for c in DELTAS])
-         .write.mode("overwrite").parquet(self._path("totals", batch)))
-        if (batch + 1) % COMPACT_EVERY == 0:
-            self._write(_reduced(self.latest_before(batch).unionByName(new)), "base", batch)
-            for i in range(batch - 2 * COMPACT_EVERY + 1, batch - COMPACT_EVERY + 1):
-                for kind in ("incoming", "changes", "totals", "base"):
-                    delete_folder(self.spark, self._path(kind, i))
-
-
-def latest_changes(checked: DataFrame) -> DataFrame:
-    """The latest applied change per task by (ts, seq); a NULL ts is before any other."""
-    return checked.where(F.col("outcome") == "applied").groupBy("task_id").agg(F.max(F.struct("ts", "seq", "status")).alias("last"))
-
-
-def _reduced(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("task_id").agg(F.max("last").alias("last"))
-
-
-def transition_deltas(steps: DataFrame, as_of) -> DataFrame:
-    """Counter deltas of a set of (old_status, new_status, due_date) rows (one row)."""
-    def flag(cond):
-        return F.coalesce(cond, F.lit(False)).cast("long")
-
-    def gain(cond):
-        return F.coalesce(F.sum(flag(cond("new_status")) - flag(cond("old_status"))), F.lit(0))
-
-    return steps.agg(gain(lambda c: F.col(c) == "completed").alias("d_completed"),
-                     gain(lambda c: F.col(c) == "in_progress").alias("d_in_progress"),
-                     gain(lambda c: is_overdue(as_of, c)).alias("d_overdue"))
-
-
-def _sink(store: LiveStore, tables: Callable[[], Tables], as_of, rule: str):
-    def sink(rows: DataFrame, batch: int):
-        store.process(rows, batch, tables(), as_of, rule)
-    return sink
-
-
-def counters_of(store: LiveStore, tasks: DataFrame, as_of) -> DataFrame:
-    """D1 on ``tasks`` plus the stream's running totals."""
-    gained = {c: F.coalesce(store.totals().select(c).scalar(), F.lit(0)) for c in DELTAS}
-    return task_stats(tasks, as_of).select(
-        "total_tasks", (F.col("completed_tasks") + gained["d_completed"]).alias("completed_tasks"),
-        (F.col("in_progress_tasks") + gained["d_in_progress"]).alias("in_progress_tasks"),
-        (F.col("overdue_tasks") + gained["d_overdue"]).alias("overdue_tasks"))
+    def transitions(self) -> DataFrame:
+        """The browser's arithmetic per applied change, as it came in."""
+        return self.log().where((F.col("outcome") == "applied") & (F.col("kind") == "status")).select(
+            "seq", "task_id", "prev_status", "status", "d_in_progress", "d_completed", "d_overdue")
+
+    def _manifest(self, batch: int) -> dict:
+        """The newest manifest that covers no batch after ``batch``."""
+        for number in reversed(self._numbers("manifests")):
+            if number <= batch:
+                found = self._record("manifests", number)
+                if found is not None:
+                    return found
+        return {"through": -1, "parts": [], "dropped": []}
+
+    def process(self, rows: DataFrame, batch: int) -> None:
+        """A micro-batch: its rows, then its record, then perhaps a merge of the log."""
+        folder = f"{self.root}/log/batch={batch}"
+        rows.write.mode("overwrite").parquet(folder)
+        sums = self.spark.read.schema(self.schema).parquet(folder).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in GAINS], F.max("seq").alias("seq")).first()
+        before = self._record("records", batch)
+        seq = max((x for x in (before["seq"], sums["seq"]) if x is not None), default=None)
+        self._put("records", batch + 1, {"batch": batch, "seq": seq, **{c: before[c] + sums[g] for c, g in zip(COUNTERS, GAINS)}})
+        if (batch + 1) % MERGE == 0:
+            self.merge(batch)
+
+    def merge(self, batch: int) -> None:
+        """Put up a manifest of the log through ``batch`` in which at most ``MERGE - 1`` folders
+        of a tier are left, and remove what earlier manifests replaced ``retain`` seconds ago."""
+        old, now = self._manifest(batch - 1), time.time()
+        parts = old["parts"] + [{"path": f"batch={i}", "tier": 0} for i in range(old["through"] + 1, batch + 1)]
+        dropped, tier = list(old["dropped"]), 0
+        while any(p["tier"] >= tier for p in parts):
+            same = [p for p in parts if p["tier"] == tier]
+            while len(same) >= MERGE:
+                group, same = same[:MERGE], same[MERGE:]
+                path = f"merged={uuid.uuid4().hex}"
+                rows = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/log/{p['path']}" for p in group])
+                rows.coalesce(max(1, len(rows.inputFiles()) // MERGE)).write.parquet(f"{self.root}/log/{path}")
+                at = parts.index(group[0])
+                parts = [p for p in parts[:at] if p not in group] + [{"path": path, "tier": tier + 1}] + [
+                    p for p in parts[at:] if p not in group]
+                dropped += [{"path": p["path"], "at": now} for p in group]
+            tier += 1
+        gone = [d for d in dropped if d["at"] <= now - self.retain]
+        for d in gone:
+            delete(self.spark, f"{self.root}/log/{d['path']}")
+        self._put("manifests", batch, {"through": batch, "parts": parts, "dropped": [d for d in dropped if d not in gone]})
+        for kind, keep in (("records", RECORDS), ("manifests", 2)):
+            for number in self._numbers(kind)[:-keep]:
+                delete(self.spark, f"{self.root}/{kind}/{number:012d}.json")
+
+    def mark(self) -> dict:
+        """What a snapshot that has this stream's changes is marked with."""
+        last = self.last()
+        return {"stream": self.root, "batch": last["batch"], "seq": last["seq"]}
+
+
+def start_live_board(spark: SparkSession, changes: DataFrame, tasks: DataFrame, as_of, root: str, rule: str = "reference",
+                     trigger: dict | None = None, after_seq=None, tasks_per_bucket: int = TASKS_PER_BUCKET, retain: float = 3600.0):
+    """Start (or go on with) the stream that keeps its state under ``root``: the running query and
+    its LiveBoard. ``tasks`` fills the state at the first start; if it is a snapshot that has an
+    earlier stream's changes, ``after_seq`` is the ``seq`` of its mark."""
+    board = LiveBoard(spark, root, changes.schema, retain)
+    settings = board.begin(tasks, as_of, rule, tasks_per_bucket)
+    rows = changes if after_seq is None else changes.where(F.col("seq").isNull() | (F.col("seq") > F.lit(after_seq)))
+    out = task_changes(rows, tasks, settings["buckets"], settings["as_of"], settings["rule"])
+    query = (out.writeStream.outputMode("append").foreachBatch(board.process)
+             .option("checkpointLocation", f"{board.root}/checkpoint").trigger(**(trigger or {"processingTime": "2 seconds"})).start())
+    return query, board
+
+
+def commit_changes(board: LiveBoard, ws, root: str) -> int:
+    """Commit the stream's statuses into the snapshots under ``root`` as a new version of ``ws``,
+    marked with the stream's last batch. The stream need not stop."""
+    mark = board.mark()
+    changed = board.latest().select(F.col("task_id").alias("id"), F.col("status").alias("_new"))
+    tasks = left_lookup(ws.tasks, changed, "id").withColumn("status", F.coalesce("_new", "status")).select(*ws.tasks.columns)
+    return write_snapshot(ws.replace(tasks=tasks), root, mark=mark)
 
 
 def replay(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of, rule: str = "reference",
-           root: str | None = None, file_rows: int = REPLAY_FILE_ROWS) -> LiveStore:
-    """Run status requests (seq, ts, task_id, status, requester_id) through the stream,
-    one replay file per trigger, until all are processed."""
+           root: str | None = None, files: int = 2) -> LiveBoard:
+    """Run status requests (seq, ts, task_id, status, requester_id) through the stream in
+    ``files`` micro-batches, until all are processed."""
     root = root or scratch_path(spark, "live")
-    landing = replay_to_files(reqs, f"{root}/landing", file_rows=file_rows)
-    store = LiveStore(spark, f"{root}/store", reqs.schema)
-    query = (file_stream(spark, landing, reqs.schema, files_per_trigger=1).writeStream
-             .foreachBatch(_sink(store, lambda: (tasks, users), as_of, rule))
-             .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    landed = with_roles(reqs, users)
+    landing = replay_to_files(landed, f"{root}/landing", files)
+    query, board = start_live_board(spark, file_stream(spark, landing, landed.schema, files_per_trigger=1), tasks, as_of,
+                                    f"{root}/board", rule, {"availableNow": True})
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return store
+    return board
 
 
 def run_live_counters(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame,
                       as_of, rule: str = "reference", root: str | None = None) -> DataFrame:
     """J1 over a replay."""
-    return counters_of(replay(spark, reqs, tasks, users, as_of, rule, root), tasks, as_of)
+    return replay(spark, reqs, tasks, users, as_of, rule, root).counters()
 
 
 def run_latest_status(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of,
@@ -209,23 +307,13 @@ def run_rejected_events(spark: SparkSession, reqs: DataFrame, tasks: DataFrame,
     return replay(spark, reqs, tasks, users, as_of, rule).rejected()
 
 
-def start_live_counters(spark: SparkSession, landing: str, schema: T.StructType, tables: Callable[[], Tables], as_of,
-                        root: str | None = None, rule: str = "reference", interval: str = "2 seconds",
-                        files_per_trigger: int = 4):
-    """J1 running continuously (the reference's 2 s refresh). ``tables`` is called for
-    every micro-batch and every read and returns the current (tasks, users), for
-    instance from the latest snapshot; a task's stored status must stay as it was when
-    its first change arrived, as changes are counted against it. Returns the running
-    query, the store and a function that reads the current counters."""
-    root = root or scratch_path(spark, "live")
-    store = LiveStore(spark, f"{root}/store", schema)
-    query = (file_stream(spark, landing, schema, files_per_trigger).writeStream
-             .foreachBatch(_sink(store, tables, as_of, rule))
-             .option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime=interval).start())
-    return query, store, lambda: counters_of(store, tables()[0], as_of)
+def run_transitions(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of,
+                    rule: str = "reference") -> DataFrame:
+    """J3 over a replay, as a stream."""
+    return replay(spark, reqs, tasks, users, as_of, rule).transitions()
 
 
-# ---- J3 -------------------------------------------------------------------
+# ---- J3 over a batch table ---------------------------------------------------
 
 def _transitions(changes: DataFrame, tasks: DataFrame, as_of) -> DataFrame:
     base = tasks.select(F.col("id").alias("task_id"), F.col("status").alias("_base"), "due_date")
