@@ -6,8 +6,13 @@ signed rows by source, language and tokenizer. Totals are sums of deltas, so the
 never counted again from the texts. A delete, or the old side of a revision, takes out
 what the log has for the id: its net counts over all committed batches.
 
-A batch is committed by its delta. One that is committed is skipped when it is run
-again; one that broke off before is written anew, and nothing of it was counted.
+A batch is committed by a marker that is created, if there is none, after its log and its
+delta are written; whether they have rows is no matter. Readers count the batches that
+have one. A batch that is committed is skipped when it is run again; one that broke off
+anywhere before its marker is written anew, and nothing of it was counted.
+
+The log of a batch is cut by a hash of the id into ``SHARDS`` folders. A delete or a
+revision reads the shards of its ids, and a hot id's rows are spread over several files.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workboard.llm.common import with_package
+from workboard.sources.files import FileExists, names_in, write_record
 
 Tokenizer = Callable[[Column], Column]
 
@@ -57,6 +63,9 @@ TOKENIZERS: dict[str, Tokenizer] = {
     "plain-1": pattern_tokens(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"),
 }
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
+#: Folders of a batch's log, and files of one of them at most.
+SHARDS, SPREAD = 64, 4
+_SUMS = ("docs", "tokens", "chars")
 
 
 class TokenRollup:
@@ -66,14 +75,23 @@ class TokenRollup:
         self.spark, self.path = spark, path.rstrip("/")
         self.tokenizers = TOKENIZERS if tokenizers is None else tokenizers
 
-    def _read(self, name: str) -> DataFrame | None:
+    def committed(self) -> list[str]:
+        """Names of the batches that count."""
+        return sorted(names_in(self.spark, f"{self.path}/commits"))
+
+    def _read(self, name: str, batches: list[str]) -> DataFrame | None:
+        if not batches:
+            return None
         try:
-            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").withColumn(
-                "batch", F.col("batch").cast("string"))
+            return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(
+                *[f"{self.path}/{name}/batch={b}" for b in batches])
         except AnalysisException as e:
-            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return None  # batches without a row
+
+    def _shard(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int").alias("shard")
 
     def _counted(self, docs: DataFrame, only: DataFrame | None) -> DataFrame:
         """Rows by tokenizer, of the ids in ``only``. Texts are counted where they are read
@@ -105,8 +123,7 @@ class TokenRollup:
         """
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch name has letters, digits, _ and - only")
-        deltas = self._read("deltas")
-        done = [] if deltas is None else [r[0] for r in deltas.select("batch").distinct().collect()]
+        done = self.committed()
         if batch in done:
             return False
         known = F.col("op").isin(INSERT, DELETE, REVISE)
@@ -114,38 +131,54 @@ class TokenRollup:
         changes = changes.select(op.alias("op"), "id", "source", "lang", "text")
         only = only if only is None else only.select("id").where("id is not null").distinct()
         rows = self._counted(changes.where(F.col("op") != DELETE).drop("op"), only)
-        log = self._read("log")
-        if log is not None and done:
-            gone = changes.where(F.col("op") != INSERT).select("id").distinct()
+        log = self._read("log", done)
+        if log is not None:
+            gone = changes.where(F.col("op") != INSERT).select("id").where("id is not null").distinct()
             gone = gone if only is None else gone.join(only, "id")
-            net = (log.where(F.col("batch").isin(done)).join(gone, "id", "left_semi")
+            shards = [r[0] for r in gone.select(self._shard()).distinct().collect()]  # SHARDS at most
+            net = (log.where(F.col("shard").isin(shards)).join(gone, "id", "left_semi")
                    .groupBy("id", "source", "lang", "tokenizer")
-                   .agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]).where("docs != 0 or tokens != 0"))
-            rows = rows.unionByName(net.select("id", "source", "lang", "tokenizer",
-                                               *[(-F.col(c)).alias(c) for c in ("docs", "tokens", "chars")]))
+                   .agg(*[F.sum(c).alias(c) for c in _SUMS]).where("docs != 0 or tokens != 0"))
+            rows = rows.unionByName(net.select("id", "source", "lang", "tokenizer", *[(-F.col(c)).alias(c) for c in _SUMS]))
         here = f"{self.path}/log/batch={batch}"
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(here)
-        delta = (self.spark.read.parquet(here).groupBy("source", "lang", "tokenizer")
-                 .agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]))
-        delta.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        self._write_log(rows, here)
+        delta = self._read("log", [batch])
+        delta = rows.where(F.lit(False)) if delta is None else delta  # nothing was put in or taken out
+        (delta.groupBy("source", "lang", "tokenizer").agg(*[F.sum(c).alias(c) for c in _SUMS])
+         .write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}"))
+        return self._mark(batch)
+
+    def _write_log(self, rows: DataFrame, folder: str) -> None:
+        spread = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
+        (rows.select("*", self._shard(), spread.alias("_spread")).repartition("shard", "_spread").drop("_spread")
+         .write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(folder))
+
+    def _mark(self, batch: str) -> bool:
+        try:
+            write_record(self.spark, f"{self.path}/commits/{batch}", batch)
+        except FileExists:  # another driver was first
+            return False
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens, chars; groups without documents are left out."""
-        deltas = self._read("deltas")
-        if deltas is None:
+        done = self.committed()
+        if not done:
             raise ValueError(f"nothing is committed in {self.path}")
-        return (deltas.groupBy("source", "lang", "tokenizer")
-                .agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]).where("docs != 0"))
+        return (self._read("deltas", done).groupBy("source", "lang", "tokenizer")
+                .agg(*[F.sum(c).alias(c) for c in _SUMS]).where("docs != 0"))
 
     def compact(self, into: str) -> "TokenRollup":
         """A rollup in the folder ``into`` with one batch, ``base``, of this one's net rows."""
-        log, done = self._read("log"), self._read("deltas").select("batch").distinct()
-        net = (log.join(done, "batch", "left_semi").groupBy("id", "source", "lang", "tokenizer")
-               .agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]).where("docs != 0"))
-        net.write.mode("overwrite").parquet(f"{into.rstrip('/')}/log/batch=base")
-        self.totals().write.mode("overwrite").parquet(f"{into.rstrip('/')}/deltas/batch=base")
-        return TokenRollup(self.spark, into, self.tokenizers)
+        small, log = TokenRollup(self.spark, into, self.tokenizers), self._read("log", self.committed())
+        if log is not None:
+            net = (log.groupBy("id", "source", "lang", "tokenizer").agg(*[F.sum(c).alias(c) for c in _SUMS]).where("docs != 0"))
+            small._write_log(net, f"{small.path}/log/batch=base")
+        else:
+            small._write_log(self.totals().where(F.lit(False)).withColumn("id", F.lit(None).cast("long")), f"{small.path}/log/batch=base")
+        self.totals().write.mode("overwrite").parquet(f"{small.path}/deltas/batch=base")
+        small._mark("base")
+        return small
 
 
 def changes_of(docs: DataFrame, op: str, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang",
