@@ -59,18 +59,18 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, mo
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """For each source: rounds (whole takes of all documents) and limit: documents whose
-    hash is below the limit are taken once more.
+    """For each source: rounds (whole takes of all documents), limit and ties: documents
+    whose hash is below the limit are taken once more, and so are ``ties`` of those whose
+    hash is the limit (0 unless equal rows stand at the very boundary).
 
     ``sized`` (source, size, hash) should be a written table; ``goals`` is the result of
-    targets(). Of documents that share one hash at the very boundary all are taken or
-    none, whichever ends closer to the target.
+    targets().
     """
     goals = goals.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                              .otherwise(0).cast("long")).withColumn(
         "left", F.col("target") - F.col("rounds") * F.col("source_size"))
     state = materialize(goals.select(F.col("source").alias("of"), "source_size", "target", "rounds", "left",
-                                     F.lit(0).cast("long").alias("prefix")), "budget")
+                                     F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("ties")), "budget")
     rows = sized.where("size > 0")
     running = (Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     for level in range(LEVELS):
@@ -81,22 +81,61 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             open_ = materialize(open_.select("source", "size", "hash", "of", "prefix", "left"), "boundary")
             rows = open_.select("source", "size", "hash")
         sums = (open_.withColumn("bucket", F.shiftrightunsigned("hash", shift)).groupBy("of", "left", "bucket")
-                .agg(F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high")))
+                .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
         found = (sums.withColumn("upto", F.sum("words").over(running))
                  .where(F.col("upto") > F.col("left")).groupBy("of")
-                 .agg(F.min(F.struct("bucket", "upto", "words", "low", "high")).alias("b")))
-        # a bucket of one hash can't be refined: it is taken if that ends closer to the target
+                 .agg(F.min(F.struct("bucket", "upto", "words", "rows")).alias("b")))
+        # the last level's buckets are single hashes: of their equal rows so many come closest to the target
         rest = F.col("left") - F.col("b.upto") + F.col("b.words")
         state = state.join(found.withColumnRenamed("of", "bucket_of"), F.col("of").eqNullSafe(F.col("bucket_of")), "left")
-        single = (F.col("b.low") == F.col("b.high")) & F.lit(level == LEVELS - 1)
-        take = single & (2 * rest >= F.col("b.words"))
+        ties = F.lit(0) if level < LEVELS - 1 else F.coalesce(F.round(rest * F.col("b.rows") / F.col("b.words")), F.lit(0))
         first = F.lit(level == 0)
         state = materialize(state.select(
             "of", "source_size", "target", "rounds",
             F.when(F.col("b").isNull(), F.col("left")).otherwise(rest).alias("left"),
-            F.when(F.col("b").isNotNull(), F.col("b.bucket") + F.when(take, 1).otherwise(0))
-            .when(first, F.lit(1 << BITS)).otherwise((F.col("prefix") + 1) * (1 << BITS)).alias("prefix")), "budget")
-    return state.select(F.col("of").alias("source"), "source_size", "target", "rounds", F.col("prefix").alias("limit"))
+            F.when(F.col("b").isNotNull(), F.col("b.bucket") + F.when(ties >= F.col("b.rows"), 1).otherwise(0))
+            .when(first, F.lit(1 << BITS)).otherwise((F.col("prefix") + 1) * (1 << BITS)).alias("prefix"),
+            F.when(ties < F.col("b.rows"), ties).otherwise(0).cast("long").alias("ties")), "budget")
+    return state.select(F.col("of").alias("source"), "source_size", "target", "rounds", F.col("prefix").alias("limit"), "ties")
+
+
+def _limits(sized: DataFrame, weights: tuple, share: float, most: float) -> DataFrame:
+    """Rounds, and limit and ties of what is taken once more (limit -1: nothing), by source (column ``of``)."""
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    limits = thresholds(sized, targets(sources, weights, share, most))
+    more = (F.col("rounds") < most) & (F.col("target") > F.col("rounds") * F.col("source_size"))
+    return materialize(limits.select(F.col("source").alias("of"), "source_size", "target", "rounds",
+                                     F.when(more, F.col("limit")).otherwise(-1).alias("limit"),
+                                     F.when(more, F.col("ties")).otherwise(0).alias("ties")), "limits")
+
+
+def _with_copies(rows: DataFrame, limits: DataFrame, source: str, hashed: Column, names: dict[str, str]) -> DataFrame:
+    """``rows`` with the columns of ``limits`` (as ``names`` has them) and ``names["copies"]``.
+
+    Equal rows at a boundary are told apart by where they stand in a written table: whole
+    parts of it are taken until the next one would be too many, and only that part's rows
+    are numbered. What is taken of equal rows is the same in every run."""
+    n = names
+    joined = rows.join(limits.withColumnsRenamed(n), F.col(source).eqNullSafe(F.col(n["of"])))
+    below = joined.withColumn(n["copies"], F.col(n["rounds"]) + F.when(hashed < F.col(n["limit"]), 1).otherwise(0))
+    if limits.where("ties > 0").isEmpty():
+        return below
+    tied = (F.col(n["ties"]) > 0) & (hashed == F.col(n["limit"]))
+    part, at, before, here = (free_name(joined, x) for x in ("part", "at", "before", "here"))
+    placed = materialize(joined.where(tied).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "ties")
+    earlier = Window.partitionBy(n["of"]).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = (placed.groupBy(n["of"], part).agg(F.count(F.lit(1)).alias(here))
+             .withColumn(before, F.coalesce(F.sum(here).over(earlier), F.lit(0)))
+             .withColumnsRenamed({n["of"]: f"{n['of']}_", part: f"{part}_"}))
+    placed = placed.join(parts, F.col(n["of"]).eqNullSafe(F.col(f"{n['of']}_")) & (F.col(part) == F.col(f"{part}_")))
+    cut = (F.col(before) < F.col(n["ties"])) & (F.col(before) + F.col(here) > F.col(n["ties"]))
+    number = F.row_number().over(Window.partitionBy(n["of"], part).orderBy(at))
+    some = placed.where(cut).withColumn(n["copies"], F.col(n["rounds"]) + F.when(
+        number <= F.col(n["ties"]) - F.col(before), 1).otherwise(0))
+    whole = placed.where(~cut).withColumn(n["copies"], F.col(n["rounds"]) + F.when(
+        F.col(before) + F.col(here) <= F.col(n["ties"]), 1).otherwise(0))
+    columns = below.columns
+    return below.where(~tied).unionByName(some.select(*columns)).unionByName(whole.select(*columns))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id",
@@ -105,35 +144,27 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: flo
     taken (copies * size).
 
     Null and word-free texts have size 0 and are taken as often as any text of their
-    hash. A null source is a source of its own, the last one. Repeated rows share a hash
-    and a fate. Reruns agree. An empty table gives an empty table. Other columns are
+    hash. A null source is a source of its own, the last one. Of repeated rows, which share
+    a hash, so many are taken once more as bring the source closest to its target. Reruns
+    agree (on the multiset of rows). An empty table gives an empty table. Other columns are
     ignored.
     """
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                                     word_count(text_col).alias("size"), document_hash(id_col, text_col).alias("hash")),
                         "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(sized, targets(sources, weights, share, most)).withColumnRenamed("source", "of")
-    copies = F.col("rounds") + F.when((F.col("rounds") < most) & (F.col("hash") < F.col("limit"))
-                                      & (F.col("target") > F.col("rounds") * F.col("source_size")), 1).otherwise(0)
-    return (sized.join(limits, F.col("source").eqNullSafe(F.col("of")))
-            .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-                    copies.alias("copies"), (copies * F.col("size")).alias("taken")))
+    names = {c: c for c in ("of", "source_size", "target", "rounds", "limit", "ties", "copies")}
+    mixed = _with_copies(sized, _limits(sized, weights, share, most), "source", F.col("hash"), names)
+    return mixed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies",
+                        (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id",
              text_col: str = "text", source_col: str = "source", copy_col: str = "copy") -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as they are taken, numbered from 1 in
     ``copy_col``. The thresholds are applied to the rows as they are read."""
-    name = {x: free_name(docs, x) for x in ("of", "rounds", "limit", "hash", "copies")}
+    name = {x: free_name(docs, x) for x in ("of", "source_size", "target", "rounds", "limit", "ties", "copies")}
     sized = materialize(docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size"),
                                     document_hash(id_col, text_col).alias("hash")), "sized")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(sized, targets(sources, weights, share, most)).select(
-        F.col("source").alias(name["of"]), F.col("rounds").alias(name["rounds"]),
-        F.when(F.col("target") > F.col("rounds") * F.col("source_size"), F.col("limit")).otherwise(-1).alias(name["limit"]))
-    copies = F.col(name["rounds"]) + F.when((F.col(name["rounds"]) < most) & (
-        document_hash(id_col, text_col) < F.col(name["limit"])), 1).otherwise(0)
-    taken = docs.join(limits, F.col(source_col).eqNullSafe(F.col(name["of"]))).withColumn(name["copies"], copies)
+    taken = _with_copies(docs, _limits(sized, weights, share, most), source_col, document_hash(id_col, text_col), name)
     return (taken.where(F.col(name["copies"]) > 0)
             .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(name["copies"]).cast("int"))).alias(copy_col)))
