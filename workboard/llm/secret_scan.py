@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -175,6 +176,29 @@ def scan_documents(docs: DataFrame, ledger_path: str | None = None, batch: str =
             .select(F.col("id").alias(id_col), F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings")))
 
 
+def _marked(mark: str):
+    """A function of text, sorted starts and ends: the text with a mark for each run of overlapping
+    spans, in one pass over the text. Texts without spans are not sent (null)."""
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for text, first, last in zip(texts, starts, ends):
+            if text is None:
+                out.append(None)
+                continue
+            pieces, at = [], None
+            for a, b in zip(first, last):
+                if at is not None and a < at:
+                    at = max(at, b)
+                    continue
+                pieces += [text[at or 0:a], mark]
+                at = b
+            out.append("".join([*pieces, text[at:]]))
+        return pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "starts": pd.Series, "ends": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.StringType())
+
+
 def redact_secrets(docs: DataFrame, ledger_path: str | None = None, batch: str = "all", rules: RuleSet = RuleSet(),
                    text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """All rows of ``docs`` with every found span replaced by ``mark``; overlapping
@@ -186,18 +210,11 @@ def redact_secrets(docs: DataFrame, ledger_path: str | None = None, batch: str =
     found, key = free_name(docs, "findings"), free_name(docs, "blob")
     spans = ledger.findings(rules.version, found_only=True).select(F.col("blob").alias(key), F.col("findings").alias(found))
     rows = docs.withColumn(key, content_key(text_col)).join(spans, key, "left").drop(key)
-    text = F.col(text_col)
-    # from the left: what stands between the furthest end so far and the next span, then the mark
-    step = F.aggregate(
-        found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(False).alias("any")),
-        lambda a, s: F.when(a["any"] & (s["start"] < a["at"]), F.struct(
-            a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"), F.lit(True).alias("any"))).otherwise(
-            F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"),
-                     s["end"].alias("at"), F.lit(True).alias("any"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    changed = F.size(found) > 0
+    text, changed = F.col(text_col), F.size(found) > 0
+    with_package(spark)
     new = free_name(rows, "redacted")
-    rows = rows.withColumn(new, F.when(changed, step))
+    rows = rows.withColumn(new, _marked(mark)(F.when(changed, text.cast("string")), F.transform(found, lambda x: x["start"]),
+                                              F.transform(found, lambda x: x["end"])))
     out = {c: F.col(f"`{c}`") for c in docs.columns}
     if chars_col in out:
         out[chars_col] = F.when(changed, F.length(new).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
