@@ -129,9 +129,9 @@ def contamination(rows, items, window=10):
     wanted = defaultdict(set)
     for item, text in items:
         words = PLAIN_WORD.findall(low(text))
-        if words and item is not None:
+        if words:
             for i in range(max(1, len(words) - window + 1)):
-                wanted[tuple(words[i:i + window])].add(str(item))
+                wanted[tuple(words[i:i + window])] |= set() if item is None else {str(item)}
     sizes = {len(p) for p in wanted}
     out = []
     for ident, text in rows:
@@ -139,7 +139,7 @@ def contamination(rows, items, window=10):
         for n in sizes:
             for i in range(len(words) - n + 1):
                 got = wanted.get(tuple(words[i:i + n]))
-                if got:
+                if got is not None:
                     found |= got
                     hit |= set(range(i, i + n))
         out.append((ident, len(words), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))

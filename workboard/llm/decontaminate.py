@@ -251,14 +251,15 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, item_co
                    text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """segment, ordinal, query (item id as text) and merged word spans of every place
     where ``window`` consecutive words of an item stand. A shorter item with words is
-    one phrase; an item without words, or a null id, matches nothing."""
+    one phrase; an item without words matches nothing. Items without an id are searched
+    as well: their ``query`` is null."""
     with_package(index.sparkSession)
     found = None
     for block in _blocks(items, item_col, text_col, block_words):
         phrases: dict[str, list] = defaultdict(list)
         for item, text in block:
             words = words_of(bytes(text))
-            if words and item is not None:
+            if words:
                 phrases[item] += {tuple(words[i:i + window]) for i in range(max(1, len(words) - window + 1))}
         part = _search(index, phrases, None)
         found = part if found is None else found.unionByName(part)
@@ -275,7 +276,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, span: int, item_col: s
         phrases: dict[str, list] = defaultdict(list)
         for item, text in block:
             words = tuple(sorted(set(words_of(bytes(text)))))
-            if words and item is not None:
+            if words:
                 phrases[item].append(words)
         part = _search(index, phrases, span)
         found = part if found is None else found.unionByName(part)
@@ -285,7 +286,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, span: int, item_col: s
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, spans (merged hit spans), items (ids as
-    text, sorted) and n_hit (words inside any span)."""
+    text, sorted; items without an id have none) and n_hit (words inside any span)."""
     index = build_index(docs, id_col, text_col)
     found = phrase_matches(index, items, window, item_col, item_text_col)
     per_doc = (found.groupBy("segment", "ordinal")
@@ -308,9 +309,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text",
                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has no hit. Rows are matched by content address,
-    so null and repeated ids and extra columns are no matter. Items without an id are
-    searched too: no id is asked for here."""
-    items = items.withColumn(item_col, F.coalesce(F.col(item_col).cast("string"), F.lit("")))
+    so null and repeated ids and extra columns are no matter."""
     key = free_name(docs, "key")
     keyed = docs.withColumn(key, content_key(text_col))
     hit = (contamination(keyed, items, window, key, text_col, item_col, item_text_col)

@@ -21,7 +21,7 @@ QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {_words('t', SPACE)} AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-n AS (SELECT *, len(ws) AS n, greatest(100, CAST(floor(0.4 * len(ws)) AS BIGINT)) + 1 AS too_long FROM w),
+n AS (SELECT *, len(ws) AS n, greatest(100, CAST(floor(0.2 * len(ws)) AS BIGINT)) + 1 AS too_long FROM w),
 three AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS places
           FROM (SELECT r, i, array_to_string(ws[i + 1:i + 3], ' ') AS g FROM (SELECT r, ws, unnest(range(n - 2)) AS i FROM n) x) y),
 eight AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS places
@@ -60,8 +60,7 @@ FROM final GROUP BY source, lang"""
 CONTAMINATION = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')", PLAIN)} AS ws
            FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words(f"translate(text, '{UPPER}', '{LOWER}')", PLAIN)} AS ws FROM benchmark
-      WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words(f"translate(text, '{UPPER}', '{LOWER}')", PLAIN)} AS ws FROM benchmark),
 items AS (SELECT DISTINCT item, size, array_to_string(ws[i + 1:i + size], ' ') AS g
           FROM (SELECT item, ws, least(10, len(ws)) AS size, unnest(range(len(ws) - least(10, len(ws)) + 1)) AS i
                 FROM b WHERE len(ws) > 0) x),
