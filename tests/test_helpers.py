@@ -47,7 +47,7 @@ def test_any_row_and_detail(spark):
 def test_overview_bundle(spark):
     ws = derive_workspace(spark, SF001)
     o = overview(ws, P.AS_OF)
-    assert set(o) == {"stats", "members", "projects", "tasks"}
+    assert set(o) == {"stats", "counters", "members", "projects", "tasks"}
     assert o["stats"].count() == 1
     assert o["tasks"].count() == listing.task_listing(ws.tasks, ws.projects, ws.users).count()
 

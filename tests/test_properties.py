@@ -356,3 +356,62 @@ def test_stream_counters_equal_batch_applied(spark, ws01):
     assert tuple(stream) == tuple(batch)
     rejected = live.run_rejected_events(spark, reqs, ws01.tasks, ws01.users, P.AS_OF).count()
     assert rejected == 10000 - 4459
+
+
+def test_a_dead_writer_does_not_block_the_store(spark):
+    from workboard.sources.files import write_record
+    from workboard.sources.snapshot import latest_version, vacuum
+    ws = derive_workspace(spark, SF001)
+    root = scratch_path(spark, "snapshot-dead")
+    assert write_snapshot(ws, root) == 0
+    # one writer died before its commit, another (of an earlier library) in the middle of its record
+    ws.tasks.limit(3).write.parquet(f"{root}/data/dead/tasks")
+    write_record(spark, f"{root}/_commits/{1:012d}.json", "")
+    assert latest_version(spark, root) == 0 and read_snapshot(spark, root).tasks.count() == ws.tasks.count()
+    assert write_snapshot(ws.replace(tasks=ws.tasks.limit(5)), root, mode_tables=("tasks",)) == 1
+    assert vacuum(spark, root) == []  # nothing is old enough
+    reader = read_snapshot(spark, root, 0)
+    assert vacuum(spark, root, older_than=0.0) == ["data/dead/tasks"]
+    assert reader.tasks.count() == ws.tasks.count() and read_snapshot(spark, root).tasks.count() == 5
+    gone = vacuum(spark, root, keep=1, older_than=0.0)  # version 0 goes; the tables that version 1 carries forward stay
+    assert sorted(g.split("/")[-1] for g in gone) == [f"{0:012d}.json", "tasks"]
+    latest = read_snapshot(spark, root)
+    assert latest.tasks.count() == 5 and latest.users.count() == ws.users.count()
+    assert write_snapshot(ws, root) == 2
+
+
+def test_a_page_index_reads_the_parts_of_a_page(spark, ws01):
+    from workboard.functions.order import newest_first
+    from workboard.operators import paging
+    keys = ws01.tasks.select("id", "created_at")
+    index = paging.PageIndex.build(keys, scratch_path(spark, "page-index"), partitions=7)
+    want = [r.id for r in keys.orderBy(*newest_first()).collect()]
+    pages = -(-len(want) // 8)
+    assert len(index.parts) == 7 and sum(n for _, n in index.parts) == len(want)
+    for page in (-1, 1, 2, pages // 3, pages - 1, pages, pages + 5):
+        at = (min(max(page, 1), pages) - 1) * 8
+        assert [r.id for r in index.page(keys, page).collect()] == want[at:at + 8]
+    files = {f.split("/part=")[1].split("/")[0] for f in index.page(keys, pages // 3).inputFiles() if "/part=" in f}
+    assert 1 <= len(files) <= 2
+    again = paging.PageIndex(spark, index.path, "id", newest_first())
+    assert [r.id for r in again.page(keys, 9, 100).collect()] == want[800:900]
+    empty = paging.PageIndex.build(keys.limit(0), scratch_path(spark, "page-index"))
+    assert empty.page(keys, 3).count() == 0
+
+
+def test_numbering_shuffles_the_rows_once(spark, ws01):
+    from workboard.operators import board
+    plan = board.kanban_board(ws01.tasks)._jdf.queryExecution().executedPlan().toString()
+    # what is read back is joined with one row per piece: no window and no sort over the rows
+    assert plan.count("Window") <= 2 and "row_number" not in plan
+
+
+def test_viewers_see_their_classes(spark):
+    from workboard.operators import listing
+    tasks = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None), (5, 9)], "id long, assigned_to long")
+    viewers = spark.createDataFrame([(7, "member"), (8, "viewer"), (9, None), (1, "admin"), (6, "member")], "viewer_id long, role string")
+    key = (lambda r: (r[0] is not None, *[x or 0 for x in r]))
+    got = sorted(map(tuple, listing.scope_tasks_of_viewers(tasks, viewers).collect()), key=key)
+    assert got == [(None, 3, None, 5), (7, 1, 1, 1), (7, 1, 2, 1)]
+    strict = sorted(map(tuple, listing.scope_tasks_of_viewers(tasks, viewers, "strict").collect()), key=key)
+    assert strict == [(None, 1, None, 5), (7, 1, 1, 1), (7, 1, 2, 1), (8, 1, 3, 1), (9, 1, 5, 1)]

@@ -1,132 +1,132 @@
 """Referential and constraint audits.
 
-The loose DDL the reference runs at start-up declares no foreign keys or
-CHECKs, so any row is legal input; these jobs count what the strict DDL would
-have rejected. Each table is read once: foreign keys are left lookups flagged
-in the same pass, and the row-level rules are counted inside the primary-key
-aggregation that the duplicate check needs anyway (``_keyed_checks``).
+The loose DDL the reference runs at start-up declares no foreign keys or CHECKs, so any
+row is legal input; these jobs count what the strict DDL would have rejected.
+
+A *domain* is a set of keys with all that refers to it: user ids, project ids, task ids,
+member links, email addresses. The rows of all tables become tagged entries of one union,
+(domain, key, how many rows have it as their key, how many refer to it); one aggregation
+by domain and key, combined before its shuffle, then tells duplicate keys (more than one
+row of their own) and dangling references (none). Row rules (NOT NULL, CHECK, lengths)
+ride along with the entries of their table. Every audit is thus one shuffle of narrow
+entries and one of single rows, whatever the number of relations.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from workboard.functions.status import STATUSES
-from workboard.operators.joins import left_lookup
 
+USERS, PROJECTS, TASKS, LINKS, EMAILS = range(5)
+#: References by domain, in the order of the columns ref_0, ref_1, ...
+REFERENCES = {USERS: ("tasks_assigned_to", "links_user", "projects_created_by"), PROJECTS: ("tasks_project", "links_project")}
 
-def _flag(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.select(F.col(key).alias(name)).distinct().withColumn(f"{name}_ok", F.lit(True))
 
+def _too_long(c: str, n: int) -> Column:
+    return F.length(c) > n
 
-def _dangling(col: str, flag: str) -> Column:
-    return F.count_if(F.col(col).isNotNull() & F.col(flag).isNull())
 
+def _row_rules() -> dict[int, dict[str, Column]]:
+    """Rules on single rows, by the domain whose entries have the table's own rows."""
+    return {
+        USERS: {"not_null_name": F.col("name").isNull(), "not_null_email": F.col("email").isNull(),
+                "check_role": ~F.col("role").isin("admin", "member"), "length_name": _too_long("name", 255),
+                "length_email": _too_long("email", 255), "length_role": _too_long("role", 50),
+                "length_job_role": _too_long("job_role", 100)},
+        PROJECTS: {"not_null_name": F.col("name").isNull(), "length_name": _too_long("name", 255)},
+        TASKS: {"not_null_title": F.col("title").isNull(), "check_status": ~F.col("status").isin(*STATUSES),
+                "length_title": _too_long("title", 255), "length_status": _too_long("status", 50)},
+        LINKS: {}, EMAILS: {}}
 
-def _long_form(one_row: DataFrame, table: str | None = None) -> DataFrame:
-    cols = one_row.columns
-    out = one_row.unpivot([], cols, "rule", "violations")
-    out = out.withColumn("violations", F.col("violations").cast("long"))
-    if table is not None:
-        out = out.select(F.lit(table).alias("table_name"), "rule", "violations")
-    return out
 
+def _entries(df: DataFrame, domain: int, key: Column, second: Column | None = None, text: Column | None = None,
+             ref: int | None = None, rules: dict | None = None) -> DataFrame:
+    """One entry per row: as a row of its own (``ref`` None) or as reference number ``ref``."""
+    none = F.lit(None)
+    refs = max(map(len, REFERENCES.values()))
+    marks = [F.lit(int(ref is None)).alias("own"), *[F.lit(int(ref == k)).alias(f"ref_{k}") for k in range(refs)]]
+    width = max(len(r) for r in _row_rules().values())
+    broken = [F.coalesce(c, F.lit(False)).cast("int") for c in (rules or {}).values()]
+    broken += [F.lit(0)] * (width - len(broken))
+    return df.select(F.lit(domain).alias("domain"), key.alias("key"), (none if second is None else second).alias("second"),
+                     (none.cast("string") if text is None else text).alias("text"), *marks,
+                     *[c.alias(f"rule_{k}") for k, c in enumerate(broken)])
 
-def _task_fk_counts(ws) -> DataFrame:
-    t = ws.tasks.select("id", "project_id", "assigned_to", "title", "status")
-    t = left_lookup(t, _flag(ws.projects, "id", "_p"), "project_id", "_p")
-    t = left_lookup(t, _flag(ws.users, "id", "_u"), "assigned_to", "_u")
-    return t
 
+def _by_key(parts: list[DataFrame], kind: T.DataType) -> DataFrame:
+    parts = [p.withColumns({c: F.col(c).cast(kind) for c in ("key", "second")}) for p in parts]
+    union = reduce(DataFrame.unionByName, parts)
+    keys = ["domain", "key", "second", "text"]
+    return union.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in union.columns if c not in keys])
 
-def orphan_audit(ws) -> DataFrame:
-    """Rows whose parent is missing, per relation, plus unassigned tasks."""
-    t = _task_fk_counts(ws).agg(
-        _dangling("project_id", "_p_ok").alias("tasks_missing_project"),
-        _dangling("assigned_to", "_u_ok").alias("tasks_dangling_assignee"),
-        F.count_if(F.col("assigned_to").isNull()).alias("tasks_unassigned"))
-    pm = ws.project_members.select("project_id", "user_id")
-    pm = pm.join(_flag(ws.projects, "id", "_p"), pm.project_id == F.col("_p"), "left")
-    pm = pm.join(_flag(ws.users, "id", "_u"), pm.user_id == F.col("_u"), "left")
-    pm = pm.agg(_dangling("project_id", "_p_ok").alias("links_missing_project"),
-                _dangling("user_id", "_u_ok").alias("links_missing_user"))
-    p = left_lookup(ws.projects.select("id", "created_by"), _flag(ws.users, "id", "_u"), "created_by", "_u")
-    p = p.agg(_dangling("created_by", "_u_ok").alias("projects_missing_creator"))
-    return (_long_form(t).unionByName(_long_form(pm)).unionByName(_long_form(p))
-            .withColumnRenamed("rule", "check_name"))
-
-
-def _keyed_checks(df: DataFrame, keys: list[str], checks: dict) -> DataFrame:
-    """One pass: group by the primary key (the shuffle the duplicate check needs
-    anyway), carry the per-row rule counts along, then fold to one row.
-
-    ``checks`` maps rule name -> boolean Column evaluated per row. Returns one
-    row with ``primary_key`` (keys occurring more than once, NULL parts
-    excluded), ``not_null_key`` (rows with a NULL key part) and every rule."""
-    key_null = F.lit(False)
-    for k in keys:
-        key_null = key_null | F.col(k).isNull()
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in checks.items()])
-    return per_key.agg(
-        F.count_if(~key_null & (F.col("_n") > 1)).alias("primary_key"),
-        F.coalesce(F.sum(F.when(key_null, F.col("_n"))), F.lit(0)).alias("not_null_key"),
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks])
-
-
-def _dup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys (all parts non-NULL) that occur more than once."""
-    nn = F.lit(True)
-    for k in keys:
-        nn = nn & F.col(k).isNotNull()
-    return (df.where(nn).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-              .agg(F.count_if(F.col("n") > 1).alias("v")))
 
+def _references(ws) -> list[DataFrame]:
+    return [_entries(ws.tasks, USERS, F.col("assigned_to"), ref=0), _entries(ws.project_members, USERS, F.col("user_id"), ref=1),
+            _entries(ws.projects, USERS, F.col("created_by"), ref=2),
+            _entries(ws.tasks, PROJECTS, F.col("project_id"), ref=0),
+            _entries(ws.project_members, PROJECTS, F.col("project_id"), ref=1)]
 
-def _too_long(c: str, n: int) -> Column:
-    return F.length(c) > n
+
+def _total(cond: Column, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("long")
+
+
+def _dangling(domain: int, name: str) -> Column:
+    """References of a kind whose key no row has."""
+    return _total((F.col("domain") == domain) & F.col("key").isNotNull() & (F.col("own") == 0),
+                  F.col(f"ref_{REFERENCES[domain].index(name)}"))
+
+
+def orphan_audit(ws) -> DataFrame:
+    """Rows whose parent is missing, per relation, plus unassigned tasks."""
+    own = [_entries(ws.users, USERS, F.col("id")), _entries(ws.projects, PROJECTS, F.col("id"))]
+    unassigned = _total((F.col("domain") == USERS) & F.col("key").isNull(), F.col("ref_0"))
+    one = _by_key(own + _references(ws), ws.users.schema["id"].dataType).agg(
+        _dangling(PROJECTS, "tasks_project").alias("tasks_missing_project"),
+        _dangling(USERS, "tasks_assigned_to").alias("tasks_dangling_assignee"), unassigned.alias("tasks_unassigned"),
+        _dangling(PROJECTS, "links_project").alias("links_missing_project"),
+        _dangling(USERS, "links_user").alias("links_missing_user"),
+        _dangling(USERS, "projects_created_by").alias("projects_missing_creator"))
+    return one.unpivot([], one.columns, "check_name", "violations")
 
 
 def constraint_audit(ws) -> DataFrame:
-    """Violations of the strict DDL, one row per (table, rule).
-
-    Each table is read once for its row rules, key duplicates and foreign keys;
-    the only extra pass is the UNIQUE check on users.email."""
-    u = _keyed_checks(ws.users, ["id"], {
-        "not_null_name": F.col("name").isNull(), "not_null_email": F.col("email").isNull(),
-        "check_role": F.col("role").isNotNull() & ~F.col("role").isin("admin", "member"),
-        "length_name": _too_long("name", 255), "length_email": _too_long("email", 255),
-        "length_role": _too_long("role", 50), "length_job_role": _too_long("job_role", 100),
-    }).withColumnRenamed("not_null_key", "not_null_id")
-    u_email = _dup_keys(ws.users, ["email"]).select(F.col("v").alias("unique_email"))
-
-    p = left_lookup(ws.projects.select("id", "name", "created_by"), _flag(ws.users, "id", "_u"), "created_by", "_u")
-    p = _keyed_checks(p, ["id"], {
-        "not_null_name": F.col("name").isNull(), "length_name": _too_long("name", 255),
-        "fk_created_by": F.col("created_by").isNotNull() & F.col("_u_ok").isNull(),
-    }).withColumnRenamed("not_null_key", "not_null_id")
-
-    pm = ws.project_members.select("project_id", "user_id")
-    pm = pm.join(_flag(ws.projects, "id", "_p"), pm.project_id == F.col("_p"), "left") \
-           .join(_flag(ws.users, "id", "_u"), pm.user_id == F.col("_u"), "left")
-    pm = _keyed_checks(pm, ["project_id", "user_id"], {
-        "fk_project": F.col("project_id").isNotNull() & F.col("_p_ok").isNull(),
-        "fk_user": F.col("user_id").isNotNull() & F.col("_u_ok").isNull(),
-    })
-
-    t = _keyed_checks(_task_fk_counts(ws), ["id"], {
-        "not_null_title": F.col("title").isNull(),
-        "check_status": F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES),
-        "length_title": _too_long("title", 255), "length_status": _too_long("status", 50),
-        "fk_project": F.col("project_id").isNotNull() & F.col("_p_ok").isNull(),
-        "fk_assigned_to": F.col("assigned_to").isNotNull() & F.col("_u_ok").isNull(),
-    }).withColumnRenamed("not_null_key", "not_null_id")
-
-    parts = [(u, "users"), (u_email, "users"), (p, "projects"), (pm, "project_members"), (t, "tasks")]
-    out = None
-    for df, name in parts:
-        lf = _long_form(df, name)
-        out = lf if out is None else out.unionByName(lf)
-    return out
+    """Violations of the strict DDL, one row per (table, rule). A primary key's violations are the
+    keys that more than one row has; rows with a NULL in their key count as not_null only."""
+    rules = _row_rules()
+    parts = [_entries(ws.users, USERS, F.col("id"), rules=rules[USERS]),
+             _entries(ws.projects, PROJECTS, F.col("id"), rules=rules[PROJECTS]),
+             _entries(ws.tasks, TASKS, F.col("id"), rules=rules[TASKS]),
+             _entries(ws.project_members, LINKS, F.col("project_id"), F.col("user_id")),
+             _entries(ws.users, EMAILS, F.lit(None), text=F.col("email")), *_references(ws)]
+    here = {d: F.col("domain") == d for d in rules}
+    whole = {LINKS: F.col("key").isNotNull() & F.col("second").isNotNull(), EMAILS: F.col("text").isNotNull()}
+    whole |= {d: F.col("key").isNotNull() for d in (USERS, PROJECTS, TASKS)}
+
+    def twice(d):
+        return _total(here[d] & whole[d] & (F.col("own") > 1), F.lit(1))
+
+    def no_key(d):
+        return _total(here[d] & ~whole[d], F.col("own"))
+
+    def of(d):
+        return {name: _total(here[d], F.col(f"rule_{k}")) for k, name in enumerate(rules[d])}
+
+    counts = {
+        "users": {"not_null_id": no_key(USERS), "primary_key": twice(USERS), **of(USERS), "unique_email": twice(EMAILS)},
+        "projects": {"not_null_id": no_key(PROJECTS), "primary_key": twice(PROJECTS), **of(PROJECTS),
+                     "fk_created_by": _dangling(USERS, "projects_created_by")},
+        "project_members": {"not_null_key": no_key(LINKS), "primary_key": twice(LINKS),
+                            "fk_project": _dangling(PROJECTS, "links_project"), "fk_user": _dangling(USERS, "links_user")},
+        "tasks": {"not_null_id": no_key(TASKS), "primary_key": twice(TASKS), **of(TASKS),
+                  "fk_project": _dangling(PROJECTS, "tasks_project"), "fk_assigned_to": _dangling(USERS, "tasks_assigned_to")}}
+    flat = [(t, r, c) for t, found in counts.items() for r, c in found.items()]
+    one = _by_key(parts, ws.users.schema["id"].dataType).agg(*[c.alias(f"{t}.{r}") for t, r, c in flat])
+    long = one.unpivot([], [F.col(f"`{c}`") for c in one.columns], "name", "violations")
+    name = F.split("name", "\\.")
+    return long.select(name[0].alias("table_name"), name[1].alias("rule"), "violations")

@@ -50,6 +50,23 @@ def scope_tasks(tasks: DataFrame, viewer_id, viewer_role, rule: str = "reference
     return tasks
 
 
+def scope_tasks_of_viewers(tasks: DataFrame, viewers: DataFrame, rule: str = "reference") -> DataFrame:
+    """B4 for many viewers (viewer_id, role) at once, as classes: a row for each task of a restricted
+    viewer (viewer_id, viewers 1, task_id, tasks 1), and one row for all who see everything (viewer_id
+    and task_id NULL, with the number of such viewers and of tasks), so that viewers times tasks
+    is never built. A third role sees all tasks by the reference's rule, none but its own by ``strict``."""
+    restricted = (F.col("role").eqNullSafe("member") if rule == "reference" else ~F.col("role").eqNullSafe("admin"))
+    own = tasks.select(F.col("assigned_to").alias("viewer_id"), F.col("id").alias("task_id"))
+    one = F.lit(1).cast("long")
+    pairs = viewers.where(restricted).select("viewer_id").join(own, "viewer_id").select(
+        "viewer_id", one.alias("viewers"), "task_id", one.alias("tasks"))
+    everyone = tasks.agg(F.count(F.lit(1)).alias("tasks")).select(
+        F.lit(None).cast(viewers.schema["viewer_id"].dataType).alias("viewer_id"),
+        viewers.where(~restricted).select(F.count(F.lit(1))).scalar().alias("viewers"),
+        F.lit(None).cast(tasks.schema["id"].dataType).alias("task_id"), "tasks")
+    return pairs.unionByName(everyone)
+
+
 def visible_project_ids(projects: DataFrame, pm: DataFrame, viewer_id) -> DataFrame:
     """Ids of projects the viewer belongs to or created (C5 existence test)."""
     linked = pm.where(F.col("user_id") == F.lit(viewer_id)).select(F.col("project_id").alias("id"))

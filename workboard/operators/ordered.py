@@ -3,10 +3,14 @@
 ``Window.partitionBy(g)`` sends every row of a group to one task: a project holding a
 third of all tasks would be sorted by a single core, and a numbering without groups by
 one task altogether. Here the rows are range-partitioned on (group, order), so a hot
-group is cut into many partitions, and written to the shared checkpoint folder with the
-number of their partition. A *piece* is a group's part of one partition. Windows run
-within pieces; what earlier pieces of the group add (rows, sums, the last row's values)
-comes from one row per piece, joined back. It is one plan at every size.
+group is cut into many partitions, and written to the shared checkpoint folder. A *piece*
+is a group's part of one partition; what earlier pieces of the group add (rows, sums, the
+last row's values) comes from one row per piece, joined back. It is one plan at every size.
+
+For row numbers and sizes the partitions are sorted when they are written, and each row's
+place in its partition is written with it: its number follows from the first place of its
+piece, so the rows go through one shuffle. ``lag`` and running sums need windows within
+the pieces, hence a second one.
 """
 
 from __future__ import annotations
@@ -65,6 +69,8 @@ def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Co
     so the numbering is deterministic. NULL group values form groups of their own.
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not lag_cols and not sum_cols:
+        return _numbered(df, group_cols, order_by, pos_col, size_col, n)
     keyed = df.withColumn("_group", F.struct(*group_cols)) if group_cols else df
     piece = ["_group", "_part"] if group_cols else ["_part"]
     sort = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_by)
@@ -87,3 +93,26 @@ def number_within_groups(df: DataFrame, group_cols: list[str], order_by: list[Co
     out += [F.when(F.col("_at") == 1, F.col(f"_prev_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}") for c in lag_cols]
     out += [(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in sum_cols]
     return placed.join(before, piece).select(*df.columns, *out)
+
+
+def placed_in_order(df: DataFrame, sort: list[Column], n: int) -> DataFrame:
+    """``df``, range-partitioned and sorted, with each row's partition (``_part``) and its place there (``_at``, from 0)."""
+    ids = df.repartitionByRange(n, *sort).sortWithinPartitions(*sort).withColumn("_id", F.monotonically_increasing_id())
+    return ids.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+
+
+def _numbered(df: DataFrame, group_cols: list[str], order_by: list[Column], pos_col: str, size_col: str | None, n: int) -> DataFrame:
+    sort = [F.col(g).asc_nulls_first() for g in group_cols] + list(order_by)
+    rows = _written(placed_in_order(df.withColumn("_group", F.struct(*group_cols)) if group_cols else df, sort, n))
+    piece = ["_group", "_part"] if group_cols else ["_part"]
+    pieces = rows.groupBy(*piece).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_rows"))
+    before = _before_pieces(pieces.select(*piece, "_rows"), bool(group_cols), (), ())
+    if group_cols:
+        before = before.join(pieces.select(*piece, "_from"), piece)
+        start = F.col("_before") - F.col("_from")
+    else:
+        start = F.col("_before")
+    out = [(F.col("_at") + start + 1).alias(pos_col)]
+    if size_col:
+        out.append(F.col("_size").alias(size_col))
+    return rows.join(before, piece).select(*df.columns, *out)

@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from workboard.functions.status import clamp, decrement_floor0
 from workboard.functions.text import is_blank, looks_like_email, normalize_email, normalize_job_role, role_key
 from workboard.operators import audit, board, cards, listing, mutations, paging, rollups
 from workboard.plans import params as P
 from workboard.plans.overview import overview
 from workboard.session import scratch_path
 from workboard.sources import requests as R
-from workboard.sources.snapshot import read_snapshot, write_snapshot
+from workboard.sources.snapshot import read_snapshot, to_json_docs, write_snapshot
 from workboard.sources.workspace import cast_keys, derive_workspace
 from workboard.streaming import live
 
@@ -229,18 +230,72 @@ def q_kanban_newest50(spark, d):
 
 @query("offset_page")
 def q_offset_page(spark, d):
-    return _offset_page(ws_of(spark, d), P.OFFSET_PAGE)
+    ws = ws_of(spark, d)
+    return paging.offset_page(listing.overview_tasks(ws, sort=False), P.OFFSET_PAGE, P.PAGE_SIZE, keys=_listed_keys(ws))
 
 
-def _offset_page(ws, page):
+def _listed_keys(ws):
+    """Keys of the overview listing in F4's order."""
     known = ws.projects.select(F.col("id").alias("project_id"))
-    keys = ws.tasks.join(known, "project_id", "left_semi").select("id", "created_at")
-    return paging.offset_page(listing.overview_tasks(ws, sort=False), page, P.PAGE_SIZE, keys=keys)
+    return ws.tasks.join(known, "project_id", "left_semi").select("id", "created_at")
+
+
+@query("offset_page_deep")
+def q_offset_page_deep(spark, d):
+    ws = ws_of(spark, d)
+    return paging.offset_page(listing.overview_tasks(ws, sort=False), P.OFFSET_PAGE, P.PAGE_SIZE, keys=_listed_keys(ws), top_rows=0)
 
 
 @query("offset_page_last")
 def q_offset_page_last(spark, d):
-    return _offset_page(ws_of(spark, d), 10 ** 9)
+    ws = ws_of(spark, d)
+    index = paging.PageIndex.build(_listed_keys(ws), scratch_path(spark, "page-index"))
+    return index.page(listing.overview_tasks(ws, sort=False), 10 ** 9, P.PAGE_SIZE)
+
+
+@query("tasks_of_viewers")
+def q_tasks_of_viewers(spark, d):
+    ws = ws_of(spark, d)
+    return listing.scope_tasks_of_viewers(ws.tasks, ws.users.select(F.col("id").alias("viewer_id"), "role"))
+
+
+@query("overview_counters")
+def q_overview_counters(spark, d):
+    return overview(_snapshot(spark, d), P.AS_OF)["counters"]
+
+
+@query("overview_members")
+def q_overview_members(spark, d):
+    return overview(_snapshot(spark, d), P.AS_OF)["members"]
+
+
+@query("member_docs")
+def q_member_docs(spark, d):
+    members = listing.member_directory(ws_of(spark, d).users, sort=False)
+    return to_json_docs(members.select("id", "name", "email", "job_role"))
+
+
+@query("roster_member_docs")
+def q_roster_member_docs(spark, d):
+    ws = ws_of(spark, d)
+    rows = ws.project_members.join(ws.users.where(F.col("role") == "member"), F.col("user_id") == F.col("id"))
+    return rows.select("project_id", F.to_json(listing.member_struct()).alias("member"))
+
+
+@query("counter_clamps")
+def q_counter_clamps(spark, d):
+    ws = ws_of(spark, d)
+    counts = rollups.board_counts(ws.tasks, ws.projects)
+    return counts.select("project_id", decrement_floor0("in_progress_count").alias("less_one"),
+                         clamp("completed_count", 1, P.PAGE_SIZE).alias("in_page"))
+
+
+@query("clean_member_lists")
+def q_clean_member_lists(spark, d):
+    lists = R.project_req_members(spark, d).groupBy("seq").agg(F.collect_list(F.coalesce("user_id", F.lit(-1))).alias("ids"))
+    ids = mutations.clean_id_list(F.transform("ids", lambda x: F.when(x >= 0, x)))  # with the NULLs that a list may have
+    return lists.select("seq", F.size(ids).cast("long").alias("n_ids"),
+                        F.concat_ws(",", F.array_sort(F.transform(ids, lambda x: x.cast("string")))).alias("ids"))
 
 
 @query("assign_pages")
@@ -452,7 +507,7 @@ def _snapshot(spark, d, keys: str = "bigint"):
 
 @query("overview_counts")
 def q_overview_counts(spark, d):
-    return _row_counts(list(overview(_snapshot(spark, d), P.AS_OF).items())).withColumnRenamed("table_name", "part")
+    return _row_counts([(k, v) for k, v in overview(_snapshot(spark, d), P.AS_OF).items() if k != "counters"]).withColumnRenamed("table_name", "part")
 
 
 @query("task_page_snapshot")
