@@ -129,7 +129,7 @@ def test_pages_without_the_end_of_the_head(field):
         assert want == ["T", "One two three four five six.", "Seven x eight nine ten."]
         for head in ("", "<link rel=x>", "<title>No", "<p></p></head>"):
             assert [b.text for b in html_text.blocks_of(page.format(head))] == want
-            assert html_text.main_text(page.format(head), field, {}) == "\n".join(want)
+            assert html_text.main_text(page.format(head), field) == "\n".join(want)
     assert [b.text for b in html_text.blocks_of("<head><title>no</title>Bare <a>text</a><p>x")] == ["Bare text", "x"]
 
 
@@ -137,9 +137,9 @@ def test_words_late_in_long_class_lists(field):
     utilities = " ".join(f"px-{i} md:mt-{i}" for i in range(60))
     for word in ("sidebar", "advertisement", "comments"):
         block, = html_text.blocks_of(f'<div class="{utilities} {word}">One two three.</div>')
-        assert {f"word={word}", f"stem={word[:5]}"} <= html_text.path_features(block.path)
+        assert {f"word={word}", f"stem={word[:5]}"} <= html_text.path_features(block)
     page = '<article><h1>Title</h1><p>One two three four.</p><div class="{}advertisement"><p>Buy now.</p></div></article>'
-    assert html_text.main_text(page.format(utilities + " "), field, {}) == html_text.main_text(page.format(""), field, {})
+    assert html_text.main_text(page.format(utilities + " "), field) == html_text.main_text(page.format(""), field)
 
 
 @pytest.mark.parametrize("tag", "svg object noscript template select iframe textarea".split())
@@ -154,18 +154,49 @@ def test_hidden_elements_without_an_end(tag):
 
 @pytest.mark.parametrize("html", ["", " ", "<", "<p", "<p>", "</p></div>", "<!--", "<script>x", "&#0;&#x110000;", "<a" + " b" * 5000])
 def test_broken_pages(field, html):
-    html_text.main_text(html, field, {})
+    html_text.main_text(html, field)
 
 
 def test_held_out_pages(field):
     right = wrong = 0
-    for page in labelled_pages(150, seed=5):
+    for page in labelled_pages(150, seed=5, unnamed=0):
         blocks = html_text.blocks_of(page)
-        for b, label in zip(blocks, field.decode(field.scores(blocks, {}))):
+        for b, label in zip(blocks, field.decode(field.scores(blocks))):
             right, wrong = right + ((b.mark == "1") == label), wrong + ((b.mark == "1") != label)
     assert wrong < 0.03 * right
 
 
+def test_layouts_that_were_not_trained_on():
+    """A field that has not seen a fifth of the ways of marking each part, on pages of those ways only."""
+    other = html_text.train(labelled_pages(500, held_out=False))
+    seen = {(main, label): 0 for main in (0, 1) for label in (0, 1)}
+    for page in labelled_pages(200, seed=6, held_out=True, unnamed=0):
+        blocks = html_text.blocks_of(page)
+        for b, label in zip(blocks, other.decode(other.scores(blocks))):
+            seen[int(b.mark == "1"), int(label)] += 1
+    print("held-out layouts, (main, label): blocks", seen)
+    assert seen[1, 0] < 0.03 * (seen[1, 0] + seen[1, 1])  # main text is kept
+    assert seen[0, 1] < 0.4 * (seen[0, 0] + seen[0, 1])   # prose of a part whose names are unknown often passes for it
+
+
+def test_bare_pages(field):
+    prose = "This is a paragraph of plain prose, as one would write it by hand. " * 6
+    more = "Another one follows it, with fewer words in it."
+    for page, want in ((f"<body><div><p>{prose}</p><p>{more}</p></div></body>", [prose.strip(), more]),
+                       (f"<p>{prose}</p>", [prose.strip()]), (f"<html><body><p>{more}</p></body></html>", [more]),
+                       (f"<div>{prose}</div>", [prose.strip()]), (f"<body><p>{prose}<p>{prose}", [prose.strip()] * 2)):
+        assert html_text.main_text(page, field) == "\n".join(want), page[:40]
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<span class='a{k}'>", "<b>x", "<i><td>y</td>", "<p><div>", "</i><b>", "<table><i>", "<li><b></li>"])
+def test_deep_pages_take_linear_time(field, piece):
+    import time
+    began = time.time()
+    page = "<article><h1>Title</h1><i>" + "".join(piece.replace("{k}", str(k)) for k in range(100_000)) + "<p>One two three four.</p>"
+    html_text.main_text(page, field)
+    assert time.time() - began < 30
+
+
 def test_viterbi_is_the_best_path(field):
     rng = np.random.default_rng(3)
     for n in range(1, 8):

@@ -49,29 +49,56 @@ def value_features(value: str) -> frozenset:
     return frozenset(f"word={x}" for x in words) | {f"stem={x[:5]}" for x in words if len(x) > 5}
 
 
+class Element:
+    """An open element: its features, those that no ancestor has (``new``), and what it inherits.
+    A path is the chain of parents; its features are the ``new`` ones along it."""
+    __slots__ = ("tag", "parent", "found", "new", "mark", "in_article", "hidden", "score")
+
+    def __init__(self, tag: str, parent: "Element | None", found: frozenset, new: tuple, mark: str | None, hidden: tuple | None):
+        self.tag, self.parent, self.found, self.new, self.hidden = tag, parent, found, new, hidden
+        self.mark = mark if mark is not None or parent is None else parent.mark
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        self.score = None  # the weights of the path's features, once they are summed
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple          # features of the open elements, outermost first
+    at: Element | None   # the innermost open element
     linked: int          # characters within links
-    mark: str | None     # data-main of the nearest element that has it
+
+    @property
+    def mark(self) -> str | None:
+        """data-main of the nearest element that has it."""
+        return self.at.mark if self.at else None
 
 
 class _Blocks(HTMLParser):
+    """Every step costs no more than what it opens or closes: each tag's open places are kept, so that
+    nothing searches the open elements, and an element knows its parent and its own features only."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, tuple, str | None, tuple | None]] = []  # the last: what to go back to if it is hidden
-        self.path: tuple = ()
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}   # by tag, and "heading" and "block" (other than p)
+        self.seen: dict[str, int] = {}           # by feature, how many open elements have it
         self.parts: list[str] = []
-        self.linked = self.links = 0
+        self.linked = 0
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    @staticmethod
+    def kinds(tag: str) -> list[str]:
+        return [tag] + ["heading"] * (tag in _HEADINGS) + ["block"] * (tag in _BLOCK and tag != "p")
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                mark = next((m for _, _, m, _ in reversed(self.open) if m is not None), None)
-                self.blocks.append(Block(text, self.path, self.linked, mark))
+                self.blocks.append(Block(text, self.open[-1] if self.open else None, self.linked))
             self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -82,7 +109,7 @@ class _Blocks(HTMLParser):
             if tag in _CLOSES:
                 self.close_until(*_CLOSES[tag])
             elif tag in _ENDS_P:
-                self.close_until({"p"}, _P_LIMITS)
+                self.close_until({"p"}, _P_LIMITS | {"block"})
         elif tag == "br":
             self.parts.append(" ")
         if tag in _VOID:
@@ -94,57 +121,59 @@ class _Blocks(HTMLParser):
             elif name == "data-main":
                 mark = value
         hidden = (len(self.blocks), self.parts, len(self.parts), self.linked) if tag in _HIDDEN else None
-        self.open.append((tag, self.path, mark, hidden))
-        self.path = self.path + (tuple(sorted(found)),)
-        self.links += tag == "a"
+        seen = self.seen
+        new = tuple(sorted(f for f in found if not seen.get(f)))
+        for f in found:
+            seen[f] = seen.get(f, 0) + 1
+        for kind in self.kinds(tag):
+            self.places.setdefault(kind, []).append(len(self.open))
+        self.open.append(Element(tag, self.open[-1] if self.open else None, frozenset(found), new, mark, hidden))
 
     def leave_head(self, tag):
         """``</head>`` may be left out: the body, or what can't stand in a head, ends it; so does
         a block element with an unclosed title."""
         if tag == "body":
             self.close_until({"head"}, {"template"})
-        if self.open and self.open[-1][0] == "title" and tag in _BLOCK:
+        if self.open and self.open[-1].tag == "title" and tag in _BLOCK:
             self.close_at(len(self.open) - 1)
-        if self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
+        if self.open and self.open[-1].tag == "head" and tag not in _IN_HEAD:
             self.flush()
             self.close_at(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag in _BLOCK:
             self.flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag or tag in _HEADINGS and self.open[at][0] in _HEADINGS:
-                self.close_at(at, True)
-                return
-            if self.open[at][0] in ("table", "body") and tag not in ("table", "body", "html"):
-                return
+        at = self.last("heading" if tag in _HEADINGS else tag)
+        wall = -1 if tag in ("table", "body", "html") else max(self.last("table"), self.last("body"))
+        if at >= 0 and at >= wall:
+            self.close_at(at, True)
 
     def close_until(self, tags, limits):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                self.close_at(at)
-                return
-            if self.open[at][0] in limits or self.open[at][0] in _BLOCK and "p" in tags:
-                return
+        at = max(map(self.last, tags))
+        if at >= 0 and at > max(self.last(x) for x in limits - tags):
+            self.close_at(at)
 
     def close_at(self, at, ended=False):
         """``ended``: by the end tag of the element there, not by that of another one."""
-        self.links -= sum(tag == "a" for tag, _, _, _ in self.open[at:])
-        for tag, _, _, hidden in self.open[at:]:
-            if hidden and (ended or tag in _NO_TEXT):
-                blocks, self.parts, size, self.linked = hidden
+        for element in self.open[at:]:
+            if element.hidden and (ended or element.tag in _NO_TEXT):
+                blocks, self.parts, size, self.linked = element.hidden
                 del self.blocks[blocks:], self.parts[size:]
                 break
             ended = False
-        self.path = self.open[at][1]
+        for element in self.open[at:]:
+            for kind in self.kinds(element.tag):
+                self.places[kind].pop()
+            for f in element.found:
+                self.seen[f] -= 1
         del self.open[at:]
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] == "head" and data.strip():
+        if self.open and self.open[-1].tag == "head" and data.strip():
             self.flush()
             self.close_at(len(self.open) - 1)
         self.parts.append(data)
-        if self.links:
+        if self.places.get("a"):
             self.linked += len(data)
 
 
@@ -159,11 +188,14 @@ def blocks_of(html: str) -> list[Block]:
     return parser.blocks
 
 
-def path_features(path: tuple) -> set[str]:
+def path_features(block: Block) -> set[str]:
     """Every open element's tag and words, and the innermost element once more."""
-    out = {x for element in path for x in element}
-    if path:
-        out |= {"in:" + x for x in path[-1]}
+    out, element = set(), block.at
+    if element is not None:
+        out |= {"in:" + x for x in element.found}
+    while element is not None:
+        out.update(element.new)
+        element = element.parent
     return out
 
 
@@ -179,7 +211,7 @@ def text_features(block: Block) -> set[str]:
         out.add("copyright")
     if n < 60 and " " not in text:
         out.add("one word")
-    if any("tag=article" in x or "tag=main" in x for x in block.path):
+    if block.at is not None and block.at.in_article:
         out = {"article:" + x for x in out}
     return out
 
@@ -193,15 +225,25 @@ class Field:
     step: np.ndarray      # [before, after]
     start: np.ndarray
 
-    def scores(self, blocks: list[Block], memo: dict) -> list[float]:
-        out, get = [], self.weights.get
+    def path_score(self, element: Element | None) -> float:
+        """The weights of the features along a path, summed from the nearest element whose sum is known."""
+        chain, get = [], self.weights.get
+        while element is not None and element.score is None:
+            chain.append(element)
+            element = element.parent
+        total = element.score if element is not None else 0.0
+        for e in reversed(chain):
+            total += sum(get(x, 0.0) for x in e.new)
+            e.score = total
+        return total
+
+    def scores(self, blocks: list[Block]) -> list[float]:
+        out, get, inner = [], self.weights.get, {}
         for b in blocks:
-            base = memo.get(b.path)
-            if base is None:
-                if len(memo) > 100_000:
-                    memo.clear()
-                base = memo[b.path] = sum(get(x, 0.0) for x in path_features(b.path))
-            out.append(base + sum(get(x, 0.0) for x in text_features(b)))
+            found = b.at.found if b.at else frozenset()
+            if found not in inner:
+                inner[found] = sum(get("in:" + x, 0.0) for x in sorted(found))
+            out.append(self.path_score(b.at) + inner[found] + sum(get(x, 0.0) for x in sorted(text_features(b))))
         return out
 
     def decode(self, scores: list[float]) -> list[int]:
@@ -254,7 +296,7 @@ def train(pages: Iterable[str], rounds: int = 120, rate: float = 0.2, decay: flo
     sizes = np.array([len(x) for x in parsed])
     most = sizes.max()
     flat = [(p, t, b) for p, page in enumerate(parsed) for t, b in enumerate(page)]
-    found = [sorted(path_features(b.path) | text_features(b)) for _, _, b in flat]
+    found = [sorted(path_features(b) | text_features(b)) for _, _, b in flat]
     table = np.zeros((len(flat), len({x for fs in found for x in fs})))
     for i, fs in enumerate(found):
         table[i, [names.setdefault(x, len(names)) for x in fs]] = 1
@@ -281,15 +323,16 @@ def train(pages: Iterable[str], rounds: int = 120, rate: float = 0.2, decay: flo
     return Field({x: float(params[0][i]) for x, i in names.items()}, params[1], params[2])
 
 
-def main_text(html: str, field: Field, memo: dict) -> str:
+def main_text(html: str, field: Field) -> str:
     blocks = blocks_of(html)
-    return "\n".join(b.text for b, main in zip(blocks, field.decode(field.scores(blocks, memo))) if main)
+    return "\n".join(b.text for b, main in zip(blocks, field.decode(field.scores(blocks))) if main)
 
 
 def extract_text(pages: DataFrame, field: Field | None = None, html_col: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with a string column ``into``: the main text of each page's whole html.
 
-    Null, empty and block-free pages have the empty text. Rows are read one by one, so
+    Null, empty and block-free pages have the empty text. Elements may nest to any depth: time and
+    memory go with the size of the page. Rows are read one by one, so
     repeated rows get equal texts and an empty table stays empty. Other columns pass
     through (one named ``into`` is replaced). Without ``field`` one is trained on the
     generated pages of this package.
@@ -299,9 +342,8 @@ def extract_text(pages: DataFrame, field: Field | None = None, html_col: str = "
     model = spark.sparkContext.broadcast(field or train(labelled_pages()))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict = {}
         for pages_ in batches:
-            yield pd.Series([main_text(x, model.value, memo) for x in pages_], dtype="object")
+            yield pd.Series([main_text(x, model.value) for x in pages_], dtype="object")
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     extract = F.pandas_udf(run, "string").asNondeterministic()

@@ -50,13 +50,21 @@ _WRAPPERS = {
                  ('<section class="reader-comments"><article class="comment">', "</article></section>"),
                  ('<div class="discussion responses">', "</div>"), ('<ul class="user-comments">', "</ul>")),
 }
+#: In the training pages so many parts have a name that tells nothing: the text itself is learned from as well.
+UNNAMED = 0.1
 _SYLLABLES = "an ba ce do en fi go ha in jo ka le mi no or pu qua re sta ti un ve wo xi you zu ción ung eau ment".split()
 _SHORT = "Home,About,Contact,News,Products,Login,Search,Archive,More,Next,Privacy,Terms,Help,Share,Reply,Sitemap".split(",")
 
 
 class _Writer:
-    def __init__(self, rng: random.Random):
-        self.rng = rng
+    def __init__(self, rng: random.Random, held_out: bool | None, unnamed: float):
+        self.rng, self.unnamed = rng, unnamed
+
+        def some(ways):
+            """Every fifth way of marking a part is held out (None: all are used)."""
+            kept = [w for k, w in enumerate(ways) if held_out is None or (k % 5 == 4) == held_out]
+            return kept or list(ways)
+        self.mains, self.wrappers = some(_MAIN), {k: some(v) for k, v in _WRAPPERS.items()}
 
     def word(self):
         return "".join(self.rng.choice(_SYLLABLES) for _ in range(self.rng.choice((1, 1, 2, 2, 3, 4))))
@@ -68,18 +76,20 @@ class _Writer:
         return self.words(2, 25).capitalize() + self.rng.choice(".....!?")
 
     def prose(self):
-        style = self.rng.random()
+        r, style = self.rng, self.rng.random()
         if style < 0.05:
             return self.word().capitalize() + "."
-        if style < 0.15:
-            return self.words(1, 12).capitalize() + self.rng.choice((".", "", ","))
-        if style < 0.25:
-            return " | ".join(self.words(1, 1) for _ in range(self.rng.randint(4, 40)))
+        if style < 0.13:
+            return self.words(1, 12).capitalize() + r.choice((".", "", ",", ":"))
+        if style < 0.18:
+            return "; ".join(f"{self.word().capitalize()}: {r.randint(1, 9999)}" for _ in range(r.randint(2, 12)))
+        if style < 0.22:
+            return f"{r.randint(1, 28)} {self.word().capitalize()} {r.randint(1900, 2030)}, {self.words(1, 5)} ({self.words(1, 3)})"
+        if style < 0.27:
+            return f"&ldquo;{self.sentence()}&rdquo; &mdash; {self.words(2, 3).title()}"
         if style < 0.32:
-            return " ".join(w.upper() + "!!" for w in self.words(5, 60).split())
-        if style < 0.4:
-            return " ".join(w + self.rng.choice(("###", "***", "$$$", "&amp;&amp;")) for w in self.words(5, 60).split())
-        return " ".join(self.sentence() for _ in range(self.rng.randint(1, 8)))
+            return self.words(5, 60).replace(" ", f" {r.choice(('&amp;', '+', '/', '-'))} ")
+        return " ".join(self.sentence() for _ in range(r.randint(1, 8)))
 
     def links(self):
         items = [f'<a href="/{self.word()}">{self.rng.choice(_SHORT) if self.rng.random() < .5 else self.words(1, 4)}</a>'
@@ -105,18 +115,33 @@ class _Writer:
         return r.choice((self.prose(), "".join(text)))
 
     def part(self, part):
-        low, high = self.rng.choice(_WRAPPERS[part])
+        low, high = self.rng.choice(self.wrappers[part])
+        if self.rng.random() < self.unnamed:
+            low, high = f'<div class="{self.word()}-{self.word()}">', "</div>"
         return f'<div data-main="0">{low}{self.filling(part)}{high}</div>'
 
+    def bare(self):
+        """A page that is all main text, as a file saved by hand: no heading, no telling class, nothing beside it."""
+        r = self.rng
+        text = r.choice(('<p data-main="1">{}</p>', '<p data-main="1">{}', '<div data-main="1">{}</div>'))
+        low, high = r.choice((("", ""), ("<div>", "</div>"), ("<html><body>", "</body></html>"), ("<body><div>", "</div></body>")))
+        return low + "".join(text.format(" ".join(self.sentence() for _ in range(r.randint(1, 9))))
+                             for _ in range(r.choice((1, 1, 2, 2, 3, 5)))) + high
+
     def page(self):
         r = self.rng
-        low, high = r.choice(_MAIN)
+        if r.random() < 0.06:
+            return self.bare()
+        low, high = r.choice(self.mains)
+        if r.random() < self.unnamed:
+            low, high = f'<div class="{self.word()}">', "</div>"
         title = self.words(2, 9).capitalize()
         body = [f"<{r.choice(('h1', 'h1', 'h2'))}>{title}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 1, 2, 3, 4, 5, 6, 8, 10))):
             kind = r.random()
             if kind < 0.64:
-                body.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<p>{}", "<div>{}</div>")).format(self.prose()))
+                body.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><strong>{}</strong>", "<p>{}",
+                                      "<div>{}</div>", "<p><em>{}<br>", "<p><span>{}</span></p>")).format(self.prose()))
             elif kind < 0.7:
                 body.append(f"<h{r.randint(2, 4)}>{self.words(1, 6)}</h{r.randint(2, 4)}>")
             elif kind < 0.76:
@@ -140,6 +165,8 @@ class _Writer:
         return (f"<html><head><title>{title}</title></head><body>{body}" + r.choice(("</body></html>", "</body></html>", "")))
 
 
-def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:
-    writer = _Writer(random.Random(seed))
+def labelled_pages(count: int = 500, seed: int = 11, held_out: bool | None = None, unnamed: float = UNNAMED) -> list[str]:
+    """``held_out``: only the ways of marking parts that are held out (True) or all others (False);
+    ``unnamed``: the share of parts whose names tell nothing."""
+    writer = _Writer(random.Random(seed), held_out, unnamed)
     return [writer.page() for _ in range(count)]
