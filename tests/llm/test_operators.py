@@ -221,6 +221,38 @@ def test_fingerprint_components_of_a_dense_group(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_mixed_buckets_are_cut_further(spark, monkeypatch):
+    """Thousands of fingerprints that share a table's bits, hardly any of them linked: the same components
+    whether buckets are joined or cut, and few pairs where they are cut."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    mask = simhash.covering_masks(3)[4] & (1 << 64) - 1
+    prints = {int(x) & ~mask & (1 << 64) - 1 for x in rng.integers(0, 1 << 63, 1500, dtype=np.uint64)}
+    prints = sorted(prints)
+    prints += [p ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for p in prints[:40]]
+    prints += [prints[0] ^ (7 << k) for k in range(0, 60, 3)]
+    prints = [p - (1 << 64) if p >> 63 else p for p in dict.fromkeys(prints)]
+    nodes = spark.createDataFrame([(p, 1) for p in prints], "fp long, n long").cache()
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for k, x in enumerate(prints):
+        for y in prints[:k]:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 3:
+                root[find(x)] = find(y)
+    want = {}
+    for p in prints:
+        want.setdefault(find(p), set()).add(p)
+    for most in (100_000_000, 100, 0):
+        got = {}
+        for r in simhash.fingerprint_components(nodes, 3, most).collect():
+            got.setdefault(r["label"], set()).add(r["fp"])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1), most
+
+
 def test_random_personal_data(spark):
     rng = random.Random(8)
     pieces = ["a", "me", "@", "@", ".", ".", "-", "_", "%", "+", "+", " ", "1", "12", "255", "256", "4111 1111 1111 1111", "(", ")",

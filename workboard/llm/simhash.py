@@ -16,7 +16,10 @@ bucket, first every member is compared with the bucket's most frequent fingerpri
 only; what that links is contracted. Then the members outside of a bucket's largest
 component are joined with the bucket, for pairs between different components only.
 That loses no link between components, and a bucket that is one component already
-costs nothing more.
+costs nothing more. A bucket in which that join would have over ``MOST_PAIRS`` pairs is
+first cut by a covering family over the bits that its mask hides, and so on: pairs within
+the radius still meet, other members part. Where a mask hides ``max_bits`` bits or fewer,
+all members are links.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from workboard.llm.common import free_name, materialize, text_bytes, with_packag
 from workboard.llm.components import connected_components
 
 SEED = 42
+#: A bucket is cut further rather than joined if that takes more pairs. No result depends on it.
+MOST_PAIRS = 100_000
 
 
 def fingerprint_of(text: bytes, shingle: int = 3) -> int:
@@ -64,11 +69,14 @@ def fingerprint(text, shingle: int = 3):
     return F.pandas_udf(run, T.LongType()).asNondeterministic()(text)
 
 
-def covering_masks(max_bits: int) -> list[int]:
-    """Signed 64-bit masks, one for each table."""
-    size = max_bits + 1
-    vectors = [1 + i % (2 ** size - 1) for i in range(64)]
-    masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** size)]
+def covering_masks(max_bits: int, kept: int = 0) -> list[int]:
+    """Signed 64-bit masks, one for each table: they keep the bits of ``kept`` and cover all others.
+    The first vectors are a basis, so that each mask keeps more than ``kept`` if over ``max_bits`` are left."""
+    size, kept = max_bits + 1, kept & (1 << 64) - 1
+    hidden = [i for i in range(64) if not kept >> i & 1]
+    order = sorted(range(1, 2 ** size), key=lambda v: (v.bit_count() > 1, v))
+    vectors = {i: order[j % len(order)] for j, i in enumerate(hidden)}
+    masks = {kept | sum(1 << i for i, m in vectors.items() if (m & v).bit_count() % 2): None for v in range(1, 2 ** size)}
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
@@ -76,7 +84,36 @@ def _close(a, b, max_bits):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
 
-def fingerprint_components(nodes: DataFrame, max_bits: int) -> DataFrame:
+def _links_between(members: DataFrame, max_bits: int, most_pairs: int) -> DataFrame:
+    """``members`` (mask, key: the bits that the mask keeps, fp, label) to pairs (a, b) of different labels
+    that have a link in some bucket, enough to connect all labels that have one."""
+    spark, found = members.sparkSession, None
+    while True:
+        sizes = members.groupBy("mask", "key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("mask", "key").agg(
+            F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+        mixed = sizes.where("labels > 1").select(
+            "mask", "key", F.col("top.label").alias("main"), ((F.col("all") - F.col("top.n")) * F.col("all")).alias("work"))
+        open_ = materialize(members.join(mixed, ["mask", "key"]), "open")
+        same = 64 - F.bit_count("mask") <= max_bits  # whatever differs is within the radius
+        small = open_.where(~same & (F.col("work") <= most_pairs))
+        outside = small.where("label != main").select("mask", "key", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
+        inside = small.select("mask", "key", F.col("fp").alias("fp_b"), F.col("label").alias("b"))
+        pairs = (outside.join(inside, ["mask", "key"]).where((F.col("a") != F.col("b")) & _close("fp_a", "fp_b", max_bits))
+                 .select("a", "b"))
+        pairs = pairs.unionByName(open_.where(same & (F.col("label") != F.col("main")))
+                                  .select(F.col("label").alias("a"), F.col("main").alias("b")))
+        found = pairs if found is None else found.unionByName(pairs)
+        big = open_.where(~same & (F.col("work") > most_pairs))
+        # masks there are few of: a power of the tables' number by the depth, which halves the hidden bits
+        masks = [r[0] for r in big.select("mask").distinct().collect()]
+        if not masks:
+            return found
+        finer = spark.createDataFrame([(m, x) for m in masks for x in covering_masks(max_bits, m)], "mask long, finer long")
+        members = (big.select("mask", "fp", "label").join(F.broadcast(finer), "mask")
+                   .select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "fp", "label"))
+
+
+def fingerprint_components(nodes: DataFrame, max_bits: int, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """``nodes`` (fp: distinct, n: copies) to (fp, label) for the fingerprints with links."""
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(x).cast("long")) for x in covering_masks(max_bits)])
     tables = nodes.select("fp", "n", F.posexplode(keys).alias("t", "key"))
@@ -87,17 +124,10 @@ def fingerprint_components(nodes: DataFrame, max_bits: int) -> DataFrame:
     first = connected_components(members.where((F.col("fp") != F.col("pivot")) & _close("fp", "pivot", max_bits))
                                  .select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     first = materialize(first, "labels")
+    masks = F.array(*[F.lit(x).cast("long") for x in covering_masks(max_bits)])
     labelled = (members.join(first, members.fp == first.node, "left")
-                .select("t", "key", "fp", F.coalesce("label", "fp").alias("label")))
-    mixed = (labelled.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("t", "key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top"))
-             .where("labels > 1").select("t", "key", F.col("top.label").alias("main")))
-    open_ = materialize(labelled.join(mixed, ["t", "key"]), "open")
-    outside = (open_.where("label != main")
-               .select("t", "key", F.col("fp").alias("fp_a"), F.col("label").alias("a")))
-    inside = open_.select("t", "key", F.col("fp").alias("fp_b"), F.col("label").alias("b"))
-    pairs = (outside.join(inside, ["t", "key"]).where((F.col("a") != F.col("b")) & _close("fp_a", "fp_b", max_bits))
-             .select("a", "b"))
+                .select(F.get(masks, F.col("t")).alias("mask"), "key", "fp", F.coalesce("label", "fp").alias("label")))
+    pairs = _links_between(labelled, max_bits, most_pairs)
     second = connected_components(pairs).select(F.col("node").alias("label"), F.col("label").alias("root"))
     ends = first.select(F.col("node").alias("fp"), "label")
     alone = second.select(F.col("label").alias("fp"), "label").join(ends, "fp", "left_anti")
