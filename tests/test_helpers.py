@@ -113,7 +113,7 @@ def test_cli_writes_json_documents(spark):
     from workboard.session import scratch_path
     out = scratch_path(spark, "cli-test")
     paths = main(["overview", "--data", SF001, "--out", out, "--as-of", "1998-08-02T00:00:00"], spark=spark)
-    assert set(paths) == {"stats", "members", "projects", "tasks"}
+    assert set(paths) == {"stats", "counters", "members", "projects", "tasks"}
     stats = spark.read.json(paths["stats"]).first()
     assert stats.total_tasks == 1500
     audits = main(["audit", "--data", SF001, "--out", out + "-audit"], spark=spark)
