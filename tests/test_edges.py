@@ -274,7 +274,7 @@ def test_a_retried_micro_batch_changes_nothing(spark, roles_ws):
     root = scratch_path(spark, "live-retry")
     batches = [[(1, dt.datetime(2024, 5, 1), 100, "completed", 2)], [(2, dt.datetime(2024, 5, 2), 100, "todo", 2)],
                [(3, dt.datetime(2024, 4, 1), 100, "in_progress", 2), (4, dt.datetime(2024, 5, 5), 101, "completed", 1)]]
-    board = live.replay(spark, spark.createDataFrame(sum(batches, []), REQS), roles_ws.tasks, roles_ws.users, AS_OF, root=root, files=3)
+    board = live.replay(spark, spark.createDataFrame(sum(batches, []), REQS), roles_ws.tasks, roles_ws.users, AS_OF, root=root, files=3, files_per_trigger=1)
     want, n, last = tuple(board.counters().first()), board.log().count(), board.last()["batch"]
     for batch in (last, last):
         rows = spark.createDataFrame(spark.read.schema(board.schema).parquet(f"{board.root}/log/batch={batch}").collect(), board.schema)

@@ -306,7 +306,7 @@ def test_snapshot_layout_prunes(spark):
 def test_latest_status_of_a_stream_equals_the_batch(spark, ws01):
     from workboard.streaming import live
     reqs = R.status_reqs(spark, SF01, ws01.tasks)
-    board = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF, files=5)
+    board = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF, files=5, files_per_trigger=1)
     assert board.last()["batch"] >= 4  # several micro-batches, so old statuses come from the state
     latest = board.latest()
     checked = mutations.status_change_outcomes(ws01.tasks, ws01.users, reqs)
@@ -316,6 +316,22 @@ def test_latest_status_of_a_stream_equals_the_batch(spark, ws01):
     assert latest.exceptAll(batch).count() == 0 and batch.count() == latest.count() == 150
 
 
+def test_a_replay_is_landed_and_read_by_many_tasks(spark, ws01):
+    """Files in the order of the changes, as many as asked for, and several of them to a micro-batch."""
+    import os
+
+    from workboard.session import scratch_path
+    from workboard.streaming import live
+    reqs, root = R.status_reqs(spark, SF01, ws01.tasks), scratch_path(spark, "live-files")
+    board = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF, root=root, files=6, files_per_trigger=4)
+    landing = f"{root}/landing".replace("file:", "")
+    files = sorted(n for n in os.listdir(landing) if n.endswith(".parquet"))
+    spans = [spark.read.parquet(f"file:{landing}/{n}").agg(F.min("ts"), F.max("ts"), F.count("*")).first() for n in files]
+    assert len(files) == 6 and sum(s[2] for s in spans) == reqs.count() and max(s[2] for s in spans) < reqs.count() / 2
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert board.last()["batch"] == 1 and board.log().count() == reqs.count()
+
+
 def test_member_counters_equal_a_replay(spark, ws01):
     """Counters per assignee by replaying the changes one at a time."""
     from workboard.streaming import live

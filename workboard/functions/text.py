@@ -7,6 +7,8 @@ Java regex and RE2 (DuckDB) read the same way.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,15 +53,7 @@ def role_key(c) -> Column:
 
 
 def _role_key_py(role: str) -> str:
-    out, gap = [], False
-    for ch in role.strip().lower():
-        if ("a" <= ch <= "z") or ("0" <= ch <= "9"):
-            out.append(ch)
-            gap = False
-        elif not gap:
-            out.append(" ")
-            gap = True
-    return "".join(out)
+    return re.sub("[^a-z0-9]+", " ", role.strip().lower())
 
 
 JOB_ROLE_LOOKUP = {_role_key_py(r): r for r in JOB_ROLES}

@@ -275,13 +275,18 @@ def commit_changes(board: LiveBoard, ws, root: str) -> int:
 
 
 def replay(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFrame, as_of, rule: str = "reference",
-           root: str | None = None, files: int = 2) -> LiveBoard:
-    """Run status requests (seq, ts, task_id, status, requester_id) through the stream in
-    ``files`` micro-batches, until all are processed."""
+           root: str | None = None, files: int | None = None, files_per_trigger: int | None = None) -> LiveBoard:
+    """Run status requests (seq, ts, task_id, status, requester_id) through the stream until all are
+    processed. They are landed as ``files`` files in their order (default: the session's number of
+    shuffle partitions, so that as many tasks write them), of which a micro-batch takes
+    ``files_per_trigger`` (default: half as many as the cluster has cores): its size follows the
+    cluster's, not the table's."""
     root = root or scratch_path(spark, "live")
     landed = with_roles(reqs, users)
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files_per_trigger = files_per_trigger or max(1, spark.sparkContext.defaultParallelism // 2)
     landing = replay_to_files(landed, f"{root}/landing", files)
-    query, board = start_live_board(spark, file_stream(spark, landing, landed.schema, files_per_trigger=1), tasks, as_of,
+    query, board = start_live_board(spark, file_stream(spark, landing, landed.schema, files_per_trigger), tasks, as_of,
                                     f"{root}/board", rule, {"availableNow": True})
     query.awaitTermination()
     if query.exception():
