@@ -548,6 +548,21 @@ def test_op7_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
     assert y2[times.argmax()] == 1
 
 
+def test_op7_labels_without_documents_leave_the_sample_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, frames.prose(i, 20)) for i in range(120)], "doc_id long, text string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"),
+                                        F.lit(0).alias("toxic"))
+    fit, fitted = classifier.fit, []
+
+    def recorded(x, y, aside, **more):
+        fitted.append(len(x))
+        return fit(x, y, aside, **more)
+    monkeypatch.setattr(classifier, "fit", recorded)
+    for most in (1000, 60):
+        assert classifier.quality_scores(docs, labels, held_out=-1, max_train=most).count() == 120
+    assert fitted[0] == 120 and 50 <= fitted[1] <= 60
+
+
 def test_counted_rows_teach_like_copies():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5))

@@ -246,7 +246,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
              .where(F.col("label").isin(0.0, 1.0) & (fold != held_out)))
     known = known.groupBy("id", "label").agg(F.count(F.lit(1)).alias("labels"))
     # thinned by hash before the join; the hard limit is taken of what is left, in tasks, and written
-    share = min(1.0, 1.1 * max_train / max(1, known.count()))
+    usable = known.join(features.select("id").distinct(), "id", "left_semi").count()
+    share = min(1.0, 1.1 * max_train / max(1, usable))
     drawn = features.withColumn("hash", F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("features")), F.lit(1 << 30)))
     drawn = (drawn.where(F.col("hash") < int(share * (1 << 30))).join(known, "id")
              .groupBy("hash", "id", "label", "features").agg(F.sum("labels").alias("times"))
