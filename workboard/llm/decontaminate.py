@@ -239,8 +239,10 @@ def _search(index: DataFrame, phrases: dict[str, list[tuple[bytes, ...]]], withi
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list]:
     """The different items in blocks of about ``block_words`` words, so that what a search
-    sends to the tasks is bounded however many items there are, or rows of one item."""
-    texts = items.select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("text")).distinct()
+    sends to the tasks is bounded however many items there are, or rows of one item. The
+    items are read and compared once and written; a block reads what was written."""
+    texts = materialize(items.select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("text")).distinct(),
+                        "items")
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-size // (6 * block_words)))
     for k in range(count):
