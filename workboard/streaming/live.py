@@ -279,8 +279,8 @@ def replay(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFr
     """Run status requests (seq, ts, task_id, status, requester_id) through the stream until all are
     processed. They are landed as ``files`` files in their order (default: the session's number of
     shuffle partitions, so that as many tasks write them), of which a micro-batch takes
-    ``files_per_trigger`` (default: half as many as the cluster has cores): its size follows the
-    cluster's, not the table's."""
+    ``files_per_trigger`` (default: half as many as the session has cores). Ask for more files where
+    a table is so large that these would make a micro-batch too large for its tasks."""
     root = root or scratch_path(spark, "live")
     landed = with_roles(reqs, users)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
