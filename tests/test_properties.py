@@ -332,6 +332,31 @@ def test_a_replay_is_landed_and_read_by_many_tasks(spark, ws01):
     assert board.last()["batch"] == 1 and board.log().count() == reqs.count()
 
 
+def test_micro_batches_and_state_go_by_size_not_by_shuffle_partitions(spark, ws01, monkeypatch):
+    """Many shuffle partitions make neither more micro-batches nor more state partitions than the requests and tasks need."""
+    import os
+
+    from workboard.session import scratch_path
+    from workboard.streaming import live
+    key, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before, reqs = spark.conf.get(key), R.status_reqs(spark, SF01, ws01.tasks)
+    try:
+        spark.conf.set(key, 5 * cores)
+        root = scratch_path(spark, "live-size")
+        board = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF, root=root)
+        assert spark.conf.get(key) == str(5 * cores)
+        assert board.last()["batch"] == 0 and board.log().count() == reqs.count()
+        assert len([n for n in os.listdir(f"{root}/board/checkpoint/state/0".replace("file:", "")) if n.isdigit()]) == cores
+        spark.conf.set(key, 3)
+        monkeypatch.setattr(live, "BYTES_PER_CORE", 1)
+        small = live.replay(spark, reqs, ws01.tasks, ws01.users, P.AS_OF)
+    finally:
+        spark.conf.set(key, before)
+    assert small.last()["batch"] == 2  # a file at a time
+    assert small.counters().collect() == board.counters().collect()
+    assert small.latest().exceptAll(board.latest()).count() == 0
+
+
 def test_member_counters_equal_a_replay(spark, ws01):
     """Counters per assignee by replaying the changes one at a time."""
     from workboard.streaming import live

@@ -36,6 +36,7 @@ import pickle
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -56,6 +57,10 @@ from workboard.streaming.task_state import GAINS, TaskChanges
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
 #: Tasks of a state bucket when the stream starts.
 TASKS_PER_BUCKET = 256
+#: Buckets of a state partition when the stream starts, where that makes at least one partition per core.
+BUCKETS_PER_PARTITION = 256
+#: A replay's micro-batch takes files of so many bytes per core of the session (some 50,000 requests).
+BYTES_PER_CORE = 1 << 20
 #: So many log folders of a tier become one of the next.
 MERGE = 16
 #: Records of the last so many micro-batches are kept.
@@ -77,8 +82,13 @@ def replay_to_files(df: DataFrame, landing: str, files: int, order: tuple[str, .
     return landing
 
 
-def file_stream(spark: SparkSession, landing: str, schema: T.StructType, files_per_trigger: int = 4) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+def file_stream(spark: SparkSession, landing: str, schema: T.StructType, files_per_trigger: int = 4,
+                bytes_per_trigger: int | None = None) -> DataFrame:
+    """A micro-batch takes ``bytes_per_trigger`` bytes of files (one file at least) if given, else ``files_per_trigger`` files."""
+    reader = spark.readStream.schema(schema)
+    if bytes_per_trigger is not None:
+        return reader.option("maxBytesPerTrigger", bytes_per_trigger).parquet(landing)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
 
 
 # ---- the stateful operator --------------------------------------------------
@@ -103,6 +113,21 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession, buckets: int):
+    """A stream that starts in here has its state in as many partitions as its buckets and the session's cores
+    ask for, and not more than the session's shuffles have: each costs a Python worker's start and a commit in
+    every micro-batch, however few rows it gets. A stream that goes on keeps the number in its checkpoint."""
+    key = "spark.sql.shuffle.partitions"
+    before = int(spark.conf.get(key))
+    wanted = max(spark.sparkContext.defaultParallelism, -(-buckets // BUCKETS_PER_PARTITION))
+    spark.conf.set(key, min(before, wanted))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def task_changes(changes: DataFrame, tasks: DataFrame, buckets: int, as_of, rule: str = "reference") -> DataFrame:
     """The stream ``changes`` (seq, ts, task_id, status, requester_id, requester_role; optionally kind,
     assigned_to, due_date) as log rows, one per change."""
@@ -260,8 +285,10 @@ def start_live_board(spark: SparkSession, changes: DataFrame, tasks: DataFrame,
     settings = board.begin(tasks, as_of, rule, tasks_per_bucket)
     rows = changes if after_seq is None else changes.where(F.col("seq").isNull() | (F.col("seq") > F.lit(after_seq)))
     out = task_changes(rows, tasks, settings["buckets"], settings["as_of"], settings["rule"])
-    query = (out.writeStream.outputMode("append").foreachBatch(board.process)
-             .option("checkpointLocation", f"{board.root}/checkpoint").trigger(**(trigger or {"processingTime": "2 seconds"})).start())
+    writer = (out.writeStream.outputMode("append").foreachBatch(board.process)
+              .option("checkpointLocation", f"{board.root}/checkpoint").trigger(**(trigger or {"processingTime": "2 seconds"})))
+    with _state_partitions(spark, settings["buckets"]):
+        query = writer.start()
     return query, board
 
 
@@ -279,14 +306,17 @@ def replay(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFr
     """Run status requests (seq, ts, task_id, status, requester_id) through the stream until all are
     processed. They are landed as ``files`` files in their order (default: the session's number of
     shuffle partitions, so that as many tasks write them), of which a micro-batch takes
-    ``files_per_trigger`` (default: half as many as the session has cores). Ask for more files where
-    a table is so large that these would make a micro-batch too large for its tasks."""
+    ``files_per_trigger`` (default: ``BYTES_PER_CORE`` bytes of them for each of the session's cores, so
+    that the number of micro-batches goes by the requests and not by the number of files). Ask for more
+    files where a table is so large that one of them would make too large a micro-batch."""
     root = root or scratch_path(spark, "live")
     landed = with_roles(reqs, users)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files_per_trigger = files_per_trigger or max(1, spark.sparkContext.defaultParallelism // 2)
+    size = {"bytes_per_trigger": BYTES_PER_CORE * spark.sparkContext.defaultParallelism}
+    if files_per_trigger:
+        size = {"files_per_trigger": files_per_trigger}
     landing = replay_to_files(landed, f"{root}/landing", files)
-    query, board = start_live_board(spark, file_stream(spark, landing, landed.schema, files_per_trigger), tasks, as_of,
+    query, board = start_live_board(spark, file_stream(spark, landing, landed.schema, **size), tasks, as_of,
                                     f"{root}/board", rule, {"availableNow": True})
     query.awaitTermination()
     if query.exception():
