@@ -357,6 +357,16 @@ def test_micro_batches_and_state_go_by_size_not_by_shuffle_partitions(spark, ws0
     assert small.latest().exceptAll(board.latest()).count() == 0
 
 
+def test_links_stay_dealt_to_as_many_tasks_as_shuffles_have(spark):
+    """AQE merges small partitions; those of the links must not grow with the table."""
+    from workboard.sources.workspace import derive_project_members
+    lineitem = spark.createDataFrame([(i, i % 7) for i in range(400)] * 2, "l_orderkey long, l_suppkey long")
+    orders = spark.createDataFrame([(i, i % 11) for i in range(400)], "o_orderkey long, o_custkey long")
+    links = derive_project_members(lineitem, orders)
+    assert links.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, links.collect())) == sorted({(i % 7, i % 11) for i in range(400)})
+
+
 def test_member_counters_equal_a_replay(spark, ws01):
     """Counters per assignee by replaying the changes one at a time."""
     from workboard.streaming import live
