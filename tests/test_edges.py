@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from workboard.functions import status as S
 from workboard.functions import text as X
 from workboard.operators import listing, mutations, paging, rollups
-from workboard.sources.workspace import empty_workspace, workspace_from_rows
+from workboard.sources.workspace import SCHEMAS, Workspace, empty_workspace, workspace_from_rows
 from workboard.streaming import live
 
 AS_OF = dt.datetime(2024, 6, 1)
@@ -416,3 +416,28 @@ def test_every_audit_rule_finds_a_violation(spark):
     found = {(r.table_name, r.rule): r.violations for r in audit.constraint_audit(ws).collect()}
     assert len(found) == 27 and all(n > 0 for n in found.values()), found
     assert all(r.violations > 0 for r in audit.orphan_audit(ws).collect())
+
+
+def test_constraint_audit_counts_by_narrow_entries(spark):
+    """Repeated and NULL keys in all tables; what is shuffled by key holds counts of keys and references only."""
+    from workboard.operators import audit
+    t = dt.datetime(2024, 1, 1)
+    kinds = {n: T.StructType([T.StructField(f.name, f.dataType) for f in schema]) for n, schema in SCHEMAS.items()}
+    rows = {
+        "users": [(1, "a", "x@y", "admin", None, False, t), (1, "b", "x@y", "boss", None, False, t), (None, None, None, None, None, False, t),
+                  (None, "c" * 256, "z@y", "member", None, False, t)],
+        "projects": [(1, "p", None, 1, t), (2, None, None, 9, t), (2, "q", None, None, t)],
+        "project_members": [(1, 1), (1, 1), (1, None), (None, 1), (7, 8), (7, 8), (7, 8)],
+        "tasks": [(1, 1, "t", None, "todo", 1, None, t), (1, 3, None, None, "done", 5, None, t), (None, None, "u", None, None, None, None, t)]}
+    ws = Workspace(**{n: spark.createDataFrame(rows[n], kinds[n]) for n in kinds})
+    found = {(r.table_name, r.rule): r.violations for r in audit.constraint_audit(ws).collect()}
+    assert {k: v for k, v in found.items() if v} == {
+        ("users", "not_null_id"): 2, ("users", "primary_key"): 1, ("users", "not_null_name"): 1, ("users", "not_null_email"): 1,
+        ("users", "check_role"): 1, ("users", "length_name"): 1, ("users", "unique_email"): 1,
+        ("projects", "primary_key"): 1, ("projects", "not_null_name"): 1, ("projects", "fk_created_by"): 1,
+        ("project_members", "not_null_key"): 2, ("project_members", "primary_key"): 2,
+        ("project_members", "fk_project"): 3, ("project_members", "fk_user"): 3,
+        ("tasks", "not_null_id"): 1, ("tasks", "primary_key"): 1, ("tasks", "not_null_title"): 1, ("tasks", "check_status"): 1,
+        ("tasks", "fk_project"): 1, ("tasks", "fk_assigned_to"): 1}
+    assert len(found) == 27
+    assert audit._by_key(ws).columns == ["domain", "key", "own", "ref_0", "ref_1", "ref_2"]

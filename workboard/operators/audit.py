@@ -3,13 +3,13 @@
 The loose DDL the reference runs at start-up declares no foreign keys or CHECKs, so any
 row is legal input; these jobs count what the strict DDL would have rejected.
 
-A *domain* is a set of keys with all that refers to it: user ids, project ids, task ids,
-member links, email addresses. The rows of all tables become tagged entries of one union,
-(domain, key, how many rows have it as their key, how many refer to it); one aggregation
-by domain and key, combined before its shuffle, then tells duplicate keys (more than one
-row of their own) and dangling references (none). Row rules (NOT NULL, CHECK, lengths)
-ride along with the entries of their table. Every audit is thus one shuffle of narrow
-entries and one of single rows, whatever the number of relations.
+A *domain* is a set of keys with all that refers to it: user ids, project ids. The rows of
+all tables become narrow tagged entries of one union, (domain, key, how many rows have it as
+their key, how many refer to it); one aggregation by domain and key, combined before its
+shuffle, then tells duplicate keys (more than one row of their own) and dangling references
+(none). Keys that nothing refers to (task ids, member links, email addresses) are counted by
+themselves, and row rules (NOT NULL, CHECK, lengths) in one pass over their table: neither
+makes the entries of the shuffle and of its hash tables wider.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from workboard.functions.status import STATUSES
 
-USERS, PROJECTS, TASKS, LINKS, EMAILS = range(5)
+USERS, PROJECTS = range(2)
 #: References by domain, in the order of the columns ref_0, ref_1, ...
 REFERENCES = {USERS: ("tasks_assigned_to", "links_user", "projects_created_by"), PROJECTS: ("tasks_project", "links_project")}
 
@@ -31,38 +30,34 @@ def _too_long(c: str, n: int) -> Column:
     return F.length(c) > n
 
 
-def _row_rules() -> dict[int, dict[str, Column]]:
-    """Rules on single rows, by the domain whose entries have the table's own rows."""
+def _row_rules() -> dict[str, dict[str, Column]]:
+    """Rules on single rows, by table."""
     return {
-        USERS: {"not_null_name": F.col("name").isNull(), "not_null_email": F.col("email").isNull(),
-                "check_role": ~F.col("role").isin("admin", "member"), "length_name": _too_long("name", 255),
-                "length_email": _too_long("email", 255), "length_role": _too_long("role", 50),
-                "length_job_role": _too_long("job_role", 100)},
-        PROJECTS: {"not_null_name": F.col("name").isNull(), "length_name": _too_long("name", 255)},
-        TASKS: {"not_null_title": F.col("title").isNull(), "check_status": ~F.col("status").isin(*STATUSES),
-                "length_title": _too_long("title", 255), "length_status": _too_long("status", 50)},
-        LINKS: {}, EMAILS: {}}
-
-
-def _entries(df: DataFrame, domain: int, key: Column, second: Column | None = None, text: Column | None = None,
-             ref: int | None = None, rules: dict | None = None) -> DataFrame:
+        "users": {"not_null_id": F.col("id").isNull(), "not_null_name": F.col("name").isNull(),
+                  "not_null_email": F.col("email").isNull(), "check_role": ~F.col("role").isin("admin", "member"),
+                  "length_name": _too_long("name", 255), "length_email": _too_long("email", 255),
+                  "length_role": _too_long("role", 50), "length_job_role": _too_long("job_role", 100)},
+        "projects": {"not_null_id": F.col("id").isNull(), "not_null_name": F.col("name").isNull(),
+                     "length_name": _too_long("name", 255)},
+        "project_members": {"not_null_key": F.col("project_id").isNull() | F.col("user_id").isNull()},
+        "tasks": {"not_null_id": F.col("id").isNull(), "not_null_title": F.col("title").isNull(),
+                  "check_status": ~F.col("status").isin(*STATUSES), "length_title": _too_long("title", 255),
+                  "length_status": _too_long("status", 50)}}
+
+
+def _entries(df: DataFrame, domain: int, key: Column, ref: int | None = None) -> DataFrame:
     """One entry per row: as a row of its own (``ref`` None) or as reference number ``ref``."""
-    none = F.lit(None)
     refs = max(map(len, REFERENCES.values()))
     marks = [F.lit(int(ref is None)).alias("own"), *[F.lit(int(ref == k)).alias(f"ref_{k}") for k in range(refs)]]
-    width = max(len(r) for r in _row_rules().values())
-    broken = [F.coalesce(c, F.lit(False)).cast("int") for c in (rules or {}).values()]
-    broken += [F.lit(0)] * (width - len(broken))
-    return df.select(F.lit(domain).alias("domain"), key.alias("key"), (none if second is None else second).alias("second"),
-                     (none.cast("string") if text is None else text).alias("text"), *marks,
-                     *[c.alias(f"rule_{k}") for k, c in enumerate(broken)])
+    return df.select(F.lit(domain).alias("domain"), key.alias("key"), *marks)
 
 
-def _by_key(parts: list[DataFrame], kind: T.DataType) -> DataFrame:
-    parts = [p.withColumns({c: F.col(c).cast(kind) for c in ("key", "second")}) for p in parts]
-    union = reduce(DataFrame.unionByName, parts)
-    keys = ["domain", "key", "second", "text"]
-    return union.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in union.columns if c not in keys])
+def _by_key(ws) -> DataFrame:
+    """Entries of users, projects and all that refers to them, added up by key."""
+    own = [_entries(ws.users, USERS, F.col("id")), _entries(ws.projects, PROJECTS, F.col("id"))]
+    kind = ws.users.schema["id"].dataType
+    union = reduce(DataFrame.unionByName, [p.withColumn("key", F.col("key").cast(kind)) for p in own + _references(ws)])
+    return union.groupBy("domain", "key").agg(*[F.sum(c).alias(c) for c in union.columns if c not in ("domain", "key")])
 
 
 def _references(ws) -> list[DataFrame]:
@@ -84,9 +79,8 @@ def _dangling(domain: int, name: str) -> Column:
 
 def orphan_audit(ws) -> DataFrame:
     """Rows whose parent is missing, per relation, plus unassigned tasks."""
-    own = [_entries(ws.users, USERS, F.col("id")), _entries(ws.projects, PROJECTS, F.col("id"))]
     unassigned = _total((F.col("domain") == USERS) & F.col("key").isNull(), F.col("ref_0"))
-    one = _by_key(own + _references(ws), ws.users.schema["id"].dataType).agg(
+    one = _by_key(ws).agg(
         _dangling(PROJECTS, "tasks_project").alias("tasks_missing_project"),
         _dangling(USERS, "tasks_assigned_to").alias("tasks_dangling_assignee"), unassigned.alias("tasks_unassigned"),
         _dangling(PROJECTS, "links_project").alias("links_missing_project"),
@@ -95,38 +89,29 @@ def orphan_audit(ws) -> DataFrame:
     return one.unpivot([], one.columns, "check_name", "violations")
 
 
+def _twice(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """How many keys more than one row has; a key with a NULL part is none."""
+    return (df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("own"))
+              .agg(F.count_if(F.col("own") > 1).alias(name)))
+
+
 def constraint_audit(ws) -> DataFrame:
     """Violations of the strict DDL, one row per (table, rule). A primary key's violations are the
     keys that more than one row has; rows with a NULL in their key count as not_null only."""
-    rules = _row_rules()
-    parts = [_entries(ws.users, USERS, F.col("id"), rules=rules[USERS]),
-             _entries(ws.projects, PROJECTS, F.col("id"), rules=rules[PROJECTS]),
-             _entries(ws.tasks, TASKS, F.col("id"), rules=rules[TASKS]),
-             _entries(ws.project_members, LINKS, F.col("project_id"), F.col("user_id")),
-             _entries(ws.users, EMAILS, F.lit(None), text=F.col("email")), *_references(ws)]
-    here = {d: F.col("domain") == d for d in rules}
-    whole = {LINKS: F.col("key").isNotNull() & F.col("second").isNotNull(), EMAILS: F.col("text").isNotNull()}
-    whole |= {d: F.col("key").isNotNull() for d in (USERS, PROJECTS, TASKS)}
-
-    def twice(d):
-        return _total(here[d] & whole[d] & (F.col("own") > 1), F.lit(1))
-
-    def no_key(d):
-        return _total(here[d] & ~whole[d], F.col("own"))
-
-    def of(d):
-        return {name: _total(here[d], F.col(f"rule_{k}")) for k, name in enumerate(rules[d])}
-
-    counts = {
-        "users": {"not_null_id": no_key(USERS), "primary_key": twice(USERS), **of(USERS), "unique_email": twice(EMAILS)},
-        "projects": {"not_null_id": no_key(PROJECTS), "primary_key": twice(PROJECTS), **of(PROJECTS),
-                     "fk_created_by": _dangling(USERS, "projects_created_by")},
-        "project_members": {"not_null_key": no_key(LINKS), "primary_key": twice(LINKS),
-                            "fk_project": _dangling(PROJECTS, "links_project"), "fk_user": _dangling(USERS, "links_user")},
-        "tasks": {"not_null_id": no_key(TASKS), "primary_key": twice(TASKS), **of(TASKS),
-                  "fk_project": _dangling(PROJECTS, "tasks_project"), "fk_assigned_to": _dangling(USERS, "tasks_assigned_to")}}
-    flat = [(t, r, c) for t, found in counts.items() for r, c in found.items()]
-    one = _by_key(parts, ws.users.schema["id"].dataType).agg(*[c.alias(f"{t}.{r}") for t, r, c in flat])
-    long = one.unpivot([], [F.col(f"`{c}`") for c in one.columns], "name", "violations")
+    def twice(domain):
+        return _total((F.col("domain") == domain) & F.col("key").isNotNull() & (F.col("own") > 1), F.lit(1))
+
+    counts = {"users.primary_key": twice(USERS), "projects.primary_key": twice(PROJECTS),
+              "projects.fk_created_by": _dangling(USERS, "projects_created_by"),
+              "project_members.fk_project": _dangling(PROJECTS, "links_project"),
+              "project_members.fk_user": _dangling(USERS, "links_user"),
+              "tasks.fk_project": _dangling(PROJECTS, "tasks_project"),
+              "tasks.fk_assigned_to": _dangling(USERS, "tasks_assigned_to")}
+    parts = [_by_key(ws).agg(*[c.alias(name) for name, c in counts.items()]),
+             _twice(ws.project_members, "project_members.primary_key", "project_id", "user_id"),
+             _twice(ws.tasks, "tasks.primary_key", "id"), _twice(ws.users, "users.unique_email", "email")]
+    parts += [ws[table].agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"{table}.{rule}") for rule, c in rules.items()])
+              for table, rules in _row_rules().items()]
+    long = reduce(DataFrame.unionByName, [one.unpivot([], [F.col(f"`{c}`") for c in one.columns], "name", "violations") for one in parts])
     name = F.split("name", "\\.")
     return long.select(name[0].alias("table_name"), name[1].alias("rule"), "violations")
