@@ -6,12 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from tests.llm import brute, frames
-from workboard.llm import (classifier, components, decontaminate, html_text, license_scan, mixing, pii, quality_rules,
+from workboard.llm import (classifier, common, components, decontaminate, html_text, license_scan, mixing, pii, quality_rules,
                            secret_scan, simhash, token_rollup)
 from workboard.llm.oracle import ORACLE
 from workboard.llm.queries import QUERIES
@@ -477,6 +478,39 @@ def test_phrases_and_proximity(spark):
     assert spans(decontaminate.proximity_matches(index, near, span=5)) == [(1, "1", ((0, 3),)), (2, "1", ((0, 5),))]
 
 
+def test_segments_are_written_and_sent_few_at_a_time(spark, monkeypatch):
+    """Neither a task's writer nor a reader holds more than some segments, however many a file has, and a
+    block's phrases go to the tasks as arrays."""
+    import pickle
+
+    import pyarrow.parquet as pq
+
+    def texts(frames):
+        for frame in frames:
+            yield frame.assign(text=[" ".join(map(str, np.random.default_rng(i).integers(0, 5000, 100_000))) for i in frame["doc_id"]])
+    docs = spark.range(60).withColumnRenamed("id", "doc_id").coalesce(1).mapInPandas(texts, "doc_id long, text string")
+    index = decontaminate.build_index(docs, segment_words=1)
+    (file,) = index.inputFiles()
+    meta = pq.ParquetFile(file.replace("file://", "")).metadata
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    sizes = [sum(g.column(c).total_compressed_size for c in range(meta.num_columns)) for g in groups]
+    assert meta.num_rows == 60 and len(sizes) > 1 and max(sizes) < 1.2 * (1 << 24)
+    with common.arrow_batches(spark, 1 << 20):
+        sent = index.select("postings").mapInArrow(lambda batches: (b.select([]).append_column("n", pa.array([b.num_rows] * b.num_rows))
+                                                                    for b in batches), "n long").collect()
+    assert max(r["n"] for r in sent) <= 4
+    kept = []
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark.sparkContext), "broadcast", lambda self, value, real=type(spark.sparkContext).broadcast: kept.append(value) or real(self, value))
+        items = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + k) % 900}" for k in range(300))) for i in range(60)], frames.ITEMS)
+        found = decontaminate.phrase_matches(index, items, window=10)
+    assert found.count() == 0
+    (vocabulary, by_size), phrases = kept[0], 900
+    assert sum(len(rows) for rows, _, _ in by_size.values()) == phrases and len(vocabulary) == 900
+    assert all(isinstance(rows, np.ndarray) for rows, _, _ in by_size.values())
+    assert len(pickle.dumps((vocabulary, by_size))) < 200_000
+
+
 def test_extraction_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "<article><p>A b c d.</p></article>", "old", "x")], "page_id long, html string, text string, memo string")
     assert [tuple(r) for r in html_text.extract_text(pages).collect()] == [(1, "<article><p>A b c d.</p></article>", "A b c d.", "x")]

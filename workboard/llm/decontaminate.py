@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm.common import content_key, free_name, materialize, text_bytes, with_package
+from workboard.llm.common import arrow_batches, content_key, free_name, materialize, text_bytes, with_package
 
 #: Words of a segment (a longer document is a segment of its own) and of a block of test items.
 SEGMENT_WORDS = 1 << 18
-SLICE_BYTES = 1 << 23  # of text that a task cuts at a time
-BLOCK_WORDS = 1 << 20
+SLICE_BYTES = 1 << 23  # of text that a task cuts, or of segments that it searches, at a time
+BLOCK_WORDS = 1 << 18
 
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TO_WORDS = bytes(c if c in _KEEP else 0x20 for c in range(256))
@@ -109,9 +109,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     number += 1
 
     # most terms and positions are written once: a Parquet dictionary would cost time only.
-    # A row is megabytes, and readers hold a row group: those are kept small.
-    return materialize(rows.mapInArrow(segments, out), "index", {
-        "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 24)})
+    # A row is megabytes, and writers and readers hold a row group: those are kept small, and as
+    # Parquet looks at a group's size after 100 rows only, it is told to look after each.
+    with arrow_batches(docs.sparkSession, SLICE_BYTES):
+        return materialize(rows.mapInArrow(segments, out), "index", {
+            "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 24),
+            "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"})
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -198,33 +201,33 @@ def _search(index: DataFrame, phrases: dict[str, list[tuple[bytes, ...]]], withi
     spark = index.sparkSession
     vocabulary = sorted({w for ps in phrases.values() for p in ps for w in p})
     number = {w: i for i, w in enumerate(vocabulary)}
-    coded: dict[tuple, list[str]] = {}
+    coded: dict[int, dict[tuple, list[str]]] = defaultdict(dict)
     for query, ps in phrases.items():
         for p in ps:
-            coded.setdefault(tuple(number[w] for w in p), []).append(query)
-    block = spark.sparkContext.broadcast((vocabulary, coded))
+            coded[len(p)].setdefault(tuple(number[w] for w in p), []).append(query)
+    # as arrays, of which every worker has a copy: Python's tuples take many times as much
+    by_size = {}
+    for n, asked in coded.items():
+        ends = np.cumsum([len(queries) for queries in asked.values()])
+        by_size[n] = (np.array(list(asked), dtype=np.int32), ends,
+                      pa.array([q for queries in asked.values() for q in queries], pa.string()).dictionary_encode())
+    block = spark.sparkContext.broadcast((pa.array(vocabulary, pa.binary()), by_size))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, asked = block.value
-        words = pa.array(words, pa.binary())
-        by_size: dict[int, tuple[np.ndarray, list]] = {}
-        for p, queries in asked.items():
-            rows, names = by_size.setdefault(len(p), ([], []))
-            rows.append(p)
-            names.append(queries)
-        by_size = {n: (np.array(rows), names) for n, (rows, names) in by_size.items()}
+        words, by_size = block.value
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in ("terms", "starts", "postings", "n_words")}
                 seg, spans = _Segment(row, words), defaultdict(list)
-                for n, (rows, names) in by_size.items():
+                for n, (rows, ends, names) in by_size.items():
                     for k in np.flatnonzero((seg.size[rows] > 0).all(axis=1)).tolist():
                         found = seg.near(rows[k], within) if within else \
                             [(s, s + n) for s in seg.phrase(rows[k]).tolist()]
+                        queries = names[int(ends[k - 1]) if k else 0:int(ends[k])].to_pylist() if found else ()
                         for low, high in found:
                             doc = int(seg.document(low))
                             shift = int(seg.ends[doc - 1]) if doc else 0
-                            for query in names[k]:
+                            for query in queries:
                                 spans[doc, query].append((low - shift, high - shift))
                 if spans:
                     at = batch.column("segment")[i].as_py()
@@ -234,7 +237,8 @@ def _search(index: DataFrame, phrases: dict[str, list[tuple[bytes, ...]]], withi
                         schema=pa.schema([("segment", pa.int64()), ("ordinal", pa.int32()), ("query", pa.string()),
                                           ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
 
-    return index.select("segment", "n_words", "terms", "starts", "postings").mapInArrow(search, _MATCH)
+    with arrow_batches(spark, SLICE_BYTES):  # run here, as a plan that runs later has the batches of its session
+        return materialize(index.select("segment", "n_words", "terms", "starts", "postings").mapInArrow(search, _MATCH), "matches")
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list]:
