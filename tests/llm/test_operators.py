@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF001
 from tests.llm import brute, frames
-from workboard.llm import (classifier, common, components, decontaminate, html_text, license_scan, mixing, pii, quality_rules,
+from workboard.llm import (classifier, components, decontaminate, html_text, license_scan, mixing, pii, quality_rules,
                            secret_scan, simhash, token_rollup)
 from workboard.llm.oracle import ORACLE
 from workboard.llm.queries import QUERIES
+from workboard.session import arrow_batches
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -495,7 +496,7 @@ def test_segments_are_written_and_sent_few_at_a_time(spark, monkeypatch):
     groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
     sizes = [sum(g.column(c).total_compressed_size for c in range(meta.num_columns)) for g in groups]
     assert meta.num_rows == 60 and len(sizes) > 1 and max(sizes) < 1.2 * (1 << 24)
-    with common.arrow_batches(spark, 1 << 20):
+    with arrow_batches(spark, 1 << 20):
         sent = index.select("postings").mapInArrow(lambda batches: (b.select([]).append_column("n", pa.array([b.num_rows] * b.num_rows))
                                                                     for b in batches), "n long").collect()
     assert max(r["n"] for r in sent) <= 4

@@ -328,6 +328,85 @@ def test_a_micro_batch_touches_its_own_buckets(spark):
     assert touched[0] <= 5 and touched[1] <= 5
 
 
+def _one_by_one(tasks, rows, as_of):
+    """The live board's rules, a change at a time: log rows by seq, and the tasks in the end."""
+    def place(r):
+        return (r[1] is not None, r[1] or dt.datetime.min, r[0], r[3] or "")
+
+    def counts(t):
+        if t is None:
+            return 0, 0, 0, 0
+        late = t[0] is not None and t[0] != "completed" and t[2] is not None and t[2] < as_of
+        return 1, int(t[0] == "completed"), int(t[0] == "in_progress"), int(late)
+    log = {}
+    for seq, ts, i, status, requester, role, kind, assignee, due in sorted(rows, key=place):
+        task, new, literal, outcome, here = tasks.get(i), None, (0, 0, 0), "applied", place((seq, ts, i, status))
+        if kind == "status":
+            outcome = ("invalid_status" if status not in ("todo", "in_progress", "completed") else "not_found" if task is None
+                       else "forbidden" if role == "member" and task[1] != requester else "applied")
+        if outcome != "applied" or (kind == "status" and task[3] is not None and task[3] >= here):
+            new = task
+        elif kind == "put":
+            new = (status, assignee, due, task[3] if task else None)
+        elif kind == "status":
+            new = (status, task[1], task[2], here)
+            if task[0] != status:
+                late = task[0] != "completed" and task[2] is not None and task[2] < as_of
+                literal = ((status == "in_progress") - (task[0] == "in_progress"), (status == "completed") - (task[0] == "completed"),
+                           -int(late and status == "completed"))
+        tasks.pop(i, None)
+        if new is not None:
+            tasks[i] = new
+        log[seq] = (i, status, outcome, task[0] if task else None, *literal, *(b - a for a, b in zip(counts(task), counts(new))))
+    return log
+
+
+def test_packed_changes_equal_one_by_one(spark, monkeypatch):
+    """Rows go through the state in packs; several to a bucket and micro-batch, with steps of a few rows."""
+    import random
+
+    from workboard.session import scratch_path
+    from workboard.streaming import task_state
+    monkeypatch.setattr(task_state, "PACK_BYTES", 1500)
+    monkeypatch.setattr(task_state, "STEP_ROWS", 7)
+    rnd, states = random.Random(7), ["todo", "in_progress", "completed", "done", None]
+    tasks = {i: (rnd.choice(states), rnd.choice([1, 2, 3, None]), rnd.choice([None, dt.datetime(2020, 1, 1), dt.datetime(2099, 1, 1)]), None)
+             for i in range(600)}
+    frame = spark.createDataFrame([(i, *t[:3]) for i, t in tasks.items()], "id long, status string, assigned_to long, due_date timestamp_ntz")
+    root, want = scratch_path(spark, "live-packed"), {}
+    for f in range(3):
+        rows = []
+        for k in range(200):
+            kind = rnd.choice(["status"] * 8 + ["put", "delete"])
+            rows.append((200 * f + k, rnd.choice([None, dt.datetime(2024, 5, 1, rnd.randrange(5))]), rnd.choice([*range(20), 700, 701]), rnd.choice(states),
+                         rnd.choice([1, 2, 3]), rnd.choice(["admin", "member", None]), kind, rnd.choice([1, 2, None]), dt.datetime(2020, 1, 2)))
+        spark.createDataFrame(rows, CHANGES).repartition(3).write.parquet(f"{root}/landing/f{f}")
+        want.update(_one_by_one(tasks, rows, AS_OF))
+    changes = live.file_stream(spark, f"{root}/landing/*", T.StructType.fromDDL(CHANGES), files_per_trigger=3)
+    query, board = live.start_live_board(spark, changes, frame, AS_OF, f"{root}/board", trigger={"availableNow": True})
+    query.awaitTermination()
+    got = board.log().collect()
+    assert {r.seq: (r.task_id, r.status, r.outcome, r.prev_status, r.d_in_progress, r.d_completed, r.d_overdue, r.g_total, r.g_completed,
+                    r.g_in_progress, r.g_overdue) for r in got} == want and len(got) == 600
+    late = [t[2] is not None and t[2] < AS_OF and t[0] not in (None, "completed") for t in tasks.values()]
+    assert tuple(board.counters().first()) == (len(tasks), *(sum(t[0] == s for t in tasks.values()) for s in ("completed", "in_progress")), sum(late))
+    assert sorted(map(tuple, board.latest().collect())) == sorted((i, t[0]) for i, t in tasks.items() if t[3] is not None)
+    # what a micro-batch writes are the tasks that changed, not all of their buckets
+    import pickle
+    state = spark.read.format("statestore").option("stateVarName", "changed").load(f"{root}/board/checkpoint").select("value.tasks").collect()
+    assert sum(len(pickle.loads(r.tasks)) for r in state) <= 22
+
+
+def test_a_replay_has_few_large_buckets(spark):
+    from workboard.session import scratch_path
+    tasks = spark.range(600_000).selectExpr("id", "'todo' AS status", "id AS assigned_to", "CAST(NULL AS timestamp_ntz) AS due_date")
+    cores, buckets = spark.sparkContext.defaultParallelism, []
+    for size in (live.TASKS_PER_BUCKET, live.REPLAY_TASKS_PER_BUCKET):
+        board = live.LiveBoard(spark, scratch_path(spark, "live-buckets"), T.StructType.fromDDL(CHANGES))
+        buckets.append(board.begin(tasks, AS_OF, "reference", size)["buckets"])
+    assert buckets == [2344, min(2343, max(73, live.BUCKETS_PER_CORE * cores)) + 1]
+
+
 def test_counter_clamps(spark):
     df = spark.createDataFrame([(0,), (1,), (9,)], "v int")
     rows = df.select(S.decrement_floor0("v").alias("d"), S.clamp("v", 1, 5).alias("c")).collect()

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workboard.llm.common import arrow_batches, content_key, free_name, materialize, text_bytes, with_package
+from workboard.llm.common import content_key, free_name, materialize, text_bytes, with_package
+from workboard.session import arrow_batches
 
 #: Words of a segment (a longer document is a segment of its own) and of a block of test items.
 SEGMENT_WORDS = 1 << 18

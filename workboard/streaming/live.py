@@ -3,9 +3,10 @@
 The reference polls its counters every 2 s; here one Structured Streaming query keeps
 them, with its state in Spark's own state store. The state is filled from ``tasks`` once,
 when the stream starts, and lies in buckets of about ``TASKS_PER_BUCKET`` tasks by a hash
-of the task id: a micro-batch reads and writes the buckets of its own tasks and nothing
-else, whatever the size of the tables. A request carries its requester's role, as the
-reference's token does (``with_roles``), so that no table is looked up.
+of the task id: a micro-batch reads the buckets of its own tasks, writes what has changed in
+them since the start, and nothing else, whatever the size of the tables. A request carries
+its requester's role, as the reference's token does (``with_roles``), so that no table is
+looked up.
 
 Each change gives one row of the log: the checks of the batch job I5, the status before,
 the browser's counter arithmetic (J3) and the exact change of the counters. A micro-batch
@@ -43,12 +44,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from workboard.functions.status import is_overdue_browser
 from workboard.operators.joins import left_lookup
 from workboard.operators.ordered import number_within_groups
 from workboard.operators.rollups import stats_columns, task_stats
-from workboard.session import scratch_path
+from workboard.session import arrow_batches, scratch_path
 from workboard.sources.files import delete, names_in, read_record, set_times, write_record
 from workboard.sources.snapshot import write_snapshot
 from workboard.streaming import task_state
@@ -57,10 +59,13 @@ from workboard.streaming.task_state import GAINS, TaskChanges
 COUNTERS = ("total_tasks", "completed_tasks", "in_progress_tasks", "overdue_tasks")
 #: Tasks of a state bucket when the stream starts.
 TASKS_PER_BUCKET = 256
+#: The same of a replay, whose micro-batches have rows for most buckets; at least so many buckets per core.
+REPLAY_TASKS_PER_BUCKET, BUCKETS_PER_CORE = 8192, 64
 #: Buckets of a state partition when the stream starts, where that makes at least one partition per core.
 BUCKETS_PER_PARTITION = 256
-#: A replay's micro-batch takes files of so many bytes per core of the session (some 50,000 requests).
-BYTES_PER_CORE = 1 << 20
+#: A replay's micro-batch takes files of so many bytes per core of the session (some 350,000 requests): each reads
+#: the buckets of its tasks, so that few and large ones cost least.
+BYTES_PER_CORE = 1 << 22
 #: So many log folders of a tier become one of the next.
 MERGE = 16
 #: Records of the last so many micro-batches are kept.
@@ -138,13 +143,21 @@ def task_changes(changes: DataFrame, tasks: DataFrame, buckets: int, as_of, rule
     rows = changes.withColumns({c: x for c, x in absent.items() if c not in given})
     rows = rows.withColumn("kind", F.coalesce("kind", F.lit("status"))).select(
         _bucket(F.col("task_id"), buckets), "seq", "ts", "task_id", "status", "requester_id", *absent)
-    known = (tasks.select(_bucket(F.col("id"), buckets), F.struct("id", "status", "assigned_to", "due_date").alias("task"))
-             .groupBy("bucket").agg(F.collect_list("task").alias("tasks")))  # a bucket is small by construction
+    kind, held = rows.schema["task_id"].dataType, ["id", "status", "assigned_to", "due_date"]
+    known = tasks.select(*held).withColumn("id", F.col("id").cast(kind)).select(_bucket(F.col("id"), buckets), *held)
     cloudpickle.register_pickle_by_value(task_state)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy("bucket").transformWithState(
-        TaskChanges(_instant(as_of), rule), _log_schema(rows.schema), "Append", "None", known.groupBy("bucket"))
+    log = _log_schema(rows.schema)
+    schemas = [to_arrow_schema(s) for s in (rows.drop("bucket").schema, known.drop("bucket").schema, log)]
+
+    def packed(df: DataFrame, schema) -> DataFrame:
+        return df.mapInArrow(task_state.pack(schema), "bucket long, rows binary")
+
+    first = packed(known, schemas[1]).groupBy("bucket").agg(F.collect_list("rows").alias("tasks"))  # a bucket is small by construction
+    out = packed(rows, schemas[0]).groupBy("bucket").transformWithState(
+        TaskChanges(_instant(as_of), rule, *schemas), "rows binary", "Append", "None", first.groupBy("bucket"))
+    return out.mapInArrow(task_state.unpack(schemas[2]), log)
 
 
 # ---- what a stream leaves in its folder --------------------------------------
@@ -174,7 +187,9 @@ class LiveBoard:
             return json.loads(text)
         counts = task_stats(tasks, as_of).first().asDict()
         self._put("records", 0, {"batch": -1, "seq": None, **{c: counts[c] for c in COUNTERS}})
-        settings = {"buckets": counts["total_tasks"] // tasks_per_bucket + 1, "as_of": _instant(as_of).isoformat(), "rule": rule}
+        total = counts["total_tasks"]
+        least = min(total // TASKS_PER_BUCKET, BUCKETS_PER_CORE * self.spark.sparkContext.defaultParallelism)
+        settings = {"buckets": max(total // tasks_per_bucket, least) + 1, "as_of": _instant(as_of).isoformat(), "rule": rule}
         write_record(self.spark, f"{self.root}/stream.json", json.dumps(settings))
         return settings
 
@@ -194,12 +209,13 @@ class LiveBoard:
         batch = self.last()["batch"]
         if batch < 0:
             return self.spark.createDataFrame([], kinds)
-        state = (self.spark.read.format("statestore").option("stateVarName", "tasks").option("batchId", batch)
+        state = (self.spark.read.format("statestore").option("stateVarName", "changed").option("batchId", batch)
                  .load(f"{self.root}/checkpoint").select(F.col("value.tasks").alias("tasks")))
 
         def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in stream:
-                rows = [(k, t[0]) for blob in frame["tasks"] for k, t in pickle.loads(blob).items() if t[3] is not None]
+                rows = [(k, t[0]) for blob in frame["tasks"] for k, t in pickle.loads(blob).items()
+                        if t is not None and t[3] is not None]
                 yield pd.DataFrame(rows, columns=["task_id", "status"], dtype=object)
 
         return state.mapInPandas(run, kinds)
@@ -287,7 +303,7 @@ def start_live_board(spark: SparkSession, changes: DataFrame, tasks: DataFrame,
     out = task_changes(rows, tasks, settings["buckets"], settings["as_of"], settings["rule"])
     writer = (out.writeStream.outputMode("append").foreachBatch(board.process)
               .option("checkpointLocation", f"{board.root}/checkpoint").trigger(**(trigger or {"processingTime": "2 seconds"})))
-    with _state_partitions(spark, settings["buckets"]):
+    with _state_partitions(spark, settings["buckets"]), arrow_batches(spark, task_state.PACK_BYTES):  # the stream keeps both
         query = writer.start()
     return query, board
 
@@ -317,7 +333,7 @@ def replay(spark: SparkSession, reqs: DataFrame, tasks: DataFrame, users: DataFr
         size = {"files_per_trigger": files_per_trigger}
     landing = replay_to_files(landed, f"{root}/landing", files)
     query, board = start_live_board(spark, file_stream(spark, landing, landed.schema, **size), tasks, as_of,
-                                    f"{root}/board", rule, {"availableNow": True})
+                                    f"{root}/board", rule, {"availableNow": True}, tasks_per_bucket=REPLAY_TASKS_PER_BUCKET)
     query.awaitTermination()
     if query.exception():
         raise query.exception()
