@@ -399,11 +399,16 @@ def test_packed_changes_equal_one_by_one(spark, monkeypatch):
 
 def test_a_replay_has_few_large_buckets(spark):
     from workboard.session import scratch_path
+    from workboard.sources.files import write_record
     tasks = spark.range(600_000).selectExpr("id", "'todo' AS status", "id AS assigned_to", "CAST(NULL AS timestamp_ntz) AS due_date")
     cores, buckets = spark.sparkContext.defaultParallelism, []
     for size in (live.TASKS_PER_BUCKET, live.REPLAY_TASKS_PER_BUCKET):
         board = live.LiveBoard(spark, scratch_path(spark, "live-buckets"), T.StructType.fromDDL(CHANGES))
         buckets.append(board.begin(tasks, AS_OF, "reference", size)["buckets"])
+        assert board.begin(tasks, AS_OF, "reference", 1)["buckets"] == buckets[-1]  # it goes on with its own
+    write_record(spark, f"{board.root}/stream.json", '{"buckets": 3, "as_of": "2024-05-01", "rule": "reference"}', replace=True)
+    with pytest.raises(ValueError, match="another layout"):
+        board.begin(tasks, AS_OF, "reference", 1)
     assert buckets == [2344, min(2343, max(73, live.BUCKETS_PER_CORE * cores)) + 1]
 
 

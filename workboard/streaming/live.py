@@ -70,6 +70,8 @@ BYTES_PER_CORE = 1 << 22
 MERGE = 16
 #: Records of the last so many micro-batches are kept.
 RECORDS = 256
+#: The layout of the state (see ``TaskChanges``); a stream goes on with its own only.
+LAYOUT = "first, changed"
 
 
 def with_roles(reqs: DataFrame, users: DataFrame) -> DataFrame:
@@ -184,12 +186,17 @@ class LiveBoard:
         """The stream's settings; at its first start also the counters it starts from (record 0)."""
         text = read_record(self.spark, f"{self.root}/stream.json")
         if text is not None:
-            return json.loads(text)
+            settings = json.loads(text)
+            if settings.get("layout") != LAYOUT:
+                raise ValueError(f"{self.root} has its state in another layout ({settings.get('layout')}): start a new stream from a "
+                                 "snapshot that has its changes (commit_changes, after_seq)")
+            return settings
         counts = task_stats(tasks, as_of).first().asDict()
         self._put("records", 0, {"batch": -1, "seq": None, **{c: counts[c] for c in COUNTERS}})
         total = counts["total_tasks"]
         least = min(total // TASKS_PER_BUCKET, BUCKETS_PER_CORE * self.spark.sparkContext.defaultParallelism)
-        settings = {"buckets": max(total // tasks_per_bucket, least) + 1, "as_of": _instant(as_of).isoformat(), "rule": rule}
+        settings = {"buckets": max(total // tasks_per_bucket, least) + 1, "as_of": _instant(as_of).isoformat(), "rule": rule,
+                    "layout": LAYOUT}
         write_record(self.spark, f"{self.root}/stream.json", json.dumps(settings))
         return settings
 
